@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, mixing, ngram_join, packing, quality, secret_ledger, token_orc, warc
+from . import line_dedup, media, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, token_orc, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": lambda spark, d: token_orc.digest(_documents(spark, d)),
     "op2_secret_ledger": lambda spark, d: secret_ledger.digest(_documents(spark, d)),
+    "op3_suffix_dedup": lambda spark, d: suffix_dedup.digest(_documents(spark, d)),
     "op4_ngram_join": lambda spark, d: ngram_join.digest(_documents(spark, d)),
     "op5_media_sniff": lambda spark, d: media.digest(_documents(spark, d)),
     "op6_source_mix": lambda spark, d: mixing.digest(_documents(spark, d)),
