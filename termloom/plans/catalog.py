@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_cohort, catalog_hierarchy
+from . import catalog_cohort, catalog_hierarchy, catalog_search
 
-MODULES = (catalog_hierarchy, catalog_cohort)
+MODULES = (catalog_hierarchy, catalog_cohort, catalog_search)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
