@@ -114,9 +114,9 @@ def lexical_prefix(t: Tables) -> DataFrame:
     return searched(t).where(S.prefix_clause(F.col("normalized"), "Small")).select("concept_id", "description_id", "term")
 
 
-@query("lexical_phrase", f"{_LIVE} contains(' ' || normalized || ' ', ' customer 000000012 ')", "descriptions", **_TERMS)
+@query("lexical_phrase", f"{_LIVE} contains(' ' || normalized || ' ', ' red widget ')", "descriptions", **_TERMS)
 def lexical_phrase(t: Tables) -> DataFrame:
-    return searched(t).where(S.phrase_clause(F.col("normalized"), "Customer#000000012")).select("concept_id", "description_id", "term")
+    return searched(t).where(S.phrase_clause(F.col("normalized"), "Red widget")).select("concept_id", "description_id", "term")
 
 
 @query("lexical_any", f"{_LIVE} len(list_intersect(string_split(normalized, ' '), ['asia', 'europe', 'region'])) > 0", "descriptions", **_TERMS)
@@ -147,8 +147,8 @@ def suggest_topk(t: Tables) -> DataFrame:
 
 _TIER = """CASE WHEN concept_id = q THEN 0 WHEN normalized = q THEN 1 WHEN starts_with(normalized, q) AND len(string_split(normalized, ' ')) - len(string_split(q, ' ')) <= 1 THEN 2
   WHEN fsn = q THEN 4 WHEN starts_with(normalized, q) THEN 6 WHEN contains(normalized, q) THEN 8 WHEN contains(fsn, q) THEN 9 WHEN len(list_filter(string_split(q, ' '), lambda w: NOT list_contains(string_split(normalized || ' ' || fsn, ' '), w))) = 0 THEN 10 ELSE 11 END"""
-_SPECIFIC = "round(10 * (CASE WHEN normalized = q THEN 0 WHEN starts_with(normalized, q) THEN 1 WHEN contains(normalized, q) THEN 3 ELSE 8 END) + 1.5 * greatest(len(string_split(normalized, ' ')) - 1, 0) + least(abs(length(normalized) - length(q)), 40) / 10.0, 4)"
-_QUERIED = dict(fs=f"SELECT concept_id AS fid, {NORM.format('term')} AS fsn FROM descriptions WHERE kind = 'fsn'", q="SELECT *, 'united' AS q FROM terms JOIN fs ON fid = concept_id WHERE concept_active")
+_SPECIFIC = "round(10 * (CASE WHEN normalized = q THEN 0 WHEN starts_with(normalized, q) THEN 1 WHEN contains(normalized, q) THEN 3 ELSE 8 END) + 1.5 * greatest(len(string_split(normalized, ' ')) - 2, 0) + least(abs(length(normalized) - length(q)), 40) / 10.0, 4)"
+_QUERIED = dict(fs=f"SELECT concept_id AS fid, {NORM.format('term')} AS fsn FROM descriptions WHERE kind = 'fsn'", q="SELECT *, 'red widget' AS q FROM terms JOIN fs ON fid = concept_id WHERE concept_active")
 
 
 def _tiers(t: Tables, text: str) -> DataFrame:
@@ -161,23 +161,23 @@ def _tiers(t: Tables, text: str) -> DataFrame:
 
 @query("match_tiers", f"SELECT tier::INT AS tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM q) GROUP BY tier", "descriptions", **_TERMS, **_QUERIED)
 def match_tiers(t: Tables) -> DataFrame:
-    return _tiers(t, "united").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return _tiers(t, "red widget").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("specificity_score", f"SELECT description_id, {_SPECIFIC} AS specificity FROM q WHERE tag = 'nation'", "descriptions", **_TERMS, **_QUERIED)
+@query("specificity_score", f"SELECT description_id, {_SPECIFIC} AS specificity FROM q WHERE tag = 'part'", "descriptions", **_TERMS, **_QUERIED)
 def specificity_score(t: Tables) -> DataFrame:
-    return _tiers(t, "united").where("tag = 'nation'").select("description_id", "specificity")
+    return _tiers(t, "red widget").where("tag = 'part'").select("description_id", "specificity")
 
 
 @query("tier_rerank_dedupe", f"SELECT concept_id, description_id, tier::INT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY tier, s, term_rank DESC, term, description_id) AS k FROM (SELECT *, {_TIER} AS tier, {_SPECIFIC} AS s FROM q)) WHERE k = 1 ORDER BY tier, s, term_rank DESC, term, concept_id LIMIT 20", "descriptions", **_TERMS, **_QUERIED)
 def tier_rerank_dedupe(t: Tables) -> DataFrame:
-    return S.tiered(_tiers(t, "united"), 20).select("concept_id", "description_id", "tier")
+    return S.tiered(_tiers(t, "red widget"), 20).select("concept_id", "description_id", "tier")
 
 
 @query("lexical_search", None)
 def lexical_search(t: Tables) -> DataFrame:
     """All clauses with their boosts; scores are this engine's own."""
-    scored = searched(t).withColumn("score", S.lexical_score(F.col("normalized"), F.col("concept_id"), "united states")).where("score IS NOT NULL")
+    scored = searched(t).withColumn("score", S.lexical_score(F.col("normalized"), F.col("concept_id"), "red widget")).where("score IS NOT NULL")
     return scored.orderBy(F.col("score").desc(), "concept_id", "description_id").limit(40).select("concept_id", "description_id", "score")
 
 

@@ -63,7 +63,7 @@ VIEWS = {
         """SELECT concept_id, '447562003' AS refset_id, 'brand-codes' AS target_system, p_brand AS map_target, p_size % 3 + 1 AS map_group, p_size % 5 + 1 AS map_priority,
       CASE WHEN p_partkey % 2 = 0 THEN 'TRUE' ELSE 'IFA 248152002 | Female |' END AS map_rule, p_size % 4 <> 0 AS active FROM parts""",
     ),
-    "telemetry": ([], "SELECT event_id AS id, ts AS at, user_id AS actor_id, event_type, value AS duration_ms, props AS query_text FROM events"),
+    "telemetry": ([], "SELECT event_id AS id, ts AS \"at\", user_id AS actor_id, event_type, value AS duration_ms, props AS query_text FROM events"),
 }
 
 
