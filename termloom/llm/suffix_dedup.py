@@ -41,7 +41,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, SEED = 100, 32
 #: Windows hashed at a time, and the bytes before a symbol's bound that decide on it: one in BOUND_EVERY.
-CHUNK, BOUND_BYTES, BOUND_EVERY, PIECE = 1 << 21, 4, 16, 8 << 20
+CHUNK, BOUND_BYTES, BOUND_EVERY, PIECE = 1 << 19, 4, 16, 1 << 20
 
 _BYTES = mix64(np.arange(1, 257).astype(np.uint64))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,7 +197,7 @@ def _anchor_blobs(parts: int):
     their texts, and one marker without windows for each to its partition of the hash range."""
 
     def run(batches):
-        for data, offsets, h1, _ in _distinct(batches, 16 << 20):
+        for data, offsets, h1, _ in _distinct(batches, 8 << 20):
             hashes, text, place, first, count = anchors(data, offsets)
             if not len(hashes):
                 continue
@@ -229,7 +229,7 @@ def _back_blobs(hashes, text, place, back, count, parts: int) -> list[tuple]:
 
 def _text_blobs(parts: int):
     def run(batches):
-        for data, offsets, h1, h2 in _distinct(batches, 32 << 20):
+        for data, offsets, h1, h2 in _distinct(batches, 16 << 20):
             sizes = np.diff(offsets)
             yield _batch([(p, TEXTS, _press(data[ranges(offsets[k], sizes[k])]), _zip(h1[k], h2[k], sizes[k]), b"", b"") for p, k in _by_part(part_of(h1, parts), parts)])
 
