@@ -46,3 +46,25 @@ def greedy_pairs(facts: list[dict], mentions: list[dict]) -> list[tuple[int, int
                         used.add(j)
                         break
     return sorted(pairs.items())
+
+
+def ranked_diagnoses(rows: DataFrame) -> DataFrame:
+    """Per note: top1, top3, comorbidity precision and recall.
+
+    rows: note_id, expected_principal, ranked array, expected array, proposed array. Recall is 1 if
+    none is expected; precision without proposals is 1 if none is expected, else 0.
+    """
+    hit = F.size(F.array_intersect("expected", "proposed"))
+    recall = F.when(F.size("expected") == 0, 1.0).otherwise(hit / F.size("expected"))
+    precision = F.when(F.size("proposed") > 0, hit / F.size("proposed")).when(F.size("expected") == 0, 1.0).otherwise(0.0)
+    top = lambda k: F.array_contains(F.slice("ranked", 1, k), F.col("expected_principal"))
+    return rows.select("note_id", top(1).alias("top1"), top(3).alias("top3"), F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"))
+
+
+def contract_violations(mentions: DataFrame, notes: DataFrame, release: DataFrame) -> DataFrame:
+    """mention_id and what is wrong: a span that isn't the note's text, a code outside the
+    release, an acceptance without an anchored span."""
+    joined = mentions.join(notes.select("note_id", "text"), "note_id", "left").join(release.select("concept_id", F.lit(True).alias("_known")).distinct(), "concept_id", "left")
+    span = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    checks = F.array_compact(F.array(F.when(F.col("start").isNotNull() & ~span.eqNullSafe(F.col("verbatim")), "span"), F.when(F.col("concept_id").isNotNull() & F.col("_known").isNull(), "release"), F.when((F.col("status") == "accepted") & F.col("start").isNull(), "support")))
+    return joined.select("mention_id", F.explode(checks).alias("violation"))

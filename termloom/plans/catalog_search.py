@@ -255,3 +255,26 @@ def budget_interleave(t: Tables) -> DataFrame:
     l, r = _ranked(t)
     both = l.select("concept_id", "rank", F.lit(0).alias("list")).union(r.select("concept_id", "rank", F.lit(1).alias("list")))
     return both.groupBy("concept_id").agg(F.min(F.struct("rank", "list")).alias("k")).orderBy("k").limit(50).select("concept_id")
+
+
+@query("preferred_labels", "SELECT concept_id, term AS label FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY CASE language_code WHEN 'en' THEN 40 ELSE 0 END + CASE WHEN is_preferred THEN 20 ELSE 0 END + CASE kind WHEN 'synonym' THEN 12 ELSE 8 END + CASE WHEN length(term) <= 28 THEN 2 ELSE 0 END DESC, term, description_id) AS k FROM terms) WHERE k = 1", "descriptions", **_TERMS)
+def preferred_labels(t: Tables) -> DataFrame:
+    from ..operators.labels import preferred_terms
+
+    return preferred_terms(P.project(t.descriptions), "hierarchy", "en")
+
+
+@query("two_tier_labels", "SELECT i.concept_id, coalesce(min(t.display_term), min(c.name), i.concept_id) AS label, CASE WHEN min(t.display_term) IS NOT NULL THEN 'projection' WHEN min(c.name) IS NOT NULL THEN 'source' ELSE 'none' END AS tier FROM (SELECT concept_id FROM concepts WHERE tag IN ('nation', 'brand') UNION SELECT '999999') i LEFT JOIN (SELECT * FROM terms WHERE tag = 'nation') t USING (concept_id) LEFT JOIN concepts c USING (concept_id) GROUP BY i.concept_id", "concepts", "descriptions", **_TERMS)
+def two_tier_labels(t: Tables) -> DataFrame:
+    from ..operators.labels import two_tier_labels as labels
+
+    ids = t.concepts.where("tag IN ('nation', 'brand')").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
+    projected = P.project(t.descriptions)
+    return labels(ids, projected.where("tag = 'nation'"), projected.where("tag = 'brand'"), "en")
+
+
+@query("display_groups", f"SELECT CASE WHEN tier <= 1 THEN 'exact' WHEN tier <= 5 THEN 'normalized' WHEN tier <= 9 THEN 'prefix' ELSE 'fuzzy' END AS display, count(*) AS n FROM (SELECT {_TIER} AS tier FROM q) GROUP BY ALL", "descriptions", **_TERMS, **_QUERIED)
+def display_groups(t: Tables) -> DataFrame:
+    from ..operators.labels import display_group
+
+    return _tiers(t, "red widget").groupBy(display_group(F.col("tier")).alias("display")).agg(F.count(F.lit(1)).alias("n"))
