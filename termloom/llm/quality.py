@@ -41,7 +41,7 @@ OTHER = "other"
 N_WORDS = max(map(len, COMMON_WORDS.values())) + 1
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_CHAR_DISTANCE, MIN_CHARS = 0.22, 200
+MAX_CHAR_DISTANCE, MIN_CHARS = 0.30, 200
 MAX_WORD_DISTANCE, MIN_COMMON_TEST_WORDS = 0.42, 80
 
 _EDGE = ".,;:!?\"'()[]"
