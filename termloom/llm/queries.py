@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup, media, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, token_orc, warc
+from .oracles import OP3_SQL, OP4_SQL, OP8_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +98,4 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHE
 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_ledger": OP2_SQL, "op6_source_mix": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_warc_zstd": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_ledger": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_quality_divergence": OP8_SQL, "op6_source_mix": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_warc_zstd": OP9_SQL}
