@@ -109,7 +109,7 @@ SETS = "doc_id long, n_shingles long, node long, token long, docs long"
 
 
 def _sets(batches):
-    for batch in slices(batches):
+    for batch in slices(batches, 12 << 20):
         flat, offsets = shingles(batch.column("text"))
         sizes = np.diff(offsets)
         nodes = [node_of(flat[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -146,7 +146,7 @@ def _blob_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _postings(parts: int, hot: np.ndarray):
     def run(batches):
-        for batch in slices(batches, 48 << 20):
+        for batch in slices(batches, 12 << 20):
             flat, offsets = shingles(batch.column("text"))
             sizes = np.diff(offsets)
             nodes = np.array([node_of(flat[a:b]) if b > a else 0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
@@ -397,7 +397,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     alone = second.join(first.select("node"), "node", "left_anti").select("node", "label")
     final = known.unionByName(alone)
     rows = found.where("token is null").select("doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join may split a component of many documents
+    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"))
 
 
