@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,9 @@ import regex
 from .shared import ranges
 
 END_ID = 2
-MAX_WORDS, MAX_PIECES = 400_000, 400_000
+MAX_WORDS, MAX_PIECES = 1_000_000, 400_000
+#: Bytes of text to encode at a time: a batch's new words have to leave room in the store for old ones.
+BATCH_BYTES = 8 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -59,40 +62,56 @@ class WordEncoder:
         self.simple = regex.compile("[\x21-\x7e¡-¬®-įı-ňŊ-ž]+")
         self.letters = byte_letters()
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self._clear()
 
     def _clear(self) -> None:
         self.words.clear()
-        self.flat = np.zeros(1 << 20, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.flat = np.zeros(1 << 20, dtype=self.kind)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
-            mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            found = self.pieces[piece] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return found
 
-    def word(self, word: str) -> list[int]:
-        if self.simple.fullmatch(word) and "<|" not in word:
-            return [i for p in self.pattern.findall(word.lower()) for i in self._piece(p)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _number(self, word: str) -> int:
-        ids, k = self.word(word), len(self.words)
-        if k == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[k], self.sizes[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.words[word] = k
-        return k
+    def word(self, word: str) -> bytes:
+        """A word's ids, packed."""
+        plain = word.isascii()
+        if plain and word.isalpha():  # one piece, as most words are
+            return self._piece(word.lower())
+        if (plain or self.simple.fullmatch(word)) and "<|" not in word and word.isprintable():
+            return b"".join([self._piece(p) for p in self.pattern.findall(word.lower())])
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _numbers(self, unique: list[str]) -> np.ndarray:
+        """The words' places in the store; new words are encoded and added."""
+        words, known, before = self.words, self.words.get, len(self.words)
+        place, fresh = [], []
+        for w in unique:
+            k = known(w)
+            if k is None:
+                k = words[w] = before + len(fresh)
+                fresh.append(self.word(w))
+            place.append(k)
+        if fresh:
+            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh)) // self.flat.itemsize
+            end, most = self.used + int(sizes.sum()), before + len(fresh)
+            if most > len(self.starts):
+                self.starts, self.sizes = np.resize(self.starts, 2 * most), np.resize(self.sizes, 2 * most)
+            if end > len(self.flat):
+                self.flat = np.resize(self.flat, 3 * end // 2)
+            self.flat[self.used : end] = np.frombuffer(b"".join(fresh), self.kind)
+            self.sizes[before:most] = sizes
+            self.starts[before:most] = self.used + np.cumsum(sizes) - sizes
+            self.used = end
+        return np.array(place, np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of many texts (null: empty), each with end_id appended if given."""
@@ -108,8 +127,7 @@ class WordEncoder:
         unique = coded.dictionary.to_pylist()
         if len(self.words) + len(unique) > MAX_WORDS:
             self._clear()
-        known, number = self.words.get, self._number
-        place = np.fromiter((k if (k := known(w)) is not None else number(w) for w in unique), np.int64, len(unique))
+        place = self._numbers(unique)
         at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         sizes = self.sizes[at]
         ids = self.flat[ranges(self.starts[at], sizes)]

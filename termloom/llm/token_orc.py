@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import BATCH_BYTES, encoder
 from .shared import partitions, scratch, ship, slices
 
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
@@ -34,7 +34,7 @@ ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "or
 def encode_partition(vocabulary: str | None):
     def run(batches):
         own, before = encoder(vocabulary), 0
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             ids, offsets = own.encode(batch.column("text"))
             n, sizes = batch.num_rows, np.diff(offsets)
             starts = before + offsets[:-1]
