@@ -109,7 +109,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
         lengths = np.diff(np.concatenate([new, [len(place)]]))
         p, t = place[new], text[new]
-        found.append((hashes[p], t, begin + p - offsets[t], starts[new] - offsets[t], lengths))
+        # anchors are least hashes: mixed again, they spread over the whole range
+        found.append((mix64(hashes[p] ^ np.uint64(_BASE)), t, begin + p - offsets[t], starts[new] - offsets[t], lengths))
     if not found:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -546,7 +547,8 @@ def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = stored(rows.mapInArrow(_ids, IDS), "ids")
-    firsts = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
+    # stored, so that a join with ids may split a text that many documents have
+    firsts = stored(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")), "firsts")
     texts = rows.select("text")
     deal = lambda df: df.repartitionById(parts, "part")
     back = deal(texts.mapInArrow(_anchor_blobs(parts), BLOBS)).mapInArrow(_repeated(parts), BLOBS)
