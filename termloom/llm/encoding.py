@@ -23,7 +23,8 @@ import regex
 from .shared import ranges
 
 END_ID = 2
-MAX_WORDS, MAX_PIECES = 1_000_000, 400_000
+#: The store is emptied when a batch finds more words than this in it.
+MAX_WORDS, MAX_PIECES = 500_000, 250_000
 #: Bytes of text to encode at a time: a batch's new words have to leave room in the store for old ones.
 BATCH_BYTES = 8 << 20
 VOCABULARY = "word_bpe_49k.json"
@@ -125,7 +126,7 @@ class WordEncoder:
         row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         coded = words.dictionary_encode()
         unique = coded.dictionary.to_pylist()
-        if len(self.words) + len(unique) > MAX_WORDS:
+        if len(self.words) > MAX_WORDS:
             self._clear()
         place = self._numbers(unique)
         at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder
+from .encoding import BATCH_BYTES, encoder
 from .shared import ship, slices, stored
 
 WINDOW, OPEN_WINDOWS, MERGE_WAYS = 4096, 64, 32
@@ -75,7 +75,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def pack_partition(vocabulary: str | None, window: int = WINDOW, most: int = OPEN_WINDOWS):
     def run(batches):
         own, packer = encoder(vocabulary), Packer(window, most)
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_BYTES):
             ids, offsets = own.encode(batch.column("text"))
             out: list[tuple] = []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     numbered = lambda df, k: stored(df.withColumn("part", F.spark_partition_id()), f"packing-{k}")
     pieces, done, level = numbered(rows.mapInArrow(pack_partition(vocabulary), PIECES), 0), [], 0
-    parts = max(1, rows.rdd.getNumPartitions())
+    parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         named = pieces.withColumn("sequence_id", F.lit(level).cast("long") * F.lit(1 << 58) + F.col("part").cast("long") * F.lit(1 << 34) + F.col("seq"))
         if parts == 1 and level:
