@@ -334,6 +334,21 @@ def test_kept_documents(docs):
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in quality.digest(docs).where("kept").collect())
 
 
+def test_menu_junk_is_rejected_by_words_alone(spark, data):
+    found = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang", "text")
+    clean = found.join(spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = ["erha", "nou", "tible", "shin", "ered", "bor", "anti", "lesk", "ondu", "verg", "mila"]
+    menu = lambda k: "\n".join(" | ".join((a + b).capitalize() if n % 7 == k else a + b for n, b in enumerate(parts)) + "." for a in parts)
+    planted = spark.createDataFrame([(-k - 1, lang, menu(k)) for k, lang in enumerate(quality.COMMON_WORDS)], "doc_id long, lang string, text string")
+    judged = quality.verdicts(found.unionByName(planted)).cache()
+    junk = judged.where("doc_id < 0").collect()
+    assert len(junk) == 4
+    for r in junk:
+        assert r.n_words >= quality.MIN_COMMON_TEST_WORDS and not r.base_failed and r.char_distance <= quality.MAX_CHAR_DISTANCE and not r.kept
+    stays = judged.join(clean, "doc_id", "left_semi").where("NOT base_failed").collect()
+    assert len(stays) > 20 and all(r.kept for r in stays)
+
+
 # 9: archives
 
 
