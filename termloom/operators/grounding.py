@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize, tokens
+
 # Cue words of each family, English and Spanish.
 CUES = {
     "negation": ["no evidence of", "no", "not", "without", "denies", "denied", "negative for", "absence of", "free of", "ruled out", "rules out", "excluded", "excludes", "exclude", "sin evidencia de", "sin", "niega", "descartado", "descartada", "excluido", "excluida"],
@@ -76,7 +78,8 @@ def kind_compatible(kind: Column, tag: Column) -> Column:
 
 
 def grounding_score(tier: Column, exact: Column, partial: Column, contains: Column, preferred: Column, rank: Column, score: Column, tag: Column, extra: Column) -> Column:
-    """Tier base, exactness, preference, rank, search score, tag, less words that the phrase lacks."""
+    """Tier base, exactness, preference, rank, search score, tag, less words that the phrase lacks.
+    Only a part of candidate_score, which has all penalties."""
     base = F.greatest(50 - 8 * F.coalesce(tier, F.lit(99)), F.lit(-22)).cast("double")
     match = F.when(exact, 34).when(partial, 16).when(contains, 8).otherwise(0)
     by_tag = F.when(tag.isin("disorder", "finding"), 4).when(tag.isNull(), 0).otherwise(-6)
@@ -84,6 +87,43 @@ def grounding_score(tier: Column, exact: Column, partial: Column, contains: Colu
     return base + match + F.when(preferred, 5).otherwise(0) + F.least(rank, F.lit(60)) / 10.0 + F.least(score, F.lit(500)) / 50.0 + by_tag - extra * per_extra
 
 
+# Words of candidate terms that candidate_score looks for.
+STOPWORDS = "the a an and or for with without de del la las el los of on to from at by into under en y o sin con para por".split()
+NEUTRAL = "mellitus type finding disorder disease".split()
+LATERALITY = "left right bilateral unilateral".split()
+POPULATION = "prematurity premature neonatal neonate maternal pregnancy congenital".split()
+STATUS = "uncontrolled controlled poorly well stable unstable severe mild moderate advanced".split()
+WORKFLOW = "follow[ -]?up|review|evaluation|screening|monitoring|check"
+RELATION = "due to|associated with|with|without|following|secondary to|caused by|resulting from"
+
+
+def candidate_score(phrase: Column, n_tokens: Column, ctx: Column, relation_cue: Column, term: Column, matched: Column, tier: Column, preferred: Column, rank: Column, score: Column, tag: Column) -> Column:
+    """The whole score of a candidate term for a phrase: what grounding_score adds, from the
+    texts, an extra word's weight by the phrase's token count, and the penalties for workflow
+    terms, relations, laterality, population, status and terms too specific for one token.
+
+    A null or empty matched text is the term's; a null tier is 99; a null rank or score is 0.
+    """
+    wanted, name, tagged = (normalize(F.coalesce(x, F.lit(""))) for x in (phrase, term, tag))
+    other = normalize(F.when(F.coalesce(matched, F.lit("")) == "", F.coalesce(term, F.lit(""))).otherwise(matched))
+    one, negated, cue = (F.coalesce(x, F.lit(False)) for x in (n_tokens == 1, ctx == "absent", relation_cue))
+    asked = tokens(wanted)
+    extras = F.filter(tokens(name), lambda w: ~F.array_contains(asked, w) & ~w.isin(*STOPWORDS, *NEUTRAL) & (F.length(w) > 3))
+    n, some = F.size(extras), lambda words: F.exists(extras, lambda w: w.isin(*words))
+    has = lambda pattern: name.rlike(f"(?<![A-Za-z0-9_])({pattern})(?![A-Za-z0-9_])")
+    exact, partial, condition = name == wanted, other == wanted, tagged.isin("disorder", "finding")
+    less = lambda case, points: F.when(case, -points).otherwise(0)
+    base = F.greatest(50 - 8 * F.coalesce(tier, F.lit(99)), F.lit(-22)).cast("double")
+    match = F.when(exact, 34).when(partial, 16).when(F.contains(name, wanted), 8).otherwise(0)
+    by_tag = F.when(condition, 4).when(tagged == "", 0).otherwise(-6)
+    per_extra = F.when(exact, 0.0).when(partial, F.when(one, 14.0).otherwise(6.0)).otherwise(F.when(one, 12.0).otherwise(4.5))
+    relation = F.when(cue & has(RELATION), -16).when(has(RELATION) & ~exact & ~partial, -6).otherwise(0)
+    side = F.when(some(LATERALITY), F.when(negated, -14).otherwise(-9)).otherwise(0)
+    penalties = less(has(WORKFLOW) & ~F.coalesce(ctx == "planned", F.lit(False)), 18) + relation + side + less(some(POPULATION), 14) + less(some(STATUS), 18) + less(one & (n > 0) & ~exact, 14)
+    worth = F.least(F.coalesce(rank, F.lit(0)), F.lit(60)) / 10.0 + F.least(F.coalesce(score, F.lit(0)), F.lit(500)) / 50.0
+    return F.round(base + match + F.when(preferred, 5).otherwise(0) + worth + by_tag - n * per_extra + penalties + F.when(negated & condition, 2).otherwise(0), 4)
+
+
 def with_margin(candidates: DataFrame, key: str = "mention_id") -> DataFrame:
     """place by score within each mention, and the margin to the next (0 if there is none)."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "concept_id")

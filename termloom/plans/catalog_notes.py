@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize, tokens
 from ..operators import codings as C
 from ..operators import diagnosis as D
 from ..operators import evaluate as E
@@ -137,6 +138,67 @@ def review_status(t: Tables) -> DataFrame:
     return candidates(t).select("mention_id", "concept_id", "conf", "status")
 
 
+# candidates whose terms carry qualifiers, for phrases of one and two words in three contexts
+_QUALIFIERS = ("", "left", "neonatal", "severe", "with", "follow-up", "due to", "mellitus")
+_CONTEXTS = ("present", "absent", "planned")
+_FULL = dict(
+    e=f"SELECT concept_id AS mention_id, concept_id, brand_id, type_id, name, p_size, p_brand, p_partkey, CASE p_partkey % 2 WHEN 0 THEN name ELSE split_part(name, ' ', 1) END AS phrase, {list(_QUALIFIERS)}[p_partkey % 8 + 1] AS qualifier, {list(_CONTEXTS)}[p_partkey % 3 + 1] AS ctx, p_partkey % 5 = 0 AS cue FROM parts",
+    k="""SELECT mention_id, phrase, ctx, cue, p_size, concept_id, 1 AS tier, true AS preferred, 'Disorder' AS tag, name AS term, name AS matched FROM e
+  UNION ALL SELECT mention_id, phrase, ctx, cue, p_size, type_id, 4, false, 'finding', phrase || ' ' || qualifier || ' of ' || p_brand, CASE WHEN p_partkey % 4 = 0 THEN phrase END FROM e
+  UNION ALL SELECT mention_id, phrase, ctx, cue, p_size, brand_id, NULL, false, 'product', qualifier || ' ' || p_brand, '' FROM e""",
+    n="SELECT *, trim(regexp_replace(lower(phrase), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS p, trim(regexp_replace(lower(term), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(coalesce(nullif(matched, ''), term)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS m FROM k",
+    x="""SELECT *, list_filter(string_split(t, ' '), lambda w: NOT list_contains(string_split(p, ' '), w) AND length(w) > 3
+    AND w NOT IN ('with', 'without', 'from', 'into', 'under', 'para', 'mellitus', 'type', 'finding', 'disorder', 'disease')) AS extra,
+  len(string_split(p, ' ')) AS words, regexp_matches(t, '\\b(follow[ -]?up|review|evaluation|screening|monitoring|check)\\b') AS workflow,
+  regexp_matches(t, '\\b(due to|associated with|with|without|following|secondary to|caused by|resulting from)\\b') AS relation FROM n""",
+    g="""SELECT *, (greatest(50 - 8 * coalesce(tier, 99), -22) + CASE WHEN t = p THEN 34 WHEN m = p THEN 16 WHEN contains(t, p) THEN 8 ELSE 0 END + CASE WHEN preferred THEN 5 ELSE 0 END
+  + least(p_size, 60) / 10.0::DOUBLE + least(p_size, 500) / 50.0::DOUBLE + CASE WHEN lower(tag) IN ('disorder', 'finding') THEN 4 ELSE -6 END
+  - len(extra) * CASE WHEN t = p THEN 0 WHEN m = p AND words = 1 THEN 14 WHEN m = p THEN 6 WHEN words = 1 THEN 12 ELSE 4.5::DOUBLE END
+  - CASE WHEN workflow AND ctx <> 'planned' THEN 18 ELSE 0 END - CASE WHEN cue AND relation THEN 16 WHEN relation AND t <> p AND m <> p THEN 6 ELSE 0 END
+  - CASE WHEN len(list_intersect(extra, ['left', 'right', 'bilateral', 'unilateral'])) = 0 THEN 0 WHEN ctx = 'absent' THEN 14 ELSE 9 END
+  - CASE WHEN len(list_intersect(extra, ['prematurity', 'premature', 'neonatal', 'neonate', 'maternal', 'pregnancy', 'congenital'])) > 0 THEN 14 ELSE 0 END
+  - CASE WHEN len(list_intersect(extra, ['uncontrolled', 'controlled', 'poorly', 'well', 'stable', 'unstable', 'severe', 'mild', 'moderate', 'advanced'])) > 0 THEN 18 ELSE 0 END
+  - CASE WHEN words = 1 AND len(extra) > 0 AND t <> p THEN 14 ELSE 0 END + CASE WHEN ctx = 'absent' AND lower(tag) IN ('disorder', 'finding') THEN 2 ELSE 0 END)::DOUBLE AS score FROM x""",
+    o="SELECT *, row_number() OVER w AS place, greatest(score - coalesce(lead(score) OVER w, 0), 0) AS margin FROM g WINDOW w AS (PARTITION BY mention_id ORDER BY round(score, 4) DESC, concept_id)",
+    c="SELECT *, t = p OR m = p AS exact, round(least(greatest(0.34::DOUBLE + least(0.22::DOUBLE * score / 100.0::DOUBLE, 0.24::DOUBLE) + least(margin / 25.0::DOUBLE, 0.22::DOUBLE) + CASE WHEN t = p OR m = p THEN 0.22::DOUBLE WHEN contains(t, p) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN tier <= 2 THEN 0.18::DOUBLE WHEN tier <= 4 THEN 0.10::DOUBLE WHEN tier <= 6 THEN 0.04::DOUBLE ELSE -0.08::DOUBLE END, 0), 1), 6) AS conf FROM o",
+)
+
+
+def full_candidates(t: Tables) -> DataFrame:
+    key, word = F.col("p_partkey"), lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % n + 1).cast("int"))
+    entries = t.parts.withColumns({"mention_id": F.col("concept_id"), "phrase": F.when(key % 2 == 0, F.col("name")).otherwise(F.split_part("name", F.lit(" "), F.lit(1))), "qualifier": word(_QUALIFIERS, 8), "ctx": word(_CONTEXTS, 3), "cue": key % 5 == 0})
+    one = lambda c, tier, preferred, tag, term, matched: F.struct(F.col(c).alias("concept_id"), F.lit(tier).cast("int").alias("tier"), F.lit(preferred).alias("preferred"), F.lit(tag).alias("tag"), term.alias("term"), matched.alias("matched"))
+    found = F.array(
+        one("concept_id", 1, True, "Disorder", F.col("name"), F.col("name")),
+        one("type_id", 4, False, "finding", F.concat_ws(" ", "phrase", "qualifier", F.lit("of"), "p_brand"), F.when(key % 4 == 0, F.col("phrase"))),
+        one("brand_id", None, False, "product", F.concat_ws(" ", "qualifier", "p_brand"), F.lit("")),
+    )
+    rows = entries.select("mention_id", "phrase", "ctx", "cue", "p_size", F.explode(found).alias("c")).select("mention_id", "phrase", "ctx", "cue", "p_size", "c.*")
+    words = F.size(tokens(normalize(F.col("phrase"))))
+    score = G.candidate_score(F.col("phrase"), words, F.col("ctx"), F.col("cue"), F.col("term"), F.col("matched"), F.col("tier"), F.col("preferred"), F.col("p_size"), F.col("p_size"), F.col("tag"))
+    wanted, name = normalize(F.col("phrase")), normalize(F.col("term"))
+    exact = (name == wanted) | F.coalesce(normalize(F.col("matched")) == wanted, F.lit(False))
+    tier = F.coalesce("tier", F.lit(99))
+    marked = G.with_margin(rows.withColumns({"score": score, "exact": exact, "contains": F.contains(name, wanted), "words": words}))
+    conf = G.confidence(F.col("score"), F.col("margin"), F.col("exact"), F.col("contains"), tier, F.lit(True))
+    return marked.withColumn("conf", conf).withColumn("status", G.review_status(F.col("conf"), F.col("margin"), F.col("exact"), tier, F.col("words"), F.lit(True)))
+
+
+@query("grounding_score_full", "SELECT mention_id, concept_id, round(score, 4) AS score FROM g", "parts", **_FULL)
+def grounding_score_full(t: Tables) -> DataFrame:
+    return full_candidates(t).select("mention_id", "concept_id", "score")
+
+
+@query("margin_to_next_full", "SELECT mention_id, concept_id, place::INT AS place, round(margin, 6) AS margin FROM o", "parts", **_FULL)
+def margin_to_next_full(t: Tables) -> DataFrame:
+    return full_candidates(t).select("mention_id", "concept_id", "place", F.round("margin", 6).alias("margin"))
+
+
+@query("review_status_full", "SELECT mention_id, concept_id, conf, CASE WHEN conf < 0.42 THEN 'abstain' WHEN ((exact OR coalesce(tier, 99) <= 2) AND conf >= 0.68 AND margin >= 0.03) OR (coalesce(tier, 99) <= 4 AND conf >= 0.64 AND margin >= 0.05 AND words >= 2) THEN 'accepted' ELSE 'review' END AS status FROM c", "parts", **_FULL)
+def review_status_full(t: Tables) -> DataFrame:
+    return full_candidates(t).select("mention_id", "concept_id", "conf", "status")
+
+
 # ---- diagnosis and codings
 
 _DX = dict(

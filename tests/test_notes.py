@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import anchoring as A
 from termloom.operators.evaluate import contract_violations, ranked_diagnoses
-from termloom.operators.grounding import context, sentences
+from termloom.operators.grounding import candidate_score, context, sentences
 from termloom.sources.corpus import synthetic_notes
 
 
@@ -57,3 +57,29 @@ def test_contracts(spark):
     release = spark.createDataFrame([("600001",)], "concept_id string")
     mentions = spark.createDataFrame([("m1", 1, "600001", "gout", 4, 8, "accepted"), ("m2", 1, "9", "gaut", 4, 8, "review"), ("m3", 1, None, None, None, None, "accepted")], "mention_id string, note_id int, concept_id string, verbatim string, start int, end int, status string")
     assert sorted(map(tuple, contract_violations(mentions, notes, release).collect())) == [("m2", "release"), ("m2", "span"), ("m3", "support")]
+
+
+def test_candidate_score_has_all_penalties(spark):
+    rows = [  # phrase, context, relation cue, term, matched text, tier, tag, score by the reference's formula
+        ("foot ulcer", "present", False, "Foot ulcer", None, 4, None, 52.0),
+        ("foot ulcer", "present", False, "Foot ulcer heel", None, 4, None, 21.5),
+        ("foot ulcer", "present", False, "Ulcer of foot region", "foot ulcer", 4, None, 28.0),
+        ("ulcer", "present", False, "Region", "ulcer", 4, None, 6.0),
+        ("ulcer", "present", False, "Ulcer left foot", None, 4, None, -21.0),
+        ("ulcer", "absent", False, "Ulcer left foot", None, 4, "Disorder", -20.0),
+        ("foot ulcer", "present", False, "Foot ulcer screening", None, 4, None, 3.5),
+        ("foot ulcer", "planned", False, "Foot ulcer screening", None, 4, None, 21.5),
+        ("foot ulcer", "planned", False, "Foot ulcer follow-up", None, 4, None, 21.5),
+        ("foot ulcer", "present", False, "Foot ulcer due to diabetes", None, 4, None, 15.5),
+        ("foot ulcer", "present", True, "Foot ulcer due to diabetes", None, 4, None, 5.5),
+        ("pain with fever", "present", False, "Pain with fever", None, 4, None, 52.0),
+        ("pain with fever", "present", True, "Pain with fever", None, 4, None, 36.0),
+        ("foot ulcer", "present", False, "Neonatal foot ulcer", None, 4, None, 7.5),
+        ("foot ulcer", "present", False, "Severe foot ulcer", None, 4, None, 3.5),
+        ("diabetes", "present", False, "Diabetes mellitus", None, 4, "trastorno", 20.0),
+        ("foot ulcer", None, None, "Heel", "", None, None, -26.5),
+    ]
+    df = spark.createDataFrame(rows, "phrase string, ctx string, cue boolean, term string, matched string, tier int, tag string, want double")
+    nothing = F.lit(None).cast("int")
+    score = candidate_score(F.col("phrase"), F.size(F.split("phrase", " ")), F.col("ctx"), F.col("cue"), F.col("term"), F.col("matched"), F.col("tier"), F.lit(False), nothing, nothing, F.col("tag"))
+    assert [(r.phrase, r.term, r.got) for r in df.withColumn("got", score).collect()] == [(r[0], r[3], r[7]) for r in rows]
