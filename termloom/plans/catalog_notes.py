@@ -236,6 +236,54 @@ def diagnosis_exclusion(t: Tables) -> DataFrame:
     return mentions(t).groupBy(F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# every field of the whole method, from the order line and the part's size
+_SECTIONS, _EVIDENCE, _TAGS, _KINDS = ("Assessment", "Chief complaint", "Plan", "Family history"), ("direct", "inferred", "context"), ("disorder", "finding", "trastorno", "procedure"), ("condition", "symptom", "medication")
+_PROPOSAL = dict(
+    e=f"""SELECT note_id, c.concept_id, c.brand_id, c.type_id, p.name AS phrase, assertion, temporality, subject, status, line, {list(_KINDS)}[line % 5 // 2 + 1] AS kind, {list(_SECTIONS)}[line % 4 + 1] AS section,
+  {list(_EVIDENCE)}[p_size % 3 + 1] AS evidence, ['disorder', 'finding', 'disorder', 'procedure'][p_size % 4 + 1] AS tag, p_size * 2 AS confidence, l_quantity::INT % 7 = 0 AS reviewed FROM codings c JOIN parts p USING (concept_id)""",
+    a="SELECT *, min(CASE WHEN assertion = 'present' AND subject = 'patient' AND kind = 'condition' AND section = 'Assessment' THEN line END) OVER (PARTITION BY note_id, section) = line AS first_here, status = 'accepted' OR reviewed AS mapped FROM e",
+    o="SELECT *, CASE WHEN kind = 'condition' AND section = 'Chief complaint' THEN 5 WHEN kind = 'condition' AND section = 'Assessment' AND (coalesce(first_here, false) OR line % 5 = 0) THEN 4 WHEN section = 'Chief complaint' THEN 3 WHEN kind = 'condition' AND section = 'Assessment' THEN 2 ELSE 0 END AS own FROM a",
+    h="SELECT *, CASE WHEN kind = 'condition' AND assertion = 'present' AND subject = 'patient' AND temporality = 'current' THEN max(own) OVER w ELSE own END AS priority, bool_or(mapped) OVER w AS resolved FROM o WINDOW w AS (PARTITION BY note_id, phrase, kind, assertion, temporality, subject)",
+    x="""SELECT *, confidence * 0.3::DOUBLE + CASE section WHEN 'Assessment' THEN 22 WHEN 'Chief complaint' THEN 12 WHEN 'Plan' THEN -12 ELSE -18 END + CASE assertion WHEN 'present' THEN 20 WHEN 'suspected' THEN 8 ELSE -30 END
+  + CASE status WHEN 'accepted' THEN 6 ELSE 3 END + CASE evidence WHEN 'direct' THEN 3 WHEN 'inferred' THEN 2 ELSE -10 END + CASE tag WHEN 'disorder' THEN 18 WHEN 'finding' THEN 2 ELSE -24 END AS score,
+  CASE WHEN assertion = 'present' AND subject = 'patient' AND NOT mapped AND NOT resolved THEN priority ELSE 0 END AS unresolved FROM h""",
+    y="SELECT *, CASE WHEN kind = 'medication' THEN 'not-diagnostic' WHEN tag = 'procedure' THEN 'not-finding' WHEN NOT mapped THEN 'mapping-needs-review' WHEN subject <> 'patient' THEN 'not-patient' WHEN score <= 0 THEN 'non-positive-score' END AS reason FROM x",
+    b="SELECT note_id, concept_id, assertion, temporality, kind, phrase, tag, round(max(score) + least(4 * (count(*) - 1), 12), 2) AS score, count(*) AS support, max(confidence) AS confidence, max(priority) AS priority, assertion = 'present' AS eligible FROM y WHERE reason IS NULL GROUP BY ALL",
+    r="SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY eligible DESC, priority DESC, score DESC, support DESC, confidence DESC, phrase, concept_id, assertion, temporality, kind) AS place FROM b",
+    s="""SELECT r.*, eligible AND priority >= waiting AND place <= 3 AS candidate, eligible AND priority >= waiting AND place = 1 AS principal FROM r JOIN (SELECT note_id, max(unresolved) AS waiting FROM y GROUP BY note_id) USING (note_id)""",
+)
+
+
+def entries(t: Tables) -> DataFrame:
+    names = t.parts.select(F.col("concept_id").alias("_c"), F.col("name").alias("phrase"), "p_size")
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k + 1).cast("int"))
+    line, size = F.col("line"), F.col("p_size")
+    return t.codings.join(names, F.col("concept_id") == F.col("_c")).select(
+        "note_id", "concept_id", F.col("phrase").alias("term"), pick(_TAGS, size % 4).alias("tag"), "ancestor_ids", F.lit(True).alias("active"), "phrase", pick(_KINDS, F.floor(line % 5 / 2)).alias("kind"), "assertion", "temporality", F.lit(None).cast("string").alias("clinical_status"), "subject",
+        pick(_SECTIONS, line % 4).alias("section"), F.lit(None).cast("int").alias("section_start"), line.alias("start"), F.concat(F.when(line % 5 == 0, "1. ").otherwise(""), "phrase").alias("sentence"), pick(_EVIDENCE, size % 3).alias("evidence"), F.col("status").alias("decision"), (F.col("l_quantity").cast("int") % 7 == 0).alias("reviewed"), (size * 2).alias("confidence"),
+    )
+
+
+@query("diagnosis_buckets_full", "SELECT note_id, concept_id, assertion, temporality, kind, score, support, confidence::INT AS confidence, priority::INT AS priority FROM b", "codings", "parts", **_PROPOSAL)
+def diagnosis_buckets_full(t: Tables) -> DataFrame:
+    return D.concepts(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", "score", "support", "confidence", "priority")
+
+
+@query("diagnosis_rank_full", "SELECT note_id, concept_id, assertion, temporality, kind, place::INT AS place, eligible FROM r", "codings", "parts", **_PROPOSAL)
+def diagnosis_rank_full(t: Tables) -> DataFrame:
+    return D.concepts(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", "place", "eligible")
+
+
+@query("diagnosis_split_full", "SELECT note_id, concept_id, assertion, temporality, kind, concat_ws('|', CASE WHEN candidate THEN 'candidate' END, CASE WHEN eligible AND NOT principal AND kind <> 'symptom' AND tag <> 'finding' THEN 'comorbidity' END, CASE WHEN principal THEN 'principal' END, CASE WHEN assertion = 'suspected' THEN 'suspected' END, CASE WHEN eligible AND NOT principal AND (kind = 'symptom' OR tag = 'finding') THEN 'symptom' END) AS roles FROM s", "codings", "parts", **_PROPOSAL)
+def diagnosis_split_full(t: Tables) -> DataFrame:
+    return D.proposal(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", F.array_join("roles", "|").alias("roles"))
+
+
+@query("diagnosis_exclusion_full", "SELECT coalesce(reason, 'none') AS reason, count(*) AS n FROM y GROUP BY ALL", "codings", "parts", **_PROPOSAL)
+def diagnosis_exclusion_full(t: Tables) -> DataFrame:
+    return D.scored(entries(t)).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("coding_role", "SELECT kind, CASE kind WHEN 'condition' THEN 'diagnosis' ELSE kind END AS role, count(*) AS n FROM codings GROUP BY ALL", "codings")
 def coding_role(t: Tables) -> DataFrame:
     return t.codings.groupBy("kind", C.coding_role(F.col("kind"), F.lit(None).cast("string")).alias("role")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from termloom.operators import anchoring as A
+from termloom.operators import diagnosis as D
 from termloom.operators.evaluate import contract_violations, ranked_diagnoses
 from termloom.operators.grounding import candidate_score, context, sentences
 from termloom.sources.corpus import synthetic_notes
@@ -83,3 +84,42 @@ def test_candidate_score_has_all_penalties(spark):
     nothing = F.lit(None).cast("int")
     score = candidate_score(F.col("phrase"), F.size(F.split("phrase", " ")), F.col("ctx"), F.col("cue"), F.col("term"), F.col("matched"), F.col("tier"), F.lit(False), nothing, nothing, F.col("tag"))
     assert [(r.phrase, r.term, r.got) for r in df.withColumn("got", score).collect()] == [(r[0], r[3], r[7]) for r in rows]
+
+
+DX = "note_id int, concept_id string, term string, tag string, ancestor_ids array<string>, active boolean, phrase string, kind string, assertion string, temporality string, clinical_status string, subject string, section string, section_start int, start int, sentence string, evidence string, decision string, reviewed boolean, confidence int"
+
+
+def entry(note, concept, tag, kind, section, start=None, **other):
+    row = dict(note_id=note, concept_id=concept, term=concept, tag=tag, ancestor_ids=[], active=True, phrase=concept, kind=kind, assertion="present", temporality="current", clinical_status=None, subject="patient", section=section, section_start=None, start=start, sentence=None, evidence="direct", decision="accepted", reviewed=False, confidence=50)
+    row |= other
+    return tuple(row[x.split()[0]] for x in DX.split(", "))
+
+
+def test_diagnosis_scores_and_reasons(spark):
+    rows = [
+        entry(1, "a", "disorder", "condition", "Assessment"), entry(1, "b", "hallazgo", "symptom", "HPI", evidence="context", confidence=100), entry(1, "c", "disorder", "condition", "Assessment", decision="abstain"),
+        entry(1, "d", "disorder", "condition", "Assessment", decision="rejected", reviewed=True), entry(1, None, None, "condition", None), entry(1, "f", "disorder", "medication", "Plan"), entry(1, "g", "disorder", "condition", "Plan", active=False),
+        entry(1, "h", "procedure", "condition", "Plan"), entry(1, "i", "disorder", "condition", "Plan", subject="family"), entry(1, "j", "finding", "condition", "family_history", assertion="absent", evidence="system"), entry(1, "k", None, "condition", "Reactive", ancestor_ids=["404684003"]),
+    ]
+    got = {r.concept_id: (round(r.score, 4), r.reason) for r in D.scored(spark.createDataFrame(rows, DX)).collect()}
+    assert got["a"] == (15 + 22 + 20 + 9 + 18, None) and got["b"] == (30 + 12 + 20 - 4 + 2, None)
+    assert got["c"] == (15 + 22 + 20 - 9 + 18, "mapping-needs-review") and got["d"] == (15 + 22 + 20 - 19 + 18, None)
+    assert got["j"] == (15 - 18 - 30 - 8 + 2, "non-positive-score") and got["k"] == (15 + 2 + 20 + 9, None)
+    assert [got[x][1] for x in (None, "f", "g", "h", "i")] == ["no-code", "not-diagnostic", "inactive", "not-finding", "not-patient"]
+
+
+def test_diagnosis_proposal(spark):
+    rows = [
+        # 1: the reason for the visit leads a better scored disorder; symptom, history, suspected, parent of a comorbidity
+        entry(1, "reason", "disorder", "condition", "Chief complaint", confidence=10), entry(1, "other", "disorder", "condition", "Assessment", 5, confidence=100, ancestor_ids=["parent"]), entry(1, "parent", "disorder", "condition", "Assessment", 9),
+        entry(1, "cough", "finding", "symptom", "HPI"), entry(1, "old", "disorder", "condition", "Assessment", assertion="historical"), entry(1, "maybe", "disorder", "condition", "Assessment", assertion="suspected"),
+        # 2: what the visit is for has no usable code, so nothing else becomes the principal
+        entry(2, "lost", "disorder", "condition", "Reason for visit", decision="review"), entry(2, "easy", "disorder", "condition", "Assessment", 3),
+        # 3: an acute episode on a chronic one; the first of the assessment leads
+        entry(3, "acute", "disorder", "condition", "Assessment", 1, phrase="acute kidney disease", sentence="1. Acute kidney disease on chronic kidney disease"), entry(3, "chronic", "disorder", "condition", "Assessment", 30, phrase="chronic kidney disease", confidence=100),
+    ]
+    got = {r.concept_id: r.roles for r in D.proposal(D.scored(spark.createDataFrame(rows, DX))).collect()}
+    assert got == {
+        "reason": ["candidate", "principal"], "other": ["candidate", "comorbidity"], "parent": ["candidate"], "cough": ["symptom"], "old": ["history"], "maybe": ["suspected"],
+        "easy": ["comorbidity"], "acute": ["candidate", "principal"], "chronic": ["candidate", "related"],
+    }
