@@ -105,7 +105,7 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 # ---- pass 1: sets and hot shingles
 
-SETS = "doc_id long, n_shingles long, node long, token long, docs long"
+SETS = "doc_id long, n_shingles long, node long, mark long, token long, docs long"
 
 
 def _sets(batches):
@@ -114,12 +114,12 @@ def _sets(batches):
         sizes = np.diff(offsets)
         nodes = [node_of(flat[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "n_shingles", "node", "token", "docs"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), batch.column("mark"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "n_shingles", "node", "mark", "token", "docs"])
         tokens, counts = np.unique(flat, return_counts=True)
         often = counts >= max(8, HOT_SHARE * n)
         if k := int(often.sum()):
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["doc_id", "n_shingles", "node", "token", "docs"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["doc_id", "n_shingles", "node", "mark", "token", "docs"])
 
 
 def hot_shingles(found: DataFrame) -> np.ndarray:
@@ -372,11 +372,15 @@ def block_links(long: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row."""
+    """doc_id, n_shingles, node, mark (hash of the text), component_id, stays for every row.
+
+    stays: the row has its component's smallest doc_id or, where none of them has an id, the
+    smallest mark; rows without words stay.
+    """
     spark = docs.sparkSession
     ship(spark)
     parts = partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     found = stored(texts.mapInArrow(_sets, SETS), "sets")
     hot = hot_shingles(found)
     index = texts.select("text").mapInArrow(_postings(parts, hot), BLOBS).repartitionById(parts, "part").mapInArrow(_frequencies(parts), BLOBS).repartitionById(parts, "part").mapInArrow(_prefixes, PREFIXES)
@@ -396,10 +400,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     known = first.join(over, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
     alone = second.join(first.select("node"), "node", "left_anti").select("node", "label")
     final = known.unionByName(alone)
-    rows = found.where("token is null").select("doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = found.where("token is null").select("doc_id", "n_shingles", "node", "mark").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # stored, so that the join may split a component of many documents
-    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"))
+    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.min("mark").alias("least_mark")), "least")
+    stays = F.when(F.col("least").isNotNull(), F.col("doc_id").eqNullSafe(F.col("least"))).otherwise(F.coalesce(F.col("mark") == F.col("least_mark"), F.lit(True)))
+    return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", "mark", F.coalesce("least", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -407,10 +412,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id, and of rows that
-    repeat that id the first in order of text. Documents without words have no component and stay.
+    """docs with one document of each component: that of the smallest doc_id; rows that repeat
+    that id in the component stay with it. Each row is judged by id and text, so of different
+    texts under one id only the near copies go. A null id comes after all others; of a component
+    without any id one row stays. Documents without words have no component and stay.
     """
     named = join_components(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    gone = named.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_j_doc")).distinct()
+    gone = stored(named.where(~F.col("stays")).select(F.col("doc_id").alias("_j_doc"), F.col("mark").alias("_j_mark")).distinct(), "gone")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_j_row"))
-    return whole.join(gone, F.col("_j_row.doc_id").cast("long") == F.col("_j_doc"), "left_anti").select("_j_row.*")
+    doc, text = F.col("_j_row.doc_id").cast("long"), F.col("_j_row.text")
+    single = doc.isNull() & F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    left = lambda rows: rows.join(gone, doc.eqNullSafe(F.col("_j_doc")) & (F.xxhash64(text) == F.col("_j_mark")), "left_anti")
+    without_id = left(whole.where(single)).groupBy(F.xxhash64(text)).agg(F.first("_j_row").alias("_j_row"))
+    return left(whole.where(~single)).unionByName(without_id.select("_j_row")).select("_j_row.*")

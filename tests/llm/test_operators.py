@@ -202,6 +202,16 @@ def test_one_of_each_component_stays(docs, pairs):
     assert kept == sorted(d for d, _, c in brute.components(pairs) if d == c)
 
 
+def test_near_copies_go_by_text_and_without_ids(spark):
+    words = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    base, clean, lone = words("a"), words("b"), words("c")
+    rows = [(1, base), (2, base + " more"), (2, clean), (None, base), (None, lone), (None, lone), (None, lone + " more"), (None, ""), (None, None), (None, " ")]
+    out = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter((r.doc_id, r.text) for r in out)
+    ends = Counter(x for x in kept.elements() if x[1] in (lone, lone + " more"))
+    assert sum(ends.values()) == 1 and kept - ends == Counter([(1, base), (2, clean), (None, ""), (None, None), (None, " ")])
+
+
 # 5: media
 
 
