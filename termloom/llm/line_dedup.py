@@ -14,7 +14,8 @@ What comes back is no text but, per document with a dropped line, a compressed b
 the lines to keep.
 
 Defined cases: null or empty text is one empty line; rows that repeat a doc_id count as one
-document in the frequency rule and lose their lines alike; equal rows get equal bitmaps;
+document in the frequency rule and lose their lines alike; rows with a null doc_id don't
+count in the frequency rule, come after all others and lose their lines like them; equal rows get equal bitmaps;
 an empty table gives an empty result; extra columns are kept by keep_first and ignored by
 digest.
 """
@@ -37,6 +38,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 LINES = "h1 long, h2 long, down long, mark long, n_lines int, lines binary"
 DECIDED = "state int, h1 long, h2 long, doc_id long, mark long, n_lines int, lines binary"
 DROP, PENDING, SUMMARY = range(3)
+NO_ID = (1 << 63) - 1  # in column down, for a null doc_id: the last of its key
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -57,7 +59,7 @@ def _lines(batches):
             for k, key in enumerate(keys):
                 if long_enough(key):
                     at.setdefault(key, []).append(k)
-            out += ((hashlib.blake2b(key, digest_size=16).digest(), -doc, mark, len(keys), np.array(k, "<u4").tobytes()) for key, k in at.items())
+            out += ((hashlib.blake2b(key, digest_size=16).digest(), NO_ID if doc is None else -doc, mark, len(keys), np.array(k, "<u4").tobytes()) for key, k in at.items())
         if out:
             hashes = np.frombuffer(b"".join(x[0] for x in out), dtype="<i8").reshape(-1, 2)
             down, mark, n, lines = zip(*(x[1:] for x in out), strict=True)
@@ -79,13 +81,16 @@ def _stream(batches):
                     if first:
                         out.append((SUMMARY, *key, top, docs, 0, b""))
                     first = False
-                key, docs, last, top, held = (h1, h2), 0, None, -down, []
-            if down != last:
+                key, docs, last, top, held = (h1, h2), 0, None, None if down == NO_ID else -down, []
+            own = None if down == NO_ID else -down
+            if own is not None and down != last:
                 docs, last = docs + 1, down
             if first:
-                out.append((PENDING, *key, -down, *rest))
+                out.append((PENDING, *key, own, *rest))
                 continue
-            held.append((-down, *rest))
+            if own is None and docs < MIN_DOCS:  # all documents that count have passed
+                continue
+            held.append((own, *rest))
             if docs >= MIN_DOCS:
                 out += ((DROP, *key, *x) for x in held if x[0] != top)
                 held = []
@@ -114,7 +119,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     totals = decided.where(F.col("state") == SUMMARY).groupBy("h1", "h2").agg(F.sum("mark").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= MIN_DOCS)
     columns = ("doc_id", "mark", "n_lines", "lines")
     settled = decided.where(F.col("state") == DROP).select(*columns)
-    late = decided.where(F.col("state") == PENDING).join(F.broadcast(totals), ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper")).select(*columns)
+    late = decided.where(F.col("state") == PENDING).join(F.broadcast(totals), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*columns)
     return settled.unionByName(late)
 
 
@@ -152,7 +157,7 @@ def _with_bitmaps(docs: DataFrame) -> DataFrame:
     """whole (the row as it came), text, n_dropped, keep_bitmap."""
     bitmaps = keep_bitmaps(docs).select(F.col("doc_id").alias("b_doc"), F.col("mark").alias("b_mark"), "n_dropped", "keep_bitmap")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
-    joined = rows.join(bitmaps, (F.col("whole.doc_id").cast("long") == F.col("b_doc")) & (F.xxhash64("whole.text") == F.col("b_mark")), "left")
+    joined = rows.join(bitmaps, F.col("whole.doc_id").cast("long").eqNullSafe(F.col("b_doc")) & (F.xxhash64("whole.text") == F.col("b_mark")), "left")
     return joined.select("whole", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "keep_bitmap")
 
 

@@ -20,7 +20,7 @@ sources.
 
 Defined cases: null text has size 0 and takes 0 words; a null source is a source of its
 own, after all others; rows that repeat a doc_id are separate documents, ordered by a hash
-of their text; an empty table gives no rows; extra columns are ignored by the report and
+of their text, and so are rows with a null one, after all others of their size; an empty table gives no rows; extra columns are ignored by the report and
 kept by the sampled documents.
 """
 
@@ -63,7 +63,7 @@ def offset(source: F.Column, seed: str = SEED) -> F.Column:
 def ranked(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, mark, row: stored, in order of source, size, id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
-    order = (F.col("source").asc_nulls_last(), "size", "doc_id", "mark")
+    order = (F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last(), "mark")
     spread = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return stored(spread.withColumn("row", F.monotonically_increasing_id()), "mix")
 
@@ -95,6 +95,6 @@ def sample(docs: DataFrame) -> DataFrame:
     """
     counted = copies(docs).groupBy("doc_id", "mark", "source").agg(F.sum("n_copies").alias("_m_copies")).where(F.col("_m_copies") > 0)
     counted = counted.select(F.col("doc_id").alias("_m_doc"), F.col("mark").alias("_m_mark"), F.col("source").alias("_m_source"), "_m_copies")
-    one_each = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_m_row")).join(counted, (F.col("_m_row.doc_id").cast("long") == F.col("_m_doc")) & (F.xxhash64("_m_row.text") == F.col("_m_mark")) & F.col("_m_row.source").cast("string").eqNullSafe(F.col("_m_source")))
+    one_each = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_m_row")).join(counted, F.col("_m_row.doc_id").cast("long").eqNullSafe(F.col("_m_doc")) & (F.xxhash64("_m_row.text") == F.col("_m_mark")) & F.col("_m_row.source").cast("string").eqNullSafe(F.col("_m_source")))
     if_repeated = one_each.withColumn("_m_nth", F.row_number().over(Window.partitionBy("_m_doc", "_m_mark", "_m_source").orderBy(F.lit(1)))).where("_m_nth = 1")
     return if_repeated.select("_m_row", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))).alias("_m_copy")).select("_m_row.*")

@@ -13,7 +13,8 @@ files are never read.
 Defined cases: null html is an empty payload, archived like any other; null urls get the
 target urn:page:<id>; rows that repeat a page_id are each archived, and of equal payloads
 with an equal smallest id the row with the smaller url is the response, as is any row equal
-to it; an empty table gives no archives and no rows; extra columns are ignored.
+to it; a null page_id is written as urn:page:null and comes after all others, and of equal
+payloads that all lack an id each is a response, as a revisit could not name one; an empty table gives no archives and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,14 +45,15 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None = None) -> bytes:
+def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None = None) -> bytes:
     """One WARC/1.1 record; a revisit states the full payload's length but doesn't hold it."""
-    target = url or f"urn:page:{page_id}"
+    own = "null" if page_id is None else page_id
+    target = url or f"urn:page:{own}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{own}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", "".join(c for c in target if c not in "\r\n")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -64,13 +66,13 @@ def warc_record(page_id: int, url: str | None, payload: bytes, digest: str, refe
     return head.encode() + block + b"\r\n\r\n"
 
 
-def parse_record(record: bytes) -> tuple[int, int, str, str, int | None]:
+def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None]:
     """RECORDS of one record; a response's length and digest are taken from its payload."""
     head, rest = record.split(b"\r\n\r\n", 1)
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, payload = block.split(b"\r\n\r\n", 1)
-    number = lambda uri: int(uri.strip("<>").rsplit(":", 1)[1])
+    number = lambda uri: None if (x := uri.strip("<>").rsplit(":", 1)[1]) == "null" else int(x)
     digest = fields["WARC-Payload-Digest"].split(":", 1)[1]
     if fields["WARC-Type"] == "response":
         if base32_sha1(payload) != digest:
@@ -153,7 +155,7 @@ def record_types(pages: DataFrame) -> DataFrame:
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     seen = narrow.mapInArrow(_identities, "page_id long, url string, sha1 binary, size long").where(F.col("size") >= MIN_REVISIT_BYTES)
-    return seen.groupBy("sha1").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("f_sha1"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    return seen.groupBy("sha1").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("f_sha1"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
 
 
 def _write(folder: str, dictionary: bytes):

@@ -359,6 +359,26 @@ def test_menu_junk_is_rejected_by_words_alone(spark, data):
     assert len(stays) > 20 and all(r.kept for r in stays)
 
 
+def test_null_ids_are_handled_whole(spark):
+    line = "a line of forty code points or more, shared by many"
+    texts = spark.createDataFrame([(k, f"own {k}\n{line}") for k in range(5)] + [(None, f"none\n{line}"), (None, f"other\n{line}")], "doc_id long, text string")
+    cut = Counter((r.doc_id, r.text) for r in line_dedup.keep_first(texts).collect())
+    assert cut == Counter([(k, f"own {k}") for k in range(4)] + [(4, f"own 4\n{line}"), (None, "none"), (None, "other")])
+    rare = texts.where("doc_id IS NULL OR doc_id < 4")
+    assert Counter((r.doc_id, r.text) for r in line_dedup.keep_first(rare).collect()) == Counter((r.doc_id, r.text) for r in rare.collect())
+
+    mixed = texts.withColumn("source", F.lit("s"))
+    want, got = Counter(), Counter((r.doc_id, r.text) for r in mixing.sample(mixed).collect())
+    marks = {r.mark: r.text for r in mixed.select(F.xxhash64("text").alias("mark"), "text").collect()}
+    for r in mixing.copies(mixed).collect():
+        want[r.doc_id, marks[r.mark]] += r.n_copies
+    assert got == +want and any(d is None for d, _ in got)
+
+    pages = spark.createDataFrame([(None, "u", "<p>same</p>"), (7, "v", "<p>same</p>"), (None, None, "<p>alone</p>"), (None, "x", "<p>pair</p>"), (None, "y", "<p>pair</p>")], "page_id long, url string, html string")
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(pages).collect())
+    assert found == Counter([(None, 11, "revisit", 7), (7, 11, "response", None), (None, 12, "response", None), (None, 11, "response", None), (None, 11, "response", None)])
+
+
 # 9: archives
 
 
