@@ -20,13 +20,15 @@ sources.
 
 Defined cases: null text has size 0 and takes 0 words; a null source is a source of its
 own, after all others; rows that repeat a doc_id are separate documents, ordered by a hash
-of their text, and so are rows with a null one, after all others of their size; an empty table gives no rows; extra columns are ignored by the report and
-kept by the sampled documents.
+of their text (of the whole row where documents are sampled), and so are rows with a null
+one, after all others of their size; a very long text is one row of its size, which may
+take its source up to two texts past the target; an empty table gives no rows; extra columns
+are ignored by the report and kept by the sampled documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, stored
@@ -60,17 +62,24 @@ def offset(source: F.Column, seed: str = SEED) -> F.Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, mark, row: stored, in order of source, size, id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+def row_mark(docs: DataFrame) -> Column:
+    """Hash of all columns; maps, which have no hash of their own, by their JSON form."""
+    hashed = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or kind in ("variant", "interval") else F.col(f"`{c}`")
+    return F.xxhash64(*(hashed(c, kind) for c, kind in docs.dtypes))
+
+
+def ranked(docs: DataFrame, mark: Column) -> DataFrame:
+    """doc_id, source, size, mark, row: stored, in order of source, size, id, mark."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mark.alias("mark"))
     order = (F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last(), "mark")
     spread = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return stored(spread.withColumn("row", F.monotonically_increasing_id()), "mix")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, size, source, source_size, target, n_copies for every document."""
-    rows = ranked(docs)
+def copies(docs: DataFrame, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark, size, source, source_size, target, n_copies for every document. The mark,
+    a hash of the text unless given, settles the order of rows with equal size and id."""
+    rows = ranked(docs, F.xxhash64("text") if mark is None else mark)
     part = F.shiftright("row", 33)
     sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -90,11 +99,17 @@ def digest(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame) -> DataFrame:
     """docs with every row as often as the mix takes it.
 
-    Equal rows of a doc_id may be given different numbers of copies; their sum is dealt out
-    to one of them, so the mix stays whole.
+    Rows are told apart by a hash of all their columns. Rows equal in everything may be given
+    different numbers of copies; their sum goes out under one of them, which is the same mix.
     """
-    counted = copies(docs).groupBy("doc_id", "mark", "source").agg(F.sum("n_copies").alias("_m_copies")).where(F.col("_m_copies") > 0)
-    counted = counted.select(F.col("doc_id").alias("_m_doc"), F.col("mark").alias("_m_mark"), F.col("source").alias("_m_source"), "_m_copies")
-    one_each = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_m_row")).join(counted, F.col("_m_row.doc_id").cast("long").eqNullSafe(F.col("_m_doc")) & (F.xxhash64("_m_row.text") == F.col("_m_mark")) & F.col("_m_row.source").cast("string").eqNullSafe(F.col("_m_source")))
-    if_repeated = one_each.withColumn("_m_nth", F.row_number().over(Window.partitionBy("_m_doc", "_m_mark", "_m_source").orderBy(F.lit(1)))).where("_m_nth = 1")
-    return if_repeated.select("_m_row", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))).alias("_m_copy")).select("_m_row.*")
+    key = ("_m_doc", "_m_mark")
+    counted = copies(docs, row_mark(docs)).groupBy(F.col("doc_id").alias("_m_doc"), F.col("mark").alias("_m_mark")).agg(F.sum("n_copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows"))
+    taken = stored(counted.where("_m_copies > 0"), "taken")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_m_row"), F.col("doc_id").cast("long").alias("_m_own"), row_mark(docs).alias("_m_hash"))
+    met = lambda wanted: whole.join(wanted, F.col("_m_own").eqNullSafe(F.col("_m_doc")) & (F.col("_m_hash") == F.col("_m_mark")))
+    emitted = lambda rows: rows.select("_m_row", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))).alias("_m_copy")).select("_m_row.*")
+    single, repeated = emitted(met(taken.where("_m_rows = 1"))), taken.where("_m_rows > 1")
+    if repeated.isEmpty():
+        return single
+    one = met(repeated).groupBy(*key, "_m_copies").agg(F.any_value("_m_row").alias("_m_row"))
+    return single.unionByName(emitted(one))

@@ -374,8 +374,8 @@ def block_links(long: DataFrame, sets: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node, mark (hash of the text), component_id, stays for every row.
 
-    stays: the row has its component's smallest doc_id or, where none of them has an id, the
-    smallest mark; rows without words stay.
+    stays: the row has its component's first doc_id and mark, in order of id, nulls last, then
+    mark; rows without words stay.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -402,8 +402,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     final = known.unionByName(alone)
     rows = found.where("token is null").select("doc_id", "n_shingles", "node", "mark").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # stored, so that the join may split a component of many documents
-    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.min("mark").alias("least_mark")), "least")
-    stays = F.when(F.col("least").isNotNull(), F.col("doc_id").eqNullSafe(F.col("least"))).otherwise(F.coalesce(F.col("mark") == F.col("least_mark"), F.lit(True)))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), first_row.alias("first")), "least")
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", "node", "mark", F.coalesce("least", "doc_id").alias("component_id"), stays.alias("stays"))
 
 
@@ -412,16 +413,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id; rows that repeat
-    that id in the component stay with it. Each row is judged by id and text, so of different
-    texts under one id only the near copies go. A null id comes after all others; of a component
-    without any id one row stays. Documents without words have no component and stay.
+    """docs with one row of each component: the first in order of doc_id, null ids last, then of
+    a hash of the text, then of a hash of the whole row. Each row is judged by id and text, so of
+    different texts under one id only the near copies go. Rows without words have no component
+    and stay, repeated or not. The rows that repeat both id and text of one that stays are few
+    and meet in a grouped minimum, combined before its shuffle.
     """
     named = join_components(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    gone = stored(named.where(~F.col("stays")).select(F.col("doc_id").alias("_j_doc"), F.col("mark").alias("_j_mark")).distinct(), "gone")
+    keys = named.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_j_doc"), F.col("mark").alias("_j_mark")).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = stored(keys.where("NOT stays OR n > 1"), "judged")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_j_row"))
-    doc, text = F.col("_j_row.doc_id").cast("long"), F.col("_j_row.text")
-    single = doc.isNull() & F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    left = lambda rows: rows.join(gone, doc.eqNullSafe(F.col("_j_doc")) & (F.xxhash64(text) == F.col("_j_mark")), "left_anti")
-    without_id = left(whole.where(single)).groupBy(F.xxhash64(text)).agg(F.first("_j_row").alias("_j_row"))
-    return left(whole.where(~single)).unionByName(without_id.select("_j_row")).select("_j_row.*")
+    same = F.col("_j_row.doc_id").cast("long").eqNullSafe(F.col("_j_doc")) & (F.xxhash64("_j_row.text") == F.col("_j_mark"))
+    single = whole.join(judged.select("_j_doc", "_j_mark"), same, "left_anti")
+    repeated = judged.where("stays").select("_j_doc", "_j_mark")
+    if repeated.isEmpty():
+        return single.select("_j_row.*")
+    one = whole.join(repeated, same).groupBy("_j_doc", "_j_mark").agg(F.min_by("_j_row", F.xxhash64(F.to_json("_j_row"))).alias("_j_row"))
+    return single.unionByName(one.select("_j_row")).select("_j_row.*")
