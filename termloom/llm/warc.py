@@ -1,20 +1,28 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of the pages' records and stands, itself
-compressed, in a skippable frame at the head of every archive; each record is a Zstandard
-frame of its own, so a reader can start at any record's offset. Pages with equal payloads
-are archived once, as a response with the smallest page_id; the others become revisit
-records that refer to it.
-
-Archives go to the shared folder under a name of their task attempt, and a stored manifest
-lists those of the attempts that Spark committed, so that a lost executor's half-written
-files are never read.
+A dictionary is trained on a bounded sample of the pages' records, spread over the whole
+table by a hash, and stands, itself compressed, in a skippable frame at the head of every
+archive. Where the sample is too small to train on, it is the dictionary itself, as raw
+content. Each record is a Zstandard frame of its own, so a reader can start at any record's
+offset. Pages with equal payloads are archived once, as a response with the smallest page_id;
+the others become revisit records that refer to it.
+
+What a page is gets settled on ids and digests alone. Pages then meet their verdict by their
+own id, not by their payload's digest, so a payload that very many pages share never gathers
+in one task, and revisits drop their payload before they are written.
+
+Archives go to the shared folder under a name of their task attempt. The stored index has a
+row for each record of the attempts that Spark committed (page, archive, offset, length), so
+that a lost executor's half-written files are never read, one page is read alone, and large
+archives are read in ranges of bounded size.
 
 Defined cases: null html is an empty payload, archived like any other; null urls get the
 target urn:page:<id>; rows that repeat a page_id are each archived, and of equal payloads
 with an equal smallest id the row with the smaller url is the response, as is any row equal
 to it; a null page_id is written as urn:page:null and comes after all others, and of equal
-payloads that all lack an id each is a response, as a revisit could not name one; an empty table gives no archives and no rows; extra columns are ignored.
+payloads that all lack an id each is a response, as a revisit could not name one; a very long
+html is one record in memory at a time; an empty table gives no archives and no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +45,11 @@ DICTIONARY_BYTES, LEVEL = 64 << 10, 3
 #: The dictionary's sample: so many records at most, each cut to so many bytes.
 SAMPLE_RECORDS, SAMPLE_BYTES = 400, 16 << 10
 MIN_REVISIT_BYTES = 0
+#: Bytes of an archive that one read takes, or one record.
+RANGE_BYTES = 8 << 20
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "page_id long, name string, offset long, length long"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -83,46 +94,45 @@ def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
-    """Empty if there is too little to train on; the archives then have no leading frame."""
+    """A trained dictionary, or the samples themselves where there is too little to train on."""
     import zstandard
 
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
-        return b""
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=200, d=8, steps=1).as_bytes()
-    except zstandard.ZstdError:  # the samples share nothing
-        return b""
+        return zstandard.train_dictionary(max(256, min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)), samples, k=200, d=8, steps=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def write_archive(stream, records, dictionary: bytes) -> list[int]:
-    """Leading dictionary frame, then a frame for each record; returns their offsets."""
+def write_archive(stream, records, dictionary: bytes):
+    """Leading dictionary frame, then a frame for each record; yields offset and length of each."""
     import zstandard
 
-    plain = zstandard.ZstdCompressor(level=LEVEL)
-    at, offsets = 0, []
-    if dictionary:
-        packed = plain.compress(dictionary)
-        at += stream.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-    own = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else plain
+    packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
+    at = stream.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+    own = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary))
     for record in records:
-        offsets.append(at)
-        at += stream.write(own.compress(record))
-    return offsets
+        length = stream.write(own.compress(record))
+        yield at, length
+        at += length
+
+
+def read_dictionary(stream):
+    """The dictionary at the head of an archive, which stands in its first frame."""
+    import zstandard
 
+    magic, size = struct.unpack("<II", stream.read(8))
+    if magic != DICTIONARY_MAGIC:
+        raise ValueError("the archive doesn't begin with a dictionary")
+    return zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(stream.read(size)))
 
-def read_archive(data: bytes):
-    """Records of an archive, each frame decompressed by itself."""
+
+def read_records(data: bytes, dictionary):
+    """Records of a range of an archive that begins and ends with a frame."""
     import zstandard
 
-    at, dictionary = 0, None
-    if data[:4] == struct.pack("<I", DICTIONARY_MAGIC):
-        size = struct.unpack_from("<I", data, 4)[0]
-        packed = data[8 : 8 + size]
-        raw = zstandard.ZstdDecompressor().decompress(packed) if packed[:4] == FRAME_MAGIC else packed
-        dictionary, at = zstandard.ZstdCompressionDict(raw), 8 + size
-    view = memoryview(data)
+    at, view = 0, memoryview(data)
     while at < len(data):
-        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
+        one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
         out, begin = [], at
         while not one.eof:
             step = view[at : at + (1 << 16)]
@@ -148,14 +158,23 @@ def _identities(batches):
         yield pa.RecordBatch.from_arrays([page, url, pa.array([hashlib.sha1(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], names=["page_id", "url", "sha1", "size"])
 
 
-def record_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, sha1, first_id, first_url of each distinct row: what it is or refers to.
+def page_ids(pages: DataFrame) -> DataFrame:
+    """page_id, url, sha1, size of every page, stored: all that verdicts need."""
+    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    return stored(narrow.mapInArrow(_identities, "page_id long, url string, sha1 binary, size long"), "page-ids")
+
+
+def revisits(ids: DataFrame) -> DataFrame:
+    """page_id, url, sha1, refers_to of the pages that repeat an earlier page's payload, stored.
 
-    Only digests are shuffled; equal payloads meet as one partial minimum from each task.
+    Equal payloads meet as one partial minimum from each task; the minima are stored, so that
+    the join back may split a payload that very many pages share.
     """
-    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    seen = narrow.mapInArrow(_identities, "page_id long, url string, sha1 binary, size long").where(F.col("size") >= MIN_REVISIT_BYTES)
-    return seen.groupBy("sha1").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("f_sha1"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url"))
+    shared = ids.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("sha1").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first.page_id IS NOT NULL")
+    firsts = stored(shared.select("sha1", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "firsts")
+    later = ~(F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")))
+    return stored(ids.join(firsts, "sha1").where(later).select("page_id", "url", "sha1", F.col("first_id").alias("refers_to")).distinct(), "revisits")
 
 
 def _write(folder: str, dictionary: bytes):
@@ -166,56 +185,65 @@ def _write(folder: str, dictionary: bytes):
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
         fs, base = open_folder(folder)
         fs.create_dir(base, recursive=True)
-        done = 0
+        pages: list[int | None] = []
 
         def records():
-            nonlocal done
-            for batch in slices(batches):
+            for batch in slices(batches, 4 << 20):
                 for page, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    done += 1
+                    pages.append(page)
                     yield warc_record(page, url, (html or "").encode(), base64.b32encode(digest).decode(), refers)
 
+        def rows(places: list[tuple[int, int]]) -> pa.RecordBatch:
+            done, pages[:] = pages[: len(places)], pages[len(places) :]
+            offsets, lengths = zip(*places, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.array([name] * len(done)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["page_id", "name", "offset", "length"])
+
+        written, places = False, []
         with fs.open_output_stream(f"{base}/{name}", compression=None) as stream:
-            write_archive(stream, records(), dictionary)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([done], pa.int64())], names=["name", "records"])
-        else:
+            for place in write_archive(stream, records(), dictionary):
+                written = True
+                places.append(place)
+                if len(places) == 10_000:
+                    yield rows(places)
+                    places = []
+        if places:
+            yield rows(places)
+        if not written:
             fs.delete_file(f"{base}/{name}")
 
     return run
 
 
+def sample_records(pages: DataFrame) -> list[bytes]:
+    """At most SAMPLE_RECORDS records, those of the least hashes of id and url over all pages."""
+    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    rows = cut.orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").limit(SAMPLE_RECORDS).collect()
+    return [warc_record(r.page_id, r.url, (r.html or "").encode(), "A" * 32, None) for r in rows]
+
+
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives; returns the stored manifest: name, records."""
+    """Writes the archives; returns the stored index: INDEX, a row for each record."""
     spark = pages.sparkSession
     ship(spark)
+    dictionary = train_dictionary(sample_records(pages))
+    again = revisits(page_ids(pages)).select(F.col("page_id").alias("r_page"), F.col("url").alias("r_url"), F.col("sha1").alias("r_sha1"), "refers_to")
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    sample = narrow.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS).collect()
-    dictionary = train_dictionary([warc_record(r.page_id or 0, r.url, (r.html or "").encode(), "A" * 32, None) for r in sample])
-    firsts = record_types(pages)
     hashed = narrow.withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
-    joined = hashed.join(firsts, F.col("sha1") == F.col("f_sha1"), "left")
-    is_first = F.struct("page_id", "url").eqNullSafe(F.struct(F.col("first_id").alias("page_id"), F.col("first_url").alias("url")))
-    typed = joined.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & (~is_first), F.col("first_id")))
-    rows = typed.select("page_id", "url", "html", "sha1", "refers_to")
-    return stored(rows.mapInArrow(_write(folder, dictionary), "name string, records long"), "warc-manifest")
+    typed = hashed.join(again, (F.col("sha1") == F.col("r_sha1")) & F.col("page_id").eqNullSafe(F.col("r_page")) & F.col("url").eqNullSafe(F.col("r_url")), "left")
+    return stored(typed.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(_write(folder, dictionary), INDEX), "warc-index")
 
 
 def _read(folder: str):
     def run(batches):
         fs, base = open_folder(folder)
+        known: tuple[str, object] = ("", None)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as f:
-                    data = f.read()
-                out = []
-                for record in read_archive(data):
-                    out.append(parse_record(record))
-                    if len(out) == 10_000:
-                        yield _records(out)
-                        out = []
-                if out:
-                    yield _records(out)
+                    if known[0] != name:
+                        known = name, read_dictionary(f)
+                    data = f.read_at(end - begin, begin)
+                yield _records([parse_record(x) for x in read_records(data, known[1])])
 
     return run
 
@@ -225,10 +253,18 @@ def _records(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
-def read_warc(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """RECORDS of all archives that the manifest lists, several archives at a time."""
+def read_warc(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """RECORDS of all archives that the index lists, in ranges of about RANGE_BYTES."""
+    ship(spark)
+    cut = index.groupBy("name", F.floor(F.col("offset") / RANGE_BYTES).alias("k")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    return cut.select("name", "begin", "end").repartition(partitions(spark)).mapInArrow(_read(folder), RECORDS)
+
+
+def read_pages(spark: SparkSession, folder: str, index: DataFrame, page_ids: list[int]) -> DataFrame:
+    """RECORDS of some pages, each read alone from its place."""
     ship(spark)
-    return manifest.select("name").repartition(partitions(spark)).mapInArrow(_read(folder), RECORDS)
+    wanted = index.where(F.col("page_id").isin(*page_ids))
+    return wanted.select("name", F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end")).mapInArrow(_read(folder), RECORDS)
 
 
 def digest(pages: DataFrame) -> DataFrame:
