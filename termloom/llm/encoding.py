@@ -5,7 +5,8 @@ space, so a text's ids are its words' ids in order. Words repeat far more often
 each worker keeps the ids of the words it has met, in a store of bounded size, and only new
 words reach the library. A word of ASCII and Latin letters is cut by the file's own pattern
 and its pieces go to the library's model; any other word, and any text that could hold a
-special token, goes through the library's whole encoder.
+special token, goes through the library's whole encoder. So does every text where the
+vocabulary file has other rules than those that this was read off.
 """
 
 from __future__ import annotations
@@ -55,10 +56,11 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        assert kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"], "the word rule was read off this file's normalizer and pre-tokenizer"
-        self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and "Regex" in steps[0]["pattern"]
+        if self.by_word:
+            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         # letters here are composed already and have one-letter lower cases; U+0130 has not
         self.simple = regex.compile("[\x21-\x7e¡-¬®-įı-ňŊ-ž]+")
         self.letters = byte_letters()
@@ -84,10 +86,10 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         """A word's ids, packed."""
-        plain = word.isascii()
+        plain = self.by_word and word.isascii()
         if plain and word.isalpha():  # one piece, as most words are
             return self._piece(word.lower())
-        if (plain or self.simple.fullmatch(word)) and "<|" not in word and word.isprintable():
+        if self.by_word and (plain or self.simple.fullmatch(word)) and "<|" not in word and word.isprintable():
             return b"".join([self._piece(p) for p in self.pattern.findall(word.lower())])
         return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
@@ -117,8 +119,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of many texts (null: empty), each with end_id appended if given."""
         texts = texts.fill_null("")
-        odd = np.zeros(len(texts), dtype=bool)
-        for special in self.specials:  # a special token may stand in or across words
+        odd = np.full(len(texts), not self.by_word)
+        for special in self.specials if self.by_word else ():  # a special token may stand in or across words
             odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
         split = pc.ascii_split_whitespace(plain)

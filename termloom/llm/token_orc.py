@@ -6,13 +6,15 @@ carries row indexes and a Bloom filter on doc_id. Files are in ascending order o
 so a reader prunes files, stripes and row groups by their statistics and stripes are read
 in parallel.
 
-Each row also has its offset within its file (before) and the file's number (part); a
-document's place among all ids is its file's base plus that, and the bases are prefix sums
-over as many rows as there are files.
-
-Defined cases: null or empty text is the end id alone; rows that repeat a doc_id stand
-next to each other, ordered by text; an empty table gives no rows; extra columns are
-ignored.
+Each row also has its offset within its file (before) and the file's number (part). A
+manifest beside the files holds each file's first and last doc_id, its number of ids and its
+base, the number of ids in all files before it: as many rows as there are files. A document's
+place among all ids is its file's base plus its offset, so looking up a document reads the
+manifest and the row groups that its metadata can't rule out, and nothing else.
+
+Defined cases: null or empty text is the end id alone; a very long text is encoded whole and
+is one row, its ids one list; rows that repeat a doc_id stand next to each other, ordered by
+text, a null doc_id comes first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,22 +47,30 @@ def encode_partition(vocabulary: str | None):
     return run
 
 
+def manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}.manifest"
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """The ids of every document's whole text, end id appended, as ORC files under path."""
+    """The ids of every document's whole text, end id appended, as ORC files under path, and
+    their manifest beside it."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(encode_partition(vocabulary), SCHEMA).withColumn("part", F.spark_partition_id())
     encoded.write.options(**ORC).orc(path)
+    files = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("n_tokens"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(manifest_path(path))
 
 
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids. A condition on doc_id reaches the files' metadata."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    bases = rows.groupBy("part").agg(F.sum("n_tokens").alias("size")).withColumn("base", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     wanted = rows if where is None else rows.where(where)
-    joined = wanted.join(F.broadcast(bases.select("part", F.coalesce("base", F.lit(0)).alias("base"))), "part")
+    bases = spark.read.schema("part int, base long").parquet(manifest_path(path))
+    joined = wanted.join(F.broadcast(bases), "part")
     return joined.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
