@@ -7,11 +7,15 @@ one opened. The windows still open at a partition's end, as many at most as may
 are merged in further rounds of the same packing over whole windows, each with a
 MERGE_WAYS-th of the partitions.
 
-Lengths decide everything, so ids never move: a piece's checksum is taken where it is cut.
-
-Defined cases: null or empty text is the end id alone; each of several rows of a doc_id is
-packed; an empty table gives no rows; extra columns are ignored. A sequence whose length is
-a power of two gets no padding.
+What is stored is sequences: a row each, with its ids as little-endian unsigned 32-bit
+integers and its pieces in order. A window is written where it is filled; only windows that
+are still open at a partition's end move, ids and all. A piece's checksum is taken from the
+stored ids.
+
+Defined cases: null or empty text is the end id alone; a very long text fills whole windows
+and leaves one piece; each of several rows of a doc_id, null or not, is packed; equal windows
+fill in order of their numbers; an empty table gives no rows; extra columns are ignored. A
+sequence whose length is a power of two gets no padding.
 """
 
 from __future__ import annotations
@@ -29,8 +33,11 @@ from .shared import ship, slices, stored
 
 WINDOW, OPEN_WINDOWS, MERGE_WAYS = 4096, 64, 32
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, offset long, open boolean"
-PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
+SEQUENCES = "seq long, open boolean, ids binary, pieces array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECE = pa.struct([(x, pa.int64()) for x in ("doc_id", "start", "length", "doc_tokens", "offset")])
+#: Bytes of ids in one batch of windows.
+OUT_BYTES = 4 << 20
 
 
 class Packer:
@@ -67,77 +74,137 @@ class Packer:
             yield self._take(len(self.fills) - 1)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=PIECE_NAMES)
+class _Out:
+    """Emitted windows on their way to a batch. An item is a list of (piece, ids)."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, window: tuple[int, list], is_open: bool) -> None:
+        pieces, ids, at = [], [], 0
+        for _, _, item in window[1]:
+            for piece, own in item:
+                pieces.append({**piece, "offset": at})
+                ids.append(own)
+                at += piece["length"]
+        self.rows.append((window[0], is_open, b"".join(ids), pieces))
+        self.size += 4 * at
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.list_(_PIECE)]
+        columns = [pa.array(list(c), t) for c, t in zip(zip(*self.rows, strict=True), kinds, strict=True)]
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays(columns, names=["seq", "open", "ids", "pieces"])
+
+
+def _packed(items, window: int, most: int):
+    """Batches of windows from (length, item) pairs."""
+    packer, out = Packer(window, most), _Out()
+    for length, item in items:
+        if full := packer.add(length, item):
+            out.add(full, False)
+            if out.size >= OUT_BYTES:
+                yield out.batch()
+    for left in packer.rest():
+        out.add(left, True)
+        if out.size >= OUT_BYTES:
+            yield out.batch()
+    if out.rows:
+        yield out.batch()
 
 
 def pack_partition(vocabulary: str | None, window: int = WINDOW, most: int = OPEN_WINDOWS):
     def run(batches):
-        own, packer = encoder(vocabulary), Packer(window, most)
-        for batch in slices(batches, BATCH_BYTES):
-            ids, offsets = own.encode(batch.column("text"))
-            out: list[tuple] = []
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                for at in range(a, b, window):
-                    end = min(b, at + window)
-                    piece = (doc, at - a, end - at, zlib.crc32(ids[at:end].astype("<u4")), b - a)
-                    if full := packer.add(end - at, piece):
-                        out += ((*p, full[0], offset, False) for offset, _, p in full[1])
-            if out:
-                yield _rows(out)
-        if left := [(*p, name, offset, True) for name, held in packer.rest() for offset, _, p in held]:
-            yield _rows(left)
+        own = encoder(vocabulary)
+
+        def items():
+            for batch in slices(batches, BATCH_BYTES):
+                ids, offsets = own.encode(batch.column("text"))
+                ids = ids.astype("<u4", copy=False)
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    for at in range(a, b, window):
+                        end = min(b, at + window)
+                        yield end - at, [({"doc_id": doc, "start": at - a, "length": end - at, "doc_tokens": b - a}, ids[at:end].tobytes())]
+
+        yield from _packed(items(), window, most)
 
     return run
 
 
 def merge_partition(window: int = WINDOW, most: int = OPEN_WINDOWS):
-    """Packs whole open windows; their pieces keep their order and move by the new offset."""
+    """Packs whole open windows; their pieces keep their order."""
 
     def run(batches):
-        packer, out = Packer(window, most), []
-        for batch in batches:
-            for items in batch.column("pieces").to_pylist():
-                items.sort(key=lambda x: x["offset"])
-                if full := packer.add(sum(x["length"] for x in items), items):
-                    out += _unfolded(full, False)
-        for held in packer.rest():
-            out += _unfolded(held, True)
-        if out:
-            yield _rows(out)
-
-    return run
+        def items():
+            for batch in batches:
+                for raw, pieces in zip(batch.column("ids").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                    cut = lambda p, raw=raw: raw[4 * p["offset"] : 4 * (p["offset"] + p["length"])]
+                    yield len(raw) // 4, [(p, cut(p)) for p in pieces]
 
+        yield from _packed(items(), window, most)
 
-def _unfolded(window: tuple[int, list], is_open: bool):
-    for base, _, items in window[1]:
-        for x in items:
-            yield (x["doc_id"], x["start"], x["length"], x["ids_crc32"], x["doc_tokens"], window[0], base + x["offset"], is_open)
+    return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_sequences(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """sequence_id, ids (binary), pieces of every sequence, from stored files."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbered = lambda df, k: stored(df.withColumn("part", F.spark_partition_id()), f"packing-{k}")
-    pieces, done, level = numbered(rows.mapInArrow(pack_partition(vocabulary), PIECES), 0), [], 0
-    parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    numbered = lambda df, k: stored(df.withColumn("part", F.spark_partition_id()), f"packing-{k}", compression="zstd")
+    made, done, level = numbered(rows.mapInArrow(pack_partition(vocabulary), SEQUENCES), 0), [], 0
+    parts = (made.agg(F.max("part")).first()[0] or 0) + 1
     while True:
-        named = pieces.withColumn("sequence_id", F.lit(level).cast("long") * F.lit(1 << 58) + F.col("part").cast("long") * F.lit(1 << 34) + F.col("seq"))
+        named = made.withColumn("sequence_id", F.lit(level).cast("long") * F.lit(1 << 58) + F.col("part").cast("long") * F.lit(1 << 34) + F.col("seq"))
         if parts == 1 and level:
             done.append(named)
             break
         done.append(named.where(~F.col("open")))
         parts, level = -(-parts // MERGE_WAYS), level + 1
-        piece = F.struct("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset")
-        windows = named.where("open").groupBy("sequence_id").agg(F.collect_list(piece).alias("pieces"))
-        pieces = numbered(windows.repartition(parts).mapInArrow(merge_partition(), PIECES), level)
+        made = numbered(named.where("open").select("ids", "pieces").repartition(parts).mapInArrow(merge_partition(), SEQUENCES), level)
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
-    return whole.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return whole.select("sequence_id", "ids", "pieces")
+
+
+def _pieces(batches):
+    """A row per piece, its checksum taken from the ids that were read."""
+    for batch in batches:
+        out = []
+        for name, raw, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            view = memoryview(raw)
+            out += ((p["doc_id"], p["start"], p["length"], zlib.crc32(view[4 * p["offset"] : 4 * (p["offset"] + p["length"])]), p["doc_tokens"], name, p["offset"]) for p in pieces)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    return pack_sequences(docs, vocabulary).mapInArrow(_pieces, PIECES)
+
+
+def padded_length(n: int, window: int = WINDOW) -> int:
+    """What a sequence of n ids is padded to."""
+    return n if n & (n - 1) == 0 else window
+
+
+def _padded(pad_id: int):
+    def run(batches):
+        for batch in batches:
+            lists = []
+            for raw in batch.column("ids").to_pylist():
+                own = np.frombuffer(raw, "<u4").astype(np.int64)
+                lists.append(np.concatenate([own, np.full(padded_length(len(own)) - len(own), pad_id, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(lists, pa.list_(pa.int64()))], names=["sequence_id", "ids"])
+
+    return run
+
+
+def training_sequences(sequences: DataFrame, pad_id: int) -> DataFrame:
+    """sequence_id, ids: what a trainer reads, padded to WINDOW except at a power of two."""
+    return sequences.select("sequence_id", "ids").mapInArrow(_padded(pad_id), "sequence_id long, ids array<long>")
 
 
 digest = pack
