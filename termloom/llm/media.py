@@ -2,21 +2,24 @@
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a
 blob. Each hit is confirmed by its format's validator, which walks the structure and gives
-the true length, so magic bytes by chance are dropped. The format at offset 0 corrects a
-declared type; confirmed formats further in are embedded media, which carve() cuts out.
+the true start and end, so magic bytes by chance are dropped. The format at offset 0 corrects
+a declared type; confirmed formats further in are embedded media, which carve() cuts out.
 
 For text the payload is its UTF-8 form, zero-padded to a positive multiple of BLOCK, stored
-losslessly as 8-bit mono PCM in a RIFF/WAVE file under a wrong declared type, as untyped
-columns come; features are computed from what sniffing and carving read back.
+losslessly as 8-bit mono PCM in a RIFF/WAVE file under the wrong type text/plain, that of the
+column it comes from; features are computed from what sniffing and carving read back.
 
-Defined cases: null text is the empty payload, 64 zero bytes; equal texts give equal
-values; each of several rows of a doc_id gets its row; an empty table gives no rows; extra
+Defined cases: null text is the empty payload, 64 zero bytes; equal texts give equal values;
+each of several rows of a doc_id gets its row; a very long text is one row, held a few times
+over in memory while it is its turn, and as a Spark value is under 2 GiB, which RIFF's 32-bit
+sizes hold; spans that start together come longest first; an empty table gives no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -30,32 +33,177 @@ from .shared import scratch, ship, slices
 
 BLOCK, SAMPLE_RATE = 64, 8000
 
-# Magic bytes, their distance from the start of the file, media type.
+# Magic bytes and the media types whose validator looks at them.
 SIGNATURES = [
-    (b"RIFF", 0, "audio/wav"),
-    (b"\x89PNG\r\n\x1a\n", 0, "image/png"),
-    (b"GIF87a", 0, "image/gif"),
-    (b"GIF89a", 0, "image/gif"),
-    (b"\xff\xd8\xff", 0, "image/jpeg"),
-    (b"BM", 0, "image/bmp"),
-    (b"fLaC", 0, "audio/flac"),
-    (b"\x1f\x8b\x08", 0, "application/gzip"),
+    (b"RIFF", "audio/wav"),
+    (b"RIFF", "image/webp"),
+    (b"\x89PNG\r\n\x1a\n", "image/png"),
+    (b"GIF87a", "image/gif"),
+    (b"GIF89a", "image/gif"),
+    (b"\xff\xd8\xff", "image/jpeg"),
+    (b"BM", "image/bmp"),
+    (b"II*\0", "image/tiff"),
+    (b"MM\0*", "image/tiff"),
+    (b"fLaC", "audio/flac"),
+    (b"ID3", "audio/mpeg"),
+    (b"OggS", "application/ogg"),
+    (b"ftyp", "video/mp4"),
+    (b"%PDF-", "application/pdf"),
+    (b"PK\x05\x06", "application/zip"),
+    (b"\x1f\x8b\x08", "application/gzip"),
 ]
+DECLARED = "text/plain"
+#: Bytes of a compressed member that are inflated at a time.
+INFLATE_BYTES = 1 << 20
 
 
-def wav_length(data: bytes, at: int) -> int:
-    """Length of a RIFF/WAVE file whose chunks fill it, with fmt before data; else 0."""
-    if data[at + 8 : at + 12] != b"WAVE":
-        return 0
+def riff_chunks(data: bytes, at: int, form: bytes) -> tuple[int, list[bytes]]:
+    """Length of a RIFF file of this form whose chunks fill it, and their names; else 0."""
+    if data[at + 8 : at + 12] != form:
+        return 0, []
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data):
-        return 0
+        return 0, []
     k, seen = at + 12, []
     while k + 8 <= end:
         name, size = struct.unpack_from("<4sI", data, k)
         seen.append(name)
         k += 8 + size + (size & 1)
-    return end - at if k == end and b"fmt " in seen and b"data" in seen[seen.index(b"fmt ") :] else 0
+    return (end - at, seen) if k == end else (0, [])
+
+
+def wav_length(data: bytes, at: int) -> int:
+    """RIFF/WAVE with fmt before data."""
+    length, seen = riff_chunks(data, at, b"WAVE")
+    return length if b"fmt " in seen and b"data" in seen[seen.index(b"fmt ") :] else 0
+
+
+def webp_length(data: bytes, at: int) -> int:
+    """RIFF/WEBP that begins with one of its three image chunks."""
+    length, seen = riff_chunks(data, at, b"WEBP")
+    return length if seen and seen[0] in (b"VP8 ", b"VP8L", b"VP8X") else 0
+
+
+def tiff_length(data: bytes, at: int) -> int:
+    """The chain of directories; reaches to the end of the last value, strip or tile."""
+    order = "<" if data[at : at + 2] == b"II" else ">"
+    sizes = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)  # of the field types
+    place, seen, end = struct.unpack_from(f"{order}I", data, at + 4)[0], set(), 8
+    while place:
+        if place in seen or place < 8:
+            return 0
+        seen.add(place)
+        count = struct.unpack_from(f"{order}H", data, at + place)[0]
+        held: dict[int, tuple[int, ...]] = {}
+        for k in range(count):
+            entry = at + place + 2 + 12 * k
+            tag, kind, n = struct.unpack_from(f"{order}HHI", data, entry)
+            if not 0 < kind < len(sizes):
+                return 0
+            value = entry + 8 if n * sizes[kind] <= 4 else at + struct.unpack_from(f"{order}I", data, entry + 8)[0]
+            if value + n * sizes[kind] > len(data):
+                return 0
+            end = max(end, value + n * sizes[kind] - at)
+            if tag in (273, 279, 324, 325) and kind in (3, 4):  # offsets and sizes of strips, of tiles
+                held[tag] = struct.unpack_from(f"{order}{n}{'H' if kind == 3 else 'I'}", data, value)
+        for offsets, lengths in ((273, 279), (324, 325)):
+            end = max([end, *(x + y for x, y in zip(held.get(offsets, ()), held.get(lengths, ())))])
+        end = max(end, place + 6 + 12 * count)
+        place = struct.unpack_from(f"{order}I", data, at + place + 2 + 12 * count)[0]
+    return end if seen and at + end <= len(data) else 0
+
+
+# Kilobits a second of MPEG 1 layer III by index, samples a second by index.
+MPEG_RATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+MPEG_SAMPLES = (44100, 48000, 32000)
+
+
+def mp3_length(data: bytes, at: int) -> int:
+    """An ID3v2 tag and two MPEG 1 layer III frames or more after it, up to the last whole one."""
+    if data[at + 3] > 4 or any(x & 0x80 for x in data[at + 6 : at + 10]):
+        return 0
+    k, frames = at + 10 + sum((x & 0x7F) << s for x, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True)), 0
+    while k + 4 <= len(data) and data[k] == 0xFF and data[k + 1] & 0xFE == 0xFA:
+        rate, sample = data[k + 2] >> 4, data[k + 2] >> 2 & 3
+        if not 0 < rate < 15 or sample == 3:
+            break
+        size = 144_000 * MPEG_RATES[rate] // MPEG_SAMPLES[sample] + (data[k + 2] >> 1 & 1)
+        if k + size > len(data):
+            break
+        k, frames = k + size, frames + 1
+    return k - at if frames > 1 else 0
+
+
+_REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+
+
+def ogg_checksum(page: bytes) -> int:
+    """CRC-32 with the highest bit first, nothing before or after it: zlib's, on reversed bits."""
+    low = zlib.crc32(page.translate(_REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF
+    return int(f"{low:032b}"[::-1], 2)
+
+
+def ogg_length(data: bytes, at: int) -> int:
+    """Pages of one stream from its first to its last, numbers in order and every CRC right."""
+    k, number = at, 0
+    while data[k : k + 4] == b"OggS" and k + 27 <= len(data):
+        flags, serial, place, crc, segments = data[k + 5], *struct.unpack_from("<IIIB", data, k + 14)
+        if k == at:
+            stream = serial
+        head = 27 + segments
+        size = head + sum(data[k + 27 : k + head])
+        page = data[k : k + size]
+        if data[k + 4] or (k == at) != bool(flags & 2) or serial != stream or place != number or len(page) < size or ogg_checksum(page[:22] + bytes(4) + page[26:]) != crc:
+            return 0
+        k, number = k + size, number + 1
+        if flags & 4:
+            return k - at
+    return 0
+
+
+def mp4_length(data: bytes, at: int) -> int:
+    """Boxes from ftyp on, as long as they are whole; one of them describes the media."""
+    k, seen = at, set()
+    while k + 8 <= len(data):
+        size, name = struct.unpack_from(">I4s", data, k)
+        if size == 1 and k + 16 <= len(data):
+            size = struct.unpack_from(">Q", data, k + 8)[0]
+        if size < 8 or k + size > len(data) or not name.isalnum():
+            break
+        seen.add(name)
+        k += size
+    return k - at if b"moov" in seen or b"moof" in seen else 0
+
+
+_PDF_END = re.compile(rb"startxref[\r\n ]+(\d{1,10})[\r\n ]+%%EOF(?:\r\n|\r|\n)?")
+
+
+def pdf_length(data: bytes, at: int) -> int:
+    """Up to the last end mark before another document, with the table it refers to inside."""
+    if not data[at + 5 : at + 6].isdigit():
+        return 0
+    following = data.find(b"%PDF-", at + 5)
+    last = None
+    for last in _PDF_END.finditer(data, at, following if following >= 0 else len(data)):
+        pass
+    if last is None:
+        return 0
+    table = at + int(last[1])
+    return last.end() - at if table < last.start() and (data.startswith(b"xref", table) or data[table : table + 1].isdigit()) else 0
+
+
+def zip_span(data: bytes, at: int) -> tuple[int, int]:
+    """From the end record back over the directory to the first entry; the entries are counted."""
+    count, size, offset, comment = struct.unpack_from("<HIIH", data, at + 10)
+    k, start = at - size, at - size - offset
+    end = at + 22 + comment
+    if start < 0 or end > len(data) or (count and data[start : start + 4] != b"PK\x03\x04"):
+        return 0, 0
+    for _ in range(count):
+        if data[k : k + 4] != b"PK\x01\x02":
+            return 0, 0
+        k += 46 + sum(struct.unpack_from("<HHH", data, k + 28))
+    return (start, end) if k == at else (0, 0)
 
 
 def png_length(data: bytes, at: int) -> int:
@@ -134,41 +282,69 @@ def flac_length(data: bytes, at: int) -> int:
 
 
 def gzip_length(data: bytes, at: int) -> int:
-    """One member, inflated to its end; its CRC is checked by zlib."""
-    inflate = zlib.decompressobj(31)
+    """One member, inflated to its end piece by piece, nothing of it kept; zlib checks its CRC."""
+    inflate, fed = zlib.decompressobj(31), at
     try:
-        inflate.decompress(data[at:])
+        while not inflate.eof:
+            rest = inflate.unconsumed_tail
+            if not rest:
+                rest = data[fed : fed + INFLATE_BYTES]
+                fed += len(rest)
+                if not rest:
+                    return 0
+            inflate.decompress(rest, INFLATE_BYTES)
     except zlib.error:
         return 0
-    return len(data) - at - len(inflate.unused_data) if inflate.eof else 0
+    return fed - len(inflate.unused_data) - at
+
+
+def _from(length):
+    """A validator of what starts with its magic bytes, as one that gives start and end."""
+
+    def span(data: bytes, at: int) -> tuple[int, int]:
+        n = length(data, at)
+        return at, at + n
+
+    return span
+
+
+def mp4_span(data: bytes, at: int) -> tuple[int, int]:
+    return (at - 4, at - 4 + mp4_length(data, at - 4)) if at >= 4 else (0, 0)
 
 
-VALIDATORS = {"audio/wav": wav_length, "image/png": png_length, "image/gif": gif_length, "image/jpeg": jpeg_length, "image/bmp": bmp_length, "audio/flac": flac_length, "application/gzip": gzip_length}
+VALIDATORS = {
+    "audio/wav": _from(wav_length), "image/webp": _from(webp_length), "image/png": _from(png_length), "image/gif": _from(gif_length),
+    "image/jpeg": _from(jpeg_length), "image/bmp": _from(bmp_length), "image/tiff": _from(tiff_length), "audio/flac": _from(flac_length),
+    "audio/mpeg": _from(mp3_length), "application/ogg": _from(ogg_length), "video/mp4": mp4_span, "application/pdf": _from(pdf_length),
+    "application/zip": zip_span, "application/gzip": _from(gzip_length),
+}
 
 
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for magic, back, kind in SIGNATURES:
-        found.add_word(magic.decode("latin-1"), (len(magic), back, kind))
+    found, kinds = ahocorasick.Automaton(), {}
+    for magic, kind in SIGNATURES:
+        kinds.setdefault(magic, []).append(kind)
+    for magic, own in kinds.items():
+        found.add_word(magic.decode("latin-1"), (len(magic), own))
     found.make_automaton()
     return found
 
 
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of every confirmed format, outermost first, in order of start."""
-    spans = []
-    for last, (size, back, kind) in automaton().iter(data.decode("latin-1")):
-        at = last + 1 - size - back
-        try:
-            length = VALIDATORS[kind](data, at) if at >= 0 else 0
-        except (struct.error, IndexError):  # it breaks off before its structure ends
-            length = 0
-        if length:
-            spans.append((at, at + length, kind))
-    return sorted(spans, key=lambda x: (x[0], -x[1]))
+    spans = set()
+    for last, (size, kinds) in automaton().iter(data.decode("latin-1")):
+        for kind in kinds:
+            try:
+                start, end = VALIDATORS[kind](data, last + 1 - size)
+            except (struct.error, IndexError):  # it breaks off before its structure ends
+                continue
+            if end > start:
+                spans.add((start, end, kind))
+    return sorted(spans, key=lambda x: (x[0], -x[1], x[2]))
 
 
 def sniff(data: bytes, declared: str = "application/octet-stream") -> str:
@@ -200,7 +376,7 @@ def _stored(batches):
     for batch in slices(batches):
         made = [payload(x) for x in batch.column("text").to_pylist()]
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in made], pa.int64()), pa.array(["application/octet-stream"] * n), pa.array([wav_bytes(x[1]) for x in made], pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in made], pa.int64()), pa.array([DECLARED] * n), pa.array([wav_bytes(x[1]) for x in made], pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
 
 def store(docs: DataFrame, path: str) -> None:
