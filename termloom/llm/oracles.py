@@ -59,13 +59,13 @@ rep AS (SELECT doc_id, i FROM win WHERE g IS NOT NULL QUALIFY count(*) OVER (PAR
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) x(k) GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORDS}) GROUP BY doc_id),
 a AS (SELECT doc_id, o.n_words, n_chars, symbol, classes, common, reference FROM h JOIN o USING (doc_id)),
-f AS (SELECT reference, {added("classes", len(Q.CLASSES))} AS rc, {added("common", Q.N_WORDS)} AS rw FROM a GROUP BY reference),
-j AS (SELECT a.*, {distance("classes", "rc")} AS char_distance, {distance("common", "rw")} AS word_distance FROM a JOIN f USING (reference)),
-r AS (SELECT j.doc_id, n_words::BIGINT AS n_words, (SELECT coalesce(sum(length(word)), 0) FROM u WHERE u.doc_id = j.doc_id)::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, n_chars, reference, char_distance, word_distance FROM j LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
-b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_chars >= {Q.MIN_CHARS} AND char_distance > {Q.MAX_CHAR_DISTANCE}) AND NOT (n_words >= {Q.MIN_COMMON_TEST_WORDS} AND reference <> 'other' AND word_distance > {Q.MAX_WORD_DISTANCE}) AS kept,
-  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM b
+r AS (SELECT a.*, (SELECT coalesce(sum(length(word)), 0) FROM u WHERE u.doc_id = a.doc_id)::BIGINT AS word_chars, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM r),
+f AS (SELECT reference, {added("classes", len(Q.CLASSES))} AS rc, {added("common", Q.N_WORDS)} AS rw FROM b WHERE NOT base_failed GROUP BY reference),
+j AS (SELECT b.*, {distance("classes", "rc")} AS char_distance, {distance("common", "rw")} AS word_distance FROM b LEFT JOIN f USING (reference))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, symbol::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {Q.MIN_CHARS} AND char_distance > {Q.MAX_CHAR_DISTANCE}) AND NOT (n_words > 0 AND word_distance > greatest({Q.MAX_WORD_DISTANCE}, sqrt({Q.N_WORDS - 1} / (8 * ln(2) * n_words)) + {Q.WORD_MARGIN})) AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM j
 """
 
 

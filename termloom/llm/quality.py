@@ -1,9 +1,12 @@
 """Quality rules with distribution divergence.
 
 Every document gets the base counts of the contract, a histogram over nine character
-classes and one over its language's common words. The histograms of all documents add up,
-by language, to the references; a document whose Jensen-Shannon distance from its
-language's reference is too large is rejected, unless it is too short to tell.
+classes and one over its language's common words. The histograms of the documents that pass
+the base rule add up, by language, to the references; a document whose Jensen-Shannon
+distance from its language's reference is too large is rejected, unless it is too short to
+tell. How far a clean text may be from the reference of common words depends on its length:
+n words drawn from the reference itself lie sqrt((k - 1) / (8 n ln 2)) away from it on k
+classes, and WORD_MARGIN more is allowed.
 
 One pass reads the texts and stores only the counts. The references are as many rows as
 there are word lists plus one, whatever the corpus holds, so joining them by broadcast is
@@ -11,13 +14,16 @@ bounded.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null or
 unlisted language uses the reference of all unlisted languages, which has no word list, so
-only character classes count; repeated rows each get their own row; an empty table gives
-an empty result; extra columns are ignored.
+only character classes count; a language none of whose documents passes the base rule has no
+reference, and nothing more to reject; a very long text is counted whole, and distances
+equal to a limit pass; repeated rows each get their own row and count as often; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +49,8 @@ N_WORDS = max(map(len, COMMON_WORDS.values())) + 1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.30, 200
 # A text without a listed word is 0.37 to 0.38 from a reference in which a quarter of the words are listed.
-MAX_WORD_DISTANCE, MIN_COMMON_TEST_WORDS = 0.30, 80
+MAX_WORD_DISTANCE, WORD_MARGIN = 0.25, 0.08
+WORD_NOISE = (N_WORDS - 1) / (8 * log(2))
 
 _EDGE = ".,;:!?\"'()[]"
 _TABLE = np.full(256, CLASSES.index("other"), dtype=np.int64)
@@ -53,7 +60,7 @@ _TABLE[0xC0:] = CLASSES.index("beyond_ascii")  # lead bytes; continuation bytes
 _CONTINUES = np.zeros(256, dtype=bool)
 _CONTINUES[0x80:0xC0] = True
 
-COUNTS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, classes array<long>, common array<long>"
+COUNTS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, n_listed long, classes array<long>, common array<long>"
 NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 
 
@@ -120,7 +127,7 @@ def _measure(ids: pa.Array, languages: pa.Array, texts: pa.Array) -> list[pa.Arr
         classes[i] = np.bincount(_TABLE, weights=by_byte, minlength=len(CLASSES))
         repeats[i] = repeated_words(codes[starts[i] : starts[i + 1]])
         dups[i] = duplicate_lines(text)
-    numbers = (n_words, word_chars, classes[:, CLASSES.index("symbol")], dups, repeats, classes.sum(axis=1))
+    numbers = (n_words, word_chars, classes[:, CLASSES.index("symbol")], dups, repeats, classes.sum(axis=1), common.sum(axis=1))
     return [ids, languages, *(pa.array(np.asarray(x, np.int64)) for x in numbers), _lists(classes), _lists(common)]
 
 
@@ -151,33 +158,43 @@ def _reference_key() -> F.Column:
     return F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(OTHER))
 
 
+def _base_failed() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def language_references(counts: DataFrame) -> DataFrame:
-    """Both histograms of all documents by language: at most len(COMMON_WORDS) + 1 rows."""
-    total = lambda name, n: F.array(*(F.sum(F.col(name)[i]) for i in range(n)))
-    return counts.groupBy(_reference_key().alias("reference")).agg(total("classes", len(CLASSES)).alias("ref_classes"), total("common", N_WORDS).alias("ref_common"))
+    """Both histograms of the documents that pass the base rule, and their totals, by language:
+    at most len(COMMON_WORDS) + 1 rows."""
+    added = lambda name, n: F.array(*(F.sum(F.col(name)[i]) for i in range(n)))
+    passed = counts.where(~_base_failed()).groupBy(_reference_key().alias("reference"))
+    return passed.agg(added("classes", len(CLASSES)).alias("ref_classes"), added("common", N_WORDS).alias("ref_common"), F.sum("n_chars").alias("ref_chars"), F.sum("n_listed").alias("ref_listed"))
 
 
-def divergence(own: str, reference: str) -> F.Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms; 0 if either is empty."""
-    size = lambda name: F.aggregate(name, F.lit(0.0), lambda total, x: total + x)
+def divergence(own: str, own_total: str, reference: str, reference_total: str) -> F.Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms; 0 if either is empty or null."""
     gain = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-    shares = lambda name: F.transform(name, lambda x: x / size(name))
-    parts = F.zip_with(shares(own), shares(reference), lambda p, q: gain(p, (p + q) / 2) + gain(q, (p + q) / 2))
-    return F.when((size(own) > 0) & (size(reference) > 0), F.sqrt(F.greatest(F.lit(0.0), size(parts) / 2))).otherwise(F.lit(0.0))
+    shares = lambda name, total: F.transform(name, lambda x: x / F.col(total))
+    parts = F.zip_with(shares(own, own_total), shares(reference, reference_total), lambda p, q: gain(p, (p + q) / 2) + gain(q, (p + q) / 2))
+    summed = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    return F.when((F.col(own_total) > 0) & (F.col(reference_total) > 0), F.sqrt(F.greatest(F.lit(0.0), summed / 2))).otherwise(F.lit(0.0))
+
+
+def word_limit(n_words: F.Column) -> F.Column:
+    """The distance from the common words of its language that a text of n words may have."""
+    return F.greatest(F.lit(MAX_WORD_DISTANCE), F.sqrt(F.lit(WORD_NOISE) / n_words) + F.lit(WORD_MARGIN))
 
 
 def _judged(counts: DataFrame, references: DataFrame) -> DataFrame:
     joined = counts.withColumn("reference", _reference_key()).join(F.broadcast(references), "reference", "left")
-    scored = joined.withColumns({"char_distance": divergence("classes", "ref_classes"), "word_distance": divergence("common", "ref_common")})
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    strange = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_COMMON_TEST_WORDS) & (F.col("reference") != OTHER) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return scored.withColumns({"base_failed": base_failed, "kept": ~base_failed & ~strange})
+    scored = joined.withColumns({"char_distance": divergence("classes", "n_chars", "ref_classes", "ref_chars"), "word_distance": divergence("common", "n_listed", "ref_common", "ref_listed"), "base_failed": _base_failed()})
+    strange = ((F.col("n_chars") >= MIN_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") > 0) & (F.col("word_distance") > word_limit(F.col("n_words"))))
+    return scored.withColumn("kept", ~F.col("base_failed") & ~strange)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """One row per document: counts, both distances, base_failed, kept."""
     counts = document_counts(docs)
-    return _judged(counts, language_references(counts)).drop("classes", "common", "ref_classes", "ref_common", "reference")
+    return _judged(counts, language_references(counts)).drop("classes", "common", "n_listed", "ref_classes", "ref_common", "ref_chars", "ref_listed", "reference")
 
 
 def digest(docs: DataFrame) -> DataFrame:
