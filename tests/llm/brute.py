@@ -47,7 +47,8 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def components(rows):
+def groups(rows):
+    """Each row's component, by the number of one of its rows; rows without words are alone."""
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -61,10 +62,32 @@ def components(rows):
             b = sets[j]
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 parent[root(i)] = root(j)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
-        least[root(i)] = min(doc, least.get(root(i), doc))
-    return [(doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows)]
+    return [root(i) for i in range(len(rows))]
+
+
+def components(rows):
+    of, least = groups(rows), {}
+    for g, (doc, _) in zip(of, rows):
+        least[g] = min(doc, least.get(g, doc))
+    return [(doc, len(shingle_set(text)), least[g]) for g, (doc, text) in zip(of, rows)]
+
+
+def assert_one_of_each(rows, kept):
+    """Whole rows (doc_id, text, ...): kept holds one of each component's rows, that with its
+    smallest id, and all rows without words, each as often as rows does."""
+    from collections import Counter
+
+    held, given = Counter(kept), Counter(rows)
+    assert not held - given
+    wordless = Counter({x: n for x, n in given.items() if not shingle_set(x[1])})
+    assert Counter({x: n for x, n in held.items() if not shingle_set(x[1])}) == wordless
+    group = {x[:2]: g for x, g in zip(rows, groups([x[:2] for x in rows]), strict=True)}
+    least: dict = {}
+    for x in rows:
+        least[group[x[:2]]] = min(x[0], least.get(group[x[:2]], x[0]))
+    with_words = [x for x in kept if shingle_set(x[1])]
+    assert sorted(group[x[:2]] for x in with_words) == sorted({group[x[:2]] for x in rows if shingle_set(x[1])})
+    assert all(least[group[x[:2]]] == x[0] for x in with_words)
 
 
 def line_cuts(rows):
