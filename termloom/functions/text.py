@@ -8,13 +8,17 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with one accent, from Unicode's own decompositions: source and folded.
-_FOLDED = {chr(c): d for c in range(0xC0, 0x250) if (d := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not 0x300 <= ord(x) <= 0x36F)) != chr(c) and len(d) == 1}
+def _unmarked(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
+
+
+#: Letters with accents, from Unicode's own decompositions: source and folded.
+_FOLDED = {chr(c): d for c in range(0xC0, 0x3000) if len(d := _unmarked(chr(c))) == 1 and d != chr(c)}
 ACCENTED, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without accents; loose combining marks go as well."""
+    """Letters without accents; loose combining marks go as well."""
     return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[\\u0300-\\u036F]", "")
 
 
@@ -34,49 +38,64 @@ def tokens(normalized: Column) -> Column:
 
 
 def singular(token: Column) -> Column:
-    """Plural and adjective endings of English and Spanish; short tokens stay."""
+    """Without a plural ending, then with the masculine or plain form of an adjective's ending,
+    of English and Spanish; short tokens keep their plural."""
+    cut = lambda text, k: text.substr(F.lit(1), F.length(text) - k)
     n = F.length(token)
-    cut = lambda k: token.substr(F.lit(1), n - k)
+    one = F.when((n > 5) & token.endswith("es"), cut(token, 2)).when((n > 4) & token.endswith("s"), cut(token, 1)).otherwise(token)
     return (
-        F.when(n <= 4, token)
-        .when(token.endswith("icas"), F.concat(cut(4), F.lit("ico")))
-        .when(token.endswith("iques"), F.concat(cut(5), F.lit("ic")))
-        .when(token.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when(token.endswith("ica"), F.concat(cut(3), F.lit("ico")))
-        .when(token.endswith("es") & (n > 5), cut(2))
-        .when(token.endswith("s"), cut(1))
-        .otherwise(token)
+        F.when(one.endswith("icas"), F.concat(cut(one, 4), F.lit("ico")))
+        .when(one.endswith("ica"), F.concat(cut(one, 3), F.lit("ico")))
+        .when(one.endswith("iques"), F.concat(cut(one, 5), F.lit("ic")))
+        .when(one.endswith("ies") & (F.length(one) > 5), F.concat(cut(one, 3), F.lit("y")))
+        .otherwise(one)
     )
 
 
 def singular_text(token: str) -> str:
-    if len(token) <= 4:
-        return token
-    for ending, new in (("icas", "ico"), ("iques", "ic"), ("ies", "y"), ("ica", "ico")):
-        if token.endswith(ending):
-            return token[: -len(ending)] + new
-    if token.endswith("es") and len(token) > 5:
-        return token[:-2]
-    return token[:-1] if token.endswith("s") else token
+    """singular() for query strings."""
+    n = len(token)
+    one = token[:-2] if n > 5 and token.endswith("es") else token[:-1] if n > 4 and token.endswith("s") else token
+    for ending, new, least in (("icas", "ico", 0), ("ica", "ico", 0), ("iques", "ic", 0), ("ies", "y", 6)):
+        if one.endswith(ending) and len(one) >= least:
+            return one[: -len(ending)] + new
+    return one
 
 
 # Catalan and misspelt forms and what they stand for.
 REPLACEMENTS = {
-    "diabetis": "diabetes", "canceres": "cancer", "tumoracio": "tumoracion", "tumefaccio": "tumefaccion",
-    "inflamatori": "inflamatorio", "inflamatoria": "inflamatorio", "inflamatoris": "inflamatorio", "inflamatories": "inflamatorio",
-    "proliferatiu": "proliferativo", "proliferativa": "proliferativo", "proliferatius": "proliferativo", "proliferatives": "proliferativo",
+    "diabetis": "diabetes", "cancer": "cancer", "canceres": "cancer", "càncer": "cancer", "tumoracio": "tumoracion", "tumefaccio": "tumefaccion",
+    "inflamatori": "inflamatorio", "inflamatoria": "inflamatoria", "inflamatoris": "inflamatorios", "inflamatories": "inflamatorias",
+    "proliferatiu": "proliferativo", "proliferativa": "proliferativa", "proliferatius": "proliferativos", "proliferatives": "proliferativas",
 }
+MAX_VARIANTS = 6
 
 
-def query_variants(text: str, most: int = 6) -> list[str]:
+def query_variants(text: str, most: int = MAX_VARIANTS) -> list[str]:
     """Normal form, lemma form, and one form per replaced token, without repeats."""
     words = normalize_text(text).split()
-    found = [" ".join(words), " ".join(map(singular_text, words))]
-    for k, word in enumerate(words):
-        for other in (REPLACEMENTS.get(word), REPLACEMENTS.get(singular_text(word)), singular_text(word)):
-            if other and other != word:
-                found.append(" ".join([*words[:k], other, *words[k + 1 :]]))
-    return [x for x in dict.fromkeys(found) if x][:most]
+    swapped = [[*words[:k], other, *words[k + 1 :]] for k, w in enumerate(words) for other in (singular_text(w), REPLACEMENTS.get(w, w)) if other != w]
+    forms = [words, [singular_text(w) for w in words], *swapped]
+    return [x for x in dict.fromkeys(" ".join(f) for f in forms) if x][:most]
+
+
+def variants(text: Column, most: int = MAX_VARIANTS) -> Column:
+    """query_variants() of a column of phrases."""
+    words = tokens(normalize(text))
+    table = F.create_map(*(F.lit(x) for pair in REPLACEMENTS.items() for x in pair))
+    swap = lambda k, other: F.array_join(F.transform(words, lambda w, i: F.when(i == k, other).otherwise(w)), " ")
+    per_word = F.flatten(F.transform(words, lambda w, k: F.array(swap(k, singular(w)), swap(k, F.coalesce(table[w], w)))))
+    whole = F.array(F.array_join(words, " "), F.array_join(F.transform(words, singular), " "))
+    return F.slice(F.filter(F.array_distinct(F.concat(whole, per_word)), lambda x: x != ""), 1, most)
+
+
+def tokens_with_offsets(text: Column) -> Column:
+    """Runs of letters and digits with their 0-based start and end (exclusive)."""
+    gaps = F.split(text, "[\\p{L}\\p{N}]+", -1)
+    words = F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    lengths = lambda x, n: F.aggregate(F.transform(F.slice(x, 1, n), F.length), F.lit(0), lambda a, b: a + b)
+    start = lambda i: lengths(gaps, i + 1) + lengths(words, i)
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), start(i).alias("start"), (start(i) + F.length(w)).alias("end")))
 
 
 def semantic_tag(fsn: Column) -> Column:
@@ -93,22 +112,55 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(normalize(text), " ", "-")
 
 
-# Parts of Spanish tags and the English tags that they stand for, first hit wins.
+# Patterns of Spanish tags and the English tags that they stand for, first hit wins.
 TAGS_ES_EN = [
-    ("trastorno", "disorder"), ("hallazgo", "finding"), ("evento", "event"), ("anomalía morfológica", "morphologic abnormality"), ("estructura corporal", "body structure"),
-    ("procedimiento", "procedure"), ("régimen/tratamiento", "regime/therapy"), ("sustancia", "substance"), ("entidad observable", "observable entity"),
-    ("producto", "product"), ("fármaco", "product"), ("presentación farmacéutica", "product"), ("forma farmacéutica", "product"),
-]
+    ("^trastorno$", "disorder"),
+    ("^hallazgo$", "finding"),
+    ("^evento$", "event"),
+    ("^anomal[ií]a morfol[oó]gica$", "morphologic abnormality"),
+    ("^estructura corporal$", "body structure"),
+    ("^procedimiento$", "procedure"),
+    ("^r[eé]gimen/tratamiento$", "regime/therapy"),
+    ("^sustancia$", "substance"),
+    ("^entidad observable$", "observable entity"),
+    ("producto|f[aá]rmaco|presentaci[oó]n farmac[eé]utica|forma farmac[eé]utica", "product"),
+]
 
 
 def english_tag(tag: Column) -> Column:
     low = F.lower(F.trim(tag))
     out = None
-    for part, english in TAGS_ES_EN:
-        out = F.when(low.contains(part), english) if out is None else out.when(low.contains(part), english)
+    for pattern, english in TAGS_ES_EN:
+        out = F.when(low.rlike(pattern), english) if out is None else out.when(low.rlike(pattern), english)
     return out.otherwise(low)
 
 
+# Tags that mean a clinical state, and those that mean something given.
+CLINICAL_TAGS = ("disorder", "finding", "observable entity", "trastorno", "hallazgo", "entidad observable")
+MEDICATION_TAGS = ("substance", "medicinal product", "clinical drug", "product", "sustancia", "producto medicinal", "producto")
+
+
+def clinical_kind(tag: Column) -> Column:
+    plain = normalize(F.coalesce(tag, F.lit("")))
+    return F.when(plain.isin(*CLINICAL_TAGS), "clinical").when(plain.isin(*MEDICATION_TAGS), "medication").otherwise(plain)
+
+
+# Words that hint at a language.
+LANGUAGE_HINTS = {
+    "es": "paciente con sin para retinopatia diabetica oncologico mama dolor plan".split(),
+    "en": "patient with without follow pain history finding procedure diabetic plan".split(),
+}
+
+
+def detect_language(text: Column, requested: Column) -> Column:
+    """The language with more hints, two more for a Spanish accent; of equals the requested one, else es."""
+    plain = normalize(F.coalesce(text, F.lit("")))
+    hits = lambda lang: sum((F.contains(plain, F.lit(w)).cast("int") for w in LANGUAGE_HINTS[lang]), F.lit(0))
+    es = hits("es") + F.when(F.lower(text).rlike("[áéíóúñ]"), 2).otherwise(0)
+    asked = normalize(F.coalesce(requested, F.lit("")))
+    return F.when(es > hits("en"), "es").when(es < hits("en"), "en").when(asked.isin("en", "es"), asked).otherwise("es")
+
+
 # Relationship type terms of the "other" category.
 OTHER_RELATIONS = "module|status|map|historical|replaced|same as|alternative|equivalent|association|refset"
 
@@ -131,5 +183,10 @@ def preview(text: Column, most: int = 120) -> Column:
     return F.when(F.length(trimmed) > most, F.concat(F.substring(trimmed, 1, most - 3), F.lit("..."))).otherwise(trimmed)
 
 
+def request_fingerprint(*parts: Column) -> Column:
+    """SHA-256 of a request's parts as JSON: equal requests, equal values."""
+    return F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))).cast("binary"), 256)
+
+
 def query_hash(text: Column) -> Column:
     return F.substring(F.sha1(F.lower(F.trim(text)).cast("binary")), 1, 16)
