@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 
-MAX_SYNONYMS = 10
+MAX_SYNONYMS, MAX_DEFINITION = 10, 2400
 
 
 def term_rank(kind, preferred, term):
@@ -29,3 +29,40 @@ def synonyms(projected: DataFrame, most: int = MAX_SYNONYMS) -> DataFrame:
     own = normalize(F.col("display_term"))
     kept = projected.where(F.col("normalized") != own)
     return kept.groupBy("concept_id", "language_code").agg(F.array_join(F.slice(F.array_sort(F.collect_set("normalized")), 1, most), "|").alias("synonyms"))
+
+
+def projection(descriptions: DataFrame, excluded: tuple[str, ...], roots: DataFrame | None = None, eligible: tuple[str, ...] = (), most: int = MAX_SYNONYMS) -> DataFrame:
+    """The searchable projection: a row for each synonym and FSN of a concept and language, with
+    the concept's display term, FSN, other synonyms, definition, roots and text to embed.
+
+    descriptions: concept_id, description_id, term, kind, language_code, tag, concept_active,
+    release_id. roots: concept_id, top_roots. Concepts of excluded tags are left out. Texts named
+    display, fsn, synonyms are normalized. One shuffle by concept and language.
+    """
+    kept = descriptions.where(~F.coalesce(F.lower("tag").isin(*(x.lower() for x in excluded)), F.lit(False)))
+    order = F.when(F.col("kind") == "synonym", 0).when(F.col("kind") == "fsn", 1).otherwise(2)
+    row = F.struct(order.alias("o"), F.length("term").alias("n"), "term", "description_id", "kind", normalize(F.col("term")).alias("normalized"))
+    same = ["concept_id", "language_code", "tag", "concept_active", "release_id"]
+    grouped = kept.groupBy(*same).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows, of = F.col("rows"), lambda kind: F.filter("rows", lambda x: x["kind"] == kind)
+    shown, fsn = rows[0]["normalized"], F.coalesce(F.get(of("fsn"), F.lit(0))["normalized"], rows[0]["normalized"])
+    others = F.array_distinct(F.filter(F.transform(of("synonym"), lambda x: x["normalized"]), lambda x: (x != shown) & (x != fsn)))
+    definition = F.substring(F.array_join(F.transform(of("definition"), lambda x: x["term"]), " "), 1, MAX_DEFINITION)
+    whole = grouped.withColumns({"display_term": rows[0]["term"], "display": shown, "fsn": fsn, "synonyms": F.slice(others, 1, most), "definition": F.when(definition != "", definition)})
+    none = F.array().cast("array<string>")
+    whole = whole.join(roots, "concept_id", "left").withColumn("top_roots", F.coalesce("top_roots", none)) if roots is not None else whole.withColumn("top_roots", none)
+    text = F.array_join(F.array_distinct(F.concat(F.array("display_term", "fsn"), "synonyms", F.array_compact(F.array("definition")))), " | ")
+    embed = F.when(F.arrays_overlap("top_roots", F.array(*map(F.lit, eligible))), text) if eligible else F.lit(None).cast("string")
+    each = whole.withColumn("embed_text", embed).select(*same, "display_term", "display", "fsn", "synonyms", "definition", "top_roots", "embed_text", F.posexplode("rows").alias("place", "d")).where("d.kind IN ('synonym', 'fsn')")
+    preferred = F.col("place") == 0
+    return each.select(
+        *same, "display_term", "display", "fsn", "synonyms", "definition", "top_roots", "embed_text", F.col("d.description_id").alias("description_id"), F.col("d.term").alias("term"), F.col("d.normalized").alias("normalized"),
+        F.col("d.kind").alias("kind"), preferred.alias("is_preferred"), term_rank(F.col("d.kind"), preferred, F.col("d.term")).alias("term_rank"),
+    )
+
+
+def root_areas(closure: DataFrame, roots: DataFrame) -> DataFrame:
+    """concept_id, top_roots: which of the roots (concept_id) lie above each concept or are it, sorted."""
+    own = roots.select("concept_id", F.col("concept_id").alias("root"))
+    above = closure.join(roots.select(F.col("concept_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("concept_id", F.col("ancestor_id").alias("root"))
+    return own.unionByName(above).groupBy("concept_id").agg(F.array_sort(F.collect_set("root")).alias("top_roots"))

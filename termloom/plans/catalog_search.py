@@ -10,7 +10,7 @@ from ..operators import mapping as M
 from ..operators import release as R
 from ..operators import search as S
 from ..operators import terms as P
-from ..sources.views import Tables, tables
+from ..sources.views import RELEASE_NEW, Tables, tables
 from .oracle_views import with_views
 
 QUERIES, SQL = {}, {}
@@ -56,7 +56,7 @@ def release_ids(t: Tables) -> DataFrame:
 
 @query("translate_forward", f"SELECT concept_id, map_target, map_group, map_priority, CASE WHEN map_rule = 'TRUE' THEN 'equivalent' ELSE 'relatedto' END AS equivalence FROM mappings WHERE active AND target_system = '{SYSTEM}'", "mappings")
 def translate_forward(t: Tables) -> DataFrame:
-    return M.forward(t.mappings, SYSTEM)
+    return M.forward(t.mappings, SYSTEM).select("concept_id", "map_target", "map_group", "map_priority", "equivalence")
 
 
 @query("translate_reverse", f"SELECT DISTINCT m.concept_id, d.term AS display FROM mappings m LEFT JOIN descriptions d ON d.concept_id = m.concept_id AND d.kind = 'synonym' AND d.language_code = 'en' WHERE m.active AND map_target = 'Brand#13'", "mappings", "descriptions")
@@ -64,17 +64,19 @@ def translate_reverse(t: Tables) -> DataFrame:
     return M.reverse(t.mappings, SYSTEM, "Brand#13", t.descriptions)
 
 
-@query("mapping_replace_refset", "SELECT concept_id, map_target, source FROM (SELECT concept_id, map_target, 'old' AS source FROM mappings WHERE concept_id NOT IN (SELECT concept_id FROM parts WHERE p_partkey % 5 = 0) UNION ALL SELECT concept_id, 'new', 'new' FROM parts WHERE p_partkey % 5 = 0)", "mappings", "parts")
+@query("mapping_replace_refset", "SELECT concept_id, map_target, source FROM (SELECT concept_id, map_target, 'old' AS source FROM mappings WHERE concept_id NOT IN (SELECT concept_id FROM parts WHERE p_size > 25) UNION ALL SELECT concept_id, 'new', 'new' FROM parts WHERE p_size > 25)", "mappings", "parts")
 def mapping_replace_refset(t: Tables) -> DataFrame:
     old = t.mappings.withColumn("source", F.lit("old"))
-    ids = t.parts.where("p_partkey % 5 = 0").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
+    ids = t.parts.where("p_size > 25").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
     new = ids.select("concept_id", F.lit("447562003").alias("refset_id"), F.lit("new").alias("map_target"), F.lit("new").alias("source"))
     return M.replace_refset(old.select("concept_id", "refset_id", "map_target", "source"), new, t.concepts).select("concept_id", "map_target", "source")
 
 
-@query("translate_parameters", f"""SELECT concept_id, '{{"resourceType":"Parameters","parameter":[{{"name":"match","part":[{{"name":"equivalence","valueCode":"' || CASE WHEN map_rule = 'TRUE' THEN 'equivalent' ELSE 'relatedto' END || '"}},{{"name":"code","valueCode":"' || map_target || '"}}]}}]}}' AS resource FROM mappings WHERE active""", "mappings")
+@query("translate_parameters", """SELECT c.concept_id, '{"resourceType":"Parameters","parameter":[{"name":"result","valueBoolean":' || (m.concept_id IS NOT NULL)::VARCHAR || '},{"name":"message","valueString":"' || CASE WHEN m.concept_id IS NULL THEN 'No published mapping is loaded for this code and target system.'
+  WHEN map_rule = 'TRUE' THEN 'Published mapping targets. Preserve their map groups, advice and classification version.' ELSE 'Conditional mapping candidates: evaluate the published rules and group priorities before assigning target codes.' END || '"}' || coalesce(',{"name":"match","part":[{"name":"equivalence","valueCode":"relatedto"},{"name":"concept","valueCoding":{"system":"brand-codes","code":"' || map_target || '"}},{"name":"source","valueUri":"http://snomed.info/sct?fhir_cm=447562003"}],"extension":[{"url":"urn:snomed-demo:map-group","valueInteger":' || map_group || '},{"url":"urn:snomed-demo:map-priority","valueInteger":' || map_priority || '},{"url":"urn:snomed-demo:map-rule","valueString":"' || map_rule || '"}]}', '') || ']}' AS resource
+  FROM parts c LEFT JOIN (SELECT * FROM mappings WHERE active) m USING (concept_id)""", "mappings", "parts")
 def translate_parameters(t: Tables) -> DataFrame:
-    return M.parameters_json(M.forward(t.mappings, SYSTEM))
+    return M.parameters_json(t.parts.select("concept_id"), M.forward(t.mappings, SYSTEM))
 
 
 def _projection(table: str = "descriptions") -> str:
@@ -102,83 +104,215 @@ def term_synonyms(t: Tables) -> DataFrame:
     return P.synonyms(P.project(t.descriptions))
 
 
-def searched(t: Tables) -> DataFrame:
-    return S.searchable(P.project(t.descriptions))
+def live(t: Tables) -> DataFrame:
+    return S.searchable(t.search.terms)
 
 
 _LIVE = "SELECT concept_id, description_id, term FROM terms WHERE concept_active AND "
 
 
-@query("lexical_prefix", f"{_LIVE} contains(' ' || normalized || ' ', ' small')", "descriptions", **_TERMS)
+@query("stored_projection", "SELECT concept_id, description_id, language_code, term, display_term, normalized, fsn, array_to_string(synonyms, '|') AS synonyms, definition, array_to_string(top_roots, '|') AS top_roots, kind, is_preferred, term_rank FROM terms", "terms")
+def stored_projection(t: Tables) -> DataFrame:
+    return t.search.terms.select("concept_id", "description_id", "language_code", "term", "display_term", "normalized", "fsn", F.array_join("synonyms", "|").alias("synonyms"), "definition", F.array_join("top_roots", "|").alias("top_roots"), "kind", "is_preferred", "term_rank")
+
+
+@query("token_index", "SELECT token, count(*) AS rows, count(DISTINCT concept_id) AS concepts FROM (SELECT DISTINCT description_id, concept_id, unnest(string_split(normalized || ' ' || display || ' ' || fsn || ' ' || array_to_string(synonyms, ' '), ' ')) AS token FROM terms) WHERE token <> '' GROUP BY token", "terms")
+def token_index(t: Tables) -> DataFrame:
+    return t.search.index.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("concept_id").alias("concepts"))
+
+
+@query("lexical_prefix", f"{_LIVE} contains(' ' || normalized || ' ', ' small')", "terms")
 def lexical_prefix(t: Tables) -> DataFrame:
-    return searched(t).where(S.prefix_clause(F.col("normalized"), "Small")).select("concept_id", "description_id", "term")
+    rows = S.candidate_rows(t.search, "Small")
+    return S.searchable(rows).where(S.prefix_clause(F.col("normalized"), "Small")).select("concept_id", "description_id", "term")
 
 
-@query("lexical_phrase", f"{_LIVE} contains(' ' || normalized || ' ', ' red widget ')", "descriptions", **_TERMS)
+@query("lexical_phrase", f"{_LIVE} contains(' ' || normalized || ' ', ' red widget ')", "terms")
 def lexical_phrase(t: Tables) -> DataFrame:
-    return searched(t).where(S.phrase_clause(F.col("normalized"), "Red widget")).select("concept_id", "description_id", "term")
+    return S.searchable(S.candidate_rows(t.search, "Red widget")).where(S.phrase_clause(F.col("normalized"), "Red widget")).select("concept_id", "description_id", "term")
 
 
-@query("lexical_any", f"{_LIVE} len(list_intersect(string_split(normalized, ' '), ['asia', 'europe', 'region'])) > 0", "descriptions", **_TERMS)
+@query("lexical_any", f"{_LIVE} len(list_intersect(string_split(normalized, ' '), ['asia', 'europe', 'region'])) > 0", "terms")
 def lexical_any(t: Tables) -> DataFrame:
-    return searched(t).where(S.any_clause(F.col("normalized"), "Asia Europe region")).select("concept_id", "description_id", "term")
+    return S.searchable(S.candidate_rows(t.search, "Asia Europe region")).where(S.any_clause(F.col("normalized"), "Asia Europe region")).select("concept_id", "description_id", "term")
 
 
-@query("lexical_fuzzy", f"{_LIVE} len(list_filter(string_split(normalized, ' '), lambda x: starts_with(x, 'eu') AND levenshtein(x, 'eurpoe') <= 2)) > 0", "descriptions", **_TERMS)
+@query("lexical_fuzzy", f"{_LIVE} len(list_filter(string_split(normalized, ' '), lambda x: starts_with(x, 'eu') AND levenshtein(x, 'eurpoe') <= 2)) > 0", "terms")
 def lexical_fuzzy(t: Tables) -> DataFrame:
-    return searched(t).where(S.fuzzy_clause(F.col("normalized"), "eurpoe", edits=2)).select("concept_id", "description_id", "term")
+    return live(t).where(S.fuzzy_clause(F.col("normalized"), "eurpoe", edits=2)).select("concept_id", "description_id", "term")
 
 
-@query("excluded_tags_filter", "SELECT tag, count(*) AS n FROM terms WHERE concept_active AND tag NOT IN ('type', 'brand') GROUP BY tag", "descriptions", **_TERMS)
+@query("excluded_tags_filter", "SELECT tag, count(*) AS n FROM terms WHERE concept_active AND tag NOT IN ('type', 'brand') GROUP BY tag", "terms")
 def excluded_tags_filter(t: Tables) -> DataFrame:
-    return S.searchable(P.project(t.descriptions), ("Type", "Brand")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return S.searchable(t.search.terms, ("Type", "Brand")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("exact_description_lookup", "SELECT concept_id, description_id, term_rank FROM terms WHERE concept_active AND normalized = 'europe' ORDER BY is_preferred DESC, term_rank DESC, concept_id LIMIT 100", "descriptions", **_TERMS)
+@query("exact_description_lookup", "SELECT concept_id, description_id, term_rank FROM terms WHERE concept_active AND language_code = 'en' AND list_contains(top_roots, '510005') AND normalized = 'hot rod' ORDER BY is_preferred DESC, term_rank DESC, concept_id, description_id LIMIT 100", "terms")
 def exact_description_lookup(t: Tables) -> DataFrame:
-    return searched(t).where(F.col("normalized") == "europe").orderBy(F.col("is_preferred").desc(), F.col("term_rank").desc(), "concept_id").limit(100).select("concept_id", "description_id", "term_rank")
+    return S.exact_description(t.search, "Hot rod!", S.Filters("en", RELEASE_NEW, "510005")).select("concept_id", "description_id", "term_rank")
 
 
-@query("suggest_topk", "SELECT concept_id, term, is_preferred, term_rank FROM terms WHERE concept_active AND contains(' ' || normalized, ' customer 00000001') ORDER BY is_preferred DESC, term_rank DESC, term, concept_id LIMIT 10", "descriptions", **_TERMS)
-def suggest_topk(t: Tables) -> DataFrame:
-    hits = searched(t).where(S.prefix_clause(F.col("normalized"), "Customer#00000001"))
-    return hits.orderBy(F.col("is_preferred").desc(), F.col("term_rank").desc(), "term", "concept_id").limit(10).select("concept_id", "term", "is_preferred", "term_rank")
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _phrase(column: str, words: str) -> str:
+    return f"contains(' ' || {column} || ' ', ' {words} ')"
+
+
+def _lemma(column: str) -> str:
+    one = "CASE WHEN length(w) > 5 AND ends_with(w, 'es') THEN w[:-3] WHEN length(w) > 4 AND ends_with(w, 's') THEN w[:-2] ELSE w END"
+    return f"array_to_string(list_transform(list_transform(string_split({column}, ' '), lambda w: {one}), lambda w: CASE WHEN ends_with(w, 'ica') THEN w[:-4] || 'ico' ELSE w END), ' ')"
+
 
+def _tier(q: str, variants: list[str], words: list[str], lemma: str) -> str:
+    """The tiers of a query whose variants and words are given."""
+    near = " ".join(f"WHEN normalized = '{v}' OR starts_with(normalized, '{v} ') THEN len(string_split(normalized, ' ')) - {len(v.split())} <= 1" for v in variants)
+    begins = lambda x: " OR ".join(f"starts_with({x}, '{v}')" for v in variants)
+    hits = f"array_to_string(list_filter(string_split(s, ' '), lambda w: w IN ({_quoted(words)})), ' ')"
+    within = lambda x: f"({x} <> '' AND (contains({x}, '{q}') OR contains('{q}', {x})))"
+    return f"""CASE WHEN normalized IN ({_quoted(variants)}) THEN 1 WHEN CASE {near} ELSE false END THEN 2 WHEN len(list_filter(synonyms, lambda s: s IN ({_quoted(variants)}))) > 0 THEN 3 WHEN fsn IN ({_quoted(variants)}) THEN 4
+      WHEN {_lemma('normalized')} = '{lemma}' OR {_lemma('fsn')} = '{lemma}' THEN 5 WHEN {begins('normalized')} THEN 6 WHEN len(list_filter(synonyms, lambda s: {begins(hits)})) > 0 THEN 7 WHEN {within('normalized')} THEN 8 WHEN {within('fsn')} THEN 9 WHEN display IN ({_quoted(variants)}) THEN 10 ELSE 11 END"""
 
-_TIER = """CASE WHEN concept_id = q THEN 0 WHEN normalized = q THEN 1 WHEN starts_with(normalized, q) AND len(string_split(normalized, ' ')) - len(string_split(q, ' ')) <= 1 THEN 2
-  WHEN fsn = q THEN 4 WHEN starts_with(normalized, q) THEN 6 WHEN contains(normalized, q) THEN 8 WHEN contains(fsn, q) THEN 9 WHEN len(list_filter(string_split(q, ' '), lambda w: NOT list_contains(string_split(normalized || ' ' || fsn, ' '), w))) = 0 THEN 10 ELSE 11 END"""
-_SPECIFIC = "round(10 * (CASE WHEN normalized = q THEN 0 WHEN starts_with(normalized, q) THEN 1 WHEN contains(normalized, q) THEN 3 ELSE 8 END) + 1.5 * greatest(len(string_split(normalized, ' ')) - 2, 0) + least(abs(length(normalized) - length(q)), 40) / 10.0, 4)"
-_QUERIED = dict(fs=f"SELECT concept_id AS fid, {NORM.format('term')} AS fsn FROM descriptions WHERE kind = 'fsn'", q="SELECT *, 'red widget' AS q FROM terms JOIN fs ON fid = concept_id WHERE concept_active")
 
+def _specific(q: str, variants: list[str]) -> str:
+    case = lambda x, v: f"WHEN {x} = '{v}' THEN 0 WHEN starts_with({x}, '{v}') THEN 1 WHEN contains({x}, '{v}') THEN 3"
+    rank = lambda x: f"CASE {' '.join(case(x, v) for v in variants)} ELSE 8 END"
+    best = f"CASE WHEN {rank('normalized')} <= {rank('fsn')} THEN normalized ELSE fsn END"
+    return f"round(10 * least({rank('normalized')}, {rank('fsn')}) + 1.5 * greatest(len(string_split({best}, ' ')) - {len(q.split())}, 0) + 2 * (contains(' ' || ({best}) || ' ', ' with '))::INT + least(abs(length({best}) - {len(q)}), 40) / 10.0, 4)"
 
-def _tiers(t: Tables, text: str) -> DataFrame:
-    fsn = t.descriptions.where("kind = 'fsn'").select(F.col("concept_id").alias("fid"), normalize(F.col("term")).alias("fsn"))
-    rows = searched(t).join(fsn, F.col("concept_id") == F.col("fid"))
-    none = F.array().cast("array<string>")
-    q = F.lit(text)
-    return rows.withColumns({"tier": S.match_tier(F.col("normalized"), F.col("fsn"), none, F.col("concept_id"), q), "specificity": S.specificity(F.col("normalized"), q), "score": F.col("term_rank")})
 
+_ORDER = "tier, specificity, is_preferred DESC, distance, term_rank DESC, score DESC, term, concept_id, description_id"
 
-@query("match_tiers", f"SELECT tier::INT AS tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM q) GROUP BY tier", "descriptions", **_TERMS, **_QUERIED)
+
+def _tiered(rows: str, limit: int) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY {_ORDER}) AS k FROM ({rows})) WHERE k = 1 ORDER BY {_ORDER} LIMIT {limit}"
+
+
+_RED = ("red widgets", ["red widgets", "red widget"], ["red", "widget", "widgets"], "red widget")
+_JUDGED = f"SELECT *, {_tier(*_RED)} AS tier, {_specific(*_RED[:2])} AS specificity, abs(length(term) - {len(_RED[0])}) AS distance, 0 AS score FROM terms WHERE concept_active"
+
+
+def _tiers(t: Tables) -> DataFrame:
+    return S.with_tiers(live(t).withColumn("score", F.lit(0)), "Red widgets")
+
+
+@query("match_tiers", f"SELECT tier::INT AS tier, count(*) AS n FROM ({_JUDGED}) GROUP BY tier", "terms")
 def match_tiers(t: Tables) -> DataFrame:
-    return _tiers(t, "red widget").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return _tiers(t).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("specificity_score", f"SELECT description_id, {_SPECIFIC} AS specificity FROM q WHERE tag = 'part'", "descriptions", **_TERMS, **_QUERIED)
+@query("specificity_score", f"SELECT description_id, specificity FROM ({_JUDGED}) WHERE tag = 'part'", "terms")
 def specificity_score(t: Tables) -> DataFrame:
-    return _tiers(t, "red widget").where("tag = 'part'").select("description_id", "specificity")
+    return _tiers(t).where("tag = 'part'").select("description_id", "specificity")
 
 
-@query("tier_rerank_dedupe", f"SELECT concept_id, description_id, tier::INT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY tier, s, term_rank DESC, term, description_id) AS k FROM (SELECT *, {_TIER} AS tier, {_SPECIFIC} AS s FROM q)) WHERE k = 1 ORDER BY tier, s, term_rank DESC, term, concept_id LIMIT 20", "descriptions", **_TERMS, **_QUERIED)
+@query("tier_rerank_dedupe", f"SELECT concept_id, description_id, tier::INT AS tier FROM ({_tiered(_JUDGED, 20)})", "terms")
 def tier_rerank_dedupe(t: Tables) -> DataFrame:
-    return S.tiered(_tiers(t, "red widget"), 20).select("concept_id", "description_id", "tier")
+    return S.tiered(_tiers(t), 20).select("concept_id", "description_id", "tier")
+
 
+@query("display_groups", f"SELECT CASE WHEN tier <= 1 THEN 'exact' WHEN tier <= 5 THEN 'normalized' WHEN tier <= 9 THEN 'prefix' ELSE 'fuzzy' END AS display, count(*) AS n FROM ({_JUDGED}) GROUP BY ALL", "terms")
+def display_groups(t: Tables) -> DataFrame:
+    from ..operators.labels import display_group
 
-@query("lexical_search", None)
+    return _tiers(t).groupBy(display_group(F.col("tier")).alias("display")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SOME = lambda x, words: f"len(list_intersect(string_split({x}, ' '), [{_quoted(words)}])) > 0"
+_SMALL = ("small widgets", ["small widgets", "small widget"], ["small", "widget", "widgets"], "small widget")
+_SCORED = f"""SELECT *, 9 * (contains(' ' || display || ' ', ' small widgets'))::INT + 18 * ({_phrase('display', 'small widgets')})::INT + 15 * (len(list_filter(synonyms, lambda s: {_phrase('s', 'small widgets')})) > 0)::INT
+  + 16 * ({_phrase('display', 'small widget')})::INT + 13 * (len(list_filter(synonyms, lambda s: {_phrase('s', 'small widget')})) > 0)::INT
+  + 4 * ({_SOME('display', _SMALL[2])} OR {_SOME('fsn', _SMALL[2])} OR len(list_filter(synonyms, lambda s: {_SOME('s', _SMALL[2])})) > 0)::INT AS score FROM terms WHERE concept_active"""
+
+
+def _searched(where: str, limit: int, fetched: int) -> str:
+    rows = f"SELECT * FROM ({_SCORED}) WHERE score > 0 AND {where} ORDER BY score DESC, concept_id, description_id LIMIT {fetched}"
+    judged = f"SELECT *, {_tier(*_SMALL)} AS tier, {_specific(*_SMALL[:2])} AS specificity, abs(length(term) - {len(_SMALL[0])}) AS distance FROM ({rows})"
+    return f"SELECT concept_id, description_id, tier::INT AS tier, score::INT AS score FROM ({_tiered(judged, limit)})"
+
+
+@query("lexical_search", f"SELECT concept_id, description_id, score::INT AS score FROM ({_SCORED}) WHERE score > 0 ORDER BY score DESC, concept_id, description_id LIMIT 40", "terms")
 def lexical_search(t: Tables) -> DataFrame:
     """All clauses with their boosts; scores are this engine's own."""
-    scored = searched(t).withColumn("score", S.lexical_score(F.col("normalized"), F.col("concept_id"), "red widget")).where("score IS NOT NULL")
-    return scored.orderBy(F.col("score").desc(), "concept_id", "description_id").limit(40).select("concept_id", "description_id", "score")
+    score = S.lexical_score("small widgets", F.col("display"), F.col("fsn"), F.col("synonyms"), F.col("concept_id"))
+    rows = S.searchable(S.candidate_rows(t.search, "small widgets")).withColumn("score", score).where("score IS NOT NULL")
+    return rows.orderBy(F.col("score").desc(), "concept_id", "description_id").limit(40).select("concept_id", "description_id", "score")
+
+
+@query("search_scoped", _searched("language_code = 'en' AND list_contains(top_roots, '510002')", 10, 80), "terms")
+def search_scoped(t: Tables) -> DataFrame:
+    return S.scoped_search(t.search, "Small widgets", S.Filters("en", RELEASE_NEW, "510002"), 10).select("concept_id", "description_id", "tier", "score")
+
+
+@query("search_in_expression", _searched("concept_id IN (SELECT concept_id FROM closure WHERE ancestor_id IN ('500013', '500002') EXCEPT SELECT concept_id FROM closure WHERE ancestor_id = '510001')", 20, 160), "terms", "closure")
+def search_in_expression(t: Tables) -> DataFrame:
+    from .catalog_hierarchy import space
+
+    scope = space(t).expand("(< 500013 OR < 500002) MINUS < 510001")
+    return S.scoped_search(t.search, "Small widgets", S.Filters(area="510002", scope=scope), 20).select("concept_id", "description_id", "tier", "score")
+
+
+@query("search_empty_scope", "SELECT concept_id FROM concepts WHERE false", "concepts")
+def search_empty_scope(t: Tables) -> DataFrame:
+    from .catalog_hierarchy import space
+
+    return S.scoped_search(t.search, "Small widgets", S.Filters(scope=space(t).expand("<< 500013 MINUS << 500013")), 10).select("concept_id")
+
+
+_SUGGESTED = "SELECT *, 10 * (contains(' ' || display || ' ', ' wid') OR len(list_filter(string_split(display, ' '), lambda x: starts_with(x, 'wi') AND levenshtein(x, 'wid') <= 1)) > 0)::INT AS score FROM terms WHERE concept_active AND language_code = 'es'"
+_WID = ("wid", ["wid"], ["wid"], "wid")
+
+
+@query("suggest_scored", f"""SELECT concept_id, description_id, tier::INT AS tier FROM ({_tiered(f"SELECT *, {_tier(*_WID)} AS tier, {_specific(*_WID[:2])} AS specificity, abs(length(term) - 3) AS distance FROM (SELECT * FROM ({_SUGGESTED}) WHERE score > 0 ORDER BY score DESC, is_preferred DESC, term_rank DESC, term, concept_id, description_id LIMIT 60)", 10)})""", "terms")
+def suggest_scored(t: Tables) -> DataFrame:
+    return S.scoped_suggestions(t.search, "wid", S.Filters("es"), 10).select("concept_id", "description_id", "tier")
+
+
+@query("suggest_topk", "SELECT concept_id, term, is_preferred, term_rank FROM terms WHERE concept_active AND contains(' ' || normalized, ' customer 00000001') ORDER BY is_preferred DESC, term_rank DESC, term, concept_id LIMIT 10", "terms")
+def suggest_topk(t: Tables) -> DataFrame:
+    hits = S.searchable(S.candidate_rows(t.search, "Customer#00000001")).where(S.prefix_clause(F.col("normalized"), "Customer#00000001"))
+    return hits.orderBy(F.col("is_preferred").desc(), F.col("term_rank").desc(), "term", "concept_id").limit(10).select("concept_id", "term", "is_preferred", "term_rank")
+
+
+_LOOKED = f"""SELECT *, 18 * (contains(' ' || display || ' ', ' red widgets'))::INT + 14 * ({_phrase('display', 'red widgets')})::INT + 13 * (len(list_filter(synonyms, lambda s: {_phrase('s', 'red widgets')})) > 0)::INT + 12 * ({_phrase('fsn', 'red widgets')})::INT
+  + 14 * (contains(' ' || display || ' ', ' red widget'))::INT + 10 * ({_phrase('display', 'red widget')})::INT + 9 * (len(list_filter(synonyms, lambda s: {_phrase('s', 'red widget')})) > 0)::INT + 8 * ({_phrase('fsn', 'red widget')})::INT AS score FROM terms WHERE concept_active"""
+
+
+@query("phrase_lookup", f"SELECT concept_id, description_id, score::INT AS score FROM ({_LOOKED}) WHERE score > 0 ORDER BY score DESC, is_preferred DESC, term_rank DESC, term, concept_id, description_id LIMIT 200", "terms")
+def phrase_lookup(t: Tables) -> DataFrame:
+    return S.phrase_lookup(t.search, "red widgets", S.Filters(), 5).select("concept_id", "description_id", "score")
+
+
+@query("highlights", "SELECT description_id, array_to_string(list_transform(string_split(normalized, ' '), lambda w: CASE WHEN w IN ('red', 'widget', 'widgets') THEN '[' || w || ']' ELSE w END), ' ') AS shown FROM terms WHERE concept_active AND (list_contains(string_split(normalized, ' '), 'red') OR list_contains(string_split(normalized, ' '), 'widget'))", "terms")
+def highlights(t: Tables) -> DataFrame:
+    text = F.col("normalized")
+    return live(t).where(S.hit_text(text, "red widgets") != "").select("description_id", S.highlighted(text, "red widgets").alias("shown"))
+
+
+_FOUND = "SELECT *, string_split(normalized, ' ') AS w FROM terms WHERE concept_active"
+_DISCOVERED = "SELECT *, CASE WHEN list_contains(w, 'large') AND list_contains(w, 'bolt') AND list_contains(w, 'review') THEN 0 WHEN list_contains(w, 'large') AND list_contains(w, 'bolt') THEN 1 WHEN list_contains(w, 'bolt') THEN 2 WHEN list_contains(w, 'large') THEN 3 END AS tier, len(w) AS beyond FROM f"
+
+
+@query("discovery", "SELECT concept_id, description_id, tier::INT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY tier, beyond, term, description_id) AS k FROM d WHERE tier IS NOT NULL) WHERE k = 1 ORDER BY tier, beyond, term, concept_id LIMIT 12", "terms", f=_FOUND, d=_DISCOVERED)
+def discovery(t: Tables) -> DataFrame:
+    return S.discovered(live(t), "review of the large bolt").select("concept_id", "description_id", "tier")
+
+
+@query("value_set_members", "SELECT concept_id, description_id FROM terms WHERE tag = 'part' AND contains(trim(regexp_replace(lower(term || ' ' || fsn || ' ' || concept_id), '[^\\p{L}\\p{N}]+', ' ', 'g')), 'bolt part')", "terms")
+def value_set_members(t: Tables) -> DataFrame:
+    return S.value_set_members(t.search.terms, "part", "Bolt (part)").select("concept_id", "description_id")
+
+
+@query("explorer_filters", f"SELECT concept_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM ({_tiered(_JUDGED, 100)})) WHERE is_preferred AND tag = 'part'", "terms")
+def explorer_filters(t: Tables) -> DataFrame:
+    ranked = S.tiered(_tiers(t), 100).withColumn("rank", F.row_number().over(Window.orderBy(*S.tier_order())))
+    return S.explorer(ranked, "match", preferred_only=True, tag="part", kind=None).select("concept_id", "rank")
+
+
+@query("embedding_estimate", "SELECT count(*) AS docs, ceil(sum(length(array_to_string(list_filter([display_term, CASE WHEN fsn <> display_term THEN fsn END, CASE WHEN len(synonyms) > 0 THEN array_to_string(synonyms, ' | ') END, definition], lambda x: x IS NOT NULL), ' | '))) / 4)::BIGINT AS tokens FROM terms WHERE len(list_intersect(top_roots, ['510000', '510001', '510002', '510003'])) > 0", "terms")
+def embedding_estimate(t: Tables) -> DataFrame:
+    return S.embedding_estimate(t.search.terms)
 
 
 _EMB = "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings"
@@ -232,11 +366,56 @@ def score_fusion_sigmoid(t: Tables) -> DataFrame:
     return S.score_fusion(*_ranked(t), "concept_id")
 
 
-@query("rerank_pool", None)
+_FUSED = dict(**_LISTS, u="SELECT coalesce(l.concept_id, r.concept_id) AS concept_id, round(coalesce(0.55 / (60 + l.rank), 0) + coalesce(0.45 / (60 + r.rank), 0), 9)::DOUBLE AS score FROM l FULL JOIN r ON l.concept_id = r.concept_id")
+_OVERLAP = "len(list_intersect(w, ['large', 'polished', 'bolt'])) / len(list_distinct(list_concat(w, ['large', 'polished', 'bolt'])))::DOUBLE"
+
+
+@query("rerank_pool", f"SELECT concept_id, name, fused_place::INT AS fused_place, CASE WHEN fused_place <= 8 THEN round({_OVERLAP}, 6) END AS relevance FROM (SELECT *, string_split(lower(name), ' ') AS w, row_number() OVER (ORDER BY score DESC, concept_id) AS fused_place FROM u JOIN (SELECT concept_id, name FROM parts) USING (concept_id)) ORDER BY (fused_place > 8), CASE WHEN fused_place <= 8 THEN {_OVERLAP} END DESC, fused_place LIMIT 20", "parts", **_FUSED)
 def rerank_pool(t: Tables) -> DataFrame:
-    """Fused list, reranked by the local scorer."""
+    """A fused list whose pool is reranked by the local scorer; the rest fills the limit."""
     fused = S.reciprocal_rank_fusion(*_ranked(t), "concept_id").join(t.concepts.select("concept_id", "name"), "concept_id")
-    return S.rerank(fused, S.overlap_scorer, "name", "large polished steel", 40, 20).select("concept_id", "name", F.round("relevance", 6).alias("relevance"))
+    return S.rerank(fused, S.overlap_scorer, "name", "large polished bolt", 8, 20).select("concept_id", "name", "fused_place", F.round("relevance", 6).alias("relevance"))
+
+
+@query("fusion_provenance", "SELECT coalesce(l.concept_id, r.concept_id) AS concept_id, CASE WHEN l.concept_id IS NULL THEN 'right' ELSE 'left' END AS origin, CASE WHEN l.concept_id IS NULL THEN 'semantic' WHEN r.concept_id IS NULL THEN 'lexical' ELSE 'lexical,semantic' END AS found_by, l.rank::INT AS lexical_rank, r.rank::INT AS semantic_rank, round(coalesce(0.55 / (60 + l.rank), 0), 9)::DOUBLE AS lexical_part, round(coalesce(0.45 / (60 + r.rank), 0), 9)::DOUBLE AS semantic_part FROM l FULL JOIN r ON l.concept_id = r.concept_id", "parts", **_LISTS)
+def fusion_provenance(t: Tables) -> DataFrame:
+    l, r = _ranked(t)
+    merged = S.merged_provenance(l.withColumn("origin", F.lit("left")), r.withColumn("origin", F.lit("right")), ["origin"])
+    return merged.select("concept_id", "origin", F.array_join("found_by", ",").alias("found_by"), "lexical_rank", "semantic_rank", "lexical_part", "semantic_part")
+
+
+# term rows: of a list by length and one by id, 150 each
+_ROWS = dict(
+    a="SELECT description_id, concept_id, is_preferred, term_rank, row_number() OVER (ORDER BY length(term), term, description_id) AS rank FROM terms WHERE tag IN ('nation', 'brand', 'type', 'region') QUALIFY rank <= 150",
+    b="SELECT description_id, concept_id, is_preferred, term_rank, row_number() OVER (ORDER BY concept_id DESC, description_id) AS rank FROM terms WHERE tag IN ('nation', 'brand', 'type', 'region') QUALIFY rank <= 150",
+)
+
+
+def _term_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.search.terms.where("tag IN ('nation', 'brand', 'type', 'region')").select("description_id", "concept_id", "is_preferred", "term_rank", "term")
+    top = lambda *order: rows.orderBy(*order).limit(150).withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("term")
+    return top(F.length("term"), "term", "description_id"), top(F.col("concept_id").desc(), "description_id")
+
+
+@query("rank_fusion_terms", "SELECT concept_id, description_id, score FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, is_preferred DESC, term_rank DESC, description_id) AS k FROM (SELECT coalesce(a.description_id, b.description_id) AS description_id, coalesce(a.concept_id, b.concept_id) AS concept_id, coalesce(a.is_preferred, b.is_preferred) AS is_preferred, coalesce(a.term_rank, b.term_rank) AS term_rank, round(coalesce(0.55 / (60 + a.rank), 0) + coalesce(0.45 / (60 + b.rank), 0), 9)::DOUBLE AS score FROM a FULL JOIN b ON a.description_id = b.description_id)) WHERE k = 1 ORDER BY score DESC, is_preferred DESC, term_rank DESC, concept_id LIMIT 40", "terms", **_ROWS)
+def rank_fusion_terms(t: Tables) -> DataFrame:
+    return S.fused_term_rows(*_term_rows(t), (0.55, 0.45), 40).select("concept_id", "description_id", "score")
+
+
+@query("exact_then_hybrid", "SELECT concept_id, list::INT AS list, pos::INT AS pos, right_rank::INT AS right_rank FROM (SELECT l.concept_id, 0 AS list, l.rank AS pos, r.rank AS right_rank FROM l LEFT JOIN r USING (concept_id) WHERE l.rank <= 30 UNION ALL SELECT r.concept_id, 1, r.rank, r.rank FROM r WHERE r.concept_id NOT IN (SELECT concept_id FROM l WHERE rank <= 30))", "parts", **_LISTS)
+def exact_then_hybrid(t: Tables) -> DataFrame:
+    """A list of 30 with what the other list knows of its concepts, then the rest of the other list."""
+    l, r = _ranked(t)
+    hybrid = r.select("concept_id", F.col("rank").alias("right_rank"))
+    exact = S.with_provenance(l.where("rank <= 30").select("concept_id", F.col("rank").alias("pos")), hybrid, ["right_rank"])
+    return S.concat_first_wins(exact, hybrid.withColumn("pos", F.col("right_rank"))).select("concept_id", "list", "pos", "right_rank")
+
+
+@query("vector_first_per_label", f"SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 200)) WHERE k = 1")
+def vector_first_per_label(t: Tables) -> DataFrame:
+    """Of the nearest vectors the first of each label."""
+    near = S.vector_top(t.table("embeddings"), "embedding", _query_vector(t), 200)
+    return S.first_per(near, "label", F.col("score").desc(), "vec_id").select("label", "vec_id", "score")
 
 
 @query("facet_counts", "SELECT 'tag' AS facet, tag AS value, count(*) AS n FROM terms GROUP BY tag", "descriptions", **_TERMS)
@@ -271,10 +450,3 @@ def two_tier_labels(t: Tables) -> DataFrame:
     ids = t.concepts.where("tag IN ('nation', 'brand')").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
     projected = P.project(t.descriptions)
     return labels(ids, projected.where("tag = 'nation'"), projected.where("tag = 'brand'"), "en")
-
-
-@query("display_groups", f"SELECT CASE WHEN tier <= 1 THEN 'exact' WHEN tier <= 5 THEN 'normalized' WHEN tier <= 9 THEN 'prefix' ELSE 'fuzzy' END AS display, count(*) AS n FROM (SELECT {_TIER} AS tier FROM q) GROUP BY ALL", "descriptions", **_TERMS, **_QUERIED)
-def display_groups(t: Tables) -> DataFrame:
-    from ..operators.labels import display_group
-
-    return _tiers(t, "red widget").groupBy(display_group(F.col("tier")).alias("display")).agg(F.count(F.lit(1)).alias("n"))

@@ -36,6 +36,32 @@ VIEWS = {
       CASE WHEN concept_id::BIGINT % 2 = 0 THEN 'en' ELSE 'es' END AS language_code, tag, active AS concept_active
       FROM concepts, (VALUES ('synonym'), ('fsn')) k(kind)""",
     ),
+    "names": (
+        ["concepts"],
+        """SELECT concept_id, concept_id || '-' || n AS description_id, CASE n WHEN 1 THEN name WHEN 2 THEN name || ' (' || tag || ')' WHEN 3 THEN turned || ' item' WHEN 4 THEN turned ELSE 'A ' || tag || ' named ' || name END AS term,
+      CASE n WHEN 2 THEN 'fsn' WHEN 5 THEN 'definition' ELSE 'synonym' END AS kind, CASE WHEN concept_id::BIGINT % 2 = 0 THEN 'en' ELSE 'es' END AS language_code, tag, active AS concept_active, '20240701' AS release_id
+      FROM (SELECT *, array_to_string(list_reverse(string_split(name, ' ')), ' ') AS turned FROM concepts), (VALUES (1), (2), (3), (4), (5)) k(n)""",
+    ),
+    "root_areas": (["edges", "closure"], "SELECT concept_id, list(root ORDER BY root) AS top_roots FROM (SELECT child AS concept_id, child AS root FROM edges WHERE parent = '900000' UNION SELECT c.concept_id, c.ancestor_id FROM closure c JOIN edges e ON e.child = c.ancestor_id AND e.parent = '900000') GROUP BY concept_id"),
+    "placed": (
+        ["names"],
+        """SELECT *, trim(regexp_replace(lower(strip_accents(term)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normalized,
+      row_number() OVER (PARTITION BY concept_id ORDER BY CASE kind WHEN 'synonym' THEN 0 WHEN 'fsn' THEN 1 ELSE 2 END, length(term), term, description_id) AS place FROM names""",
+    ),
+    "shown": (
+        ["placed"],
+        "SELECT concept_id, min_by(term, place) AS display_term, min_by(normalized, place) AS display, min_by(normalized, place) FILTER (WHERE kind = 'fsn') AS fsn, string_agg(term, ' ') FILTER (WHERE kind = 'definition') AS definition FROM placed GROUP BY concept_id",
+    ),
+    "meant": (
+        ["placed", "shown"],
+        "SELECT concept_id, list(normalized ORDER BY place) AS synonyms FROM (SELECT concept_id, normalized, min(place) AS place FROM placed JOIN shown USING (concept_id) WHERE kind = 'synonym' AND normalized <> display AND normalized <> fsn GROUP BY ALL) GROUP BY concept_id",
+    ),
+    "terms": (
+        ["placed", "shown", "meant", "root_areas"],
+        """SELECT p.*, display_term, display, fsn, definition, coalesce(synonyms, []::VARCHAR[]) AS synonyms, coalesce(top_roots, []::VARCHAR[]) AS top_roots, place = 1 AS is_preferred,
+      CASE WHEN place = 1 THEN 30 ELSE 0 END + CASE kind WHEN 'synonym' THEN 20 ELSE 10 END + CASE WHEN length(term) <= 28 THEN 4 ELSE 0 END AS term_rank
+      FROM placed p JOIN shown USING (concept_id) LEFT JOIN meant USING (concept_id) LEFT JOIN root_areas USING (concept_id) WHERE kind <> 'definition'""",
+    ),
     "codings": (
         ["parts"],
         """SELECT l_orderkey AS note_id, p.concept_id, p.brand_id, p.type_id,

@@ -10,15 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import closure
+from ..operators.hierarchy import closure_fixpoint
+from ..operators.search import EXCLUDED_TAGS, SearchTables, token_rows
+from ..operators.terms import projection, root_areas
+from .storage import clustered, stored
 
 ROOT, SUPPLIES, IS_A = "900000", "700001", "116680003"
 TENANT, RELEASE_OLD, RELEASE_NEW = "demo", "20240101", "20240701"
-MAX_DEPTH = 3  # root, region or brand, nation or part, customer or supplier
 
 
 def _id(base: int, key: Column) -> Column:
@@ -29,14 +30,10 @@ _opened: dict[tuple[str, str], "Tables"] = {}
 
 
 def tables(spark: SparkSession, folder: str) -> "Tables":
-    """The session's views of a folder, built once: shared views are persisted, to memory or disk."""
+    """The session's views of a folder, each built once; those read often are stored in the shared folder."""
     return _opened.setdefault((spark.sparkContext.applicationId, folder), Tables(spark, folder))
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @dataclass
 class Tables:
     """One folder of Parquet tables; each view is a lazy plan."""
@@ -67,8 +64,8 @@ class Tables:
     def parts(self) -> DataFrame:
         """concept_id, brand_id, type_id, name of each part."""
         brand = _id(500000, F.regexp_extract("p_brand", "(\\d+)", 1).cast("int"))
-        types = self.types.withColumnRenamed("concept_id", "type_id")
-        return self.table("part").join(F.broadcast(types), "p_type").select(_id(600000, F.col("p_partkey")).alias("concept_id"), brand.alias("brand_id"), "type_id", F.col("p_name").alias("name"), "p_size", "p_partkey", "p_brand")
+        types = self.types.withColumnRenamed("concept_id", "type_id")  # as many rows as there are values of p_type
+        return self.table("part").join(types, "p_type").select(_id(600000, F.col("p_partkey")).alias("concept_id"), brand.alias("brand_id"), "type_id", F.col("p_name").alias("name"), "p_size", "p_partkey", "p_brand")
 
     @cached_property
     def concepts(self) -> DataFrame:
@@ -87,7 +84,7 @@ class Tables:
         whole = parts[0]
         for more in parts[1:]:
             whole = whole.unionByName(more)
-        return _shared(whole.coalesce(self.spread))
+        return stored(whole.coalesce(self.spread), "concepts")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -106,18 +103,18 @@ class Tables:
         whole = parts[0]
         for more in parts[1:]:
             whole = whole.unionByName(more)
-        return _shared(whole.coalesce(self.spread))
+        return stored(whole.coalesce(self.spread), "edges")
 
     @cached_property
     def closure(self) -> DataFrame:
         """concept_id, ancestor_id, depth (parents 1)."""
-        return _shared(closure(self.edges, MAX_DEPTH))
+        return stored(closure_fixpoint(self.edges), "closure")
 
     @cached_property
     def attributes(self) -> DataFrame:
         """source_id, type_id, destination_id."""
         supplied = self.table("lineitem").select("l_suppkey", "l_partkey").distinct()
-        return supplied.select(_id(400000, F.col("l_suppkey")).alias("source_id"), F.lit(SUPPLIES).alias("type_id"), _id(600000, F.col("l_partkey")).alias("destination_id"))
+        return stored(supplied.select(_id(400000, F.col("l_suppkey")).alias("source_id"), F.lit(SUPPLIES).alias("type_id"), _id(600000, F.col("l_partkey")).alias("destination_id")), "attributes")
 
     @cached_property
     def descriptions(self) -> DataFrame:
@@ -127,6 +124,24 @@ class Tables:
         rows = base.select("concept_id", "language_code", "tag", "active", kinds.alias("d"))
         return rows.select("concept_id", F.concat_ws("-", "concept_id", F.col("d.kind")).alias("description_id"), F.col("d.term").alias("term"), F.col("d.kind").alias("kind"), "language_code", "tag", F.col("active").alias("concept_active"))
 
+    @cached_property
+    def names(self) -> DataFrame:
+        """descriptions with more synonyms: the words turned round, and a definition."""
+        concepts = self.concepts.withColumn("language_code", F.when(F.col("concept_id").cast("long") % 2 == 0, "en").otherwise("es"))
+        turned = F.array_join(F.reverse(F.split("name", " ")), " ")
+        one = lambda kind, term, n: F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(n).alias("n"))
+        found = F.array(one("synonym", F.col("name"), "1"), one("fsn", F.concat("name", F.lit(" ("), "tag", F.lit(")")), "2"), one("synonym", F.concat(turned, F.lit(" item")), "3"), one("synonym", turned, "4"), one("definition", F.concat(F.lit("A "), "tag", F.lit(" named "), "name"), "5"))
+        rows = concepts.select("concept_id", "language_code", "tag", "active", F.explode(found).alias("d"))
+        return rows.select("concept_id", F.concat_ws("-", "concept_id", "d.n").alias("description_id"), F.col("d.term").alias("term"), F.col("d.kind").alias("kind"), "language_code", "tag", F.col("active").alias("concept_active"), F.lit(RELEASE_NEW).alias("release_id"))
+
+    @cached_property
+    def search(self) -> SearchTables:
+        """The projection of names, clustered by description, and its token index, by token."""
+        roots = self.edges.where(F.col("parent") == ROOT).select(F.col("child").alias("concept_id"))
+        rows = projection(self.names, EXCLUDED_TAGS, root_areas(self.closure, roots), ("510000", "510001", "510002", "510003"))
+        terms = clustered(rows, "terms", "normalized", "description_id", partitions=self.spread)
+        return SearchTables(terms, clustered(token_rows(terms), "tokens", "token", "description_id", partitions=self.spread))
+
     @cached_property
     def codings(self) -> DataFrame:
         """One row per order line: note_id and the coding's fields."""
@@ -150,7 +165,7 @@ class Tables:
         """One row per order with its codings nested; orders without lines have none."""
         coding = F.struct("concept_id", "ancestor_ids", "assertion", "subject", "status", "temporality", "kind")
         nested = self.codings.groupBy("note_id").agg(F.collect_list(coding).alias("codings"))
-        orders = self.table("orders").join(self.table("customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        orders = self.table("orders")
         setting = F.when(F.col("o_orderpriority").startswith("1"), "emergency").when(F.col("o_orderpriority").startswith("2"), "inpatient").when(F.col("o_orderpriority").startswith("3"), "outpatient").otherwise("primary-care")
         head = orders.select(
             F.col("o_orderkey").alias("note_id"),
@@ -163,7 +178,7 @@ class Tables:
             F.col("o_orderdate").alias("occurred_at"),
         )
         none = F.array().cast(nested.schema["codings"].dataType)
-        return _shared(head.join(nested, "note_id", "left").withColumn("codings", F.coalesce("codings", none)))
+        return stored(head.join(nested, "note_id", "left").withColumn("codings", F.coalesce("codings", none)), "notes")
 
     @cached_property
     def release_old(self) -> DataFrame:
