@@ -1,40 +1,206 @@
-"""Codings: roles, merging, and projection to resources as JSON."""
+"""Codings: roles, merging of equal facts, covered ancestors, lenses, and resources as JSON.
+
+A coding has note_id, pos, concept_id, term, phrase, assertion, subject, temporality, workflow,
+kind, clinical_status, role, attributes (a map of strings), ancestor_ids, evidence (an array of
+strings) and accepted. Null kinds, workflows and statuses are values of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_KEY = ("note_id", "concept_id", "assertion", "subject", "temporality", "kind")
+from ..functions.records import attributes, equality_key
+from ..functions.text import english_tag
+
+CLINICAL_FINDING = "404684003"
+# Tags of the roles.
+FINDING_TAGS, PROCEDURE_TAGS = ("disorder", "finding"), ("procedure", "regime/therapy")
+MEDICATION_TAGS = ("product", "medicinal product", "clinical drug", "medicinal product form", "substance")
+OWN_ROLE_KINDS = ("observation", "test", "referral")
+# Attributes that tell facts apart, those a covering fact must share, and the facts' other parts.
+TELLING = ("site", "laterality", "stage", "value", "result", "relativeTime", "familyRelationship", "route", "condition")
+SHARED = ("site", "laterality", "stage", "value", "result", "relativeTime")
+FACT = ("concept_id", "assertion", "subject", "temporality", "workflow", "kind", "clinical_status")
+SENSE = ("assertion", "subject", "temporality", "kind", "workflow", "clinical_status")
+
+
+def is_finding(tag: Column, concept_id: Column, ancestor_ids: Column, active: Column | None = None) -> Column:
+    """By the tag where there is one, else by the concept's place under the root of findings."""
+    english = english_tag(F.coalesce(tag, F.lit("")))
+    under = F.coalesce((concept_id == CLINICAL_FINDING) | F.array_contains(ancestor_ids, CLINICAL_FINDING), F.lit(False))
+    found = F.when(english != "", english.isin(*FINDING_TAGS)).otherwise(under)
+    return found if active is None else found & F.coalesce(active, F.lit(True))
 
 
-def coding_role(kind: Column, tag: Column) -> Column:
+def coding_role(kind: Column, tag: Column, finding: Column) -> Column:
+    english = english_tag(F.coalesce(tag, F.lit("")))
     return (
-        F.when(kind.isin("observation", "test", "referral"), kind).when(tag.isin("disorder", "finding") | (kind == "condition"), "diagnosis")
-        .when((kind == "procedure") | tag.isin("procedure", "regime/therapy"), "procedure").when((kind == "medication") | tag.isin("product", "substance", "clinical drug"), "medication").otherwise("other")
+        F.when(kind.isin(*OWN_ROLE_KINDS), kind).when(finding, "diagnosis").when(english.isin(*PROCEDURE_TAGS), "procedure").when(english.isin(*MEDICATION_TAGS), "medication").otherwise("other")
+    )
+
+
+def with_targets(codings: DataFrame, concepts: DataFrame) -> DataFrame:
+    """codings (with target) with their concept's tag and ancestor_ids, itself first, and the
+    target they are recorded under: relatives' conditions, findings as observations, else their
+    own. concepts: concept_id, tag, ancestor_ids. An unknown concept has no tag and only itself."""
+    known = concepts.select(F.col("concept_id").alias("_c"), F.col("tag").alias("_tag"), F.col("ancestor_ids").alias("_up"))
+    joined = codings.drop("tag", "ancestor_ids").join(known, F.col("concept_id") == F.col("_c"), "left")
+    up = F.array_distinct(F.concat(F.array("concept_id"), F.coalesce("_up", F.array().cast("array<string>"))))
+    as_finding = (F.col("target") == "Condition.code") & F.coalesce(english_tag(F.col("_tag")) == "finding", F.lit(False))
+    target = F.when(F.col("subject") == "family", "FamilyMemberHistory.condition.code").when(as_finding, "Observation.code").otherwise(F.col("target"))
+    return joined.withColumns({"tag": F.col("_tag"), "ancestor_ids": up, "target": target}).drop("_c", "_tag", "_up")
+
+
+def _first_of_each(entries: Column) -> Column:
+    """Entries (key, value) whose key no earlier one has."""
+    earlier = lambda e, i: F.exists(F.slice(entries, 1, i), lambda x: x["key"] == e["key"])
+    return F.filter(entries, lambda e, i: (i == 0) | ~earlier(e, i))
+
+
+def _conflicts(entries: Column) -> Column:
+    """For each key with differing values: its first and its last differing one."""
+    values = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
+    others = lambda e: F.filter(values(e["key"]), lambda v: ~v.eqNullSafe(e["value"]))
+    clashing = F.filter(_first_of_each(entries), lambda e: F.size(others(e)) > 0)
+    return F.map_from_entries(F.transform(clashing, lambda e: F.struct(e["key"].alias("key"), F.array(e["value"], F.element_at(others(e), -1)).alias("value"))))
+
+
+def merge(codings: DataFrame) -> DataFrame:
+    """One row per fact of a note: attributes of the first that has them, conflicts, all evidence
+    in order, accepted if any is, principal if any is. One shuffle by note and fact."""
+    kept = codings.withColumn("attributes", attributes(F.col("attributes")))
+    of = lambda name: F.col("attributes")[name]
+    relation = F.when(F.col("subject") == "family", of("relationship"))
+    keyed = kept.withColumn("fact", equality_key(*(F.col(c) for c in FACT), *(of(a) for a in TELLING), relation))
+    rest = [c for c in kept.columns if c not in ("note_id", "pos", *FACT, "role", "attributes", "evidence", "accepted")]
+    row = F.struct("pos", F.map_entries("attributes").alias("entries"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "role", *rest)
+    grouped = keyed.groupBy("note_id", "fact", *FACT).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.bool_or("accepted").alias("accepted"))
+    entries, first = F.flatten(F.col("rows.entries")), F.col("rows")[0]
+    return grouped.select(
+        "note_id", "fact", *FACT, first["pos"].alias("pos"), F.when(F.array_contains(F.col("rows.role"), "principal"), "principal").otherwise(first["role"]).alias("role"),
+        F.map_from_entries(_first_of_each(entries)).alias("attributes"), _conflicts(entries).alias("conflicts"), F.array_distinct(F.flatten(F.col("rows.evidence"))).alias("evidence"), "accepted", *(first[c].alias(c) for c in rest),
     )
 
 
-def merge(codings: DataFrame, attribute: str, span: str, order: str) -> DataFrame:
-    """One coding per key: first attribute by order, whether others conflict, the union of spans."""
-    rows = codings.groupBy(*MERGE_KEY).agg(F.min_by(attribute, F.struct(order, attribute)).alias("attribute"), (F.count_distinct(F.col(attribute)) > 1).alias("conflict"), F.array_join(F.array_sort(F.collect_set(span)), "|").alias("spans"), F.count(F.lit(1)).alias("n"))
-    return rows
+def drop_covered(merged: DataFrame) -> DataFrame:
+    """merged facts without those that a more specific one covers.
 
+    Only a present, current condition of the patient that isn't principal can be covered, by a
+    fact of equal sense and shared attributes whose concept lies beneath its own. The deepest
+    such fact, of equals the first, takes over its evidence, and its attributes as far as it lacks them. Facts meet by
+    note, concept and sense, so nothing is compared that can't match.
+    """
+    rows = merged.withColumn("_sense", equality_key(*(F.col(c) for c in SENSE), *(F.col("attributes")[a] for a in SHARED)))
+    coverable = (F.coalesce("role", F.lit("")) != "principal") & (F.col("assertion") == "present") & (F.col("temporality") == "current") & (F.col("subject") == "patient") & F.coalesce(F.col("kind") == "condition", F.lit(True))
+    upper = rows.where(coverable).select("note_id", "concept_id", "_sense", F.col("fact").alias("_upper"), "pos", "attributes", "evidence")
+    lower = rows.select("note_id", "_sense", F.col("fact").alias("_lower"), F.col("pos").alias("_pos"), F.col("concept_id").alias("_own"), F.size("ancestor_ids").alias("_depth"), F.explode("ancestor_ids").alias("concept_id")).where("_own <> concept_id")
+    chosen = upper.join(lower, ["note_id", "concept_id", "_sense"]).groupBy("note_id", "_upper").agg(F.min_by(F.struct("_lower", "pos", "attributes", "evidence"), F.struct(-F.col("_depth"), "_pos", "_own", "_lower")).alias("c")).select("note_id", "_upper", "c.*")
+    given = chosen.groupBy("note_id", F.col("_lower").alias("fact")).agg(F.array_sort(F.collect_list(F.struct("pos", F.map_entries("attributes").alias("entries"), "evidence"))).alias("_given"))
+    covered = chosen.select("note_id", F.col("_upper").alias("fact")).distinct()
+    kept = rows.join(covered, ["note_id", "fact"], "left_anti").join(given, ["note_id", "fact"], "left")
+    taken = lambda own, name, more: F.when(F.col("_given").isNull(), own).otherwise(F.concat(own, F.flatten(F.col(f"_given.{name}"))))
+    entries = taken(F.map_entries("attributes"), "entries", "_given")
+    return kept.withColumns({"attributes": F.map_from_entries(_first_of_each(entries)), "evidence": F.array_distinct(taken(F.col("evidence"), "evidence", "_given"))}).drop("_sense", "_given")
 
-def drop_covered(codings: DataFrame, closure: DataFrame) -> DataFrame:
-    """Without codings that have another coding of the same note and sense beneath them."""
-    below = codings.select(*MERGE_KEY).withColumnRenamed("concept_id", "lower_id")
-    above = closure.select(F.col("concept_id").alias("lower_id"), F.col("ancestor_id").alias("concept_id"))
-    covered = below.join(above, "lower_id").select(*MERGE_KEY).distinct()
-    return codings.join(covered, list(MERGE_KEY), "left_anti")
+
+# Systems and codes that resources refer to.
+CODE_SYSTEM, UNIT_SYSTEM = "http://snomed.info/sct", "http://unitsofmeasure.org"
+CONDITION_STATUS, VERIFICATION_STATUS = "http://terminology.hl7.org/CodeSystem/condition-clinical", "http://terminology.hl7.org/CodeSystem/condition-ver-status"
+_NUMBER = "[0-9]+(?:[.][0-9]+)?"
+
+
+def _quantity(text: Column, pattern: str, group: int, unit: Column, coded: Column | None = None) -> Column:
+    value = F.regexp_extract(text, pattern, group).cast("double").alias("value")
+    return F.struct(value, unit.alias("unit"), *(() if coded is None else (F.when(unit.isNotNull(), UNIT_SYSTEM).alias("system"), coded.alias("code"))))
+
+
+def _observed(raw: Column, assertion: Column) -> dict[str, Column]:
+    """Components of a blood pressure, a quantity, a text, or whether it was there at all."""
+    pressure, plain = f"(?i)^({_NUMBER})\\s*/\\s*({_NUMBER})\\s*mmHg$", f"^(-?{_NUMBER})\\s*(%|mmHg)?$"
+    unit = F.regexp_extract(raw, plain, 2)
+    named = F.when(unit != "", unit)
+    part = lambda text, group: F.struct(F.struct(F.lit(text).alias("text")).alias("code"), _quantity(raw, pressure, group, F.lit("mmHg"), F.lit("mm[Hg]")).alias("valueQuantity"))
+    is_pressure, is_quantity = raw.rlike(pressure), raw.rlike(plain)
+    return {
+        "component": F.when(is_pressure, F.array(part("systolic blood pressure", 1), part("diastolic blood pressure", 2))),
+        "valueQuantity": F.when(is_quantity, _quantity(raw, plain, 1, named, F.when(unit == "mmHg", "mm[Hg]").otherwise(named))),
+        "valueString": F.when(raw.isNotNull() & ~is_pressure & ~is_quantity, raw),
+        "valueBoolean": F.when(raw.isNull(), F.coalesce(assertion != "absent", F.lit(True))),
+    }
+
+
+def _dosage(of) -> Column:
+    words = F.filter(F.array(of("dose"), of("route"), of("frequency")), lambda x: F.coalesce(x, F.lit("")) != "")
+    dose = f"(?i)^({_NUMBER})\\s*(mg|g|mL)$"
+    amount = F.when(of("dose").rlike(dose), F.array(F.struct(_quantity(of("dose"), dose, 1, F.regexp_extract(of("dose"), dose, 2)).alias("doseQuantity"))))
+    route = F.when(F.coalesce(of("route"), F.lit("")) != "", F.struct(of("route").alias("text")))
+    timing = F.when(F.coalesce(of("frequency"), F.lit("")) != "", F.struct(F.struct(of("frequency").alias("text")).alias("code")))
+    return F.when(F.size(words) > 0, F.array(F.struct(F.array_join(words, "; ").alias("text"), route.alias("route"), timing.alias("timing"), amount.alias("doseAndRate"))))
 
 
 def resource_json(codings: DataFrame) -> DataFrame:
-    """note_id, concept_id, resource_type and JSON by kind and subject."""
-    kind = F.when(F.col("subject") == "family", "FamilyMemberHistory").when(F.col("kind") == "condition", "Condition").when(F.col("kind") == "procedure", "Procedure").when(F.col("kind") == "medication", "MedicationStatement").otherwise("Observation")
-    status = F.when(F.col("assertion") == "absent", "refuted").when(F.col("assertion") == "suspected", "provisional").otherwise("confirmed")
-    body = F.to_json(F.struct(kind.alias("resourceType"), status.alias("verificationStatus"), F.struct(F.col("concept_id").alias("code")).alias("code")))
-    return codings.select("note_id", "concept_id", kind.alias("resource_type"), body.alias("resource"))
+    """codings (with code_role) and resource_type, resource: a FHIR R4 resource as JSON; both null
+    where a coding was only discussed or has no resource. Fields that don't apply are left out."""
+    of = lambda name: F.col("attributes")[name]
+    rows = codings.withColumn("attributes", attributes(F.col("attributes")))
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    role, workflow = F.coalesce("code_role", F.lit("")), F.coalesce("workflow", F.lit(""))
+    discussed = (workflow == "discussion") | F.coalesce(F.lower(of("plannedAction")).isin("discussion", "discusion"), F.lit(False))
+    future = (F.col("assertion") == "planned") | workflow.isin("planned", "conditional")
+    family, observation = F.col("subject") == "family", F.coalesce(F.col("kind") == "observation", F.lit(False)) | (role == "observation")
+    procedure, medication, condition = role.isin("procedure", "test", "referral"), role == "medication", role == "diagnosis"
+    kind = (
+        F.when(discussed, None).when(family, "FamilyMemberHistory").when(observation, "Observation").when(procedure, F.when(future, "ServiceRequest").otherwise("Procedure"))
+        .when(medication, F.when(future, "MedicationRequest").otherwise("MedicationStatement")).when(condition, "Condition")
+    )
+    only = lambda names, value: F.when(F.col("resource_type").isin(*names), value)
+    done = F.when(workflow == "completed", "completed")
+    status = (
+        F.when(F.col("resource_type") == "FamilyMemberHistory", "partial").when(F.col("resource_type") == "Observation", F.when(workflow == "completed", "final").otherwise("unknown"))
+        .when(F.col("resource_type").isin("ServiceRequest", "MedicationRequest"), "draft").when(F.col("resource_type") == "Procedure", F.coalesce(done, F.lit("unknown")))
+        .when(F.col("resource_type") == "MedicationStatement", F.coalesce(done, F.when(workflow.isin("current", "continuation"), "active"), F.lit("unknown")))
+    )
+    code = F.struct(F.array(F.struct(F.lit(CODE_SYSTEM).alias("system"), F.col("concept_id").alias("code"), F.col("term").alias("display"))).alias("coding"), F.col("term").alias("text"))
+    patient = F.struct(F.lit("Patient/example").alias("reference"))
+    relation = F.coalesce(F.when(some(of("familyRelationship")), of("familyRelationship")), F.when(some(of("relationship")), of("relationship")), F.lit("Relative not specified"))
+    site = F.when(some(of("site")), F.struct(F.array_join(F.filter(F.array(of("laterality"), of("site")), some), " ").alias("text")))
+    coded = ("Observation", "ServiceRequest", "Procedure", "Condition")
+    drug, current = ("MedicationRequest", "MedicationStatement"), (F.col("assertion") == "present") & (F.col("temporality") == "current")
+    concept = lambda system, value: F.struct(F.array(F.struct(F.lit(system).alias("system"), value.alias("code"))).alias("coding"))
+    resolved = F.coalesce(F.col("clinical_status") == "resolved", F.lit(False))
+    clinical = F.when(resolved | current, concept(CONDITION_STATUS, F.when(resolved, "resolved").otherwise("active")))
+    verified = concept(VERIFICATION_STATUS, F.when(F.col("assertion") == "absent", "refuted").when(F.col("assertion") == "suspected", "provisional").otherwise("confirmed"))
+    observed = _observed(F.coalesce(of("value"), of("result")), F.col("assertion"))
+    named = F.transform(F.map_entries("attributes"), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), e["value"]))
+    told = F.concat(F.array(F.when(some(F.col("phrase")), F.concat(F.lit("Source: "), "phrase"))), named, F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda x: F.concat(F.lit("Evidence: "), x)))
+    note = F.array_join(F.filter(told, some), "; ")
+    fields = {
+        "resourceType": F.col("resource_type"), "status": status, "intent": only(("ServiceRequest", "MedicationRequest"), F.lit("proposal")), "code": only(coded, code),
+        "medicationCodeableConcept": only(drug, code), "subject": only((*coded, *drug), patient), "patient": only(("FamilyMemberHistory",), patient), "relationship": only(("FamilyMemberHistory",), F.struct(relation.alias("text"))),
+        "condition": only(("FamilyMemberHistory",), F.array(F.struct(code.alias("code")))), "bodySite": only(("ServiceRequest", "Procedure", "Condition"), F.when(site.isNotNull(), F.array(site))),
+        **{k: only(("Observation",), v) for k, v in observed.items()}, "stage": only(("Condition",), F.when(some(of("stage")), F.array(F.struct(F.struct(of("stage").alias("text")).alias("summary"))))),
+        "dosageInstruction": only(("MedicationRequest",), _dosage(of)), "dosage": only(("MedicationStatement",), _dosage(of)), "clinicalStatus": only(("Condition",), clinical), "verificationStatus": only(("Condition",), verified),
+        "note": F.when(note != "", F.array(F.struct(note.alias("text")))),
+    }
+    # an observation has one site, the others a list of them: two fields of one name can't stand in one struct
+    body = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    seen = F.to_json(F.struct(site.alias("bodySite")))
+    with_site = F.when((F.col("resource_type") == "Observation") & site.isNotNull(), F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(","), F.substring(seen, F.lit(2), F.length(seen)))).otherwise(body)
+    return rows.withColumn("resource_type", kind).withColumn("resource", F.when(F.col("resource_type").isNotNull(), with_site))
+
+
+def lens(name: str) -> Column:
+    """Which accepted, merged codings (with code_role) a view of a note shows."""
+    patient = (F.col("assertion") == "present") & (F.col("subject") == "patient") & ~F.coalesce(F.col("temporality") == "unknown", F.lit(False)) & ~F.coalesce(F.col("clinical_status") == "resolved", F.lit(False))
+    views = {
+        "problems": patient & (F.col("code_role") == "diagnosis"), "procedures": patient & (F.col("code_role") == "procedure"), "medications": patient & (F.col("code_role") == "medication"),
+        "family": F.col("subject") == "family", "ruledout": F.col("assertion") == "absent", "corpus": patient,
+    }
+    return F.coalesce(F.col("accepted") & views[name], F.lit(False))
+
+
+LENSES = ("problems", "procedures", "medications", "family", "ruledout", "corpus")
 
 
 def stamp_ancestry(codings: DataFrame, closure: DataFrame) -> DataFrame:
