@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.views import Tables, tables
-from .cohort import Filters, Group, Leaf, Plan, cohort, explain_matches
+from .broad_scope import broad_scope as families
+from .cohort import Filters, Group, Leaf, Plan, cohort, explain_matches, parse_command
 from .oracle_views import with_views
 
 QUERIES, SQL = {}, {}
@@ -89,3 +90,47 @@ def subsumption_cohort_count(t: Tables) -> DataFrame:
     kept = F.filter("codings", lambda c: (c["assertion"] == "present") & (c["subject"] == "patient") & (c["status"] == "accepted"))
     above = F.array_distinct(F.flatten(F.transform(kept, lambda c: F.slice(c["ancestor_ids"], 2, 2))))
     return t.notes.select(F.explode(above).alias("ancestor_id")).groupBy("ancestor_id").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+_QUESTION = "Find outpatient notes from the last 900 days for women over 40 with (alpha or a history of beta) and gamma but without suspected delta"
+_ASKED = dict(c1=[BRAND], c2=[TYPE], c3=["900000"], c4=[OTHER])
+
+
+@query("cohort_from_question", f"SELECT note_id FROM notes n WHERE setting = 'outpatient' AND sex = 'female' AND age >= 41 AND occurred_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 900 DAY AND TIMESTAMP '{NOW}' AND ({_has(BRAND)} OR {_has(TYPE, temporality='historical')}) AND {_has('900000')} AND NOT {_has(OTHER, 'suspected')}", "notes", "codings")
+def cohort_from_question(t: Tables) -> DataFrame:
+    """A question as it is typed, with each condition's concepts."""
+    return t.notes.where(cohort(parse_command(_QUESTION), _ASKED, NOW)).select("note_id")
+
+
+@query("cohort_from_spanish_question", f"SELECT note_id FROM notes n WHERE setting = 'emergency' AND sex = 'male' AND age BETWEEN 30 AND 60 AND ({_has(BRAND)} OR {_has(TYPE, 'absent')}) AND NOT {_has(OTHER)}", "notes", "codings")
+def cohort_from_spanish_question(t: Tables) -> DataFrame:
+    plan = parse_command("Busca notas de urgencias de hombres de 30 a 60 años con (alfa o ausencia documentada de beta) sin gamma confirmada")
+    return t.notes.where(cohort(plan, {"c1": [BRAND], "c2": [TYPE], "c3": [OTHER]}, NOW)).select("note_id")
+
+
+# for each part a phrase and three candidates: the part, its type, its brand
+_CANDIDATES = dict(
+    k="""SELECT concept_id AS id, p_partkey, p_size, name, p_brand, type_id, brand_id, 'q' || concept_id || ' ' || CASE p_partkey % 3 WHEN 0 THEN name WHEN 1 THEN split_part(name, ' ', 2) || ' of ' || split_part(name, ' ', 1) ELSE 'nothing alike' END AS asked FROM parts""",
+    c="""SELECT id, asked AS phrase, 1 AS pos, id AS cid, 'q' || id || ' ' || name AS d, 'disorder' AS tag, [brand_id, type_id] AS up, p_size / 50.0::DOUBLE AS s, p_partkey, p_size FROM k
+  UNION ALL SELECT id, asked, 2, type_id, 'q' || id || ' ' || split_part(name, ' ', 2) || ' kind', 'hallazgo', [], (p_size + 4) / 50.0::DOUBLE, p_partkey, p_size FROM k UNION ALL SELECT id, asked, 3, brand_id, 'q' || id || ' ' || name || ' made by ' || p_brand, 'substance', [], (p_size + 3) / 50.0::DOUBLE, p_partkey, p_size FROM k""",
+    v="SELECT * EXCLUDE (s), CASE WHEN p_partkey % 5 <> 0 THEN s END AS s, p_partkey % 3 = 0 AND pos = 1 AS anchor, p_partkey % 3 < 2 AND pos <> 2 AS supported FROM c",
+    w="SELECT *, max(s) OVER (PARTITION BY id) AS best, bool_or(anchor) OVER (PARTITION BY id) AS anchored, row_number() OVER (PARTITION BY id, supported ORDER BY pos) AS nth FROM v",
+    m="SELECT * FROM w WHERE CASE WHEN anchored THEN anchor WHEN best IS NOT NULL THEN s >= greatest(0.45, best - 0.12::DOUBLE) ELSE supported AND nth <= 3 END",
+    x="SELECT *, min(CASE WHEN best IS NULL OR s = best THEN pos END) OVER (PARTITION BY id) AS top FROM m",
+    y="""SELECT x.*, t.cid AS top_id, t.tag AS top_tag FROM x LEFT JOIN x t ON t.id = x.id AND t.pos = x.top""",
+    z="""SELECT * FROM y WHERE anchored OR pos = top OR (((tag = 'substance') = (top_tag = 'substance')) AND (list_contains(up, top_id) OR supported OR EXISTS (SELECT 1 FROM x q WHERE q.id = y.id AND q.supported AND list_contains(q.up, y.cid) AND y.s >= q.s)))""",
+)
+
+
+@query("broad_scope", "SELECT phrase, CASE WHEN anchored THEN 'description-families' ELSE 'semantic-families' END AS basis, cid AS concept_id FROM z WHERE NOT EXISTS (SELECT 1 FROM z o WHERE o.id = z.id AND list_contains(z.up, o.cid))", "parts", **_CANDIDATES)
+def broad_scope(t: Tables) -> DataFrame:
+    """Families that a phrase for each part means, among the part, its type and its brand."""
+    key, size, word = F.col("p_partkey"), F.col("p_size"), lambda n: F.split_part("name", F.lit(" "), F.lit(n))
+    tagged = lambda *parts: F.concat_ws(" ", F.concat(F.lit("q"), "own"), *parts)
+    rows = t.parts.withColumn("own", F.col("concept_id"))
+    asked = F.when(key % 3 == 0, tagged("name")).when(key % 3 == 1, tagged(word(2), F.lit("of"), word(1))).otherwise(tagged(F.lit("nothing alike")))
+    score = lambda more: F.when(key % 5 != 0, (size + more) / 50.0)
+    one = lambda pos, c, text, tag, up, more: F.struct(F.lit(pos).alias("pos"), F.col(c).alias("concept_id"), text.alias("term"), F.lit(tag).alias("tag"), F.array(text).alias("descriptions"), up.cast("array<string>").alias("ancestor_ids"), score(more).alias("rerank_score"))
+    found = F.array(one(1, "own", tagged("name"), "disorder", F.array("brand_id", "type_id"), 0), one(2, "type_id", tagged(word(2), F.lit("kind")), "hallazgo", F.array(), 4), one(3, "brand_id", tagged("name", F.lit("made by"), "p_brand"), "substance", F.array(), 3))
+    candidates = rows.select(asked.alias("phrase"), F.explode(found).alias("c")).select("phrase", "c.*")
+    return families(candidates).select("phrase", "basis", "concept_id")

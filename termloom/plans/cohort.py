@@ -125,102 +125,180 @@ def validate_ids(ids) -> list[str]:
 
 # ---- grammar
 
-_COMMAND = re.compile(r"^\s*(?:please\s+|por favor\s+)?(?:(?:show|find|list|get|give)(?:\s+me)?|search(?:\s+for)?|muestra(?:me)?|mu[eé]strame|busca(?:r)?|encuentra|lista(?:r)?|dame)\s+", re.I)
-_NOUN = re.compile(r"^\s*(?:all\s+|the\s+|todas\s+|todos\s+|las\s+|los\s+)*(?:clinical\s+|clinicas\s+|cl[ií]nicas\s+)?(?:notes?|patients?|records?|encounters?|notas?|pacientes?|registros?|encuentros?|historias?)\b(?:\s+cl[ií]nicas?)?\s*", re.I)
-_LEAD = re.compile(r"^\s*(?:with|of|who have|having|that mention|mentioning|con|de|que tienen|que mencionan)\s+", re.I)
-_FILTERS = [
-    (re.compile(r"\b(?:in|during|from|within|over)?\s*(?:the\s+)?(?:last|past)\s+(\d+)\s+days?\b|\b(?:en|durante|de)?\s*(?:los\s+)?[uú]ltimos\s+(\d+)\s+d[ií]as\b", re.I), lambda m: {"sinceDays": int(m[1] or m[2])}),
-    (re.compile(r"\b(?:aged?|between|ages|de|entre)\s+(\d+)\s+(?:to|and|a|y|-)\s+(\d+)(?:\s*(?:years?(?:\s+old)?|a[nñ]os))?\b", re.I), lambda m: {"minAge": int(m[1]), "maxAge": int(m[2])}),
-    (re.compile(r"\b(?:over|older than|above|mayores de|m[aá]s de)\s+(\d+)(?:\s*(?:years?(?:\s+old)?|a[nñ]os))?\b", re.I), lambda m: {"minAge": int(m[1]) + 1}),
-    (re.compile(r"\b(?:under|younger than|below|menores de|menos de)\s+(\d+)(?:\s*(?:years?(?:\s+old)?|a[nñ]os))?\b", re.I), lambda m: {"maxAge": int(m[1]) - 1}),
-    (re.compile(r"\b(?:for\s+|in\s+|en\s+)?(?:women|woman|females?|mujer(?:es)?|femenin[oa]s?)\b", re.I), lambda m: {"sex": "female"}),
-    (re.compile(r"\b(?:for\s+|in\s+|en\s+)?(?:men|man|males?|hombres?|varon(?:es)?|varones|masculin[oa]s?)\b", re.I), lambda m: {"sex": "male"}),
-    (re.compile(r"\b(?:in|at|en)?\s*(?:the\s+|el\s+|la\s+)?(?:emergency(?:\s+department)?|emergencias?|urgencias?)\b", re.I), lambda m: {"setting": "emergency"}),
-    (re.compile(r"\b(?:in|at|en)?\s*(?:primary[- ]care|atenci[oó]n primaria)\b", re.I), lambda m: {"setting": "primary-care"}),
-    (re.compile(r"\b(?:in|at|en)?\s*(?:outpatients?|ambulatori[oa]s?|consultas externas)\b", re.I), lambda m: {"setting": "outpatient"}),
-    (re.compile(r"\b(?:in|at|en)?\s*(?:inpatients?|hospitalizad[oa]s?|hospitalizaci[oó]n)\b", re.I), lambda m: {"setting": "inpatient"}),
+# The words of questions, English and Spanish.
+COMMANDS = ("find", "show", "search", "retrieve", "buscar", "busca", "mostrar", "muestra")
+NOUNS = ("notes", "records", "observations", "notas", "registros", "observaciones")
+OPENERS = ("that mention", "that have", "talking about", "with", "about", "for", "from", "in", "con", "sobre", "de", "para", "en", "patients", "pacientes")
+AND_WORDS, OR_WORDS = ("and", "but", "y", "e", "pero"), ("or", "o")
+BEGINS_EXCLUSION = ("without", "excluding", "except", "sin", "excepto")
+EXCLUDES = ("without", "excluding", "except", "exclude", "not with", "not", "no", "sin", "excepto")
+LEADS = [  # what a condition begins with, and what that says; the first that fits
+    (("documented absence of", "documented no", "ausencia documentada de"), {"assertion": "absent"}),
+    (("suspected", "possible", "sospecha de"), {"assertion": "suspected"}),
+    (("family history of", "a family history of", "antecedentes familiares de"), {"subject": "family"}),
+    (("history of", "a history of", "past history of", "a past history of", "previous", "a previous", "historical", "antecedentes personales de", "antecedentes de"), {"assertion": "historical"}),
+    (("planned", "scheduled", "programada", "planificada"), {"assertion": "planned"}),
 ]
-_TOKENS = re.compile(r"\(|\)|\b(?:and|y|e|or|o|u)\b|\b(?:but\s+|pero\s+)?(?:without|excluding|sin)\b|[^()]+?(?=\(|\)|\b(?:and|y|e|or|o|u|without|excluding|sin|but|pero)\b|$)", re.I)
-_PREFIXES = [
-    (re.compile(r"^(?:documented\s+)?absence\s+of\s+|^(?:ausencia\s+(?:documentada\s+)?de)\s+|^(?:no evidence of|negative for|sin evidencia de)\s+", re.I), {"assertion": "absent"}),
-    (re.compile(r"^(?:suspected|possible|probable|sospecha\s+de|posible)\s+", re.I), {"assertion": "suspected"}),
-    (re.compile(r"^(?:family\s+history\s+of|familial|antecedentes?\s+familiar(?:es)?\s+de)\s+", re.I), {"subject": "family"}),
-    (re.compile(r"^(?:history\s+of|prior|previous|antecedentes?\s+de)\s+", re.I), {"assertion": "historical"}),
-    (re.compile(r"^(?:planned|scheduled|planificad[oa]|programad[oa])\s+", re.I), {"assertion": "planned"}),
+PLANNED_ENDS = ("programada", "planificada", "prevista")
+CONFIRMED, CONFIRMED_ENDS, LINKING = ("confirmed", "active", "current", "confirmada"), ("confirmada",), ("with", "about", "con", "sobre", "both", "ambos")
+WOMEN, MEN = ("women", "female patients", "mujeres"), ("men", "male patients", "hombres")
+SETTING_BEFORE = {"emergency": "emergency", "inpatient": "inpatient", "outpatient": "outpatient", "primary-care": "primary-care"}
+SETTING_AFTER = {"urgencias": "emergency", "hospitalización": "inpatient", "atención primaria": "primary-care"}
+# words that tell free prose from a command
+PROSE = (
+    "who", "that", "have", "has", "had", "having", "taking", "takes", "receiving", "treated", "diagnosed", "presenting", "requiring", "because", "with", "people", "patients",
+    "que", "tienen", "tiene", "tomando", "toman", "reciben", "tratados", "diagnosticados", "con",
+)
+
+
+def _one_word_of(words) -> str:
+    """Alternation, longer ones first; white space in them may be any."""
+    return "|".join(r"\s+".join(map(re.escape, w.split())) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def _pattern(text: str) -> re.Pattern:
+    return re.compile(text, re.IGNORECASE)
+
+
+def _starts(words) -> re.Pattern:
+    return _pattern(rf"(?:{_one_word_of(words)})\s+")
+
+
+_HEAD = rf"(?:{_one_word_of(COMMANDS)})\s+(?:me\s+)?(?:all\s+)?"
+_COMMAND = _pattern(rf"{_HEAD}(?:clinical\s+)?(?:{_one_word_of(NOUNS)})\b\s*")
+_STRUCTURED = _pattern(rf"{_HEAD}(?:(?:clinical|{_one_word_of(SETTING_BEFORE)})\s+)?(?:{_one_word_of(NOUNS)})\b")
+_OPENER = _pattern(rf"(?:{_one_word_of(OPENERS)})\b\s*")
+_PROSE = _pattern(rf"\b(?:{_one_word_of(PROSE)})\b")
+_YEARS = r"(?:\s+(?:years\s+old|años))?"
+#: What a question says beside its conditions: pattern, filters of a match, and what stays of it.
+_FILTERS = [
+    (_pattern(r"(?:\b(?:from|in|during|within|de|en|durante)\s+)?(?:\b(?:the|los)\s+)?\b(?:last|past|[uú]ltimos)\s+(\d{1,4})\s+(?:days?|d[ií]as?)\b"), lambda m: {"sinceDays": int(m[1])}, ""),
+    (_pattern(rf"\b(?:aged|de)\s+(\d{{1,3}})\s+(?:to|a)\s+(\d{{1,3}}){_YEARS}\b"), lambda m: {"minAge": int(m[1]), "maxAge": int(m[2])}, ""),
+    (_pattern(rf"\b(?:over|older\s+than|mayores\s+de|m[aá]s\s+de)\s+(\d{{1,3}}){_YEARS}\b"), lambda m: {"minAge": int(m[1]) + 1}, ""),
+    (_pattern(rf"\b(?:{_one_word_of(WOMEN)})\b"), lambda m: {"sex": "female"}, ""),
+    (_pattern(rf"\b(?:{_one_word_of(MEN)})\b"), lambda m: {"sex": "male"}, ""),
+    (_pattern(rf"\b({_one_word_of(SETTING_BEFORE)})\s+(?=(?:notes|records)\b)"), lambda m: {"setting": SETTING_BEFORE[m[1].lower()]}, ""),
+    (_pattern(rf"(?<=\bnotas)\s+de\s+({_one_word_of(SETTING_AFTER)})\b|(?<=\bregistros)\s+de\s+({_one_word_of(SETTING_AFTER)})\b"), lambda m: {"setting": SETTING_AFTER[" ".join((m[1] or m[2]).lower().split())]}, ""),
 ]
+_WORD = _pattern(rf"[()]|\b(?:{_one_word_of(AND_WORDS + OR_WORDS)})\b")
+_EXCLUSION = _pattern(rf"\s+(?=(?:{_one_word_of(BEGINS_EXCLUSION)})\s)")
+_CONNECTED = _pattern(rf"(?:\b(?:{_one_word_of(AND_WORDS + OR_WORDS)})|\()$")
+
+
+def _words(text: str) -> list[str]:
+    """Parentheses, connectives and the conditions between them, in order."""
+    out, at = [], 0
+    for m in _WORD.finditer(text):
+        out += [text[at : m.start()], m[0]]
+        at = m.end()
+    return [x for x in (w.strip() for w in [*out, text[at:]]) if x]
 
 
 def parse_question(text: str) -> Plan:
-    """Plan of a question. AND binds tighter than OR; `without` begins an excluded leaf."""
+    """Plan of a question. AND binds tighter than OR; `without` begins an excluded condition."""
     if not isinstance(text, str) or not text.strip():
         raise PlanError("the question is empty")
-    rest = _NOUN.sub("", _COMMAND.sub("", text.strip().rstrip(".?")), count=1)
+    rest = text.strip().rstrip("?.")
     found: dict = {}
-    for pattern, values in _FILTERS:
-        if m := pattern.search(rest):
+    for pattern, values, stays in _FILTERS:
+        for m in pattern.finditer(rest):
             found |= values(m)
-            rest = f"{rest[: m.start()]} {rest[m.end() :]}"
-    rest = re.sub(r"^[\s,;:]+|[\s,;:]+$", "", _LEAD.sub("", re.sub(r"\s+", " ", rest).strip()))
+        rest = pattern.sub(f"{stays} ", rest)
+    rest = re.sub(r"\s+", " ", rest).strip()
+    if m := _COMMAND.match(rest):
+        rest = rest[m.end() :]
+    while m := _OPENER.match(rest):
+        rest = rest[m.end() :]
     filters = validate_filters(found)
     if not rest:
+        if not found:
+            raise PlanError("the question names no condition")
         return Plan(None, filters)
-    words = [w.strip(" ,") for w in _TOKENS.findall(rest)]
-    root = _Grammar([w for w in words if w]).whole()
-    return _numbered(Plan(root, filters))
+    rest = _EXCLUSION.sub(lambda m: " " if _CONNECTED.search(rest[: m.start()].rstrip()) else " and ", rest)
+    return _numbered(Plan(_Grammar(_words(rest)).whole(), filters))
+
+
+def parse_command(text: str) -> Plan | None:
+    """The plan of a question that is a plain command on notes; None for freer prose."""
+    if not isinstance(text, str) or not _STRUCTURED.match(text.strip()):
+        return None
+    try:
+        plan = parse_question(text)
+    except PlanError:
+        return None
+    return None if plan.root is None or any(_PROSE.search(x.phrase) for x in leaves(plan.root)) else plan
+
+
+def _without(pattern: re.Pattern, text: str) -> tuple[str, bool]:
+    m = pattern.match(text)
+    return (text[m.end() :], True) if m else (text, False)
+
+
+_EXCLUDE, _LEADS = _starts(EXCLUDES), [(_starts(words), values) for words, values in LEADS]
+_CONFIRMED, _LINKING = _starts(CONFIRMED), _starts(LINKING)
+_PLANNED_END, _CONFIRMED_END = (_pattern(rf"\s+(?:{_one_word_of(x)})$") for x in (PLANNED_ENDS, CONFIRMED_ENDS))
+
+
+def condition(text: str) -> Leaf:
+    """One condition: its phrase without the words that say how it is meant."""
+    phrase, exclude = _without(_EXCLUDE, text)
+    for lead, values in _LEADS:
+        phrase, fits = _without(lead, phrase)
+        if fits:
+            break
+    else:
+        values = {"assertion": "planned"} if _PLANNED_END.search(phrase) else {}
+        phrase = _PLANNED_END.sub("", phrase)
+    phrase = _CONFIRMED_END.sub("", _without(_CONFIRMED, phrase)[0])
+    phrase = _without(_LINKING, phrase)[0].strip()
+    if not phrase or len(phrase) > MAX_PHRASE:
+        raise PlanError("a condition is empty or too long")
+    return Leaf(phrase, exclude=exclude, **values)
 
 
 class _Grammar:
-    AND, OR, WITHOUT = re.compile(r"and|y|e", re.I), re.compile(r"or|o|u", re.I), re.compile(r"(?:(?:but|pero)\s+)?(?:without|excluding|sin)", re.I)
+    """any_of := all_of (OR all_of)*; all_of := one (AND one)*; one := condition or (any_of)."""
 
     def __init__(self, words: list[str]):
-        self.words = [w for w in words if w.lower() not in ("but", "pero")]
+        self.words = words
 
-    def next_is(self, pattern: re.Pattern | str) -> bool:
-        return bool(self.words) and (self.words[0] == pattern if isinstance(pattern, str) else bool(pattern.fullmatch(self.words[0])))
+    def next_in(self, words) -> bool:
+        return bool(self.words) and self.words[0].lower() in words
 
     def whole(self):
-        root = self.any_of()
+        root = self.any_of(1)
         if self.words:
             raise PlanError(f"unexpected {self.words[0]!r}")
         return root
 
-    def any_of(self):
-        parts = [self.all_of()]
-        while self.next_is(self.OR):
-            self.words.pop(0)
-            parts.append(self.all_of())
-        return parts[0] if len(parts) == 1 else Group("any", tuple(parts))
-
-    def all_of(self):
-        parts = [self.one()]
-        while self.next_is(self.AND) or self.next_is(self.WITHOUT):
-            if self.next_is(self.AND):
-                self.words.pop(0)
-            parts.append(self.one())
-        return parts[0] if len(parts) == 1 else Group("all", tuple(parts))
-
-    def one(self):
-        exclude = self.next_is(self.WITHOUT)
-        if exclude:
+    def joined(self, kind: str, part, words, depth: int):
+        parts = [part(depth)]
+        while self.next_in(words):
             self.words.pop(0)
-        if self.next_is("("):
+            parts.append(part(depth))
+        if len(parts) > MAX_CHILDREN:
+            raise PlanError(f"a group has 1 to {MAX_CHILDREN} children")
+        return parts[0] if len(parts) == 1 else Group(kind, tuple(parts))
+
+    def any_of(self, depth: int):
+        if depth > MAX_DEPTH:
+            raise PlanError("a plan is at most four deep")
+        return self.joined("any", self.all_of, OR_WORDS, depth)
+
+    def all_of(self, depth: int):
+        return self.joined("all", self.one, AND_WORDS, depth)
+
+    def one(self, depth: int):
+        if self.next_in(("(",)):
             self.words.pop(0)
-            inner = self.any_of()
-            if not self.next_is(")"):
+            inner = self.any_of(depth + 1)
+            if not self.next_in((")",)):
                 raise PlanError("a parenthesis isn't closed")
             self.words.pop(0)
-            return replace(inner, exclude=exclude != inner.exclude)
-        if not self.words or self.words[0] == ")" or any(self.next_is(p) for p in (self.AND, self.OR, self.WITHOUT)):
+            return inner
+        if not self.words or self.next_in((")", *AND_WORDS, *OR_WORDS)):
             raise PlanError("a condition is missing")
-        phrase, values = self.words.pop(0), {}
-        phrase = re.sub(r"^(?:with|con|having)\s+", "", phrase, flags=re.I)
-        for pattern, more in _PREFIXES:
-            if m := pattern.match(phrase):
-                phrase, values = phrase[m.end() :], more
-                break
-        if not phrase or len(phrase) > MAX_PHRASE:
-            raise PlanError("a condition is empty or too long")
-        return Leaf(phrase, exclude=exclude, **values)
+        return condition(self.words.pop(0))
 
 
 def leaves(node) -> list[Leaf]:
