@@ -1,4 +1,7 @@
-"""Diagnosis ranking: weights, buckets, exclusion, proposal. Weights are fixed values."""
+"""Diagnosis ranking: weights, encounter priority, buckets, exclusion, proposal, explanation.
+
+Weights and patterns are fixed values that results depend on.
+"""
 
 from __future__ import annotations
 
@@ -9,51 +12,12 @@ from ..functions.text import english_tag, fold_accents, normalize, tokens
 
 ASSERTION_WEIGHT = {"present": 20, "suspected": 8, "historical": -10, "planned": -18, "absent": -30, "family-history": -36}
 SECTION_WEIGHT = [
-    ("family|familiar", -18), ("assessment|diagnos|impression|problem list|problemas|evaluaci|valoraci|juicio cl|active", 22),
+    ("family|familiar", -18), ("assessment|diagnos|impression|problem list|problemas|evaluaci|valoraci|juicio cl|\\bactive\\b", 22),
     ("chief complaint|reason for|motivo|hpi|present illness|enfermedad actual|consulta", 12), ("exam|explor|findings|resultados|investigation|pruebas", 6),
     ("plan|follow|seguimiento|treatment|tratamiento|medication|procedure|procedimiento", -12), ("history|antecedentes", -8),
 ]
 
 
-def assertion_weight(assertion: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in ASSERTION_WEIGHT.items() for x in pair))[assertion]
-
-
-def section_weight(section: Column) -> Column:
-    """First pattern that the section's name matches; other names 2, no name 0."""
-    out = F.when(F.coalesce(F.trim(section), F.lit("")) == "", 0)
-    for pattern, weight in SECTION_WEIGHT:
-        out = out.when(F.lower(section).rlike(pattern), weight)
-    return out.otherwise(2)
-
-
-def exclusion(concept_id: Column, active: Column, is_finding: Column, needs_review: Column, subject: Column, score: Column) -> Column:
-    """Why a concept can't be a diagnosis; null if it can."""
-    return F.when(concept_id.isNull(), "no-code").when(~active, "inactive").when(~is_finding, "not-finding").when(needs_review, "mapping-needs-review").when(subject != "patient", "not-patient").when(score <= 0, "non-positive-score")
-
-
-def buckets(mentions: DataFrame) -> DataFrame:
-    """note_id, concept_id, assertion, temporality, kind: best score, support, first five spans.
-
-    A concept's score is its best mention's plus 4 for each further one, 12 at most.
-    """
-    grouped = mentions.groupBy("note_id", "concept_id", "assertion", "temporality", "kind").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("support"), F.array_join(F.slice(F.array_sort(F.collect_set("span")), 1, 5), "|").alias("spans"))
-    return grouped.withColumn("score", F.col("best") + F.least(4 * (F.col("support") - 1), F.lit(12)))
-
-
-def ranked(found: DataFrame) -> DataFrame:
-    order = Window.partitionBy("note_id").orderBy(F.col("eligible").desc(), F.col("score").desc(), F.col("support").desc(), "concept_id", "assertion", "temporality", "kind")
-    return found.withColumn("place", F.row_number().over(order))
-
-
-def split(found: DataFrame) -> DataFrame:
-    """role of each ranked concept: principal, comorbidity, history, suspected, excluded."""
-    role = F.when(~F.col("eligible"), "excluded").when(F.col("place") == 1, "principal").when(F.col("assertion") == "suspected", "suspected").when(F.col("temporality") == "historical", "history").otherwise("comorbidity")
-    return found.withColumn("role", role)
-
-
-# ---- the whole method: evidence, tags, confidence and encounter priority as well
-
 EVIDENCE_WEIGHT = {"direct": 3, "inferred": 2, "context": -10, "system": -14}
 DECISION_WEIGHT = {"accepted": 6, "accepted-inferred": 5, "review": 3, "abstain": -12, "timed-out": -12, "no-code": -22, "rejected": -22}
 # the first part that the English tag holds, by the part of the target's name
@@ -92,15 +56,17 @@ def _label(section: Column) -> Column:
     return F.lower(fold_accents(F.regexp_replace(F.when(plain == "", "Note").otherwise(plain), "_", " ")))
 
 
-def _place_weight(section: Column) -> Column:
-    """section_weight of a label, where active counts as a whole word only."""
-    reactive = F.regexp_replace(_label(section), "(?<=[a-z0-9_])active|active(?=[a-z0-9_])", "")
-    return section_weight(F.when(reactive == "", "other").otherwise(reactive))
+def section_weight(section: Column) -> Column:
+    """First pattern that the section's label matches; other labels 2."""
+    out = F.when(F.lit(False), 0)
+    for pattern, weight in SECTION_WEIGHT:
+        out = out.when(_label(section).rlike(pattern), weight)
+    return out.otherwise(2)
 
 
 def mention_score(confidence: Column, section: Column, assertion: Column, evidence: Column, decision: Column, tag: Column, target: str = "condition.code") -> Column:
     """0.3 of the confidence in percent, then section, assertion, evidence and tag; unknown values weigh 0."""
-    parts = _place_weight(section) + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + tag_weight(tag, target)
+    parts = section_weight(section) + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + tag_weight(tag, target)
     return F.coalesce(confidence, F.lit(0)) * CONFIDENCE_WEIGHT + parts
 
 
@@ -118,7 +84,7 @@ def with_priority(entries: DataFrame) -> DataFrame:
     none = F.lit("")
     rows = entries.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
     present = (F.col("assertion") == "present") & (F.col("subject") == "patient")
-    assessment = _place_weight(F.col("section")) == 22
+    assessment = section_weight(F.col("section")) == 22
     source = Window.partitionBy("note_id", _label(F.col("section")), F.coalesce(F.col("section_start").cast("string"), none))
     first = F.min(F.when(present & (F.col("kind") == "condition") & (F.col("temporality") != "unknown") & assessment, F.col("start"))).over(source)
     leads = F.coalesce(F.col("start") == first, F.lit(False)) | F.coalesce(F.col("sentence").rlike("^\\s*1[.)]\\s"), F.lit(False))
@@ -198,3 +164,24 @@ def proposal(found: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     past = ~F.col("eligible") & ((F.lower("assertion") == "historical") | ((F.lower("assertion") == "present") & (F.col("temporality") == "unknown")))
     roles = {"candidate": F.col("_candidate"), "comorbidity": active & ~related & ~symptom & (F.col("clinical_status") != "resolved"), "history": past, "principal": F.col("_principal"), "related": related, "suspected": ~F.col("eligible") & (F.lower("assertion") == "suspected"), "symptom": symptom}
     return ranks.withColumn("roles", F.array_compact(F.array(*(F.when(x, k) for k, x in roles.items())))).drop("_waiting", "_candidate", "_principal", "_above", "_linked")
+
+
+def explanation(found: DataFrame) -> DataFrame:
+    """How a note's proposal came about: each ranked concept with its place and bucket, then each
+    excluded mention with its reason. found: scored() mentions."""
+    ranks = concepts(found)
+    finding = F.coalesce(F.col("tag").isin("disorder", "finding"), F.lit(False))
+    low = F.lower("assertion")
+    able = F.col("eligible") & (F.col("priority") >= F.col("_waiting")) & (F.col("place") == 1)
+    bucket = F.when(able, "principal").when(~finding, "not-a-diagnosis").when(F.col("eligible"), F.when(F.col("tag") == "finding", "symptom").otherwise("comorbidity")).when(low == "historical", "history").when(low == "suspected", "suspected").otherwise("unclassified")
+    waiting = found.groupBy("note_id").agg(F.max("unresolved").alias("_waiting"))
+    ranked = ranks.join(waiting, "note_id").select("note_id", F.lit("ranking").alias("part"), "place", "concept_id", "term", bucket.alias("said"), F.col("score").cast("double").alias("score"))
+    excluded = found.where("reason IS NOT NULL").select("note_id", F.lit("excluded").alias("part"), F.lit(None).cast("int").alias("place"), "concept_id", "term", F.col("reason").alias("said"), F.col("score").cast("double").alias("score"))
+    return ranked.unionByName(excluded)
+
+
+def rules(spark) -> DataFrame:
+    """part, value, weight: the weights that scores are made of."""
+    rows = [("assertion", k, float(v)) for k, v in ASSERTION_WEIGHT.items()] + [("evidence", k, float(v)) for k, v in EVIDENCE_WEIGHT.items()] + [("decision", k, float(v)) for k, v in DECISION_WEIGHT.items()]
+    rows += [("section", pattern, float(v)) for pattern, v in SECTION_WEIGHT] + [("tag", part, float(v)) for part, v in TAG_WEIGHT["condition"]] + [("confidence", "", CONFIDENCE_WEIGHT)]
+    return spark.createDataFrame(rows, "part string, value string, weight double")

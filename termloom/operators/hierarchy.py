@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def closure(edges: DataFrame, max_depth: int) -> DataFrame:
-    """concept_id, ancestor_id, depth of the shortest way, up to max_depth levels.
+    """concept_id, ancestor_id, depth of the shortest way, for ways of up to max_depth levels: the
+    depth is the caller's limit. closure_fixpoint has none.
 
     A chain of joins of known length: one lazy plan, no job per level. Where several ways
     meet, the shortest counts.
@@ -23,19 +26,17 @@ def closure(edges: DataFrame, max_depth: int) -> DataFrame:
 
 
 def closure_fixpoint(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """The closure of a DAG of unknown depth: one level per job until no pair is new."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        raise ValueError("closure_fixpoint cuts lineage by checkpoint(): set spark.checkpoint.dir or a checkpoint folder")
-    step = edges.select(F.col("child").alias("c"), F.col("parent").alias("p")).distinct().checkpoint()
-    known = step.select(F.col("c").alias("concept_id"), F.col("p").alias("ancestor_id"), F.lit(1).alias("depth")).checkpoint()
-    fresh = known
+    """The whole closure of a DAG of any depth: one level per job until no pair is new. Each level is
+    stored by itself, so what is known is read again but never written twice."""
+    step = stored(edges.select(F.col("child").alias("c"), F.col("parent").alias("p")).distinct(), "edges")
+    levels = [step.select(F.col("c").alias("concept_id"), F.col("p").alias("ancestor_id"), F.lit(1).alias("depth"))]
     for depth in range(2, limit + 1):
-        found = fresh.join(step, fresh.ancestor_id == step.c).select("concept_id", F.col("p").alias("ancestor_id"), F.lit(depth).alias("depth")).distinct()
-        fresh = found.join(known.select("concept_id", "ancestor_id"), ["concept_id", "ancestor_id"], "left_anti").checkpoint()
+        found = levels[-1].join(step, F.col("ancestor_id") == F.col("c")).select("concept_id", F.col("p").alias("ancestor_id"), F.lit(depth).alias("depth")).distinct()
+        known = reduce(DataFrame.unionByName, levels)
+        fresh = stored(found.join(known.select("concept_id", "ancestor_id"), ["concept_id", "ancestor_id"], "left_anti"), "level")
         if fresh.isEmpty():
             return known
-        known = known.unionByName(fresh).checkpoint()
+        levels.append(fresh)
     raise ValueError(f"no end of the hierarchy within {limit} levels")
 
 
@@ -76,13 +77,22 @@ def preferred_parent(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return named.withColumn("k", rank).where("k = 1").select("child", "parent")
 
 
-def primary_path(edges: DataFrame, concepts: DataFrame, concept_id: str, max_depth: int) -> DataFrame:
-    """Chain of preferred parents from the concept upwards: step 0 is the concept."""
-    chosen = preferred_parent(edges, concepts)
-    step = chosen.sparkSession.range(1).select(F.lit(concept_id).alias("concept_id"), F.lit(0).alias("step"))
-    steps = [step]
-    for k in range(1, max_depth + 1):
+def primary_path(edges: DataFrame, concepts: DataFrame, closed: DataFrame, concept_id: str) -> DataFrame:
+    """Chain of preferred parents from the concept upwards: step 0 is the concept. Only the edges
+    of the concept and what lies above it are looked at; the way is as long as the hierarchy."""
+    spark = edges.sparkSession
+    own = spark.range(1).select(F.lit(concept_id).alias("child"))
+    above = closed.where(F.col("concept_id") == concept_id)
+    within = stored(edges.join(own.unionByName(above.select(F.col("ancestor_id").alias("child"))), "child", "left_semi"), "path-edges")
+    chosen = stored(preferred_parent(within, concepts), "path-parents")
+    longest = chosen.count()
+    steps = [own.select(F.col("child").alias("concept_id"), F.lit(0).alias("step"))]
+    for k in range(1, longest + 1):
         steps.append(steps[-1].join(chosen, F.col("concept_id") == F.col("child")).select(F.col("parent").alias("concept_id"), F.lit(k).alias("step")))
+        if k % 8 == 0:
+            steps[-1] = stored(steps[-1], "path")
+            if steps[-1].isEmpty():
+                break
     return reduce(DataFrame.unionByName, steps)
 
 
@@ -126,3 +136,56 @@ def branch_caps(branches: DataFrame, per_branch: int, total: int) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("branch").orderBy("concept_id"))
     capped = branches.withColumn("place", own).where(F.col("place") <= per_branch)
     return capped.orderBy("branch", "place").limit(total)
+
+
+MOST_NEIGHBOURS, MOST_PARENTS, MOST_RELATIONSHIPS, MOST_PREVIEWED = 24, 20, 40, 25
+IS_A = "116680003"
+
+
+def _first(df: DataFrame, key: str, other: str, most: int) -> DataFrame:
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(other))).where(F.col("_k") <= most).drop("_k")
+
+
+def with_neighbours(nodes: DataFrame, edges: DataFrame, most: int = MOST_NEIGHBOURS) -> DataFrame:
+    """nodes (concept_id, ...) with parent_ids and child_ids, the first so many of each by id."""
+    out = nodes
+    for name, this, other in (("parent_ids", "child", "parent"), ("child_ids", "parent", "child")):
+        own = edges.join(nodes.select(F.col("concept_id").alias(this)).distinct(), this, "left_semi")
+        listed = _first(own, this, other, most).groupBy(this).agg(F.array_sort(F.collect_list(other)).alias(name)).withColumnRenamed(this, "concept_id")
+        out = out.join(listed, "concept_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def concept_view(ids: DataFrame, concepts: DataFrame, edges: DataFrame, attributes: DataFrame, child_limit: int = 20) -> DataFrame:
+    """A row for each of ids (concept_id): parents, children and previewed relationships as sorted
+    arrays. At most MOST_PARENTS parents and child_limit children by id, those unknown left out;
+    of MOST_RELATIONSHIPS relationships the first MOST_PREVIEWED: is-a first, then by type's and
+    destination's term. concepts: concept_id, name. attributes: source_id, type_id, destination_id."""
+    named = lambda x: concepts.select(F.col("concept_id").alias(x), F.col("name").alias(f"{x}_name"))
+    linked = lambda this, other, most, name: _first(edges.join(ids.select(F.col("concept_id").alias(this)), this, "left_semi"), this, other, most).join(named(other), other).groupBy(F.col(this).alias("concept_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.lower(f"{other}_name").alias("l"), other, f"{other}_name"))), lambda x: x[f"{other}_name"]).alias(name))
+    defining = edges.select(F.col("child").alias("concept_id"), F.lit(IS_A).alias("type_id"), F.col("parent").alias("to_id"))
+    others = attributes.select(F.col("source_id").alias("concept_id"), "type_id", F.col("destination_id").alias("to_id"))
+    related = defining.unionByName(others).join(ids.select("concept_id"), "concept_id", "left_semi")
+    order = Window.partitionBy("concept_id").orderBy("type_id", "to_id")
+    kept = related.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= MOST_RELATIONSHIPS)
+    labelled = kept.join(named("to_id"), "to_id", "left").join(concepts.select(F.col("concept_id").alias("_t"), F.col("name").alias("_type")), F.col("type_id") == F.col("_t"), "left")
+    type_term = F.when(F.col("type_id") == IS_A, "Is a").otherwise(F.coalesce("_type", "type_id"))
+    key = F.struct(F.when(F.col("type_id") == IS_A, 0).otherwise(1).alias("o"), type_term.alias("type_term"), F.coalesce("to_id_name", "to_id").alias("term"), "to_id", "type_id")
+    preview = labelled.groupBy("concept_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, MOST_PREVIEWED).alias("relationships"), F.count(F.lit(1)).alias("relationship_count"))
+    none = F.array().cast("array<string>")
+    own = ids.select("concept_id").join(concepts.select("concept_id", "name", "active"), "concept_id")
+    whole = own.join(linked("child", "parent", MOST_PARENTS, "parents"), "concept_id", "left").join(linked("parent", "child", child_limit, "children"), "concept_id", "left").join(preview, "concept_id", "left")
+    return whole.withColumns({"parents": F.coalesce("parents", none), "children": F.coalesce("children", none), "relationship_count": F.coalesce("relationship_count", F.lit(0))})
+
+
+def concept_summaries(ids: DataFrame, concepts: DataFrame, labels: DataFrame, closed: DataFrame) -> DataFrame:
+    """A row for each of ids: term, tag, active and ancestor_ids, itself first. An unknown id is its
+    own term and has no tag and no state. labels: concept_id, label."""
+    up = closed.join(ids.select("concept_id"), "concept_id", "left_semi").groupBy("concept_id").agg(F.array_sort(F.collect_set("ancestor_id")).alias("_up"))
+    joined = ids.select("concept_id").distinct().join(concepts.select("concept_id", "tag", "active"), "concept_id", "left").join(labels, "concept_id", "left").join(up, "concept_id", "left")
+    return joined.select("concept_id", F.coalesce("label", "concept_id").alias("term"), "tag", "active", F.concat(F.array("concept_id"), F.coalesce("_up", F.array().cast("array<string>"))).alias("ancestor_ids"))
+
+
+def unknown_ids(ids: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Those of ids that are no active concept: a request with any of them is to be refused."""
+    return ids.select("concept_id").distinct().join(concepts.where("active"), "concept_id", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
-from ..sources.views import MAX_DEPTH, Tables, tables
+from ..sources.views import Tables, tables
 from .ecl import EclSpace, scope
 from .oracle_views import with_views
 
@@ -49,10 +49,10 @@ for _name, (_text, _sql) in EXPRESSIONS.items():
     query(_name, f"SELECT concept_id FROM ({_sql})", "concepts", "closure", "attributes")(lambda t, text=_text: space(t).compile(text))
 
 
-@query("ecl_enrich", f"SELECT i.concept_id, i.pos, c.name, c.tag, coalesce(c.active, false) AS known_active, c.concept_id IS NULL AS missing FROM ids i LEFT JOIN concepts c USING (concept_id)", "concepts", "closure", ids=f"SELECT concept_id, row_number() OVER (ORDER BY concept_id) - 1 AS pos FROM ({_below(NATION, True)} UNION SELECT '999999') ORDER BY pos LIMIT 20")
+@query("ecl_enrich", f"SELECT i.concept_id, i.pos, c.name, c.tag, coalesce(c.active, false) AS known_active, c.concept_id IS NULL AS missing FROM ids i LEFT JOIN concepts c USING (concept_id)", "concepts", "closure", ids=f"SELECT concept_id, row_number() OVER (ORDER BY concept_id) - 1 AS pos FROM ({_below(NATION, True)} UNION SELECT '999999') ORDER BY pos LIMIT 400")
 def ecl_enrich(t: Tables) -> DataFrame:
     """The first ids of an expansion in order, with labels; unknown ids keep their row."""
-    ids = space(t).compile(f"<< {NATION} OR 999999").orderBy("concept_id").limit(20)
+    ids = space(t).compile(f"<< {NATION} OR 999999").orderBy("concept_id").limit(400)
     placed = ids.withColumn("pos", F.row_number().over(Window.orderBy("concept_id")).cast("long") - 1)
     labels = t.concepts.withColumnRenamed("concept_id", "c")
     return placed.join(labels, F.col("concept_id") == F.col("c"), "left").select("concept_id", "pos", "name", "tag", F.coalesce("active", F.lit(False)).alias("known_active"), F.col("c").isNull().alias("missing"))
@@ -97,7 +97,7 @@ def ancestor_walk(t: Tables) -> DataFrame:
     path=f"SELECT '{PART}' AS concept_id, 0 AS step UNION ALL SELECT parent, step + 1 FROM path JOIN pick ON child = concept_id",
 )
 def primary_path(t: Tables) -> DataFrame:
-    return H.primary_path(t.edges, t.concepts, PART, MAX_DEPTH)
+    return H.primary_path(t.edges, t.concepts, t.closure, PART)
 
 
 @query("subsumption_test", "SELECT p.a AS concept_id, p.b AS other_id, p.a = p.b OR EXISTS (SELECT 1 FROM closure c WHERE c.concept_id = p.a AND c.ancestor_id = p.b) AS subsumed FROM p", "closure", "parts", p=f"SELECT concept_id AS a, '{BRAND}' AS b FROM parts UNION ALL SELECT '{BRAND}', '{BRAND}'")
@@ -113,10 +113,10 @@ def scope_by_relation(t: Tables) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("family_roots", f"SELECT concept_id FROM ids WHERE NOT EXISTS (SELECT 1 FROM closure c JOIN ids o ON o.concept_id = c.ancestor_id WHERE c.concept_id = ids.concept_id)", "closure", "parts", ids=f"SELECT concept_id FROM parts WHERE p_partkey % 3 = 0 UNION SELECT '{BRAND}' UNION SELECT '{TYPE}'")
+@query("family_roots", f"SELECT concept_id FROM ids WHERE NOT EXISTS (SELECT 1 FROM closure c JOIN ids o ON o.concept_id = c.ancestor_id WHERE c.concept_id = ids.concept_id)", "closure", "parts", "types", ids=f"SELECT concept_id FROM parts UNION SELECT concept_id FROM types UNION SELECT '{BRAND}' UNION SELECT '{TYPE}'")
 def family_roots(t: Tables) -> DataFrame:
     own = t.spark.createDataFrame([(BRAND,), (TYPE,)], "concept_id string")
-    return H.family_roots(t.parts.where("p_partkey % 3 = 0").select("concept_id").union(own), t.closure)
+    return H.family_roots(t.parts.select("concept_id").union(t.types.select("concept_id")).union(own).distinct(), t.closure)
 
 
 @query("top_roots", "SELECT concept_id, string_agg(CASE ancestor_id WHEN '100000' THEN 'africa' WHEN '100001' THEN 'america' ELSE 'asia' END, ',' ORDER BY ancestor_id) AS area_tags FROM closure WHERE ancestor_id IN ('100000', '100001', '100002') GROUP BY concept_id", "closure")
@@ -157,3 +157,41 @@ def relationship_groups(t: Tables) -> DataFrame:
 
     named = t.edges.select(F.lit("116680003").alias("type_id"), F.lit("Is a").alias("type_term"), F.col("child").alias("source_id")).union(t.attributes.select("type_id", F.lit("supplies"), "source_id"))
     return named.groupBy(relationship_category(F.col("type_id"), F.col("type_term")).alias("category"), "type_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("n_sources"))
+
+
+_VIEWED = dict(
+    ids="SELECT concept_id FROM concepts WHERE tag IN ('supplier', 'nation', 'part')",
+    names="SELECT concept_id AS nid, name FROM concepts",
+    pa="SELECT child AS concept_id, string_agg(name, '|' ORDER BY lower(name), parent) AS parents FROM (SELECT *, row_number() OVER (PARTITION BY child ORDER BY parent) AS k FROM edges) JOIN names ON nid = parent WHERE k <= 20 GROUP BY child",
+    ch="SELECT parent AS concept_id, string_agg(name, '|' ORDER BY lower(name), child) AS children FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS k FROM edges) JOIN names ON nid = child WHERE k <= 8 GROUP BY parent",
+    rl="SELECT child AS concept_id, '116680003' AS type_id, parent AS to_id FROM edges UNION ALL SELECT source_id, type_id, destination_id FROM attributes",
+    rk="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY type_id, to_id) AS k FROM rl) WHERE k <= 40",
+    rp="SELECT concept_id, count(*) AS n, list(to_id ORDER BY (type_id <> '116680003'), CASE WHEN type_id = '116680003' THEN 'Is a' ELSE type_id END, coalesce(name, to_id), to_id) AS l FROM rk LEFT JOIN names ON nid = to_id GROUP BY concept_id",
+)
+
+
+@query("concept_view", "SELECT i.concept_id, coalesce(parents, '') AS parents, coalesce(children, '') AS children, coalesce(n, 0) AS relationship_count, array_to_string(l[1:25], ',') AS preview FROM ids i LEFT JOIN pa USING (concept_id) LEFT JOIN ch USING (concept_id) LEFT JOIN rp USING (concept_id)", "concepts", "edges", "attributes", **_VIEWED)
+def concept_view(t: Tables) -> DataFrame:
+    """Suppliers, nations and parts as a browser shows them: capped parents, children, relationships."""
+    ids = t.concepts.where("tag IN ('supplier', 'nation', 'part')").select("concept_id")
+    seen = H.concept_view(ids, t.concepts, t.edges, t.attributes, child_limit=8)
+    return seen.select("concept_id", F.array_join("parents", "|").alias("parents"), F.array_join("children", "|").alias("children"), "relationship_count", F.array_join("relationships.to_id", ",").alias("preview"))
+
+
+@query("concept_summaries", "SELECT i.concept_id, coalesce(c.name, i.concept_id) AS term, c.tag, c.active, array_to_string(list_concat([i.concept_id], coalesce(u.up, [])), ',') AS ancestors FROM (SELECT concept_id FROM concepts WHERE tag = 'supplier' UNION SELECT '999999') i LEFT JOIN concepts c USING (concept_id) LEFT JOIN (SELECT concept_id, list(ancestor_id ORDER BY ancestor_id) AS up FROM closure GROUP BY concept_id) u USING (concept_id)", "concepts", "closure")
+def concept_summaries(t: Tables) -> DataFrame:
+    ids = t.concepts.where("tag = 'supplier'").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
+    labels = t.concepts.select("concept_id", F.col("name").alias("label"))
+    return H.concept_summaries(ids, t.concepts, labels, t.closure).select("concept_id", "term", "tag", "active", F.array_join("ancestor_ids", ",").alias("ancestors"))
+
+
+@query("graph_neighbours", f"SELECT n.concept_id, array_to_string((SELECT list(parent ORDER BY parent) FROM edges e WHERE e.child = n.concept_id)[1:24], ',') AS parents, coalesce(array_to_string((SELECT list(child ORDER BY child) FROM edges e WHERE e.parent = n.concept_id)[1:24], ','), '') AS children FROM (SELECT concept_id FROM closure WHERE ancestor_id = '{REGION}' AND depth <= 1) n", "edges", "closure")
+def graph_neighbours(t: Tables) -> DataFrame:
+    nodes = t.closure.where((F.col("ancestor_id") == REGION) & (F.col("depth") <= 1)).select("concept_id")
+    return H.with_neighbours(nodes, t.edges).select("concept_id", F.array_join("parent_ids", ",").alias("parents"), F.array_join("child_ids", ",").alias("children"))
+
+
+@query("unknown_ids", "SELECT i.concept_id FROM (SELECT concept_id FROM concepts UNION SELECT '999999') i LEFT JOIN concepts c ON c.concept_id = i.concept_id AND c.active WHERE c.concept_id IS NULL", "concepts")
+def unknown_ids(t: Tables) -> DataFrame:
+    ids = t.concepts.select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
+    return H.unknown_ids(ids, t.concepts)

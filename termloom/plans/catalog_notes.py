@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, tokens
-from ..operators import codings as C
 from ..operators import diagnosis as D
 from ..operators import evaluate as E
-from ..operators import grounding as G
 from ..operators import quality as Q
 from ..operators import telemetry as T
-from ..sources.views import Tables, tables
+from ..sources.views import RELEASE_NEW, Tables, tables
 from .oracle_views import with_views
 
 QUERIES, SQL = {}, {}
@@ -28,213 +27,7 @@ def query(name: str, sql: str | None = None, *views: str, **ctes: str):
     return register
 
 
-# ---- text
-
-_SENTENCES = "SELECT doc_id, unnest(range(len(s))) AS k, trim(unnest(s)) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n.!?]+[.!?]*') AS s FROM documents)"
-
-
-@query("sentence_windows", "SELECT doc_id, count(*) AS n, sum(length(sentence))::BIGINT AS chars, max(sentence) AS last FROM s WHERE sentence <> '' GROUP BY doc_id", s=_SENTENCES)
-def sentence_windows(t: Tables) -> DataFrame:
-    found = G.sentences(t.table("documents"), "doc_id", "text")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars"), F.max("sentence").alias("last"))
-
-
-@query(
-    "mention_sections",
-    "SELECT doc_id, coalesce(max(title), 'Note') AS section, min(start)::BIGINT AS start, max(start + length(line))::BIGINT AS \"end\" FROM n GROUP BY doc_id, no",
-    l="SELECT doc_id, k, line, nullif(regexp_extract(line, '^([A-Z][A-Za-z ]{2,40}):', 1), '') AS title FROM (SELECT doc_id, unnest(range(len(p))) AS k, unnest(p) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS p FROM documents))",
-    n="SELECT *, coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(CASE WHEN title IS NULL THEN 0 ELSE 1 END) OVER w AS no FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY k)",
-)
-def mention_sections(t: Tables) -> DataFrame:
-    return G.sections(t.table("documents"), "doc_id", "text").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
-
-
-def _cue_sql(family: str) -> str:
-    return "(?i)\\b(" + "|".join(sorted(G.CUES[family], key=lambda x: (-len(x), x))) + ")\\b"
-
-
-@query(
-    "cue_context",
-    "SELECT context, count(*) AS n, sum(pos)::BIGINT AS places FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(sentence, '{_cue_sql(f)}') THEN '{x}'" for f, x in (("family", "family-history"), ("negation", "absent"), ("plan", "planned"), ("hypothetical", "suspected"), ("history", "historical"))) + f" ELSE 'present' END AS context, CASE WHEN regexp_matches(sentence, '{_cue_sql('negation')}') THEN length(string_split_regex(sentence, '{_cue_sql('negation')}')[1]) END AS pos FROM s WHERE sentence <> '') GROUP BY context",
-    s="SELECT unnest(regexp_extract_all(text, '[^\\n.!?]+[.!?]*')) AS raw, trim(raw) AS sentence FROM conversations",
-)
-def cue_context(t: Tables) -> DataFrame:
-    found = G.sentences(t.table("conversations"), "conv_id", "text").select(G.context(F.col("sentence")).alias("context"), G.cue_start(F.col("sentence"), "negation").alias("at"))
-    return found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.sum("at").cast("long").alias("places"))
-
-
-_MENTION = "SELECT *, assertion || CASE subject WHEN 'family' THEN '' ELSE '' END AS a FROM codings"
-_CONTEXT = "CASE WHEN subject = 'family' THEN 'family-history' ELSE assertion END"
-
-
-def mentions(t: Tables) -> DataFrame:
-    """One mention per order line: the part's name as phrase, the line number as section."""
-    names = t.parts.select(F.col("concept_id").alias("_c"), F.col("name").alias("phrase"))
-    rows = t.codings.join(names, F.col("concept_id") == F.col("_c")).drop("_c")
-    sections = F.create_map(*(F.lit(x) for k, v in enumerate(("Assessment", "Chief complaint", "Plan", "Family history")) for x in (k, v)))
-    return rows.withColumns({"context": F.when(F.col("subject") == "family", "family-history").otherwise(F.col("assertion")), "section": sections[F.col("line") % 4], "mention_id": F.concat_ws("-", "note_id", "line", "concept_id")})
-
-
-@query("phrase_score", f"SELECT concept_id, context, max(24 + 6 * (CASE WHEN length(string_split(phrase, ' ')[1]) > 4 THEN 1 ELSE 0 END + CASE WHEN length(string_split(phrase, ' ')[2]) > 4 THEN 1 ELSE 0 END) + CASE context WHEN 'present' THEN 4 WHEN 'family-history' THEN -30 ELSE 0 END)::INT AS score FROM (SELECT c.concept_id, p.name AS phrase, {_CONTEXT} AS context FROM codings c JOIN parts p USING (concept_id)) GROUP BY ALL", "codings", "parts")
-def phrase_score(t: Tables) -> DataFrame:
-    words = F.split("phrase", " ")
-    score = G.phrase_score(F.size(words), F.size(F.filter(words, lambda w: F.length(w) > 4)), F.col("phrase").rlike("[0-9]"), F.lit(0), F.col("context"))
-    return mentions(t).groupBy("concept_id", "context").agg(F.max(score).alias("score"))
-
-
-@query("kind_compatible", "SELECT kind, tag, count(*) AS n, CASE kind WHEN 'condition' THEN tag = 'disorder' WHEN 'procedure' THEN tag = 'procedure' ELSE tag = 'substance' END AS compatible FROM (SELECT kind, unnest(['disorder', 'procedure', 'substance']) AS tag FROM codings) GROUP BY ALL", "codings")
-def kind_compatible(t: Tables) -> DataFrame:
-    tags = F.explode(F.array(*map(F.lit, ("disorder", "procedure", "substance"))))
-    rows = t.codings.select("kind", tags.alias("tag")).groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("compatible", G.kind_compatible(F.col("kind"), F.col("tag")))
-
-
-@query("span_overlap_join", "SELECT a.note_id, count(*) AS pairs, sum(least(a.b, o.b) - greatest(a.a, o.a))::BIGINT AS shared FROM s a JOIN s o ON a.note_id = o.note_id AND a.a < o.b AND a.b > o.a GROUP BY a.note_id", "codings", s="SELECT note_id, line * 10 AS a, line * 10 + l_quantity::INT AS b FROM codings")
-def span_overlap_join(t: Tables) -> DataFrame:
-    spans = t.codings.select("note_id", F.concat_ws("-", "line", "concept_id").alias("span_id"), (F.col("line") * 10).alias("start"), (F.col("line") * 10 + F.col("l_quantity").cast("int")).alias("end"))
-    shared = F.least("end", "other_end") - F.greatest("start", "other_start")
-    return G.overlapping(spans, spans, "note_id").groupBy("note_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(shared).cast("long").alias("shared"))
-
-
-@query("evidence_relations", "SELECT note_id, cue_id, max(mention) FILTER (WHERE b <= pos) AS left_id, min(mention) FILTER (WHERE a > pos) AS right_id, CASE WHEN count(*) FILTER (WHERE b <= pos) > 0 AND count(*) FILTER (WHERE a > pos) > 0 THEN 0.88::DOUBLE ELSE 0.72::DOUBLE END AS weight FROM m JOIN (SELECT DISTINCT note_id, 'c1' AS cue_id, 35 AS pos FROM m) USING (note_id) WHERE b <= pos OR a > pos GROUP BY ALL", "codings", m="SELECT DISTINCT note_id, line AS mention, line * 10 AS a, line * 10 + 5 AS b FROM codings")
-def evidence_relations(t: Tables) -> DataFrame:
-    spans = t.codings.select("note_id", F.col("line").alias("mention_id"), (F.col("line") * 10).alias("start"), (F.col("line") * 10 + 5).alias("end")).distinct()
-    cues = spans.select("note_id", F.lit("c1").alias("cue_id"), F.lit(35).alias("start")).distinct()
-    return G.relation_edges(spans, cues, "note_id")
-
-
-# candidates of each concept: itself, its type, its brand
-_CAND = dict(
-    k="""SELECT concept_id AS mention_id, concept_id, 1 AS tier, 'exact' AS match, p_size AS rank, 'disorder' AS tag, 0 AS extra FROM parts
-  UNION ALL SELECT concept_id, type_id, 4, 'contains', p_size, 'finding', 1 FROM parts UNION ALL SELECT concept_id, brand_id, 8, 'none', p_size, 'product', 2 FROM parts""",
-    g="SELECT *, greatest(50 - 8 * tier, -22) + CASE match WHEN 'exact' THEN 34 WHEN 'contains' THEN 8 ELSE 0 END + CASE match WHEN 'exact' THEN 5 ELSE 0 END + least(rank, 60) / 10.0::DOUBLE + rank / 50.0::DOUBLE + CASE tag WHEN 'product' THEN -6 ELSE 4 END - extra * CASE WHEN match = 'exact' THEN 0 WHEN extra > 1 THEN 4.5::DOUBLE ELSE 12 END AS score FROM k",
-    m="SELECT *, row_number() OVER w AS place, greatest(score - coalesce(lead(score) OVER w, 0), 0) AS margin FROM g WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, concept_id)",
-    c="SELECT *, round(least(greatest(0.34::DOUBLE + least(0.22::DOUBLE * score / 100.0::DOUBLE, 0.24::DOUBLE) + least(margin / 25.0::DOUBLE, 0.22::DOUBLE) + CASE match WHEN 'exact' THEN 0.22::DOUBLE WHEN 'contains' THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN tier <= 2 THEN 0.18::DOUBLE WHEN tier <= 4 THEN 0.10::DOUBLE WHEN tier <= 6 THEN 0.04::DOUBLE ELSE -0.08::DOUBLE END, 0), 1), 6) AS conf FROM m",
-)
-
-
-def candidates(t: Tables) -> DataFrame:
-    one = lambda c, tier, match, tag, extra: F.struct(F.col(c).alias("concept_id"), F.lit(tier).alias("tier"), F.lit(match).alias("match"), F.lit(tag).alias("tag"), F.lit(extra).alias("extra"))
-    rows = t.parts.select(F.col("concept_id").alias("mention_id"), F.col("p_size").alias("rank"), F.explode(F.array(one("concept_id", 1, "exact", "disorder", 0), one("type_id", 4, "contains", "finding", 1), one("brand_id", 8, "none", "product", 2))).alias("c")).select("mention_id", "rank", "c.*")
-    exact, contains = F.col("match") == "exact", F.col("match") == "contains"
-    score = G.grounding_score(F.col("tier"), exact, F.lit(False), contains, exact, F.col("rank"), F.col("rank"), F.col("tag"), F.col("extra"))
-    marked = G.with_margin(rows.withColumn("score", score))
-    conf = G.confidence(F.col("score"), F.col("margin"), exact, contains, F.col("tier"), F.lit(True))
-    return marked.withColumn("conf", conf).withColumn("status", G.review_status(F.col("conf"), F.col("margin"), exact, F.col("tier"), F.lit(2), F.lit(True)))
-
-
-@query("grounding_score", "SELECT mention_id, concept_id, round(score, 6) AS score FROM g", "parts", **_CAND)
-def grounding_score(t: Tables) -> DataFrame:
-    return candidates(t).select("mention_id", "concept_id", F.round("score", 6).alias("score"))
-
-
-@query("margin_to_next", "SELECT mention_id, concept_id, place::INT AS place, round(margin, 6) AS margin FROM m", "parts", **_CAND)
-def margin_to_next(t: Tables) -> DataFrame:
-    return candidates(t).select("mention_id", "concept_id", "place", F.round("margin", 6).alias("margin"))
-
-
-@query("review_status", "SELECT mention_id, concept_id, conf, CASE WHEN conf < 0.42 THEN 'abstain' WHEN ((match = 'exact' OR tier <= 2) AND conf >= 0.68 AND margin >= 0.03) OR (tier <= 4 AND conf >= 0.64 AND margin >= 0.05) THEN 'accepted' ELSE 'review' END AS status FROM c", "parts", **_CAND)
-def review_status(t: Tables) -> DataFrame:
-    return candidates(t).select("mention_id", "concept_id", "conf", "status")
-
-
-# candidates whose terms carry qualifiers, for phrases of one and two words in three contexts
-_QUALIFIERS = ("", "left", "neonatal", "severe", "with", "follow-up", "due to", "mellitus")
-_CONTEXTS = ("present", "absent", "planned")
-_FULL = dict(
-    e=f"SELECT concept_id AS mention_id, concept_id, brand_id, type_id, name, p_size, p_brand, p_partkey, CASE p_partkey % 2 WHEN 0 THEN name ELSE split_part(name, ' ', 1) END AS phrase, {list(_QUALIFIERS)}[p_partkey % 8 + 1] AS qualifier, {list(_CONTEXTS)}[p_partkey % 3 + 1] AS ctx, p_partkey % 5 = 0 AS cue FROM parts",
-    k="""SELECT mention_id, phrase, ctx, cue, p_size, concept_id, 1 AS tier, true AS preferred, 'Disorder' AS tag, name AS term, name AS matched FROM e
-  UNION ALL SELECT mention_id, phrase, ctx, cue, p_size, type_id, 4, false, 'finding', phrase || ' ' || qualifier || ' of ' || p_brand, CASE WHEN p_partkey % 4 = 0 THEN phrase END FROM e
-  UNION ALL SELECT mention_id, phrase, ctx, cue, p_size, brand_id, NULL, false, 'product', qualifier || ' ' || p_brand, '' FROM e""",
-    n="SELECT *, trim(regexp_replace(lower(phrase), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS p, trim(regexp_replace(lower(term), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t, trim(regexp_replace(lower(coalesce(nullif(matched, ''), term)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS m FROM k",
-    x="""SELECT *, list_filter(string_split(t, ' '), lambda w: NOT list_contains(string_split(p, ' '), w) AND length(w) > 3
-    AND w NOT IN ('with', 'without', 'from', 'into', 'under', 'para', 'mellitus', 'type', 'finding', 'disorder', 'disease')) AS extra,
-  len(string_split(p, ' ')) AS words, regexp_matches(t, '\\b(follow[ -]?up|review|evaluation|screening|monitoring|check)\\b') AS workflow,
-  regexp_matches(t, '\\b(due to|associated with|with|without|following|secondary to|caused by|resulting from)\\b') AS relation FROM n""",
-    g="""SELECT *, (greatest(50 - 8 * coalesce(tier, 99), -22) + CASE WHEN t = p THEN 34 WHEN m = p THEN 16 WHEN contains(t, p) THEN 8 ELSE 0 END + CASE WHEN preferred THEN 5 ELSE 0 END
-  + least(p_size, 60) / 10.0::DOUBLE + least(p_size, 500) / 50.0::DOUBLE + CASE WHEN lower(tag) IN ('disorder', 'finding') THEN 4 ELSE -6 END
-  - len(extra) * CASE WHEN t = p THEN 0 WHEN m = p AND words = 1 THEN 14 WHEN m = p THEN 6 WHEN words = 1 THEN 12 ELSE 4.5::DOUBLE END
-  - CASE WHEN workflow AND ctx <> 'planned' THEN 18 ELSE 0 END - CASE WHEN cue AND relation THEN 16 WHEN relation AND t <> p AND m <> p THEN 6 ELSE 0 END
-  - CASE WHEN len(list_intersect(extra, ['left', 'right', 'bilateral', 'unilateral'])) = 0 THEN 0 WHEN ctx = 'absent' THEN 14 ELSE 9 END
-  - CASE WHEN len(list_intersect(extra, ['prematurity', 'premature', 'neonatal', 'neonate', 'maternal', 'pregnancy', 'congenital'])) > 0 THEN 14 ELSE 0 END
-  - CASE WHEN len(list_intersect(extra, ['uncontrolled', 'controlled', 'poorly', 'well', 'stable', 'unstable', 'severe', 'mild', 'moderate', 'advanced'])) > 0 THEN 18 ELSE 0 END
-  - CASE WHEN words = 1 AND len(extra) > 0 AND t <> p THEN 14 ELSE 0 END + CASE WHEN ctx = 'absent' AND lower(tag) IN ('disorder', 'finding') THEN 2 ELSE 0 END)::DOUBLE AS score FROM x""",
-    o="SELECT *, row_number() OVER w AS place, greatest(score - coalesce(lead(score) OVER w, 0), 0) AS margin FROM g WINDOW w AS (PARTITION BY mention_id ORDER BY round(score, 4) DESC, concept_id)",
-    c="SELECT *, t = p OR m = p AS exact, round(least(greatest(0.34::DOUBLE + least(0.22::DOUBLE * score / 100.0::DOUBLE, 0.24::DOUBLE) + least(margin / 25.0::DOUBLE, 0.22::DOUBLE) + CASE WHEN t = p OR m = p THEN 0.22::DOUBLE WHEN contains(t, p) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN tier <= 2 THEN 0.18::DOUBLE WHEN tier <= 4 THEN 0.10::DOUBLE WHEN tier <= 6 THEN 0.04::DOUBLE ELSE -0.08::DOUBLE END, 0), 1), 6) AS conf FROM o",
-)
-
-
-def full_candidates(t: Tables) -> DataFrame:
-    key, word = F.col("p_partkey"), lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % n + 1).cast("int"))
-    entries = t.parts.withColumns({"mention_id": F.col("concept_id"), "phrase": F.when(key % 2 == 0, F.col("name")).otherwise(F.split_part("name", F.lit(" "), F.lit(1))), "qualifier": word(_QUALIFIERS, 8), "ctx": word(_CONTEXTS, 3), "cue": key % 5 == 0})
-    one = lambda c, tier, preferred, tag, term, matched: F.struct(F.col(c).alias("concept_id"), F.lit(tier).cast("int").alias("tier"), F.lit(preferred).alias("preferred"), F.lit(tag).alias("tag"), term.alias("term"), matched.alias("matched"))
-    found = F.array(
-        one("concept_id", 1, True, "Disorder", F.col("name"), F.col("name")),
-        one("type_id", 4, False, "finding", F.concat_ws(" ", "phrase", "qualifier", F.lit("of"), "p_brand"), F.when(key % 4 == 0, F.col("phrase"))),
-        one("brand_id", None, False, "product", F.concat_ws(" ", "qualifier", "p_brand"), F.lit("")),
-    )
-    rows = entries.select("mention_id", "phrase", "ctx", "cue", "p_size", F.explode(found).alias("c")).select("mention_id", "phrase", "ctx", "cue", "p_size", "c.*")
-    words = F.size(tokens(normalize(F.col("phrase"))))
-    score = G.candidate_score(F.col("phrase"), words, F.col("ctx"), F.col("cue"), F.col("term"), F.col("matched"), F.col("tier"), F.col("preferred"), F.col("p_size"), F.col("p_size"), F.col("tag"))
-    wanted, name = normalize(F.col("phrase")), normalize(F.col("term"))
-    exact = (name == wanted) | F.coalesce(normalize(F.col("matched")) == wanted, F.lit(False))
-    tier = F.coalesce("tier", F.lit(99))
-    marked = G.with_margin(rows.withColumns({"score": score, "exact": exact, "contains": F.contains(name, wanted), "words": words}))
-    conf = G.confidence(F.col("score"), F.col("margin"), F.col("exact"), F.col("contains"), tier, F.lit(True))
-    return marked.withColumn("conf", conf).withColumn("status", G.review_status(F.col("conf"), F.col("margin"), F.col("exact"), tier, F.col("words"), F.lit(True)))
-
-
-@query("grounding_score_full", "SELECT mention_id, concept_id, round(score, 4) AS score FROM g", "parts", **_FULL)
-def grounding_score_full(t: Tables) -> DataFrame:
-    return full_candidates(t).select("mention_id", "concept_id", "score")
-
-
-@query("margin_to_next_full", "SELECT mention_id, concept_id, place::INT AS place, round(margin, 6) AS margin FROM o", "parts", **_FULL)
-def margin_to_next_full(t: Tables) -> DataFrame:
-    return full_candidates(t).select("mention_id", "concept_id", "place", F.round("margin", 6).alias("margin"))
-
-
-@query("review_status_full", "SELECT mention_id, concept_id, conf, CASE WHEN conf < 0.42 THEN 'abstain' WHEN ((exact OR coalesce(tier, 99) <= 2) AND conf >= 0.68 AND margin >= 0.03) OR (coalesce(tier, 99) <= 4 AND conf >= 0.64 AND margin >= 0.05 AND words >= 2) THEN 'accepted' ELSE 'review' END AS status FROM c", "parts", **_FULL)
-def review_status_full(t: Tables) -> DataFrame:
-    return full_candidates(t).select("mention_id", "concept_id", "conf", "status")
-
-
-# ---- diagnosis and codings
-
-_DX = dict(
-    x=f"SELECT note_id, concept_id, assertion, temporality, kind, subject, status, CASE {_CONTEXT} WHEN 'present' THEN 20 WHEN 'suspected' THEN 8 WHEN 'absent' THEN -30 ELSE -36 END + CASE line % 4 WHEN 0 THEN 22 WHEN 1 THEN 12 WHEN 2 THEN -12 ELSE -18 END AS score, p.name AS span FROM codings JOIN (SELECT concept_id, name FROM parts) p USING (concept_id)",
-    b="SELECT note_id, concept_id, assertion, temporality, kind, max(score) AS best, count(*) AS support, string_agg(DISTINCT span, '|') AS spans, max(score) + least(4 * (count(*) - 1), 12) AS score FROM x GROUP BY ALL",
-    r="SELECT *, kind = 'condition' AND score > 0 AS eligible, row_number() OVER (PARTITION BY note_id ORDER BY (kind = 'condition' AND score > 0) DESC, score DESC, support DESC, concept_id, assertion, temporality, kind) AS place FROM b",
-)
-
-
-def _buckets(t: Tables) -> DataFrame:
-    score = D.assertion_weight(F.col("context")) + D.section_weight(F.col("section"))
-    found = D.buckets(mentions(t).withColumns({"score": score, "span": F.col("phrase")}))
-    return found.withColumn("eligible", (F.col("kind") == "condition") & (F.col("score") > 0))
-
-
-@query("diagnosis_buckets", "SELECT note_id, concept_id, assertion, temporality, kind, best::INT AS best, support, spans, score::BIGINT AS score FROM b", "codings", "parts", **_DX)
-def diagnosis_buckets(t: Tables) -> DataFrame:
-    return _buckets(t).select("note_id", "concept_id", "assertion", "temporality", "kind", "best", "support", "spans", F.col("score").cast("long"))
-
-
-@query("diagnosis_rank", "SELECT note_id, concept_id, assertion, temporality, kind, place::INT AS place, eligible FROM r", "codings", "parts", **_DX)
-def diagnosis_rank(t: Tables) -> DataFrame:
-    return D.ranked(_buckets(t)).select("note_id", "concept_id", "assertion", "temporality", "kind", "place", "eligible")
-
-
-@query("diagnosis_split", "SELECT CASE WHEN NOT eligible THEN 'excluded' WHEN place = 1 THEN 'principal' WHEN assertion = 'suspected' THEN 'suspected' WHEN temporality = 'historical' THEN 'history' ELSE 'comorbidity' END AS role, count(*) AS n, count(DISTINCT note_id) AS notes FROM r GROUP BY ALL", "codings", "parts", **_DX)
-def diagnosis_split(t: Tables) -> DataFrame:
-    return D.split(D.ranked(_buckets(t))).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("note_id").alias("notes"))
-
-
-@query("diagnosis_exclusion", "SELECT CASE WHEN kind <> 'condition' THEN 'not-finding' WHEN status = 'review' THEN 'mapping-needs-review' WHEN subject <> 'patient' THEN 'not-patient' WHEN score <= 0 THEN 'non-positive-score' ELSE 'none' END AS reason, count(*) AS n FROM x GROUP BY ALL", "codings", "parts", **_DX)
-def diagnosis_exclusion(t: Tables) -> DataFrame:
-    score = D.assertion_weight(F.col("context")) + D.section_weight(F.col("section"))
-    reason = D.exclusion(F.col("concept_id"), F.lit(True), F.col("kind") == "condition", F.col("status") == "review", F.col("subject"), score)
-    return mentions(t).groupBy(F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
+# ---- diagnosis
 
 # every field of the whole method, from the order line and the part's size
 _SECTIONS, _EVIDENCE, _TAGS, _KINDS = ("Assessment", "Chief complaint", "Plan", "Family history"), ("direct", "inferred", "context"), ("disorder", "finding", "trastorno", "procedure"), ("condition", "symptom", "medication")
@@ -264,70 +57,119 @@ def entries(t: Tables) -> DataFrame:
     )
 
 
-@query("diagnosis_buckets_full", "SELECT note_id, concept_id, assertion, temporality, kind, score, support, confidence::INT AS confidence, priority::INT AS priority FROM b", "codings", "parts", **_PROPOSAL)
-def diagnosis_buckets_full(t: Tables) -> DataFrame:
+@query("diagnosis_buckets", "SELECT note_id, concept_id, assertion, temporality, kind, score, support, confidence::INT AS confidence, priority::INT AS priority FROM b", "codings", "parts", **_PROPOSAL)
+def diagnosis_buckets(t: Tables) -> DataFrame:
     return D.concepts(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", "score", "support", "confidence", "priority")
 
 
-@query("diagnosis_rank_full", "SELECT note_id, concept_id, assertion, temporality, kind, place::INT AS place, eligible FROM r", "codings", "parts", **_PROPOSAL)
-def diagnosis_rank_full(t: Tables) -> DataFrame:
+@query("diagnosis_rank", "SELECT note_id, concept_id, assertion, temporality, kind, place::INT AS place, eligible FROM r", "codings", "parts", **_PROPOSAL)
+def diagnosis_rank(t: Tables) -> DataFrame:
     return D.concepts(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", "place", "eligible")
 
 
-@query("diagnosis_split_full", "SELECT note_id, concept_id, assertion, temporality, kind, concat_ws('|', CASE WHEN candidate THEN 'candidate' END, CASE WHEN eligible AND NOT principal AND kind <> 'symptom' AND tag <> 'finding' THEN 'comorbidity' END, CASE WHEN principal THEN 'principal' END, CASE WHEN assertion = 'suspected' THEN 'suspected' END, CASE WHEN eligible AND NOT principal AND (kind = 'symptom' OR tag = 'finding') THEN 'symptom' END) AS roles FROM s", "codings", "parts", **_PROPOSAL)
-def diagnosis_split_full(t: Tables) -> DataFrame:
+@query("diagnosis_split", "SELECT note_id, concept_id, assertion, temporality, kind, concat_ws('|', CASE WHEN candidate THEN 'candidate' END, CASE WHEN eligible AND NOT principal AND kind <> 'symptom' AND tag <> 'finding' THEN 'comorbidity' END, CASE WHEN principal THEN 'principal' END, CASE WHEN assertion = 'suspected' THEN 'suspected' END, CASE WHEN eligible AND NOT principal AND (kind = 'symptom' OR tag = 'finding') THEN 'symptom' END) AS roles FROM s", "codings", "parts", **_PROPOSAL)
+def diagnosis_split(t: Tables) -> DataFrame:
     return D.proposal(D.scored(entries(t))).select("note_id", "concept_id", "assertion", "temporality", "kind", F.array_join("roles", "|").alias("roles"))
 
 
-@query("diagnosis_exclusion_full", "SELECT coalesce(reason, 'none') AS reason, count(*) AS n FROM y GROUP BY ALL", "codings", "parts", **_PROPOSAL)
-def diagnosis_exclusion_full(t: Tables) -> DataFrame:
+@query("diagnosis_exclusion", "SELECT coalesce(reason, 'none') AS reason, count(*) AS n FROM y GROUP BY ALL", "codings", "parts", **_PROPOSAL)
+def diagnosis_exclusion(t: Tables) -> DataFrame:
     return D.scored(entries(t)).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coding_role", "SELECT kind, CASE kind WHEN 'condition' THEN 'diagnosis' ELSE kind END AS role, count(*) AS n FROM codings GROUP BY ALL", "codings")
-def coding_role(t: Tables) -> DataFrame:
-    return t.codings.groupBy("kind", C.coding_role(F.col("kind"), F.lit(None).cast("string")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+# ---- quality and evaluation
 
 
-@query("coding_merge", "SELECT note_id, concept_id, assertion, subject, temporality, kind, min_by(q, (line, q))::INT AS attribute, count(DISTINCT q) > 1 AS conflict, string_agg(DISTINCT status, '|' ORDER BY status) AS spans, count(*) AS n FROM (SELECT *, l_quantity::INT AS q FROM codings) GROUP BY ALL", "codings")
-def coding_merge(t: Tables) -> DataFrame:
-    return C.merge(t.codings.withColumn("q", F.col("l_quantity").cast("int")), "q", "status", "line")
+@query("coverage_by_language", "SELECT language_code, count(DISTINCT concept_id) AS concepts, count(*) AS descriptions FROM descriptions GROUP BY language_code", "descriptions")
+def coverage_by_language(t: Tables) -> DataFrame:
+    return Q.coverage_by_language(t.descriptions)
 
 
-@query("coding_covered", "SELECT DISTINCT note_id, concept_id, assertion, subject, temporality, kind FROM codings UNION SELECT DISTINCT note_id, brand_id, assertion, subject, temporality, kind FROM codings WHERE false", "codings")
-def coding_covered(t: Tables) -> DataFrame:
-    """Codings and their brands; brands are covered by the parts beneath them."""
-    own = t.codings.select(*C.MERGE_KEY)
-    brands = t.codings.select(*(F.element_at("ancestor_ids", 2).alias("concept_id") if c == "concept_id" else F.col(c) for c in C.MERGE_KEY))
-    return C.drop_covered(own.union(brands).distinct(), t.closure)
+@query("coverage_orphans", "SELECT DISTINCT d.concept_id FROM descriptions d WHERE NOT EXISTS (SELECT 1 FROM concepts c WHERE c.active AND c.concept_id = d.concept_id)", "descriptions", "concepts")
+def coverage_orphans(t: Tables) -> DataFrame:
+    return Q.orphans(t.descriptions, t.concepts).select("concept_id").distinct()
 
 
-@query("coding_resources", "SELECT CASE WHEN subject = 'family' THEN 'FamilyMemberHistory' WHEN kind = 'condition' THEN 'Condition' WHEN kind = 'procedure' THEN 'Procedure' ELSE 'MedicationStatement' END AS resource_type, count(*) AS n FROM codings GROUP BY ALL", "codings")
-def coding_resources(t: Tables) -> DataFrame:
-    return C.resource_json(t.codings).groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"))
+_RAW = "SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN ['1'] END AS descendant_ids, CASE c_custkey % 4 WHEN 0 THEN 'number' ELSE 'string' END AS ancestor_type, CASE c_custkey % 5 WHEN 0 THEN 'number' ELSE 'string' END AS parent_type, CASE c_custkey % 6 WHEN 0 THEN 'number' ELSE 'string' END AS child_type, CASE c_custkey % 7 WHEN 0 THEN 'number' ELSE 'string' END AS description_type FROM customer"
 
 
-@query("coding_ancestry", "SELECT concept_id, string_agg(DISTINCT a, ',' ORDER BY a) AS ancestors FROM (SELECT concept_id, concept_id AS a FROM codings UNION ALL SELECT c.concept_id, l.ancestor_id FROM codings c JOIN closure l USING (concept_id)) GROUP BY concept_id", "codings", "closure")
-def coding_ancestry(t: Tables) -> DataFrame:
-    return C.stamp_ancestry(t.codings.select("concept_id").distinct(), t.closure).select("concept_id", F.array_join("ancestor_ids", ",").alias("ancestors"))
+def raw_concepts(t: Tables) -> DataFrame:
+    """Customers as raw concepts: ids of two types, some with stored descendants or without keys."""
+    k = F.col("c_custkey")
+    kind = lambda n: F.when(k % n == 0, "number").otherwise("string")
+    none = F.array().cast("array<string>")
+    return t.table("customer").select(k.alias("k"), F.when(k % 9 == 0, F.array(F.lit("1"))).alias("descendant_ids"), kind(4).alias("ancestor_type"), kind(5).alias("parent_type"), kind(6).alias("child_type"), kind(7).alias("description_type"), F.when(k % 2 == 0, F.array(F.lit("r"))).otherwise(none).alias("relationships"), F.when(k % 3 == 0, F.array(F.lit("t|d"))).alias("relationship_keys"), F.when(k % 10 == 0, None).when(k % 3 == 0, "true").when(k % 3 == 1, k.cast("string")).otherwise("core").alias("mixed"))
 
 
-# ---- quality and evaluation
+@query("quality_counters", "SELECT count(*) FILTER (WHERE k % 9 = 0) AS stored_descendants, count(*) FILTER (WHERE ancestor_type = 'number') AS numeric_ancestors, count(*) FILTER (WHERE parent_type = 'number') AS numeric_parents, count(*) FILTER (WHERE child_type = 'number') AS numeric_children, count(*) FILTER (WHERE description_type = 'number') AS numeric_descriptions, count(*) FILTER (WHERE k % 2 = 0 AND k % 3 <> 0) AS missing_keys FROM r", r=_RAW)
+def quality_counters(t: Tables) -> DataFrame:
+    return Q.hardening_counters(raw_concepts(t))
 
 
-@query("coverage_by_language", "SELECT language_code, count(DISTINCT concept_id) AS concepts, count(*) AS descriptions FROM descriptions GROUP BY language_code", "descriptions")
-def coverage_by_language(t: Tables) -> DataFrame:
-    return Q.coverage_by_language(t.descriptions)
+@query("type_sets", "SELECT 'bool,null,number,string' AS mixed, 'string' AS ancestor_type, 'number' AS k FROM (SELECT count(*) FROM customer)")
+def type_sets(t: Tables) -> DataFrame:
+    return Q.type_sets(raw_concepts(t), "mixed", "ancestor_type", "k")
 
 
-@query("coverage_orphans", "SELECT DISTINCT d.concept_id FROM descriptions d WHERE NOT EXISTS (SELECT 1 FROM concepts c WHERE c.active AND c.concept_id = d.concept_id)", "descriptions", "concepts")
-def coverage_orphans(t: Tables) -> DataFrame:
-    return Q.orphans(t.descriptions, t.concepts).select("concept_id").distinct()
+@query("existence_facts", "SELECT bool_or(k % 9 = 0) AS has_descendants, bool_or(k % 4 = 0) AS numeric_ancestors, bool_or(k < -5) AS has_nothing FROM r", r=_RAW)
+def existence_facts(t: Tables) -> DataFrame:
+    raw = raw_concepts(t)
+    return Q.existence_facts(raw, has_descendants=F.col("descendant_ids").isNotNull(), numeric_ancestors=F.col("ancestor_type") == "number", has_nothing=F.col("k") < -5)
 
 
-@query("quality_counters", "SELECT count(*) AS n, count(*) FILTER (WHERE active) AS active, count(*) FILTER (WHERE length(concept_id) < 6) AS short_ids, count(DISTINCT tag) AS tags, max(length(name)) AS longest FROM concepts", "concepts")
-def quality_counters(t: Tables) -> DataFrame:
-    return t.concepts.agg(F.count(F.lit(1)).alias("n"), F.count_if("active").alias("active"), F.count_if(F.length("concept_id") < 6).alias("short_ids"), F.countDistinct("tag").alias("tags"), F.max(F.length("name")).cast("long").alias("longest"))
+_FACT_NAMES = ("has_release_id", "has_effective_time", "has_release_date", "has_descendants", "numeric_ancestors", "numeric_parents", "numeric_children", "numeric_descriptions", "has_keys", "projection_release_date", "has_tag_key", "has_vectors", "indexed_release_id", "indexed_effective_time", "indexed_ancestors", "indexed_keys", "indexed_lookup", "text_ready", "vector_ready")
+_READY = dict(
+    f="SELECT s_suppkey, s_suppkey % 5 AS projection_rows, " + ", ".join(f"CASE (s_suppkey * {n + 3} // {n + 1}) % 4 WHEN 0 THEN NULL WHEN 1 THEN {'true' if n < 3 or n > 7 else 'false'} WHEN 2 THEN {'false' if n < 3 or n > 7 else 'true'} ELSE {'true' if n < 3 or n > 7 else 'false'} END AS {name}" for n, name in enumerate(_FACT_NAMES)) + " FROM supplier",
+    p="""SELECT *, projection_rows > 0 AS projection_populated, has_vectors AS vectors_present, indexed_ancestors AS ancestor_lookup_ready, has_release_id OR has_effective_time AS diff_ready, (has_release_id AND indexed_release_id) OR (has_effective_time AND indexed_effective_time) AS diff_indexed, has_release_id AND has_release_date AND projection_release_date AS release_metadata_ready,
+  NOT has_descendants AS descendants_retired, NOT (numeric_ancestors OR numeric_parents OR numeric_children OR numeric_descriptions) AS ids_are_strings, indexed_lookup AND has_tag_key AS terms_ready, has_keys AND indexed_keys AS attributes_ready FROM f""",
+)
+
+
+@query("readiness_report", "SELECT s_suppkey, projection_populated, text_ready, vector_ready, vectors_present, ancestor_lookup_ready, diff_ready, diff_indexed, release_metadata_ready, descendants_retired, ids_are_strings, terms_ready, attributes_ready, release_metadata_ready AND descendants_retired AND ids_are_strings AND terms_ready AND attributes_ready AS hardened_ready, projection_populated AND text_ready AND indexed_ancestors AND CASE WHEN vector_ready THEN true ELSE NOT has_vectors END AS architecture_ready FROM p", **_READY)
+def readiness_report(t: Tables) -> DataFrame:
+    """A model for each supplier, with facts that are true, false or weren't recorded."""
+    key = F.col("s_suppkey")
+    good = lambda n: n < 3 or n > 7
+    fact = lambda n: F.when((k := F.floor(key * (n + 3) / (n + 1)) % 4) == 0, None).when(k == 2, not good(n)).otherwise(good(n)).cast("boolean")
+    facts = t.table("supplier").select("s_suppkey", (key % 5).alias("projection_rows"), *(fact(n).alias(name) for n, name in enumerate(_FACT_NAMES)))
+    return Q.readiness(facts).select("s_suppkey", *Q.REPORT)
+
+
+@query("required_coverage", "SELECT r.concept_id, missing_in FROM (SELECT concept_id FROM concepts WHERE tag = 'customer' UNION SELECT '999999') r, LATERAL (SELECT unnest([CASE WHEN NOT EXISTS (SELECT 1 FROM concepts c WHERE c.active AND c.concept_id = r.concept_id) THEN 'source' END, CASE WHEN r.concept_id::INT % 2 = 1 THEN 'projection' END]) AS missing_in) WHERE missing_in IS NOT NULL", "concepts")
+def required_coverage(t: Tables) -> DataFrame:
+    required = t.concepts.where("tag = 'customer'").select("concept_id").union(t.spark.createDataFrame([("999999",)], "concept_id string"))
+    return Q.missing_required(required, t.concepts, t.concepts.where(F.col("concept_id").cast("int") % 2 == 0))
+
+
+@query("release_upsert", "SELECT concept_id, active, release_id FROM (SELECT concept_id, active, release_id FROM release_old WHERE concept_id::INT % 3 <> 0 UNION ALL SELECT concept_id, NOT active, release_id FROM release_old WHERE concept_id::INT % 3 = 0 UNION ALL SELECT concept_id, active, release_id FROM release_new WHERE concept_id::INT % 2 = 0)", "release_old", "release_new")
+def release_upsert(t: Tables) -> DataFrame:
+    """A stored table of two releases after an upsert into one, a clearing, and a write of the other."""
+    from ..sources import readers as S
+    from ..sources.storage import shared_folder
+
+    path = f"{shared_folder(t.spark)}/releases-{uuid.uuid4().hex}"
+    columns = ("concept_id", "active", "release_id")
+    S.reset(t.release_old.unionByName(t.release_new).select(*columns), path)
+    changed = t.release_old.where(F.col("concept_id").cast("int") % 3 == 0).select("concept_id", (~F.col("active")).alias("active"), "release_id")
+    S.upsert_release(t.spark, changed, path, "concept_id")
+    S.clear_release(t.spark, path, RELEASE_NEW)
+    S.replace_release(t.release_new.where(F.col("concept_id").cast("int") % 2 == 0).select(*columns), path)
+    return t.spark.read.schema("concept_id string, active boolean, release_id string").parquet(path)
+
+
+@query("seed_overrides", "SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN 'user' ELSE 'seed' END AS origin FROM part")
+def seed_overrides(t: Tables) -> DataFrame:
+    """Built-in rows, with a user's in place of those with the same id."""
+    from ..sources.readers import by_priority
+
+    part = t.table("part")
+    return by_priority(part.select(F.col("p_partkey").alias("id"), F.lit("seed").alias("origin")), part.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.lit("user").alias("origin")), key="id")
+
+
+@query("stamp_unstamped", "SELECT concept_id, CASE WHEN concept_id::INT % 2 = 0 THEN '20230101' ELSE '20240701' END AS release_id, strptime(CASE WHEN concept_id::INT % 2 = 0 THEN '20230101' ELSE '20240701' END, '%Y%m%d') AS release_date FROM release_old", "release_old")
+def stamp_unstamped(t: Tables) -> DataFrame:
+    rows = t.release_old.select("concept_id", F.when(F.col("concept_id").cast("int") % 2 == 0, "20230101").alias("release_id"))
+    return Q.stamp_release(rows, "20240701", False).select("concept_id", "release_id", F.col("release_date").cast("timestamp_ntz").alias("release_date"))
 
 
 @query("harden_concepts", "SELECT (300000 + c_custkey)::VARCHAR AS concept_id, c_custkey % 4 < 2 AS active, '20240701' AS release_id FROM customer")
@@ -356,15 +198,88 @@ def eval_precision_recall(t: Tables) -> DataFrame:
     return E.precision_recall(rows, "lang")
 
 
-_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) >= 3))"
+_STOP = "['of', 'the', 'a', 'an', 'with', 'and', 'or', 'to', 'for', 'on', 'in', 'at', 'current', 'present', 'no', 'not', 'evidence', 'signs', 'review']"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_WORDS = f"list_filter(string_split({{}}, ' '), lambda w: w <> '' AND NOT list_contains({_STOP}, w))"
 
 
-@query("eval_phrase_match", f"SELECT a, b, a = b OR contains(a, b) OR contains(b, a) OR (least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) >= 0.6 * least(len(x), len(y))) AS matched FROM (SELECT a, b, {_WORDS.format('a')} AS x, {_WORDS.format('b')} AS y FROM (SELECT DISTINCT p_name AS a, p_type || ' ' || split_part(p_name, ' ', 2) AS b FROM part))")
+@query("eval_phrase_match", f"SELECT a, b, x = y OR contains(x, y) OR contains(y, x) OR (least(len(p), len(q)) > 0 AND len(list_filter(p, lambda w: list_contains(q, w))) >= 0.6 * least(len(p), len(q))) AS matched FROM (SELECT *, {_WORDS.format('x')} AS p, {_WORDS.format('y')} AS q FROM (SELECT a, b, {_PLAIN.format('a')} AS x, {_PLAIN.format('b')} AS y FROM (SELECT DISTINCT p_name || ' of the arm' AS a, p_type || ' ' || split_part(p_name, ' ', 2) || ', arm' AS b FROM part)))")
 def eval_phrase_match(t: Tables) -> DataFrame:
-    pairs = t.table("part").select(F.col("p_name").alias("a"), F.concat_ws(" ", "p_type", F.split_part("p_name", F.lit(" "), F.lit(2))).alias("b")).distinct()
+    pairs = t.table("part").select(F.concat("p_name", F.lit(" of the arm")).alias("a"), F.concat_ws(" ", "p_type", F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", arm"))).alias("b")).distinct()
     return pairs.select("a", "b", E.phrase_match(F.col("a"), F.col("b")).alias("matched"))
 
 
+# facts of each note: its order lines; mentions: the same lines without every fifth, with other meanings on some
+_EVAL = dict(
+    f="SELECT note_id, line, min(assertion) AS assertion, min(subject) AS subject FROM codings GROUP BY note_id, line",
+    m="SELECT note_id, line, CASE WHEN line % 4 = 0 THEN 'absent' ELSE assertion END AS said, CASE WHEN line % 3 = 0 THEN 'family' ELSE subject END AS whom FROM f WHERE line % 5 <> 0",
+)
+
+
+def _facts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.codings.groupBy("note_id", "line").agg(F.min("assertion").alias("assertion"), F.min("subject").alias("subject"))
+    phrase = F.concat(F.lit("item "), F.col("line").cast("string"))
+    facts = rows.select("note_id", F.col("line").alias("pos"), phrase.alias("phrase"), "assertion", "subject")
+    said = rows.where("line % 5 <> 0").select("note_id", F.col("line").alias("pos"), phrase.alias("phrase"), F.when(F.col("line") % 4 == 0, "absent").otherwise(F.col("assertion")).alias("assertion"), F.when(F.col("line") % 3 == 0, "family").otherwise(F.col("subject")).alias("subject"), F.upper(phrase).alias("verbatim"))
+    return facts, said
+
+
+@query("fact_matching", "SELECT note_id, line::INT AS fact, line::INT AS mention FROM m", "codings", **_EVAL)
+def fact_matching(t: Tables) -> DataFrame:
+    return E.matched(*_facts(t))
+
+
+_OK = "CASE WHEN {0} IN ('absent', 'suspected', 'planned') THEN {0} ELSE 'present' END"
+
+
+@query("evidence_metrics", f"""SELECT note_id, round(avg((m.line IS NOT NULL)::INT), 6) AS detection, round(avg((m.line IS NOT NULL AND {_OK.format('said')} = {_OK.format('assertion')})::INT), 6) AS assertion_accuracy, round(avg(coalesce(whom = subject, false)::INT), 6) AS subject_accuracy,
+  round(avg((m.line IS NOT NULL AND {_OK.format('said')} = {_OK.format('assertion')} AND whom = subject)::INT), 6) AS recall, 1.0::DOUBLE AS precision FROM f LEFT JOIN m USING (note_id, line) GROUP BY note_id""", "codings", **_EVAL)
+def evidence_metrics(t: Tables) -> DataFrame:
+    facts, said = _facts(t)
+    return E.evidence_metrics(facts, said, E.matched(facts, said))
+
+
+@query("retrieval_metrics", """SELECT note_id, count(*) AS expected, round(avg(exact::INT), 6) AS recall, CASE WHEN bool_or(inside) THEN round(count(*) FILTER (WHERE exact AND inside) / count(*) FILTER (WHERE inside), 6) END AS in_scope_recall, round(avg(coalesce(accepted, false)::INT), 6) AS accepted_recall, count(*) FILTER (WHERE NOT exact AND near) AS related_only
+  FROM (SELECT w.note_id, w.concept_id, h.accepted, h.concept_id IS NOT NULL AS exact, w.concept_id::INT % 2 = 0 AS inside, EXISTS (SELECT 1 FROM h o JOIN closure c ON (c.concept_id = w.concept_id AND c.ancestor_id = o.concept_id) OR (c.concept_id = o.concept_id AND c.ancestor_id = w.concept_id) WHERE o.note_id = w.note_id) AS near FROM w LEFT JOIN h ON h.note_id = w.note_id AND h.concept_id = w.concept_id) GROUP BY note_id""", "codings", "closure", w="SELECT DISTINCT note_id, concept_id FROM codings", h="SELECT note_id, concept_id, bool_or(accepted) AS accepted FROM (SELECT note_id, CASE WHEN line % 4 = 0 THEN brand_id ELSE concept_id END AS concept_id, line % 2 = 0 AS accepted FROM codings WHERE line % 3 <> 0) GROUP BY ALL")
+def retrieval_metrics(t: Tables) -> DataFrame:
+    """Expected are a note's concepts; found are two thirds of them, some as their brand."""
+    found = t.codings.where("line % 3 <> 0").select("note_id", F.when(F.col("line") % 4 == 0, F.element_at("ancestor_ids", 2)).otherwise(F.col("concept_id")).alias("concept_id"), (F.col("line") % 2 == 0).alias("accepted"))
+    projected = t.concepts.where(F.col("concept_id").cast("int") % 2 == 0)
+    return E.retrieval_metrics(t.codings, found, projected, t.closure)
+
+
+@query("evaluation_means", "SELECT p_brand AS model, count(*) AS notes, round(avg(CASE WHEN p_size % 3 > 0 THEN p_size END), 6) AS recall, round(avg(p_retailprice), 6) AS precision FROM part WHERE p_partkey % 7 <> 0 GROUP BY p_brand")
+def evaluation_means(t: Tables) -> DataFrame:
+    rows = t.table("part").select(F.col("p_brand").alias("model"), (F.col("p_partkey") % 7 != 0).alias("scored"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("recall"), F.col("p_retailprice").alias("precision"))
+    return E.evaluation_means(rows, "recall", "precision")
+
+
+@query("diagnosis_metrics", "SELECT note_id, list_contains(ranked[1:1], want) AS top1, list_contains(ranked[1:3], want) AS top3, round(CASE WHEN len(proposed) > 0 THEN len(list_intersect(expected, proposed)) / len(proposed) WHEN len(expected) = 0 THEN 1 ELSE 0 END, 6) AS precision, round(CASE WHEN len(expected) = 0 THEN 1 ELSE len(list_intersect(expected, proposed)) / len(expected) END, 6) AS recall FROM (SELECT note_id, list(concept_id ORDER BY l_quantity, concept_id) AS ranked, min(concept_id) AS want, coalesce(list(DISTINCT concept_id) FILTER (WHERE line % 2 = 0), []) AS expected, coalesce(list(DISTINCT concept_id) FILTER (WHERE line % 3 = 0), []) AS proposed FROM codings GROUP BY note_id)", "codings")
+def diagnosis_metrics(t: Tables) -> DataFrame:
+    some = lambda k: F.array_distinct(F.collect_list(F.when(F.col("line") % k == 0, F.col("concept_id"))))
+    rows = t.codings.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_quantity", "concept_id"))), lambda x: x["concept_id"]).alias("ranked"), F.min("concept_id").alias("expected_principal"), some(2).alias("expected"), some(3).alias("proposed"))
+    return E.ranked_diagnoses(rows)
+
+
+@query("contract_checks", "SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN line % 2 = 0 AND line <> 4 THEN 'span' END, CASE WHEN line % 3 = 0 THEN 'release' END, CASE WHEN status = 'accepted' AND line % 2 = 1 THEN 'support' END], lambda x: x IS NOT NULL)) AS violation FROM codings) GROUP BY violation", "codings")
+def contract_checks(t: Tables) -> DataFrame:
+    """Mentions whose spans, codes and acceptance don't hold; every line with an even number is anchored, the fourth rightly."""
+    line = F.col("line")
+    mentions = t.codings.select(F.concat_ws("-", "note_id", "line", "concept_id").alias("mention_id"), "note_id", F.when(line % 3 == 0, F.concat("concept_id", F.lit("x"))).otherwise(F.col("concept_id")).alias("concept_id"), "status", F.when(line % 2 == 0, 4).alias("start"), F.when(line % 2 == 0, 8).alias("end"), F.when(line == 4, "text").otherwise("none").alias("verbatim"))
+    notes = t.notes.select("note_id", F.lit("the text of a note").alias("text"))
+    return E.contract_violations(mentions, notes, t.concepts).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("diagnosis_explanation", "SELECT part, said, count(*) AS n, sum(place)::BIGINT AS places FROM (SELECT 'ranking' AS part, place, CASE WHEN principal THEN 'principal' WHEN eligible THEN CASE WHEN tag = 'finding' THEN 'symptom' ELSE 'comorbidity' END WHEN assertion = 'suspected' THEN 'suspected' ELSE 'unclassified' END AS said FROM s UNION ALL SELECT 'excluded', NULL, reason FROM y WHERE reason IS NOT NULL) GROUP BY ALL", "codings", "parts", **_PROPOSAL)
+def diagnosis_explanation(t: Tables) -> DataFrame:
+    return D.explanation(D.scored(entries(t))).groupBy("part", "said").agg(F.count(F.lit(1)).alias("n"), F.sum("place").cast("long").alias("places"))
+
+
+@query("diagnosis_rules", "SELECT part, value, weight::DOUBLE AS weight FROM (VALUES ('assertion', 'present', 20), ('assertion', 'suspected', 8), ('assertion', 'historical', -10), ('assertion', 'planned', -18), ('assertion', 'absent', -30), ('assertion', 'family-history', -36), ('evidence', 'direct', 3), ('evidence', 'inferred', 2), ('evidence', 'context', -10), ('evidence', 'system', -14)) v(part, value, weight)")
+def diagnosis_rules(t: Tables) -> DataFrame:
+    return D.rules(t.spark).where("part IN ('assertion', 'evidence')")
+
+
 @query("model_recommendation", "SELECT model FROM (SELECT p_brand AS model, round(avg(p_size) / 50, 6) AS composite, count(*) AS tokens, min(p_partkey) AS latency FROM part GROUP BY p_brand) WHERE composite >= (SELECT max(c) FROM (SELECT round(avg(p_size) / 50, 6) AS c FROM part GROUP BY p_brand)) - 0.02 ORDER BY tokens, latency, model LIMIT 1")
 def model_recommendation(t: Tables) -> DataFrame:
     models = t.table("part").groupBy(F.col("p_brand").alias("model")).agg(F.round(F.avg("p_size") / 50, 6).alias("composite"), F.count(F.lit(1)).alias("tokens"), F.min("p_partkey").alias("latency"))
@@ -379,6 +294,23 @@ def telemetry_hash_preview(t: Tables) -> DataFrame:
     return T.records(t.telemetry)
 
 
+@query("usage_events", "SELECT id, event_type, 'demo-minister' AS tenant_id, coalesce(nullif(trim(actor_id::VARCHAR), '7'), 'demo-user') AS actor_id, '20240701' AS release_id, '1,2' AS concept_ids, CASE WHEN length(trim(query_text)) > 0 THEN left(sha1(lower(trim(query_text))), 16) END AS query_hash, CASE WHEN id % 2 = 0 THEN 12.5 END::DOUBLE AS result_count FROM telemetry WHERE event_type <> 'error'", "telemetry")
+def usage_events(t: Tables) -> DataFrame:
+    """Raw events with blanks, repeated ids and numbers as text, as they are kept."""
+    none, number = F.lit(None).cast("string"), F.when(F.col("id") % 2 == 0, " 12.5").otherwise("many")
+    raw = t.telemetry.select(
+        "id", "at", F.when(F.col("event_type") == "error", "  ").otherwise(F.concat(F.lit(" "), "event_type")).alias("event_type"), none.alias("tenant_id"), F.when(F.col("actor_id") == 7, " ").otherwise(F.col("actor_id").cast("string")).alias("actor_id"), none.alias("source"), none.alias("status"), none.alias("release_id"), none.alias("language_code"),
+        F.array(F.lit("1 "), F.lit("2"), F.lit(""), F.lit("1")).alias("concept_ids"), "query_text", number.alias("result_count"), none.alias("duration_ms"),
+    )
+    return T.usage_events(raw, "20240701").select("id", "event_type", "tenant_id", "actor_id", "release_id", F.array_join("concept_ids", ",").alias("concept_ids"), "query_hash", "result_count")
+
+
+@query("explorer_events", "SELECT event_type, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'explorer.result.selected' WHEN 'view' THEN 'explorer.search.submitted' ELSE event_type END AS event_type FROM telemetry) WHERE starts_with(event_type, 'explorer.') GROUP BY event_type", "telemetry")
+def explorer_events(t: Tables) -> DataFrame:
+    named = t.telemetry.withColumn("event_type", F.when(F.col("event_type") == "click", "explorer.result.selected").when(F.col("event_type") == "view", "explorer.search.submitted").otherwise(F.col("event_type")))
+    return T.allowed_events(named, T.EXPLORER_EVENTS).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("telemetry_daily", "SELECT strftime(\"at\", '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT actor_id) AS actors FROM telemetry GROUP BY ALL", "telemetry")
 def telemetry_daily(t: Tables) -> DataFrame:
     return T.daily(t.telemetry)
