@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from termloom.operators import anchoring as A
 from termloom.operators import diagnosis as D
 from termloom.operators.evaluate import contract_violations, ranked_diagnoses
-from termloom.operators.grounding import candidate_score, context, sentences
+from termloom.operators import notes as N
+from termloom.operators.grounding import candidate_score
 from termloom.sources.corpus import synthetic_notes
 
 
@@ -24,20 +25,54 @@ def test_windows_lose_nothing(spark):
     assert "".join(r.window for r in A.window_rows(df, "k0", "text", 27).orderBy("k").collect()) == "One two. Three four. " * 5
 
 
+def test_anchors_keep_to_sentence_window_and_section():
+    text = "Reason for visit: cough. HPI: cough for days.\nPast medical history: cough, known asthma\nPlan: cough syrup"
+    one = lambda **m: A.anchor_note(text, [{"phrase": "cough", **m}])[0]
+    assert one(section="HPI")["start"] == text.index("cough for") and one(section="plan")["start"] == text.index("cough syrup")
+    assert one(sentence="cough for days.")["start"] == text.index("cough for") and one(window=(40, 90))["start"] == text.index("cough, known")
+    assert one(start=text.index("cough syrup"), end=text.index("cough syrup") + 5, section="HPI")["start"] == text.index("cough syrup")
+    stated = dict(subject="patient", assertion="present", temporality="current", kind="condition")
+    twice = A.anchor_note(text, [{"phrase": "cough", **stated}, {"phrase": "cough", **stated}, {"phrase": "cough", **stated, "assertion": "absent"}])
+    assert [m["start"] for m in twice] == [18, 30, 18]
+    past = A.anchor_note("Past medical history: gout", [{"phrase": "gout", **stated}])[0]
+    assert (past["temporality"], past["reasons"]) == ("unknown", ["background-activity-not-stated"])
+    assert A.anchor_note("Past medical history: active gout", [{"phrase": "gout", **stated}])[0]["temporality"] == "current"
+    gone = A.anchor_note("No fever", [{"phrase": "fever", "assertion": "absent", "clinical_status": "resolved"}])[0]
+    assert gone["clinical_status"] == "unknown"
+    came = A.anchor_note("Chief complaint: fever", [{"phrase": "fever", "kind": "symptom", "assertion": "present", "temporality": "historical", "clinical_status": "resolved"}])[0]
+    assert came["temporality"] == "current"
+
+
 def test_phrase_windows():
-    assert A.phrase_windows(["a", "b", "c"]) == [(0, 3)] and A.phrase_windows([]) == []
-    assert A.phrase_windows(list("abcdef")) == [(2, 4), (0, 4)]
+    assert N.windows_of(["a", "b", "c"]) == [(0, 3)] and N.windows_of([]) == []
+    assert N.windows_of(list("abcdef")) == [(2, 4), (0, 4)]
+
+
+def test_sections():
+    cut = lambda t: [(x[0], t[x[1] : x[3]]) for x in N.sections_of(t)]
+    assert cut("plain text") == [("Note", "plain text")]
+    assert cut("Intro. Plan: rest.\nDiagnóstico final: asma") == [("Note", "Intro."), ("Plan", " Plan: rest."), ("Diagnóstico final", "\nDiagnóstico final: asma")]
+    assert N.slug_of("Past (medical) history") == "past-medical-history"
+
+
+def test_context_precedence():
+    rows = {"mother with asthma, no fever": "family-history", "no evidence of pneumonia, continue statin": "absent", "continue statin, possible gout": "planned", "possible gout": "suspected", "history of gout": "historical", "gout": "present", "nódulo": "present", "to rule out gout": "absent", "descartados ambos": "absent", "follow up": "planned"}
+    assert {t: N.context_of(N.signals_of("Note", t, 0))[0] for t in rows} == rows
+    titled = lambda title: N.context_of(N.signals_of(title, "gout", 0))[0]
+    assert [titled(x) for x in ("Family history", "Past history", "Plan")] == ["family-history", "present", "planned"]
+    assert [x[:2] for x in N.signals_of("Note", "gout due to salt with pain", 0)] == [("relation", "due-to"), ("relation", "associated-with")]
 
 
-def test_context_precedence(spark):
-    rows = ["mother with asthma, no fever", "no evidence of pneumonia, continue statin", "continue statin, possible gout", "possible gout", "history of gout", "gout", "nódulo"]
-    df = spark.createDataFrame([(x,) for x in rows], "s string")
-    assert [r[0] for r in df.select(context(F.col("s"))).collect()] == ["family-history", "absent", "planned", "suspected", "historical", "present", "present"]
+def test_phrases_of_a_note():
+    found = N.phrases_of("Assessment: severe asthma due to dust mites. Patient has the flu")
+    assert [(x[1], x[6]) for x in found] == [("severe asthma", 40), ("dust mites", 34)]
+    assert N.phrases_of("") == [] and N.phrases_of("a\n" * 50) == []
+    assert len(N.phrases_of("alpha beta. " * 200, 80)) == 80
 
 
 def test_sentences(spark):
     df = spark.createDataFrame([(1, "A b. C!\n\nD"), (2, None), (3, " ")], "id int, t string")
-    assert sorted((r.id, r.sentence) for r in sentences(df, "id", "t").collect()) == [(1, "A b."), (1, "C!"), (1, "D")]
+    assert sorted((r.id, r.sentence) for r in N.sentences(df, "id", "t").collect()) == [(1, "A b."), (1, "C!"), (1, "D")]
 
 
 def test_corpus_is_stable(spark):

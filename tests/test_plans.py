@@ -3,7 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.plans.cohort import Filters, Group, Leaf, Plan, PlanError, cohort, leaves, parse_question, validate_filters, validate_ids, validate_plan
+from termloom.plans.cohort import Filters, Group, Leaf, Plan, PlanError, cohort, leaves, parse_command, parse_question, validate_filters, validate_ids, validate_plan
+from termloom.plans.broad_scope import broad_scope
 from termloom.plans.ecl import Attribute, Concept, EclError, EclSpace, Refined, SetOp, parse, scope, validate
 
 
@@ -69,6 +70,58 @@ def test_question_filters_in_both_languages():
     assert parse_question("mujeres de 40 a 70 años").filters == Filters(40, 70, None, "female")
 
 
+GOLDEN = {
+    "Find notes with diabetes and kidney disease or heart failure but without pneumonia": [("diabetes", "present", "patient", False), ("kidney disease", "present", "patient", False), ("heart failure", "present", "patient", False), ("pneumonia", "present", "patient", True)],
+    "Find notes with documented absence of pneumonia": [("pneumonia", "absent", "patient", False)],
+    "heart failure and a history of myocardial infarction and a family history of breast cancer and planned radiotherapy": [("heart failure", "present", "patient", False), ("myocardial infarction", "historical", "patient", False), ("breast cancer", "present", "family", False), ("radiotherapy", "planned", "patient", False)],
+    "suspected pneumonia but without confirmed pneumonia": [("pneumonia", "suspected", "patient", False), ("pneumonia", "present", "patient", True)],
+    "Find emergency notes with confirmed asthma": [("asthma", "present", "patient", False)],
+    "asthma but not gout": [("asthma", "present", "patient", False), ("gout", "present", "patient", True)],
+    "diabetes excepto asma": [("diabetes", "present", "patient", False), ("asma", "present", "patient", True)],
+    "diabetes except asthma": [("diabetes", "present", "patient", False), ("asthma", "present", "patient", True)],
+    "cirugía programada": [("cirugía", "planned", "patient", False)],
+    "about asthma": [("asthma", "present", "patient", False)],
+    "confirmed pneumonia": [("pneumonia", "present", "patient", False)],
+    "documented no pneumonia": [("pneumonia", "absent", "patient", False)],
+    "neumonía confirmada y ausencia documentada de asma": [("neumonía", "present", "patient", False), ("asma", "absent", "patient", False)],
+}
+
+
+@pytest.mark.parametrize("text", GOLDEN)
+def test_question_forms(text):
+    assert [(x.phrase, x.assertion, x.subject, x.exclude) for x in leaves(parse_question(text).root)] == GOLDEN[text]
+
+
+def test_question_settings_and_groups():
+    assert parse_question("Find emergency notes with asthma").filters == Filters(setting="emergency")
+    assert parse_question("Busca notas de atención primaria de los últimos 30 días con asma").filters == Filters(since_days=30, setting="primary-care")
+    plan = parse_question("Find notes with (diabetes or heart failure) and kidney disease but without pneumonia").root
+    assert plan.kind == "all" and plan.children[0].kind == "any" and plan.children[2].exclude
+    assert parse_question("Busca notas de mujeres de 40 a 70 años con diabetes e hipertensión").filters == Filters(40, 70, None, "female")
+
+
+def test_commands_and_prose():
+    assert parse_command("Find notes with diabetes").root == Leaf("diabetes", name="c1")
+    for text in ("Which records describe patients taking metformin with impaired kidney function?", "Find notes with diabetes requiring insulin", "Find notes with heart failure with reduced ejection fraction", "diabetes", "Find emergency notes", "Find notes with diabetes and"):
+        assert parse_command(text) is None
+
+
+def families(spark, phrase, *rows):
+    schema = "phrase string, pos int, concept_id string, term string, tag string, descriptions array<string>, ancestor_ids array<string>, rerank_score double"
+    df = spark.createDataFrame([(phrase, k, *r) for k, r in enumerate(rows)], schema)
+    return [r.concept_id for r in broad_scope(df).collect()]
+
+
+def test_broad_scopes(spark):
+    one = lambda c, term, up, score, tag=None, terms=None: (c, term, tag, terms or [term], up, score)
+    assert families(spark, "hypertension", one("59621000", "Essential hypertension", ["38341003"], 0.8), one("38341003", "Hypertensive disorder", [], 0.7, None, ["Hypertension"]), one("31992008", "Secondary hypertension", ["38341003"], 0.7)) == ["38341003"]
+    assert families(spark, "type 2 diabetes mellitus", one("44054006", "Type 2 diabetes mellitus", ["73211009"], 0.9), one("73211009", "Diabetes mellitus", [], 0.85)) == ["44054006"]
+    assert families(spark, "azúcar alta en sangre", one("80394007", "Hiperglucemia", [], 0.8, "trastorno"), one("73211009", "Diabetes mellitus", [], 0.76, "trastorno"), one("12345678", "Subtipo", ["80394007"], 0.75, "trastorno")) == ["80394007"]
+    assert families(spark, "unrecognized", one("12345678", "Unrelated", [], 0.1)) == []
+    assert families(spark, "renal impairment", one("12345678", "Unrelated finding", [], None, "finding"), one("56789012", "Persistent renal impairment", [], None, "finding")) == ["56789012"]
+    assert families(spark, "enfermedad de las arterias coronarias", one("414545008", "Enfermedad coronaria", [], 0.82, "trastorno"), one("53741008", "Arteriosclerosis coronaria", ["414024009"], 0.81, "trastorno"), one("371803003", "Enfermedad de múltiples arterias coronarias", ["53741008", "414024009"], 0.80, "trastorno"), one("414024009", "Trastorno de arteria coronaria", [], 0.77, "trastorno")) == ["414545008", "53741008"]
+
+
 @pytest.mark.parametrize("text", ["diabetes and", "diabetes or ()", "(diabetes", "diabetes)", "", "and"])
 def test_bad_questions(text):
     with pytest.raises(PlanError):
