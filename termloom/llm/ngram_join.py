@@ -13,19 +13,24 @@ node from the first shuffle on. Two sets link if they share 75 % of their union.
 3. Prefixes: in order of frequency, a set of n keeps its first n - ceil(0.75 n) + l shingles.
    Any partner shares l of them at least. Each node takes the l with the least estimated
    cost, posting lists to read plus candidates to verify; a pair uses the smaller of the two.
-4. Stars: each posting list's least node is compared with all others of the list. That
-   costs one row per posting and joins most copies; components give nodes labels.
+4. Stars: each posting list's least node meets all others of the list. That costs one row per
+   posting and joins most copies; components give nodes labels.
 5. Rest: only pairs with different labels are left. Lists of one label are dropped. In short
-   lists the pairs are counted per shared shingle, kept with l or more, and verified. Long
-   lists are compared in blocks, each of those outside the list's largest component against
-   everything in it, by bit vectors in bounded memory; a block returns a spanning forest.
-   No list is cut off.
+   lists the pairs are counted per shared shingle, as many as l asks for beyond what may be in
+   long lists. A pair whose first shared shingle has a long list is found there: both sides
+   must have enough of their sets from that shingle on, sizes must be near, so nodes that no
+   other node of the list can meet are dropped before anything is compared. Texts that share
+   nothing but boilerplate end there. What stays is compared in blocks of bounded volume, each
+   node outside the largest component against everything in it, by counting shared shingles;
+   a block returns a spanning forest. No list is cut off.
+6. Every pair met has to share l prefix shingles before its whole sets are looked at.
 
 Hashes decide equality of shingles; all counts of a pair are taken on the whole 64 bits.
 
 Defined cases: texts with fewer than five words are one shingle; null, empty and blank texts
-have none and link with nothing; rows that repeat a doc_id are separate rows under the same
-id; an empty table gives no rows; extra columns are ignored.
+have none and link with nothing; a very long text is one set, held whole while it is its turn;
+rows that repeat a doc_id are separate rows under the same id; of equal costs the smaller l is
+taken; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mix64, pack_planes, pack_sorted, partitions, ranges, ship, slices, stored, unpack_planes, unpack_sorted
+from .shared import mix64, pack_planes, pack_sorted, partitions, ranges, released, ship, slices, stored, unpack_planes, unpack_sorted
 
 WORDS, PERCENT = 5, 75
 HOT_SHARE, HOT_LEAST = 0.01, 1000
 MAX_MATCHES, VERIFY_COST = 8, 1 / 16
 SHORT_LIST = 96
-BLOCK_MEMBERS, BLOCK_OUTSIDERS = 2048, 1024
+#: Shingles of the members, and of the outsiders, that a block holds at most, give or take one set.
+BLOCK_MEMBERS, BLOCK_OUTSIDERS = 1 << 22, 1 << 20
 HOT = (1 << 32) - 1
 
 _FACTORS = mix64(np.arange(1, WORDS + 1).astype(np.uint64)) | np.uint64(1)
@@ -108,6 +114,7 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 SETS = "doc_id long, n_shingles long, node long, mark long, token long, docs long"
 
 
+@released
 def _sets(batches):
     for batch in slices(batches, 12 << 20):
         flat, offsets = shingles(batch.column("text"))
@@ -145,6 +152,7 @@ def _blob_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _postings(parts: int, hot: np.ndarray):
+    @released
     def run(batches):
         for batch in slices(batches, 12 << 20):
             flat, offsets = shingles(batch.column("text"))
@@ -183,6 +191,7 @@ def _postings(parts: int, hot: np.ndarray):
 def _frequencies(parts: int):
     """A partition of the hash range: sends shingles of two nodes or more to their nodes."""
 
+    @released
     def run(batches):
         tokens, nodes = [], []
         for batch in batches:
@@ -237,6 +246,7 @@ def choose_matches(often: np.ndarray, n: int, base: int) -> int:
     return best
 
 
+@released
 def _prefixes(batches):
     """A partition of the nodes: prefixes of those that can have a partner."""
     token, node, often, info = [], [], [], {}
@@ -298,10 +308,11 @@ def _ratio(n_a: F.Column, n_b: F.Column) -> F.Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b that link, by their whole sets."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"s_{x}"))
+    """Those of the pairs a, b that share l prefix shingles and, by their whole sets, link."""
+    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "matches", "prefix", "common")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(similar(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    met = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("matches_a", "matches_b")
+    return both.where(met & similar(F.size(F.array_intersect("common_a", "common_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def star_pairs(postings: DataFrame) -> DataFrame:
@@ -311,29 +322,30 @@ def star_pairs(postings: DataFrame) -> DataFrame:
     return met.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def counted_pairs(short: DataFrame) -> DataFrame:
-    """Pairs of different labels that share as many prefix shingles as the smaller l asks for."""
-    side = lambda x: short.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "matches", "level", "label")))
+def counted_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of different labels that share as many prefix shingles of short lists as the smaller
+    l asks for, less those that may lie in long lists: a row in long for each of them."""
+    beyond = long.groupBy("node").agg(F.count(F.lit(1)).alias("beyond"))
+    rows = short.join(beyond, "node", "left").withColumn("beyond", F.coalesce("beyond", F.lit(0)))
+    side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "matches", "level", "label", "beyond")))
     l = F.least("matches_a", "matches_b")
     met = side("a").join(side("b"), "token").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _ratio(F.col("n_a"), F.col("n_b")) & (F.col("level_a") <= l) & (F.col("level_b") <= l))
-    shared = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared"), F.first(l).alias("l"))
-    return shared.where("shared >= l").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    least = F.greatest(l - F.least("beyond_a", "beyond_b"), F.lit(1))
+    shared = met.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared"), F.first(least).alias("least"))
+    return shared.where("shared >= least").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _compare_block(table: pa.Table) -> pa.Table:
-    """Outsiders against everything in the block, by bit vectors; a spanning forest of labels."""
+    """Outsiders against everything in the block, by counts of shared shingles; a spanning forest
+    of labels. What it holds is a small multiple of the sets in the block."""
     node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
     role = table.column("outside").to_numpy(zero_copy_only=False)
     sets = table.column("common").combine_chunks()
     flat = sets.flatten().to_numpy(zero_copy_only=False)
-    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    tokens, code, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.cumsum(counts > 1) - 1
-    width = max(1, -(-int((counts > 1).sum()) // 64))
-    bits = np.zeros((len(node), width), np.uint64)
-    row, keep = np.repeat(np.arange(len(node)), sizes), counts[code] > 1
-    place = rank[code[keep]]
-    np.bitwise_or.at(bits, (row[keep], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    ends = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    code, row = np.unique(flat, return_inverse=True)[1], np.repeat(np.arange(len(node)), np.diff(ends))
+    order = np.argsort(code, kind="stable")
+    holders, starts = row[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -343,13 +355,9 @@ def _compare_block(table: pa.Table) -> pa.Table:
 
     links = []
     for i in np.flatnonzero(role):
-        size_ok = (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (label != label[i])
-        others = np.flatnonzero(size_ok)
-        shared = np.zeros(len(others), np.int64)
-        for w in range(width):
-            if bits[i, w]:
-                shared += np.bitwise_count(bits[others, w] & bits[i, w])
-        for j in others[100 * shared >= PERCENT * (n[others] + n[i] - shared)].tolist():
+        own = code[ends[i] : ends[i + 1]]
+        shared = np.bincount(holders[ranges(starts[own], starts[own + 1] - starts[own])], minlength=len(node))
+        for j in np.flatnonzero((label != label[i]) & (100 * shared >= PERCENT * (n + n[i] - shared))).tolist():
             x, y = root(int(label[i])), root(int(label[j]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -358,17 +366,41 @@ def _compare_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def meetable(long: DataFrame) -> DataFrame:
+    """token, bucket, node, label, n of those nodes of long lists that may have a partner whose first
+    shared shingle the list's is.
+
+    long: token, node, label, n, rem (shared shingles from this one on), level. Two sets that
+    link share 3/7 of their sizes' sum, and of both no more than rem is left to share: a node's
+    partner has at most 7/3 rem - n shingles. Buckets hold sizes within a factor of 4/3, and each
+    node also stands in the next one, so sizes near enough meet. Two rounds drop the nodes that
+    are too large for all others' limits or whose limit all others exceed.
+    """
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + F.lit(1e-9)).cast("int")
+    rows = long.where("level = 1").select("token", F.explode(F.array(bucket, bucket + 1)).alias("bucket"), "node", "label", "n", F.floor((7 * F.col("rem") - 3 * F.col("n")) / 3).alias("most"))
+    for _ in range(2):
+        rows = stored(rows, "meetable")
+        ends = rows.groupBy("token", "bucket").agg(F.min("n").alias("least_n"), F.max("most").alias("best"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token", "bucket", "least_n", "best")
+        rows = rows.join(ends, ["token", "bucket"]).where("least_n <= most AND best >= n").drop("least_n", "best")
+    return rows
+
+
 def block_links(long: DataFrame, sets: DataFrame) -> DataFrame:
-    """long: token, node, label, major. Links between labels inside the long lists."""
-    held = long.select("major", "node", "label").distinct().withColumn("outside", F.col("label") != F.col("major"))
-    sizes = held.groupBy("major").agg(F.count(F.lit(1)).alias("members"), F.count_if("outside").alias("outsiders"))
-    counted = held.join(sizes, "major").withColumns({"across": F.ceil(F.col("members") / BLOCK_MEMBERS), "down": F.ceil(F.col("outsiders") / BLOCK_OUTSIDERS)})
+    """Links between labels inside the long lists, whose nodes meet by their list's major label and
+    size: lists of one component are one block, not one for each of its shingles."""
+    rows = stored(meetable(long), "long")
+    by_label = rows.groupBy("token", "bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    majors = by_label.groupBy("token", "bucket").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", "bucket", "major")
+    held = stored(rows.join(majors, ["token", "bucket"]).select("major", "bucket", "node", "label", "n").distinct().withColumn("outside", F.col("label") != F.col("major")), "held")
+    key = ["major", "bucket"]
+    sizes = held.groupBy(*key).agg(F.sum("n").alias("volume"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("beyond"))
+    counted = held.join(sizes, key).withColumns({"across": F.ceil(F.col("volume") / BLOCK_MEMBERS), "down": F.ceil(F.col("beyond") / BLOCK_OUTSIDERS)})
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    stay = counted.select("major", "node", "label", F.lit(False).alias("outside"), own("across").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"))
-    move = counted.where("outside").select("major", "node", "label", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), own("down").alias("y"))
-    rows = stay.select("major", "node", "label", "outside", F.col("x").cast("long"), F.col("y").cast("long")).unionByName(move.select("major", "node", "label", "outside", F.col("x").cast("long"), F.col("y").cast("long")))
-    whole = rows.join(sets.select("node", "n", "common"), "node")
-    return whole.groupBy("major", "x", "y").applyInArrow(_compare_block, "a long, b long")
+    place = lambda df, outside, x, y: df.select(*key, "node", "label", F.lit(outside).alias("outside"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    stay = place(counted.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("down") - 1))), False, own("across"), F.col("_y"))
+    move = place(counted.where("outside").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("across") - 1))), True, F.col("_x"), own("down"))
+    whole = stay.unionByName(move).join(sets.select("node", "n", "common"), "node")
+    return whole.groupBy(*key, "x", "y").applyInArrow(_compare_block, "a long, b long")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -385,14 +417,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     hot = hot_shingles(found)
     index = texts.select("text").mapInArrow(_postings(parts, hot), BLOBS).repartitionById(parts, "part").mapInArrow(_frequencies(parts), BLOBS).repartitionById(parts, "part").mapInArrow(_prefixes, PREFIXES)
     sets = stored(index, "prefixes")
-    postings = sets.select("node", "n", "matches", F.explode(F.arrays_zip(F.col("prefix").alias("token"), F.col("levels").alias("level"))).alias("p")).select("node", "n", "matches", "p.token", "p.level")
+    postings = sets.select("node", "n", "matches", F.size("common").alias("size"), F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), F.col("levels").alias("level"))).alias("k", "p")).select("node", "n", "matches", "p.token", "p.level", (F.col("size") - F.col("k")).alias("rem"))
     star_links = stored(verify(star_pairs(postings), sets), "links")
     first = components(star_links)
     labelled = stored(postings.join(first, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     by_label = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = stored(by_label.groupBy("token").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1"), "mixed")
-    in_mixed = labelled.join(mixed.select("token", "m", "major"), "token")
-    more = verify(counted_pairs(in_mixed.where(F.col("m") <= SHORT_LIST)), sets).unionByName(block_links(in_mixed.where(F.col("m") > SHORT_LIST), sets))
+    mixed = stored(by_label.groupBy("token").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "mixed")
+    in_mixed = labelled.join(mixed.select("token", "m"), "token")
+    short, long = in_mixed.where(F.col("m") <= SHORT_LIST), in_mixed.where(F.col("m") > SHORT_LIST)
+    more = verify(counted_pairs(short, long), sets).unionByName(block_links(long, sets))
     named = lambda x: first.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
     second = components(between)

@@ -4,9 +4,13 @@ executors, and packed binary blobs that move many small records in one shuffle r
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -58,6 +62,44 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Jobs run inside move at most so many rows to Python at a time: for tables of long rows."""
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, which allocators keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """run, whose worker holds no freed memory once it has ended: workers live on between jobs, beside
+    those of later stages."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return whole
+
+
 def base_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns never meet the operator's own."""
     return df.select(*(F.col(n) for n in names))
@@ -77,7 +119,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, limit: int = 24 << 20):
+def slices(batches, limit: int = 8 << 20):
     """Record batches cut so that each holds about limit bytes of text or one row."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -273,6 +273,39 @@ def test_blocks_find_all_links(spark, monkeypatch):
     assert ngram_join._compare_block(table).to_pylist() == [{"a": 3, "b": 1}]
 
 
+@pytest.mark.parametrize("volume", [1 << 20, 40])
+def test_long_lists_lose_no_link(volume, spark, monkeypatch):
+    """Short texts of few common words, where every list is long and many sets are near."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", volume)
+    monkeypatch.setattr(ngram_join, "BLOCK_OUTSIDERS", volume)
+    r = random.Random(volume)
+    words = [f"w{k}" for k in range(40)]
+    bases = [[r.choice(words) for _ in range(r.randint(12, 40))] for _ in range(12)]
+    rows = []
+    for k in range(260):
+        text = list(r.choice(bases))
+        for _ in range(r.randint(0, 3)):
+            text[r.randrange(len(text))] = r.choice(words)
+        rows.append((k, " ".join(text[: len(text) - r.randint(0, 3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted_rows(ngram_join.digest(df), "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows))
+
+
+def test_boilerplate_is_dropped_before_anything_is_compared(spark):
+    """Texts that share four fifths of themselves and no more: no node may have a partner."""
+    shared = " ".join(f"b{k}" for k in range(100))
+    rows = [(k, f"{shared} " + " ".join(f"own{k}x{j}" for j in range(24))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert ngram_join.digest(df).where("component_id <> doc_id").count() == 0
+    long = spark.createDataFrame([(1, k, k, 120, 96, 1) for k in range(300)], "token long, node long, label long, n long, rem long, level int")
+    assert ngram_join.meetable(long).count() == 0
+    near = spark.createDataFrame([(1, k, k, 100 + k % 3, 95 + k % 3, 1) for k in range(300)], "token long, node long, label long, n long, rem long, level int")
+    assert ngram_join.meetable(near).select("node").distinct().count() == 300
+
+
 def test_hot_shingles_change_nothing(docs, pairs, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
     assert sorted_rows(ngram_join.digest(docs), "doc_id", "n_shingles", "component_id") == sorted(brute.components(pairs))
