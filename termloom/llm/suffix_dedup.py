@@ -8,7 +8,10 @@ to UTF-8; matches never cross documents.
    dealt out by their anchors' hashes. Neighbouring windows mostly share an anchor: there
    are about 2 / (WINDOW - SEED + 2) anchors a byte. Equal texts count once.
 2. Anchors that occur once can't have a repeated window. The others go back to their
-   texts, which send each anchor's context, the bytes of all its windows.
+   texts, which send each anchor's context, the bytes of all its windows. Contexts of an
+   anchor with very many places are cut by the anchor's place in the window, eight or so cuts
+   each, and dealt out by the bytes that all windows of a cut share as well: a seed that
+   stands in many different surroundings spreads over all partitions.
 3. A partition of the hash range holds all contexts that can share windows with one another.
    Equal contexts are settled at once: all but the first are repeated. Of the rest, those
    whose anchor has several contexts are cut at content-defined bounds, and a suffix
@@ -17,13 +20,18 @@ to UTF-8; matches never cross documents.
    and the bytes left over at both ends. The first window of each class stays.
 4. Runs of repeated windows return to their texts, are merged and cut out.
 
+Hashes only propose: of contexts and windows taken for equal the bytes are compared, and a
+partition's piece in which any differ is done again on the bytes alone. Whole texts are equal
+if their 128-bit digests are.
+
 What a task holds is one partition of hash ranges. A hot passage doesn't gather there: tasks
 settle the anchors and the contexts that they hold several times themselves and send one for
 all, so an anchor's partition gets one context for each different surrounding and task.
 
-Defined cases: null and empty texts have no bytes; texts under WINDOW bytes lose nothing;
-rows that repeat a doc_id are separate documents, ordered by a hash of their text, and equal
-rows count as one; an empty table gives no rows; extra columns are ignored.
+Defined cases: null and empty texts have no bytes; texts under WINDOW bytes lose nothing; a
+very long text is hashed in pieces and cut as a whole; rows that repeat a doc_id are separate
+documents, ordered by a hash of their text, and equal rows count as one; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +44,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import part_of
-from .shared import mix64, pack_planes, pack_sorted, partitions, ranges, ship, slices, stored, text_bytes, unpack_planes, unpack_sorted
+from .shared import mix64, pack_planes, pack_sorted, partitions, ranges, released, ship, slices, stored, text_bytes, unpack_planes, unpack_sorted
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, SEED = 100, 32
 #: Windows hashed at a time, and the bytes before a symbol's bound that decide on it: one in BOUND_EVERY.
 CHUNK, BOUND_BYTES, BOUND_EVERY, PIECE = 1 << 19, 4, 16, 1 << 20
 
+#: An anchor is hot with so many places, and so large a share of its partition's: at most 1 / HOT_SHARE a
+#: partition. Its contexts are cut into windows with the anchor at so many neighbouring places.
+HOT_PLACES, HOT_SHARE, CUT = 4096, 0.01, 9
+#: Digests that a task remembers at most; a text met again after that is only sent again.
+MAX_SEEN = 1 << 18
+
 _BYTES = mix64(np.arange(1, 257).astype(np.uint64))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = (1 << 25) - 1
@@ -119,7 +133,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 # ---- blobs between stages
 
 BLOBS = "part int, kind int, a binary, b binary, c binary, d binary"
-ANCHORS, BACK, TEXTS, FIRSTS, CONTEXTS, RUNS = range(6)
+ANCHORS, BACK, TEXTS, FIRSTS, CONTEXTS, RUNS, HOT = range(7)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,6 +182,7 @@ def _hash_pair(raw: bytes) -> tuple[int, int]:
 IDS = "doc_id long, n_bytes long, h1 long, h2 long, sha256 string"
 
 
+@released
 def _ids(batches):
     for batch in slices(batches):
         raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
@@ -183,6 +198,8 @@ def _distinct(batches, limit: int):
         view, keep, pairs = data.tobytes(), [], []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             if b - a >= WINDOW and (pair := _hash_pair(view[a:b])) not in seen:
+                if len(seen) >= MAX_SEEN:
+                    seen.clear()
                 seen.add(pair)
                 keep.append(i)
                 pairs.append(pair)
@@ -195,8 +212,10 @@ def _distinct(batches, limit: int):
 
 def _anchor_blobs(parts: int):
     """Anchors that a batch holds twice are known to be repeated: they go straight back to
-    their texts, and one marker without windows for each to its partition of the hash range."""
+    their texts, and one marker for each, without windows and with the number of its places, to
+    its partition of the hash range."""
 
+    @released
     def run(batches):
         for data, offsets, h1, _ in _distinct(batches, 8 << 20):
             hashes, text, place, first, count = anchors(data, offsets)
@@ -209,7 +228,10 @@ def _anchor_blobs(parts: int):
             many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             rows = _back_blobs(hashes[many], h1[text[many]], place[many], back[many], count[many], parts)
             marker = many & np.concatenate([[True], ~same])
-            text, place, back, count = (np.where(marker, 0, x) for x in (text, place, back, count))
+            heads = np.flatnonzero(np.concatenate([[True], ~same]))
+            places = np.diff(np.concatenate([heads, [len(hashes)]]))
+            text, back, count = (np.where(marker, 0, x) for x in (text, back, count))
+            place[heads] = np.where(marker[heads], places, place[heads])
             k = ~many | marker
             hashes, text, place, back, count = (x[k] for x in (hashes, text, place, back, count))
             cuts = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
@@ -229,6 +251,7 @@ def _back_blobs(hashes, text, place, back, count, parts: int) -> list[tuple]:
 
 
 def _text_blobs(parts: int):
+    @released
     def run(batches):
         for data, offsets, h1, h2 in _distinct(batches, 16 << 20):
             sizes = np.diff(offsets)
@@ -255,6 +278,7 @@ def _rows_of(batches):
 def _repeated(parts: int):
     """A partition of the hash range: anchors at two or more places go back to their texts."""
 
+    @released
     def run(batches):
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
         for row in _rows_of(batches):
@@ -274,6 +298,11 @@ def _repeated(parts: int):
         columns.clear()
         text = np.where(count == 0, 0, text)
         order = np.argsort(hashes)
+        heads = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        places = np.add.reduceat(np.where(count[order] == 0, place[order], 1), heads)
+        if (often := places >= max(HOT_PLACES, HOT_SHARE * places.sum())).any():
+            yield _batch([(0, HOT, hashes[order][heads[often]].tobytes(), b"", b"", b"")])
+        place = np.where(count == 0, 0, place)
         same = hashes[order][1:] == hashes[order][:-1]
         k = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         hashes, text, place, back, count = (x[k] for x in (hashes, text, place, back, count))
@@ -310,12 +339,33 @@ def _texts_of(rows: list[tuple]):
     return flat, offsets[k], sizes[k], h1[k], h2[k]
 
 
-def _contexts(parts: int):
+def _cut_up(hashes, back, count, lo, base, flat, hot: np.ndarray):
+    """Contexts, those of hot anchors cut: hash, back, count, lo, and the number of the context. A
+    cut's windows have the anchor at CUT neighbouring places, so all of them share the bytes that
+    its hash is made of; base is where each context's text begins."""
+    at = np.arange(len(hashes))
+    is_hot = np.isin(hashes, hot)
+    if not is_hot.any():
+        return hashes, back, count, lo, at
+    h = at[is_hot]
+    first, last = (back[h] - count[h] + 1) // CUT, back[h] // CUT
+    k, r = np.repeat(h, last - first + 1), ranges(first, last - first + 1)
+    begin = np.maximum(0, back[k] - (CUT * r + CUT - 1))
+    end = np.minimum(count[k], back[k] - CUT * r + 1)
+    core = np.full(len(k), WINDOW - CUT + 1, np.int64)
+    shared = np.concatenate([_whole_hashes(flat, (base[k] + lo[k] + back[k] - CUT * r)[x : x + 100_000], core[x : x + 100_000]) for x in range(0, len(k), 100_000)])
+    name = mix64(shared ^ mix64(hashes[k] + r.astype(np.uint64) + np.uint64(1)))
+    cold = at[~is_hot]
+    return (np.concatenate([hashes[cold], name]), np.concatenate([back[cold], back[k] - begin]), np.concatenate([count[cold], end - begin]), np.concatenate([lo[cold], lo[k] + begin]), np.concatenate([cold, k]))
+
+
+def _contexts(parts: int, hot: np.ndarray):
     """A partition of the texts: each repeated anchor's context to the anchor's partition.
 
     Of equal contexts only the earliest is sent; the others' windows are repeated for sure.
     """
 
+    @released
     def run(batches):
         by_kind: dict[int, list[tuple]] = {}
         for row in _rows_of(batches):
@@ -343,8 +393,10 @@ def _contexts(parts: int):
         hashes, back, count, lo, length, at = (x[fits] for x in (hashes, back, count, lo, length, at))
         if not len(hashes):
             return
+        hashes, back, count, lo, own = _cut_up(hashes, back, count, lo, starts[at], flat, hot)
+        at, length = at[own], count + WINDOW - 1
         whole = np.concatenate([_whole_hashes(flat, starts[at[k : k + 100_000]] + lo[k : k + 100_000], length[k : k + 100_000]) for k in range(0, len(at), 100_000)])
-        copies = _later_copies(hashes, back, length, whole, doc[at], h1[at], lo)
+        copies = _later_copies(hashes, back, length, whole, doc[at], h1[at], lo, flat, starts[at] + lo)
         rows = _run_blobs(h1[at[copies]], h2[at[copies]], lo[copies], lo[copies] + count[copies] - 1, parts)
         sent = np.flatnonzero(~copies)
         for p, k in _by_part(part_of(hashes[sent], parts), parts):
@@ -363,15 +415,54 @@ def _run_blobs(h1, h2, a, b, parts: int) -> list[tuple]:
     return [(p, RUNS, _zip(h1[k], h2[k], a[k], b[k]), b"", b"", b"") for p, k in _by_part(part_of(h1, parts), parts)]
 
 
-def _later_copies(hashes, back, length, whole, doc, h1, lo) -> np.ndarray:
-    """True for all but the first of equal contexts of equal anchors, in order of document and place."""
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each size from a on equal those from b on; sizes are positive."""
+    out, ends, x = np.zeros(len(a), bool), np.cumsum(sizes), 0
+    while x < len(a):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (4 << 20), side="right")))
+        equal = data[ranges(a[x:y], sizes[x:y])] == data[ranges(b[x:y], sizes[x:y])]
+        out[x:y] = np.logical_and.reduceat(equal, ends[x:y] - sizes[x:y] - (ends[x - 1] if x else 0))
+        x = y
+    return out
+
+
+def _later_copies(hashes, back, length, whole, doc, h1, lo, data, begins) -> np.ndarray:
+    """True for all but the first of equal contexts of equal anchors, in order of document and place.
+    A context whose bytes differ from the one before it with an equal hash counts as another."""
     key = mix64(whole ^ mix64(hashes + back.astype(np.uint64)) + length.astype(np.uint64))
     order = np.lexsort((lo, h1, doc, key))
+    same = np.flatnonzero((key[order][1:] == key[order][:-1]) & (length[order][1:] == length[order][:-1]))
     later = np.zeros(len(key), bool)
-    later[order[1:]] = key[order][1:] == key[order][:-1]
+    if len(same):
+        a, b = order[same + 1], order[same]
+        later[a] = _same_bytes(data, begins[a], begins[b], length[a])
     return later
 
 
+def _verified(data: np.ndarray, start: np.ndarray, context: np.ndarray, later: np.ndarray, before: np.ndarray) -> bool:
+    """Whether each later window has the bytes of the one before it in its class. Of neighbouring
+    windows that have neighbouring ones before them only the first is compared whole."""
+    pair = np.full(len(start), -1, np.int64)
+    pair[later] = before
+    w = np.sort(later)
+    follows = np.zeros(len(w), bool)
+    follows[1:] = (w[1:] == w[:-1] + 1) & (context[w[1:]] == context[w[:-1]]) & (pair[w[1:]] == pair[w[:-1]] + 1) & (context[pair[w[1:]]] == context[pair[w[:-1]]])
+    p = pair[w]
+    ends_equal = data[start[w] + WINDOW - 1] == data[start[p] + WINDOW - 1]
+    heads = w[~follows]
+    return bool(ends_equal.all() and _same_bytes(data, start[heads], start[pair[heads]], np.full(len(heads), WINDOW)).all())
+
+
+def _earlier_by_bytes(data: np.ndarray, start: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Windows that an equal one precedes in rank, from their bytes alone."""
+    raw, seen, out = data.tobytes(), set(), np.zeros(len(start), bool)
+    for k in rank.tolist():
+        window = raw[start[k] : start[k] + WINDOW]
+        out[k] = window in seen
+        seen.add(window)
+    return out
+
+
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, h1: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of contexts one after the other: each window's context, its offset there, and whether an
     equal window of these contexts starts earlier."""
@@ -425,7 +516,10 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, h1: n
     key = mix64(key + mix64((interval * (WINDOW + 1) + depth).astype(np.uint64) + np.uint64(3)))
     order = np.lexsort((lo[context] + start - begins[context], h1[context], doc[context], key))
     earlier = np.zeros(len(start), bool)
-    earlier[order[1:]] = key[order][1:] == key[order][:-1]
+    same = key[order][1:] == key[order][:-1]
+    earlier[order[1:]] = same
+    if same.any() and not _verified(data, start, context, order[1:][same], order[:-1][same]):
+        earlier = _earlier_by_bytes(data, start, np.lexsort((lo[context] + start - begins[context], h1[context], doc[context])))
     return context, start - begins[context], earlier
 
 
@@ -460,6 +554,7 @@ def _whole_hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np
 def _duplicates(parts: int):
     """A partition of the hash range: runs of repeated windows, back to the texts."""
 
+    @released
     def run(batches):
         columns: list[list[np.ndarray]] = [[] for _ in range(8)]
         for row in _rows_of(batches):
@@ -476,7 +571,7 @@ def _duplicates(parts: int):
         sizes = count + WINDOW - 1
         begins = np.cumsum(sizes) - sizes
         # equal contexts at equal places of equal anchors: all windows but the first context's are repeated
-        later = _later_copies(hashes, back, sizes, _whole_hashes(data, begins, sizes), doc, h1, lo)
+        later = _later_copies(hashes, back, sizes, _whole_hashes(data, begins, sizes), doc, h1, lo, data, begins)
         found = [(h1[later], h2[later], lo[later], lo[later] + count[later] - 1)]
         # anchors with several contexts, whole anchors at a time, in pieces of about PIECE bytes
         kept = np.flatnonzero(~later)
@@ -514,6 +609,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[heads], ends[np.concatenate([heads[1:], [len(starts)]]) - 1]
 
 
+@released
 def _cut(batches):
     """A partition of the texts: what is left of those with repeated windows."""
     by_kind: dict[int, list[tuple]] = {}
@@ -551,9 +647,12 @@ def removed_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     firsts = stored(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")), "firsts")
     texts = rows.select("text")
     deal = lambda df: df.repartitionById(parts, "part")
-    back = deal(texts.mapInArrow(_anchor_blobs(parts), BLOBS)).mapInArrow(_repeated(parts), BLOBS)
+    found = stored(deal(texts.mapInArrow(_anchor_blobs(parts), BLOBS)).mapInArrow(_repeated(parts), BLOBS), "anchors")
+    # bounded: at most 1 / HOT_SHARE hashes a partition
+    hot = np.frombuffer(b"".join(r.a for r in found.where(F.col("kind") == HOT).select("a").collect()), np.uint64)
+    back = found.where(F.col("kind") == BACK)
     beside = texts.mapInArrow(_text_blobs(parts), BLOBS).unionByName(firsts.mapInArrow(_first_blobs(parts), BLOBS))
-    contexts = deal(back.unionByName(beside)).mapInArrow(_contexts(parts), BLOBS)
+    contexts = deal(back.unionByName(beside)).mapInArrow(_contexts(parts, hot), BLOBS)
     runs = stored(deal(contexts).mapInArrow(_duplicates(parts), BLOBS), "runs")
     return ids, firsts, runs
 

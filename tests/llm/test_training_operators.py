@@ -231,6 +231,51 @@ def test_substrings(docs, pairs):
     assert suffix_dedup.digest(docs).count() == len(pairs)
 
 
+@pytest.mark.parametrize("cut", [9, 30])
+def test_hot_anchors_are_spread_and_lose_nothing(cut, docs, pairs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_PLACES", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(suffix_dedup, "CUT", cut)
+    want = brute.substring_cuts(sorted(((d, t) for d, t in pairs if d != 27), key=lambda x: x[0]))
+    rows = sorted((d, *want[d, (t or "").encode()]) for d, t in pairs if d != 27)
+    assert sorted_rows(suffix_dedup.digest(docs.where("doc_id <> 27")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == rows
+
+
+def test_a_seed_in_many_surroundings_lands_in_many_partitions():
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    other = lambda n: bytes(r.randrange(256) for _ in range(n))
+    seed = other(40)
+    texts = [other(60) + seed + other(60) for _ in range(200)]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    n = len(texts)
+    hashes, back, count, lo, own = suffix_dedup._cut_up(np.full(n, 7, np.uint64), np.full(n, 64), np.full(n, 60), np.zeros(n, np.int64), begins, data, np.array([7], np.uint64))
+    assert len(np.unique(suffix_dedup.part_of(hashes, 16))) == 16 and count.reshape(-1).sum() == 60 * n
+    assert ((back >= 0) & (back - count + 1 >= 0) & (lo + count + 99 <= 160)).all()
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing(monkeypatch, spark):
+    import numpy as np
+
+    r = __import__("random").Random(3)
+    one, two, three = (bytes(r.randrange(97, 123) for _ in range(150)) for _ in range(3))
+    data = np.frombuffer(one + two + one + three, np.uint8)
+    sizes, doc, h1, lo = np.full(4, 150), np.arange(4), np.arange(4), np.zeros(4, np.int64)
+    good = suffix_dedup.repeated_windows(data, sizes, doc, h1, lo)
+    assert good[2].reshape(4, 51).all(axis=1).tolist() == [False, False, True, False] and good[2].sum() == 51
+    monkeypatch.setattr(suffix_dedup, "mix64", lambda x: np.zeros_like(x, dtype=np.uint64))  # all keys are equal
+    assert (suffix_dedup.repeated_windows(data, sizes, doc, h1, lo)[2] == good[2]).all()
+    zeros = np.zeros(4, np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    assert suffix_dedup._later_copies(zeros, lo, sizes, zeros, doc, h1, lo, data, begins).tolist() == [False] * 4
+    twice = np.frombuffer(one + one + two + three, np.uint8)
+    assert suffix_dedup._later_copies(zeros, lo, sizes, zeros, doc, h1, lo, twice, begins).tolist() == [False, True, False, False]
+
+
 def test_suffix_array():
     import random
 
