@@ -3,7 +3,9 @@
 The vocabulary file's normalizer and pre-tokenizer never join characters across white
 space, so a text's ids are its words' ids in order. Words repeat far more often than texts:
 each worker keeps the ids of the words it has met, in a store of bounded size, and only new
-words reach the library. A word of ASCII and Latin letters is cut by the file's own pattern
+words reach the library. A word of Latin letters is known in lower case and apart from the
+punctuation after it, as the normalizer and the pre-tokenizer would have it: that leaves far
+fewer words to know. Another word of ASCII and Latin signs is cut by the file's own pattern
 and its pieces go to the library's model; any other word, and any text that could hold a
 special token, goes through the library's whole encoder. So does every text where the
 vocabulary file has other rules than those that this was read off.
@@ -25,7 +27,9 @@ from .shared import ranges
 
 END_ID = 2
 #: The store is emptied when a batch finds more words than this in it.
-MAX_WORDS, MAX_PIECES = 500_000, 250_000
+MAX_WORDS, MAX_PIECES = 400_000, 60_000
+#: Words of Latin letters that have one-letter lower cases, and what may follow them.
+LETTERS = "^(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)(?P<tail>[.,;:!?]*)$"
 #: Bytes of text to encode at a time: a batch's new words have to leave room in the store for old ones.
 BATCH_BYTES = 8 << 20
 VOCABULARY = "word_bpe_49k.json"
@@ -75,20 +79,23 @@ class WordEncoder:
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _model(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
-            mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = self.pieces[piece] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            found = self.pieces[piece] = self._model(piece)
         return found
 
     def word(self, word: str) -> bytes:
         """A word's ids, packed."""
         plain = self.by_word and word.isascii()
-        if plain and word.isalpha():  # one piece, as most words are
-            return self._piece(word.lower())
+        if plain and word.isalpha():  # one piece, as most words are: the word's own place in the store will do
+            return self._model(word.lower())
         if self.by_word and (plain or self.simple.fullmatch(word)) and "<|" not in word and word.isprintable():
             return b"".join([self._piece(p) for p in self.pattern.findall(word.lower())])
         return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -116,6 +123,20 @@ class WordEncoder:
             self.used = end
         return np.array(place, np.int64)
 
+    def _known(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of distinct words one after the other, where each word's begin, and how many they are."""
+        parts = pc.extract_regex(unique, LETTERS)
+        core = pc.if_else(parts.is_valid(), pc.utf8_lower(pc.struct_field(parts, "core")), unique).dictionary_encode()
+        tail = pc.fill_null(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        cores = core.dictionary.to_pylist()
+        place = self._numbers(cores + tail.dictionary.to_pylist())
+        both = np.empty((len(unique), 2), np.int64)
+        both[:, 0] = place[: len(cores)][core.indices.to_numpy(zero_copy_only=False)] if len(unique) else 0
+        both[:, 1] = place[len(cores) :][tail.indices.to_numpy(zero_copy_only=False)] if len(unique) else 0
+        sizes = self.sizes[both]
+        lengths = sizes.sum(axis=1)
+        return self.flat[ranges(self.starts[both].ravel(), sizes.ravel())], np.cumsum(lengths) - lengths, lengths
+
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of many texts (null: empty), each with end_id appended if given."""
         texts = texts.fill_null("")
@@ -127,13 +148,12 @@ class WordEncoder:
         words = split.flatten()
         row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         coded = words.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
         if len(self.words) > MAX_WORDS:
             self._clear()
-        place = self._numbers(unique)
-        at = place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        sizes = self.sizes[at]
-        ids = self.flat[ranges(self.starts[at], sizes)]
+        flat, starts, lengths = self._known(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, np.int64)
+        sizes = lengths[at]
+        ids = flat[ranges(starts[at], sizes)]
         counts = np.bincount(row, weights=sizes, minlength=len(texts)).astype(np.int64)
         if odd.any():
             return self._mixed(texts, odd, ids, counts, end_id)
