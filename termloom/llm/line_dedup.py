@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, partitions, ship, slices, stored
+from .shared import SPACE, partitions, released, ship, slices, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -49,6 +49,7 @@ def long_enough(key: bytes) -> bool:
     return len(key) >= MIN_CHARS and (key.isascii() or len(key.decode()) >= MIN_CHARS)
 
 
+@released
 def _lines(batches):
     """One row per document and distinct long key: hash, document, packed line numbers."""
     for batch in slices(batches):
@@ -66,6 +67,7 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array(down, pa.int64()), pa.array(mark, pa.int64()), pa.array(n, pa.int32()), pa.array(lines, pa.binary())], names=["h1", "h2", "down", "mark", "n_lines", "lines"])
 
 
+@released
 def _stream(batches):
     """One partition's rows in order of hash, then descending doc_id (column down: its negative).
 
@@ -129,6 +131,7 @@ def _bitmap(lines: list[bytes], n_lines: int) -> tuple[int, bytes]:
     return int(n_lines - keep.sum()), zlib.compress(np.packbits(keep).tobytes())
 
 
+@released
 def _bitmaps(batches):
     for batch in batches:
         doc, mark, n_lines, lines = batch.columns
@@ -161,6 +164,7 @@ def _with_bitmaps(docs: DataFrame) -> DataFrame:
     return joined.select("whole", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "keep_bitmap")
 
 
+@released
 def _digests(batches):
     for batch in slices(batches):
         ids, texts, dropped, bitmaps = batch.columns
@@ -175,6 +179,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+@released
 def _kept_texts(batches):
     for batch in slices(batches):
         whole, bitmaps = batch.columns

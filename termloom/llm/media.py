@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, ship, slices
+from .shared import released, scratch, ship, slices
 
 BLOCK, SAMPLE_RATE = 64, 8000
 
@@ -372,6 +372,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK))
 
 
+@released
 def _stored(batches):
     for batch in slices(batches):
         made = [payload(x) for x in batch.column("text").to_pylist()]
@@ -397,6 +398,7 @@ def describe(media: bytes, declared: str) -> tuple[str, bytes, str]:
     return kind, samples, f"type={kind} samples={len(x)} sum={int(x.sum())} energy={int((x * x).sum())} peak={int(np.abs(x).max(initial=0))} turns={turns} embedded=[{embedded}]"
 
 
+@released
 def _features(batches):
     for batch in slices(batches):
         out = []

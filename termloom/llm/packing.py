@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import BATCH_BYTES, encoder
-from .shared import ship, slices, stored
+from .shared import arrow_rows, released, ship, slices, stored
 
 WINDOW, OPEN_WINDOWS, MERGE_WAYS = 4096, 64, 32
 
@@ -115,6 +115,7 @@ def _packed(items, window: int, most: int):
 
 
 def pack_partition(vocabulary: str | None, window: int = WINDOW, most: int = OPEN_WINDOWS):
+    @released
     def run(batches):
         own = encoder(vocabulary)
 
@@ -135,6 +136,7 @@ def pack_partition(vocabulary: str | None, window: int = WINDOW, most: int = OPE
 def merge_partition(window: int = WINDOW, most: int = OPEN_WINDOWS):
     """Packs whole open windows; their pieces keep their order."""
 
+    @released
     def run(batches):
         def items():
             for batch in batches:
@@ -147,12 +149,20 @@ def merge_partition(window: int = WINDOW, most: int = OPEN_WINDOWS):
     return run
 
 
+#: Documents, and sequences, that move to Python at a time.
+TEXT_ROWS, SEQUENCE_ROWS = 2000, 500
+
+
 def pack_sequences(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """sequence_id, ids (binary), pieces of every sequence, from stored files."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbered = lambda df, k: stored(df.withColumn("part", F.spark_partition_id()), f"packing-{k}", compression="zstd")
+
+    def numbered(df: DataFrame, level: int) -> DataFrame:
+        with arrow_rows(spark, SEQUENCE_ROWS if level else TEXT_ROWS):
+            return stored(df.withColumn("part", F.spark_partition_id()), f"packing-{level}", compression="zstd")
+
     made, done, level = numbered(rows.mapInArrow(pack_partition(vocabulary), SEQUENCES), 0), [], 0
     parts = (made.agg(F.max("part")).first()[0] or 0) + 1
     while True:
@@ -169,6 +179,7 @@ def pack_sequences(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return whole.select("sequence_id", "ids", "pieces")
 
 
+@released
 def _pieces(batches):
     """A row per piece, its checksum taken from the ids that were read."""
     for batch in batches:
@@ -182,7 +193,9 @@ def _pieces(batches):
 
 def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack_sequences(docs, vocabulary).mapInArrow(_pieces, PIECES)
+    sequences = pack_sequences(docs, vocabulary)
+    with arrow_rows(docs.sparkSession, SEQUENCE_ROWS):
+        return stored(sequences.mapInArrow(_pieces, PIECES), "pieces")
 
 
 def padded_length(n: int, window: int = WINDOW) -> int:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import base_columns, ship, slices, stored
+from .shared import base_columns, released, ship, slices, stored
 
 # The most frequent function words of each language.
 COMMON_WORDS = {
@@ -136,11 +136,13 @@ def _lists(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(table.ravel()))
 
 
+@released
 def _counts(batches):
     for batch in slices(batches):
         yield pa.RecordBatch.from_arrays(_measure(*batch.columns), names=NAMES)
 
 
+@released
 def _counts_beside(batches):
     for batch in slices(batches):
         doc = batch.column("doc")

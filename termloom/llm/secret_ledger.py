@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, scratch, ship, slices, stored
+from .shared import partitions, released, scratch, ship, slices, stored
 
 # The patterns, the group whose length counts (0: the match) and its least length.
 BASE_RULES = {
@@ -137,6 +137,7 @@ def blob_of(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode()).digest()
 
 
+@released
 def _digests(batches):
     """blob: each distinct text's digest, once for each task."""
     seen = _Seen()
@@ -146,6 +147,7 @@ def _digests(batches):
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["blob"])
 
 
+@released
 def _blobs(batches):
     """blob, text: each distinct text of the task once."""
     seen = _Seen()
@@ -160,6 +162,7 @@ def _blobs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(texts, pa.string())], names=["blob", "text"])
 
 
+@released
 def _scan(batches):
     """Findings of each blob by its rules, comma-joined, and a row of kind -1 for each: it was scanned."""
     seen = _Seen()

@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import BATCH_BYTES, encoder
-from .shared import partitions, scratch, ship, slices
+from .shared import partitions, released, scratch, ship, slices
 
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "compression": "zstd"}
 
 
 def encode_partition(vocabulary: str | None):
+    @released
     def run(batches):
         own, before = encoder(vocabulary), 0
         for batch in slices(batches, BATCH_BYTES):
@@ -74,6 +75,7 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
     return joined.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
+@released
 def _checked(batches):
     for batch in batches:
         lists = batch.column("ids")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, scratch, ship, slices, stored
+from .shared import partitions, released, scratch, ship, slices, stored
 
 # The skippable frame that holds a dictionary, and the first bytes of a frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -151,6 +151,7 @@ def open_folder(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+@released
 def _identities(batches):
     for batch in slices(batches):
         page, url, html = batch.columns
@@ -178,6 +179,7 @@ def revisits(ids: DataFrame) -> DataFrame:
 
 
 def _write(folder: str, dictionary: bytes):
+    @released
     def run(batches):
         from pyspark import TaskContext
 
@@ -234,6 +236,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def _read(folder: str):
+    @released
     def run(batches):
         fs, base = open_folder(folder)
         known: tuple[str, object] = ("", None)
