@@ -23,10 +23,26 @@ def attribute_name(name: Column) -> Column:
     return F.coalesce(known[folded], name)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chosen(entries: Column, beaten) -> Column:
+    """Entries (key, value) that beaten(all, entry, place) doesn't hold for; all, where keys differ."""
+    kept = lambda x: F.filter(x, lambda e, i: ~beaten(x, e, i))
+    keys = lambda x: F.transform(x, lambda e: e["key"])
+    return let(entries, lambda x: F.when(F.size(F.array_distinct(keys(x))) == F.size(x), x).otherwise(kept(x)))
+
+
 def last_of_each(entries: Column) -> Column:
     """Entries (key, value) without those that a later one of the same key replaces."""
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.filter(entries, lambda e, i: ~later(e, i))
+    return _chosen(entries, lambda x, e, i: F.exists(F.slice(x, i + 2, F.size(x)), lambda y: y["key"] == e["key"]))
+
+
+def first_of_each(entries: Column) -> Column:
+    """Entries (key, value) whose key no earlier one has."""
+    return _chosen(entries, lambda x, e, i: (i > 0) & F.exists(F.slice(x, 1, F.greatest(i, F.lit(1))), lambda y: y["key"] == e["key"]))
 
 
 def attributes(raw: Column) -> Column:
@@ -54,8 +70,9 @@ def loose_json(text: Column) -> Column:
 
 
 def equality_key(*parts: Column) -> Column:
-    """One string that is equal exactly where all parts are, nulls among themselves included."""
-    return F.to_json(F.array(*(F.to_json(F.struct(p.alias("v"))) for p in parts)))
+    """One string that is equal exactly where all parts are, nulls among themselves included. Parts
+    of one place have one type."""
+    return F.to_json(F.array(*(p.cast("string") for p in parts)))
 
 
 VALUE_KINDS = ("valueUri", "valueCode", "valueString", "valueBoolean")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import attributes, equality_key
+from ..functions.records import attributes, equality_key, first_of_each, let
 from ..functions.text import english_tag
 
 CLINICAL_FINDING = "404684003"
@@ -52,18 +52,15 @@ def with_targets(codings: DataFrame, concepts: DataFrame) -> DataFrame:
     return joined.withColumns({"tag": F.col("_tag"), "ancestor_ids": up, "target": target}).drop("_c", "_tag", "_up")
 
 
-def _first_of_each(entries: Column) -> Column:
-    """Entries (key, value) whose key no earlier one has."""
-    earlier = lambda e, i: F.exists(F.slice(entries, 1, i), lambda x: x["key"] == e["key"])
-    return F.filter(entries, lambda e, i: (i == 0) | ~earlier(e, i))
-
-
 def _conflicts(entries: Column) -> Column:
     """For each key with differing values: its first and its last differing one."""
-    values = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
-    others = lambda e: F.filter(values(e["key"]), lambda v: ~v.eqNullSafe(e["value"]))
-    clashing = F.filter(_first_of_each(entries), lambda e: F.size(others(e)) > 0)
-    return F.map_from_entries(F.transform(clashing, lambda e: F.struct(e["key"].alias("key"), F.array(e["value"], F.element_at(others(e), -1)).alias("value"))))
+
+    def of_one(x: Column) -> Column:
+        others = lambda e: F.filter(x, lambda y: (y["key"] == e["key"]) & ~y["value"].eqNullSafe(e["value"]))
+        clashing = F.filter(first_of_each(x), lambda e: F.size(others(e)) > 0)
+        return F.map_from_entries(F.transform(clashing, lambda e: F.struct(e["key"].alias("key"), F.array(e["value"], F.element_at(others(e), -1)["value"]).alias("value"))))
+
+    return let(entries, of_one)
 
 
 def merge(codings: DataFrame) -> DataFrame:
@@ -76,10 +73,13 @@ def merge(codings: DataFrame) -> DataFrame:
     rest = [c for c in kept.columns if c not in ("note_id", "pos", *FACT, "role", "attributes", "evidence", "accepted")]
     row = F.struct("pos", F.map_entries("attributes").alias("entries"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "role", *rest)
     grouped = keyed.groupBy("note_id", "fact", *FACT).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.bool_or("accepted").alias("accepted"))
-    entries, first = F.flatten(F.col("rows.entries")), F.col("rows")[0]
+    first, single = F.col("rows")[0], F.size("rows") == 1  # most facts are stated once
+    entries = F.flatten(F.col("rows.entries"))
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:array<string>>>"))
     return grouped.select(
         "note_id", "fact", *FACT, first["pos"].alias("pos"), F.when(F.array_contains(F.col("rows.role"), "principal"), "principal").otherwise(first["role"]).alias("role"),
-        F.map_from_entries(_first_of_each(entries)).alias("attributes"), _conflicts(entries).alias("conflicts"), F.array_distinct(F.flatten(F.col("rows.evidence"))).alias("evidence"), "accepted", *(first[c].alias(c) for c in rest),
+        F.when(single, F.map_from_entries(first["entries"])).otherwise(F.map_from_entries(first_of_each(entries))).alias("attributes"), F.when(single, none).otherwise(_conflicts(entries)).alias("conflicts"),
+        F.array_distinct(F.flatten(F.col("rows.evidence"))).alias("evidence"), "accepted", *(first[c].alias(c) for c in rest),
     )
 
 
@@ -101,7 +101,7 @@ def drop_covered(merged: DataFrame) -> DataFrame:
     kept = rows.join(covered, ["note_id", "fact"], "left_anti").join(given, ["note_id", "fact"], "left")
     taken = lambda own, name, more: F.when(F.col("_given").isNull(), own).otherwise(F.concat(own, F.flatten(F.col(f"_given.{name}"))))
     entries = taken(F.map_entries("attributes"), "entries", "_given")
-    return kept.withColumns({"attributes": F.map_from_entries(_first_of_each(entries)), "evidence": F.array_distinct(taken(F.col("evidence"), "evidence", "_given"))}).drop("_sense", "_given")
+    return kept.withColumns({"attributes": F.map_from_entries(first_of_each(entries)), "evidence": F.array_distinct(taken(F.col("evidence"), "evidence", "_given"))}).drop("_sense", "_given")
 
 
 # Systems and codes that resources refer to.

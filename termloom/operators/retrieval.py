@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.storage import stored
 from . import notes as N
 from .grounding import grounded, lookup_plan
 from .search import SearchTables, searchable
@@ -50,16 +51,25 @@ def candidates(phrases: DataFrame, tables: SearchTables, limit: int = PER_PHRASE
     return placed.where(F.col("pos") <= limit)
 
 
+#: What a mention's decision depends on.
+SIGNATURE = ["normalized", "n_tokens", "assertion", "relation_cue", "plan"]
+DECISION = ["concept_id", "candidate", "tag", "score", "margin", "confidence", "status", "evidence", "reasons"]
+
+
 def ground_notes(notes: DataFrame, key: str, text: str, tables: SearchTables, most: int = N.MAX_PHRASES) -> DataFrame:
-    """Every note's phrases with their decisions: read, looked up, scored and judged."""
+    """Every note's phrases with their decisions: read, looked up, scored and judged. Mentions with
+    the same phrase, length and context have the same decision, which is made once for all."""
     read = N.phrases(notes, key, text, most).withColumn("mention_id", F.concat_ws("-", key, "k"))
-    plan = lookup_plan(F.col("phrase"), F.col("points"), F.lit(None).cast("string"), F.lit("anchored"))
-    mentions = read.withColumns({"plan": plan, "kind": F.lit(None).cast("string")})
-    distinct = mentions.groupBy(F.col("normalized").alias("phrase")).agg(F.max(F.struct(F.when(F.col("plan") == "broad", 2).when(F.col("plan") == "exact", 1).otherwise(0).alias("o"), "plan")).alias("p")).select("phrase", "p.plan")
-    found = candidates(distinct, tables).withColumnRenamed("phrase", "normalized_phrase")
-    met = mentions.where("plan <> 'skip'").select("mention_id", F.col("normalized").alias("normalized_phrase"), F.col("plan").alias("own_plan")).join(found, "normalized_phrase").where("own_plan = 'broad' OR strategy = 'exact'")
+    mentions = read.withColumn("plan", lookup_plan(F.col("phrase"), F.col("points"), F.lit(None).cast("string"), F.lit("anchored")))
+    own = mentions.select(*SIGNATURE).distinct()
+    kinds = stored(own.select("*", F.concat_ws("|", *(F.col(c).cast("string") for c in SIGNATURE)).alias("mention_id"), F.col("normalized").alias("phrase"), F.lit(None).cast("string").alias("kind")), "signatures")
+    rank = F.when(F.col("plan") == "broad", 2).when(F.col("plan") == "exact", 1).otherwise(0)
+    asked = kinds.groupBy("phrase").agg(F.max_by("plan", rank).alias("plan"))
+    found = candidates(asked, tables).withColumnRenamed("phrase", "normalized_phrase")
+    met = kinds.where("plan <> 'skip'").select("mention_id", F.col("normalized").alias("normalized_phrase"), F.col("plan").alias("own_plan")).join(found, "normalized_phrase").where("own_plan = 'broad' OR strategy = 'exact'")
     rows = met.select(
         "mention_id", "pos", "concept_id", F.col("display_term").alias("term"), F.col("term").alias("matched"), F.concat(F.array("term", "display", "fsn"), "synonyms").alias("descriptions"), "tag", "tier", F.col("is_preferred").alias("preferred"),
         F.col("term_rank").alias("rank"), F.lit(1.0).alias("search_score"), F.lit(None).cast("double").alias("rerank_score"), F.lit(True).alias("active"),
     )
-    return grounded(mentions.drop("plan"), rows)
+    decided = stored(grounded(kinds, rows).select(*SIGNATURE, *DECISION), "decisions")
+    return mentions.join(decided, SIGNATURE).drop("plan")
