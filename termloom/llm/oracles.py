@@ -70,3 +70,38 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, symbol::BIGINT AS n_symbo
 
 
 OP8_SQL = _quality()
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS k
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+# CRC-32 bit by bit: each byte goes in, then eight steps, marked -1, follow.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295)"""
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_WORDS}), []::VARCHAR[]) AS ws, {_CRC} AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g FROM t),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM g),
+d AS (SELECT doc_id, n, ws, a, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+c AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, q) >= greatest(6 - q, 3 * q)),
+l AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM c),
+s AS (SELECT doc_id, q, min(i) AS a, count(*) + q AS length FROM l GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND s.q % o.q = 0 AND o.a <= s.a AND o.a + o.length >= s.a + s.length)),
+b AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.q > x.length * y.q OR (y.length * x.q = x.length * y.q AND (y.a < x.a OR (y.a = x.a AND y.q < x.q)))))),
+k AS (SELECT DISTINCT doc_id, unnest(range(a + q, a + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN k USING (doc_id, i) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || length || ',' || q || chr(10), '' ORDER BY a, q) AS t FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.a AS start, b.length::BIGINT AS length, b.q AS period, 1000 * b.length // b.q AS exponent_milli,
+  sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, token_orc, warc
-from .oracles import OP3_SQL, OP4_SQL, OP8_SQL
+from . import hard_negatives, line_dedup, media, mixing, ngram_join, packing, periodic_runs, quality, secret_ledger, suffix_dedup, token_orc, toxicity, warc
+from .oracles import OP3_SQL, OP4_SQL, OP8_SQL, OP11_SQL, OP12_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_divergence": lambda spark, d: quality.digest(_documents(spark, d)),
     "op9_warc_zstd": lambda spark, d: warc.digest(_pages(spark, d)),
     "op10_packing": lambda spark, d: packing.digest(_documents(spark, d)),
+    "op11_hard_negatives": lambda spark, d: hard_negatives.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
+    "op12_periodic_runs": lambda spark, d: periodic_runs.digest(_documents(spark, d)),
+    "op13_toxicity": lambda spark, d: toxicity.digest(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
 }
 
 OP7_SQL = r"""
@@ -98,4 +101,4 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHE
 FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_ledger": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_quality_divergence": OP8_SQL, "op6_source_mix": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_warc_zstd": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_secret_ledger": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_quality_divergence": OP8_SQL, "op6_source_mix": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_warc_zstd": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_periodic_runs": OP12_SQL}

@@ -1,0 +1,224 @@
+"""Hard negatives, periodic runs and toxicity against brute force and held-out labels."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from termloom.llm import hard_negatives, periodic_runs, toxicity
+from termloom.llm.queries import QUERIES
+
+# 11: hard negatives
+
+VECTORS = "vec_id long, embedding array<float>, label int, score long, block string"
+
+
+def plain_negatives(rows):
+    clean = {(i, (lab + 1) % 10 if i % 7 == 0 else lab, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v, lab, *_ in rows if i is not None and lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = set()
+    for i, lab, v in clean:
+        if i % 50 == 0:
+            scored = sorted((-dot(v, w), j, other) for j, other, w in clean if j != i)
+            for s, p in [(-s, j) for s, j, other in scored if other == lab][:5]:
+                fits = [(j, -t) for t, j, other in scored if other != lab and 50 * s <= -100 * t <= 95 * s][:3]
+                out |= {(i, p, k + 1, j, s, t) for k, (j, t) in enumerate(fits)}
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(900):
+        centre = r.integers(0, 4)
+        v = (r.normal(0, 0.1, 12) + np.eye(4, 12)[centre]).astype(np.float32).tolist()
+        rows.append((k, v, int(r.integers(0, 10)), 0, "b"))
+    rows += [(1000 + k, rows[50][1], k % 3, 0, "b") for k in range(300)]  # one vector for a quarter of the rows
+    rows += [rows[3], rows[50], (None, rows[0][1], 1, 0, "b"), (2000, None, 1, 0, "b"), (2001, [], 1, 0, "b"), (2050, rows[1][1][:5], 2, 0, "b"), (2002, [float("nan")] * 12, 1, 0, "b"), (2003, [None] * 12, 1, 0, "b"), (2004, [float("inf")] + [0.0] * 11, 1, 0, "b"), (2005, rows[5][1], None, 0, "b"), (-50, rows[7][1], 3, 0, "b")]
+    return rows
+
+
+@pytest.mark.parametrize(("block", "group", "leaf"), [(8192, 1024, 128), (200, 5, 16)])
+def test_negatives_equal_brute_force(block, group, leaf, vectors, spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", block)
+    monkeypatch.setattr(hard_negatives, "GROUP_ROWS", group)
+    df = spark.createDataFrame(vectors, VECTORS).repartition(3)
+    assert sorted(map(tuple, hard_negatives.digest(df).collect())) == plain_negatives(vectors)
+
+
+def test_trees_yield_the_windows_of_a_full_scan():
+    r = np.random.default_rng(5)
+    rows = {"ids": r.permutation(700).astype(np.int64), "labels": r.integers(0, 3, 700), "vectors": r.integers(-20, 20, (700, 6))}
+    rows = {k: v[np.argsort(rows["ids"])] for k, v in rows.items()}
+    tree = hard_negatives.build_tree(rows, 16)
+    assert len(tree["edges"]) > 32
+    anchors = {k: v[:40] for k, v in rows.items()}
+    least, most = r.integers(0, 300, (40, 2)), r.integers(300, 900, (40, 2))
+    scores, ids = hard_negatives.traverse(tree, anchors, least, most, 4, False)
+    full = anchors["vectors"] @ rows["vectors"].T
+    for a in range(40):
+        for w in range(2):
+            fits = sorted((-full[a, j], rows["ids"][j]) for j in range(700) if rows["labels"][j] != anchors["labels"][a] and least[a, w] <= full[a, j] <= most[a, w])[:4]
+            assert [(-s, i) for s, i in zip(scores[a, w], ids[a, w]) if s != hard_negatives.NO_SCORE] == fits
+
+
+def test_tree_bounds_spare_leaves():
+    """Close rows are found without scoring the rest: far leaves are never multiplied."""
+    r = np.random.default_rng(1)
+    centres = r.integers(-1000, 1000, (64, 8))
+    rows = {"ids": np.arange(4096), "labels": np.zeros(4096, np.int64), "vectors": np.repeat(centres, 64, axis=0) + r.integers(-2, 3, (4096, 8))}
+    tree = hard_negatives.build_tree(rows, 64)
+    seen = []
+    original = hard_negatives._products
+    hard_negatives._products = lambda a, b: seen.append(len(a) * len(b)) or original(a, b)
+    try:
+        hard_negatives.traverse(tree, {k: v[::512] for k, v in rows.items()}, *hard_negatives._open_windows({"ids": rows["ids"][::512]}), 5, True)
+    finally:
+        hard_negatives._products = original
+    assert sum(seen) < 8 * 4096 / 2
+
+
+def test_negatives_of_large_components_are_exact():
+    assert hard_negatives._products(np.array([[3_000_000_000, 1]]), np.array([[2_999_999_999, 1]]))[0, 0] == 3_000_000_000 * 2_999_999_999 + 1
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_negatives_of_few_rows(n, vectors, spark):
+    assert hard_negatives.digest(spark.createDataFrame(vectors[:n], VECTORS)).count() == 0
+
+
+# 12: periodic runs
+
+
+def plain_runs(words):
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            start = i
+            while i < n - q and words[i] == words[i + q]:
+                i += 1
+            length = i - start + q
+            if i > start and length >= max(6, 4 * q) and not any(all(words[x] == words[x + p] for x in range(start, start + length - p)) for p in range(1, q)):
+                out.append((start, length, q))
+            i += i == start
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_digest(doc_id, text):
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text or "").split(" ") if w]
+    n = len(words)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = plain_runs(words)
+    best = None
+    for start, length, q in runs:
+        if best is None or length * best[2] > best[1] * q:
+            best = (start, length, q)
+    dropped = {i for s, length, q in runs for i in range(s + q, s + length)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2], sha("".join(f"{s},{k},{q}\n" for s, k, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in dropped)))
+
+
+def random_words(r):
+    n, letters = r.randint(0, 120), r.choice([1, 2, 3, 6, 40])
+    words = [r.randrange(letters) for _ in range(n)]
+    for _ in range(r.randint(0, 4)):
+        if n > 10:
+            s, p = r.randrange(n), r.randint(1, 15)
+            for i in range(s + p, min(n, s + p * r.randint(3, 8) + r.randint(0, 3))):
+                words[i] = words[i - p]
+    return words
+
+
+@pytest.mark.parametrize("light", [2, 64])
+def test_runs_and_counts_equal_brute_force(light):
+    r = random.Random(light)
+    for _ in range(40):
+        texts = [random_words(r) for _ in range(15)]
+        codes, starts = np.array([x for t in texts for x in t], np.int32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        matches, base = periodic_runs.lag_matches(codes, starts, light)
+        for k, t in enumerate(texts):
+            own = matches[base[k] : base[k + 1]]
+            assert own[1:].tolist() == [sum(t[i] == t[i + q] for i in range(len(t) - q)) for q in range(1, len(t) // 4 + 1)]
+            assert periodic_runs.runs_of(np.array(t, np.int32), own) == plain_runs(t)
+
+
+def test_runs_digest(docs, rows, spark):
+    got = sorted(map(tuple, periodic_runs.digest(docs).collect()), key=str)
+    extra = [(k, " ".join(map(str, random_words(random.Random(k))))) for k in range(300)]
+    assert len(got) == len(rows)
+    assert [x for x in got if x[0] != 60] == sorted((plain_digest(r[0], r[1]) for r in rows if r[0] != 60), key=str)
+    df = spark.createDataFrame([*extra, (None, "a b " * 9), (-4, "x " * 30)], "doc_id long, text string")
+    assert sorted(map(tuple, periodic_runs.digest(df).collect()), key=str) == sorted([plain_digest(*x) for x in extra] + [plain_digest(None, "a b " * 9), plain_digest(-4, "x " * 30)], key=str)
+
+
+@pytest.mark.parametrize("words", [np.zeros(400_000, np.int32), np.random.default_rng(0).integers(0, 2, 200_000).astype(np.int32), np.repeat(np.arange(40_000, dtype=np.int32), 6), np.tile(np.arange(997, dtype=np.int32), 300)])
+def test_runs_of_long_texts_take_no_quadratic_time(words):
+    import time
+
+    begin = time.process_time()
+    matches, _ = periodic_runs.lag_matches(words, np.array([0, len(words)]))
+    assert periodic_runs.runs_of(words, matches)
+    assert time.process_time() - begin < 20
+
+
+def test_collapse_keeps_columns_and_texts_without_runs(docs, rows):
+    out = {(r.doc_id, r.text): r for r in periodic_runs.collapse(docs).collect()}
+    assert periodic_runs.collapse(docs).columns == [*docs.columns, "periodic_runs"]
+    assert out[(10, "ab")].periodic_runs[0].asDict() == {"start": 0, "length": 400, "period": 1}
+    assert (0, None) in out and (2, "  \n\t ") in out and (3, "one two") in out
+    assert len(periodic_runs.collapse(docs).collect()) == len(rows)
+
+
+# 13: toxicity
+
+
+def test_held_out_labels_are_met(spark):
+    folder = "/root/testdata/sf0.01"
+    found = QUERIES["op13_toxicity"](spark, folder)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = found.collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    judged = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    toxic, clean = [p for t, p in judged if t], [p for t, p in judged if not t]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.08 * len(clean)
+
+
+def test_labels_of_held_out_rows_teach_nothing(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k % 7)}" for k in range(400)]
+    docs = spark.createDataFrame([(k, f"{' '.join(words[k % 300 : k % 300 + 30])} {'zzfoul zzvile zzfoul' if k % 4 == 0 else ''}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted(map(tuple, toxicity.digest(docs, x).collect())) for x in (labels, turned))
+    assert [x[3] for x in a] == [x[3] for x in b] == [int(k % 4 == 0) for k in range(300)]
+
+
+def test_toxicity_of_odd_rows(docs, rows, empty, spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    out = toxicity.digest(docs, none).collect()
+    assert len(out) == len(rows) and {r.score for r in out} == {0.0}
+    one = spark.createDataFrame([(0, 1, "a"), (1, 1, "b"), (5, None, "c"), (None, 1, "d")], "doc_id long, toxic int, text string")
+    assert {r.score for r in toxicity.digest(docs, one).collect()} <= {0.0, 1.0}
+    assert toxicity.digest(empty, one).count() == 0
+    kept = toxicity.with_scores(docs, none)
+    assert kept.columns == [*docs.columns, "toxicity"] and kept.count() == len(rows)
+
+
+def test_words_are_known_through_signs():
+    assert toxicity.bare("1d!0t!!") == ("idiot", True) and toxicity.bare("(Scum###") == ("scum", False) and toxicity.bare("123") == ("", False) and toxicity.bare("don't") == ("dont", False)
+    f = dict(zip(toxicity.FEATURES, toxicity._features(pa.array(["you 1d10t and SCUM!!", None, "plain words here"]), {"scum$": 5.0})[0]))
+    assert f["insult_count"] == 2 and f["mixed_insults"] == 1 and f["insults_near_second_person"] == 2 and f["exclamations"] == 50
