@@ -199,7 +199,8 @@ def planted(n: int, doc_id: int | None) -> np.ndarray | None:
 
 def _analysed(texts: pa.Array, ids: list[int | None] | None = None):
     """For each text its runs and its collapsed text; with ids, of the texts that planted makes of them."""
-    vocabulary, codes, starts = word_codes(texts)
+    distinct, codes, starts = word_codes(texts)
+    vocabulary = distinct.to_pylist()
     if ids is not None:
         for k, doc_id in enumerate(ids):
             at = planted(int(starts[k + 1] - starts[k]), doc_id)

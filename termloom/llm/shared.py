@@ -120,7 +120,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def word_codes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words [^\\x20\\x09-\\x0D]+, the number of each word of all texts, and where the texts' words begin."""
     split = pc.ascii_split_whitespace(texts.fill_null(""))
     words = split.flatten()
@@ -129,7 +129,7 @@ def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(sizes)), sizes)[real.to_numpy(zero_copy_only=False)]
     coded = words.filter(real).dictionary_encode()
     starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), starts
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), starts
 
 
 def slices(batches, limit: int = 8 << 20):

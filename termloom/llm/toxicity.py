@@ -5,10 +5,11 @@ held out. Everything learned from it is bounded: a lexicon of at most MAX_UNITS
 forests and two step functions.
 
 1. Lexicon. Units are whole words and their prefixes of 3 to 7 letters. Spark counts the
-   toxic and the clean texts that hold each; a unit's weight is the lower bound (one standard
-   error) of the logarithm of its odds. A word weighs as much as its heaviest unit. Weights
-   that a training text meets are counted without the texts of its own fold, so that no text
-   vouches for its own words.
+   toxic texts that hold each; the MAX_CANDIDATES in most of them are then counted in all
+   training texts. A unit's weight is the lower bound (one standard error) of the logarithm of
+   its odds, and a word weighs as much as its heaviest unit. Weights that a training text
+   meets are counted without the texts of its own fold, so that no text vouches for its own
+   words.
 2. Features, FEATURES: densities of heavy words and of a stated list of insults, closeness to
    second-person pronouns, capitals, punctuation, obfuscation (letters mixed with digits or
    signs inside a word, read by their likeness to letters), stretched letters. Neither
@@ -38,9 +39,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, ship, slices, stored, word_codes
+from .shared import released, ship, slices, stored, text_bytes, word_codes
 
-MAX_TRAIN, MAX_UNITS = 200_000, 20_000
+MAX_TRAIN, MAX_CANDIDATES, MAX_UNITS = 200_000, 100_000, 20_000
 FOLDS = 4
 #: A unit has to stand in so many toxic training texts; prefixes have 3 to 7 letters; longer words are cut.
 MIN_TOXIC, PREFIXES, LONGEST = 2, range(3, 8), 24
@@ -82,31 +83,71 @@ def bare(word: str) -> tuple[str, bool]:
     return letters[:LONGEST], mixed
 
 
-def units(word: str) -> list[str]:
-    """Prefixes, and the whole word marked by a closing sign."""
-    return [word[:k] for k in PREFIXES if k < len(word)] + [f"{word}$"] if word else []
+def bare_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """bare() of many words: only those that aren't all letters are taken one by one."""
+    core = pc.utf8_lower(pc.utf8_trim(words, EDGES))
+    odd = pc.invert(pc.utf8_is_alpha(core))
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    made = [bare(w) for w in words.take(pa.array(at)).to_pylist()]
+    mixed = np.zeros(len(words), bool)
+    mixed[at] = [m for _, m in made]
+    core = pc.utf8_slice_codeunits(pc.replace_with_mask(core, odd, pa.array([c for c, _ in made], pa.string())), 0, LONGEST)
+    return core, mixed
+
+
+def unit_columns(core: pa.Array) -> list[pa.Array]:
+    """A word's units: a prefix for each length (null where the word is no longer), and the whole word marked by a closing sign."""
+    size = pc.utf8_length(core)
+    none = pa.scalar(None, pa.string())
+    prefixes = [pc.if_else(pc.greater(size, k), pc.utf8_slice_codeunits(core, 0, k), none) for k in PREFIXES]
+    return [*prefixes, pc.if_else(pc.greater(size, 0), pc.binary_join_element_wise(core, "$", ""), none)]
+
+
+def _text_units(texts: pa.Array, known: pa.Array | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, unit) of every unit of every text, once each, and the units: those known, or all that there are."""
+    distinct, codes, starts = word_codes(texts)
+    if not len(distinct):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()) if known is None else known
+    columns = unit_columns(bare_words(distinct)[0])
+    if known is None:
+        coded = pa.concat_arrays(columns).dictionary_encode()
+        known, numbers = coded.dictionary, coded.indices
+    else:
+        numbers = pc.index_in(pa.concat_arrays(columns), known)
+    of_word = numbers.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(columns), len(distinct))
+    text = np.repeat(np.arange(len(texts)), np.diff(starts))
+    pair = np.unique(text * len(distinct) + codes)
+    text, word = pair // len(distinct), pair % len(distinct)
+    found = [np.unique((text * len(known) + u)[u >= 0]) for u in (column[word] for column in of_word)]  # of one length, so no unit is in two
+    pair = np.concatenate(found) if len(known) else np.zeros(0, np.int64)
+    return pair // max(1, len(known)), pair % max(1, len(known)), known
 
 
 @released
-def _unit_counts(batches):
-    """Texts of (toxic, fold) with each unit, a row for each unit of a slice."""
-    for batch in slices(batches, 32 << 20):
-        vocabulary, codes, starts = word_codes(batch.column("text"))
-        if not vocabulary:
-            continue
-        known: dict[str, int] = {}
-        listed = [[known.setdefault(u, len(known)) for u in units(bare(w)[0])] for w in vocabulary]
-        edges = np.concatenate([[0], np.cumsum([len(x) for x in listed])])
-        flat = np.array([u for x in listed for u in x], np.int64)
-        text = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-        pair = np.unique(text * len(vocabulary) + codes)
-        text, word = pair // len(vocabulary), pair % len(vocabulary)
-        sizes = edges[word + 1] - edges[word]
-        at = np.arange(sizes.sum()) + np.repeat(edges[word] - (np.cumsum(sizes) - sizes), sizes)
-        pair = np.unique(np.repeat(text, sizes) * len(known) + flat[at])
-        kind = batch.column("toxic").to_numpy().astype(np.int64) * FOLDS + batch.column("fold").to_numpy()
-        counts = np.bincount((pair % len(known)) * 2 * FOLDS + kind[pair // len(known)], minlength=len(known) * 2 * FOLDS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, 2 * FOLDS, dtype=np.int32)), pa.array(counts))], names=["unit", "texts"])
+def _toxic_units(batches):
+    """(unit, texts): how many texts of a slice hold each unit."""
+    for batch in slices(batches, 4 << 20):
+        _, unit, known = _text_units(batch.column("text"), None)
+        if len(known):
+            yield pa.RecordBatch.from_arrays([known, pa.array(np.bincount(unit, minlength=len(known)))], names=["unit", "texts"])
+
+
+def _unit_counts(candidates):
+    """(unit, texts): of the candidates, in how many texts by toxic * FOLDS + fold each is, a row for each unit and task."""
+
+    @released
+    def run(batches):
+        known = pa.array(candidates.value, pa.string())
+        counts = np.zeros(len(known) * 2 * FOLDS, np.int64)
+        for batch in slices(batches, 4 << 20):
+            text, unit, _ = _text_units(batch.column("text"), known)
+            kind = batch.column("toxic").to_numpy().astype(np.int64) * FOLDS + batch.column("fold").to_numpy()
+            counts += np.bincount(unit * 2 * FOLDS + kind[text], minlength=len(counts))
+        there = counts.reshape(len(known), 2 * FOLDS).any(axis=1)
+        some = counts.reshape(len(known), 2 * FOLDS)[there]
+        yield pa.RecordBatch.from_arrays([known.filter(pa.array(there)), _lists(some)], names=["unit", "texts"])
+
+    return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -132,7 +173,9 @@ def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float)
 def learn_lexicon(rows: DataFrame) -> list[dict[str, float]]:
     """Weights of units: without each fold's texts, then with all. At most MAX_UNITS units, those that tell most."""
     spread = [F.sum(F.col("texts")[k]).alias(f"n{k}") for k in range(2 * FOLDS)]
-    counted = rows.select("text", "toxic", "fold").mapInArrow(_unit_counts, "unit string, texts array<long>").groupBy("unit").agg(*spread)
+    toxic_texts = rows.where("toxic = 1").select("text").mapInArrow(_toxic_units, "unit string, texts long").groupBy("unit").agg(F.sum("texts").alias("n")).where(F.col("n") >= MIN_TOXIC)
+    candidates = rows.sparkSession.sparkContext.broadcast([r.unit for r in toxic_texts.orderBy(F.desc("n"), "unit").limit(MAX_CANDIDATES).collect()])
+    counted = rows.select("text", "toxic", "fold").mapInArrow(_unit_counts(candidates), "unit string, texts array<long>").groupBy("unit").agg(*spread)
     totals = np.zeros(2 * FOLDS)
     for r in rows.groupBy("toxic", "fold").count().collect():  # 2 * FOLDS rows
         totals[r.toxic * FOLDS + r.fold] = r["count"]
@@ -151,30 +194,33 @@ def learn_lexicon(rows: DataFrame) -> list[dict[str, float]]:
     return found
 
 
+def _stretched(words: pa.Array) -> np.ndarray:
+    """1 for words with the same ASCII letter three times in a row."""
+    flat, offsets = text_bytes(words)
+    same = (flat[2:] == flat[1:-1]) & (flat[1:-1] == flat[:-2]) & (flat[2:] >= ord("a")) & (flat[2:] <= ord("z"))
+    word = np.searchsorted(offsets, np.flatnonzero(same), side="right") - 1
+    word = word[offsets[word + 1] > np.flatnonzero(same) + 2]
+    return (np.bincount(word, minlength=len(words)) > 0).astype(np.float64)
+
+
 def _features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     """FEATURES of every text."""
     vocabulary, codes, starts = word_codes(texts)
-    n = len(texts)
+    n, v = len(texts), len(vocabulary)
     out = np.zeros((n, len(FEATURES)))
-    if not vocabulary:
+    if not v:
         return out
-    v = len(vocabulary)
-    weight, insult, second, capital, mixed, stretched, marks, asks, size = (np.zeros(v) for _ in range(9))
-    unit = np.full(v, -1, np.int64)
-    numbers: dict[str, int] = {}
-    for k, word in enumerate(vocabulary):
-        core, odd = bare(word)
-        best = None
-        for u in units(core):
-            w = lexicon.get(u)
-            if w is not None and w > weight[k]:
-                weight[k], best = w, u
-        if best is not None:
-            unit[k] = numbers.setdefault(best, len(numbers))
-        insult[k], second[k], mixed[k], size[k] = core in _INSULTS, core in SECOND_PERSON, odd, len(word)
-        capital[k] = len(core) > 1 and word.isupper()
-        marks[k], asks[k] = word.count("!"), word.count("?")
-        stretched[k] = any(a == b == c and a.isalpha() for a, b, c in zip(core, core[1:], core[2:]))
+    core, mixed = bare_words(vocabulary)
+    weight, unit = np.zeros(v), np.full(v, -1, np.int64)
+    names, weights = pa.array(list(lexicon), pa.string()), np.array([*lexicon.values(), 0.0])
+    for column in unit_columns(core):
+        number = pc.index_in(column, names).fill_null(-1).to_numpy(zero_copy_only=False)
+        own = np.where(number >= 0, weights[number], 0.0)
+        unit, weight = np.where(own > weight, number, unit), np.maximum(own, weight)
+    array = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
+    insult, second = array(pc.is_in(core, pa.array(sorted(_INSULTS)))), array(pc.is_in(core, pa.array(sorted(SECOND_PERSON))))
+    capital, size = array(pc.and_(pc.utf8_is_upper(vocabulary), pc.greater(pc.utf8_length(core), 1))), array(pc.utf8_length(vocabulary))
+    marks, asks, stretched = array(pc.count_substring(vocabulary, "!")), array(pc.count_substring(vocabulary, "?")), _stretched(core)
     text = np.repeat(np.arange(n), np.diff(starts))
     n_words = np.maximum(np.diff(starts), 1).astype(np.float64)
     total = lambda values: np.bincount(text, weights=values, minlength=n)
@@ -189,8 +235,8 @@ def _features(texts: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
         out[there, FEATURES.index(name)] = pair_weight[order][first[:-1][there] + rank]
     known = unit[codes] >= 0
     if known.any():
-        repeated, times = np.unique(text[known] * len(numbers) + unit[codes][known], return_counts=True)
-        np.maximum.at(out[:, FEATURES.index("unit_repeats")], repeated // len(numbers), times)
+        repeated, times = np.unique(text[known] * len(names) + unit[codes][known], return_counts=True)
+        np.maximum.at(out[:, FEATURES.index("unit_repeats")], repeated // len(names), times)
     said = np.concatenate([[0], np.cumsum(second[codes])])
     place = np.arange(len(codes))
     around = said[np.minimum(place + NEAR + 1, starts[1:][text])] - said[np.maximum(place - NEAR, starts[:-1][text])]
@@ -225,7 +271,7 @@ def _training_features(lexicons):
 
     @released
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             for fold in range(FOLDS):
                 part = batch.filter(pc.equal(batch.column("fold"), fold))
                 if part.num_rows:
@@ -239,7 +285,7 @@ def _scoring_features(lexicons):
 
     @released
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("whole"), _lists(_features(batch.column("text"), lexicons.value[FOLDS]))], names=["whole", "features"])
 
     return run
