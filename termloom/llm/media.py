@@ -22,6 +22,7 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -161,18 +162,20 @@ def ogg_length(data: bytes, at: int) -> int:
     return 0
 
 
-def mp4_length(data: bytes, at: int) -> int:
+def mp4_length(data: bytes, at: int, known: dict | None = None) -> int:
     """Boxes from ftyp on, as long as they are whole; one of them describes the media."""
-    k, seen = at, set()
-    while k + 8 <= len(data):
-        size, name = struct.unpack_from(">I4s", data, k)
+
+    def step(state: int) -> int:  # twice the place, odd after a box that describes
+        k, described = state >> 1, state & 1
+        size, name = struct.unpack_from(">I4s", data, k) if k + 8 <= len(data) else (0, b"")
         if size == 1 and k + 16 <= len(data):
             size = struct.unpack_from(">Q", data, k + 8)[0]
         if size < 8 or k + size > len(data) or not name.isalnum():
-            break
-        seen.add(name)
-        k += size
-    return k - at if b"moov" in seen or b"moof" in seen else 0
+            return ~k if described else ~0
+        return 2 * (k + size) + (described or name in (b"moov", b"moof"))
+
+    end = _follow(step, 2 * at, {} if known is None else known.setdefault("mp4", {}))
+    return end - at if end else 0
 
 
 _PDF_END = re.compile(rb"startxref[\r\n ]+(\d{1,10})[\r\n ]+%%EOF(?:\r\n|\r|\n)?")
@@ -219,44 +222,80 @@ def png_length(data: bytes, at: int) -> int:
     return 0
 
 
-def gif_length(data: bytes, at: int) -> int:
-    """Header, colour tables, blocks of extensions and images up to the trailer."""
+#: Of a chain of steps every so many are remembered.
+REMEMBERED = 8
 
-    def blocks(k: int) -> int:
-        while k < len(data) and data[k]:
-            k += 1 + data[k]
-        return k + 1
 
-    if at + 13 > len(data):
-        return 0
-    flags = data[at + 10]
-    k = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while k < len(data):
+def _follow(step, state: int, known: dict[int, int]) -> int:
+    """Where steps from a state end (0: nowhere valid). step gives the next state, or ~end.
+
+    Chains that meet go on together, so what one walk has passed ends the next: all walks over a
+    blob take no more steps than it has states, and REMEMBERED more each.
+    """
+    trail, n = [], 0
+    while state not in known:
+        if n % REMEMBERED == 0:
+            trail.append(state)
+        n += 1
+        state = step(state)
+        if state < 0:
+            end = ~state
+            break
+    else:
+        end = known[state]
+    known.update(dict.fromkeys(trail, end))
+    return end
+
+
+def gif_length(data: bytes, at: int, known: dict | None = None) -> int:
+    """Header, colour tables, blocks of extensions and images up to the trailer."""
+    size = len(data)
+
+    def step(state: int) -> int:  # twice the place, odd inside a chain of sub-blocks
+        k = state >> 1
+        if k >= size:
+            return ~0
+        if state & 1:
+            return 2 * (k + 1 + data[k]) + 1 if data[k] else 2 * (k + 1)
         if data[k] == 0x3B:
-            return k + 1 - at
+            return ~(k + 1)
         if data[k] == 0x21:
-            k = blocks(k + 2)
-        elif data[k] == 0x2C and k + 10 <= len(data):
+            return 2 * (k + 2) + 1
+        if data[k] == 0x2C and k + 10 <= size:
             local = data[k + 9]
-            k = blocks(k + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0))
-        else:
-            return 0
-    return 0
+            return 2 * (k + 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0)) + 1
+        return ~0
 
+    if at + 13 > size:
+        return 0
+    flags = data[at + 10]
+    k = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+    end = _follow(step, 2 * k, {} if known is None else known.setdefault("gif", {}))
+    return end - at if end else 0
 
-def jpeg_length(data: bytes, at: int) -> int:
+
+def jpeg_length(data: bytes, at: int, known: dict | None = None) -> int:
     """Segments from SOI, then entropy-coded data up to EOI; needs a frame and a scan."""
-    k, frame = at + 2, False
-    while k + 4 <= len(data) and data[k] == 0xFF:
+    known = {} if known is None else known
+    if "eoi" not in known:
+        known["eoi"] = [m.start() for m in re.finditer(b"\xff\xd9", data)]
+    ends = known["eoi"]
+
+    def step(state: int) -> int:  # twice the place, odd after a frame
+        k, frame = state >> 1, state & 1
+        if k + 4 > len(data) or data[k] != 0xFF:
+            return ~0
         mark, size = data[k + 1], struct.unpack_from(">H", data, k + 2)[0]
         if size < 2:
-            return 0
+            return ~0
         frame |= mark in (0xC0, 0xC1, 0xC2)
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", k + 2 + size)
-            return end + 2 - at if frame and end >= 0 else 0
-        k += 2 + size
-    return 0
+            after = bisect_left(ends, k + 2 + size)
+            return ~(ends[after] + 2) if frame and after < len(ends) else ~0
+        return 2 * (k + 2 + size) + frame
+
+    end = _follow(step, 2 * (at + 2), known.setdefault("jpeg", {}))
+    return end - at if end else 0
 
 
 def bmp_length(data: bytes, at: int) -> int:
@@ -268,17 +307,21 @@ def bmp_length(data: bytes, at: int) -> int:
     return size if at + size <= len(data) and not reserved and header in (12, 40, 108, 124) and 14 + header <= pixels <= size and planes == 1 else 0
 
 
-def flac_length(data: bytes, at: int) -> int:
+def flac_length(data: bytes, at: int, known: dict | None = None) -> int:
     """Metadata blocks from STREAMINFO on; the audio reaches to the end of the blob."""
-    k, first = at + 4, True
-    while k + 4 <= len(data):
-        kind, size = data[k] & 0x7F, int.from_bytes(data[k + 1 : k + 4], "big")
-        if first and (kind or size != 34):
-            return 0
-        last, k, first = data[k] & 0x80, k + 4 + size, False
-        if last:
-            return len(data) - at if k + 2 <= len(data) and data[k] == 0xFF and data[k + 1] & 0xFC == 0xF8 else 0
-    return 0
+
+    def step(k: int) -> int:
+        if k + 4 > len(data):
+            return ~0
+        after = k + 4 + int.from_bytes(data[k + 1 : k + 4], "big")
+        if not data[k] & 0x80:
+            return after
+        return ~len(data) if after + 2 <= len(data) and data[after] == 0xFF and data[after + 1] & 0xFC == 0xF8 else ~0
+
+    if data[at + 4] & 0x7F or int.from_bytes(data[at + 5 : at + 8], "big") != 34:
+        return 0
+    end = _follow(step, at + 4, {} if known is None else known.setdefault("flac", {}))
+    return end - at if end else 0
 
 
 def gzip_length(data: bytes, at: int) -> int:
@@ -300,23 +343,23 @@ def gzip_length(data: bytes, at: int) -> int:
 
 def _from(length):
     """A validator of what starts with its magic bytes, as one that gives start and end."""
+    return lambda data, at, known: (at, at + length(data, at))
 
-    def span(data: bytes, at: int) -> tuple[int, int]:
-        n = length(data, at)
-        return at, at + n
 
-    return span
+def _sharing(length):
+    """The same of a format whose chains are remembered for the blob."""
+    return lambda data, at, known: (at, at + length(data, at, known))
 
 
-def mp4_span(data: bytes, at: int) -> tuple[int, int]:
-    return (at - 4, at - 4 + mp4_length(data, at - 4)) if at >= 4 else (0, 0)
+def mp4_span(data: bytes, at: int, known: dict) -> tuple[int, int]:
+    return (at - 4, at - 4 + mp4_length(data, at - 4, known)) if at >= 4 else (0, 0)
 
 
 VALIDATORS = {
-    "audio/wav": _from(wav_length), "image/webp": _from(webp_length), "image/png": _from(png_length), "image/gif": _from(gif_length),
-    "image/jpeg": _from(jpeg_length), "image/bmp": _from(bmp_length), "image/tiff": _from(tiff_length), "audio/flac": _from(flac_length),
+    "audio/wav": _from(wav_length), "image/webp": _from(webp_length), "image/png": _from(png_length), "image/gif": _sharing(gif_length),
+    "image/jpeg": _sharing(jpeg_length), "image/bmp": _from(bmp_length), "image/tiff": _from(tiff_length), "audio/flac": _sharing(flac_length),
     "audio/mpeg": _from(mp3_length), "application/ogg": _from(ogg_length), "video/mp4": mp4_span, "application/pdf": _from(pdf_length),
-    "application/zip": zip_span, "application/gzip": _from(gzip_length),
+    "application/zip": lambda data, at, known: zip_span(data, at), "application/gzip": _from(gzip_length),
 }
 
 
@@ -335,11 +378,11 @@ def automaton():
 
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of every confirmed format, outermost first, in order of start."""
-    spans = set()
+    spans, known = set(), {}
     for last, (size, kinds) in automaton().iter(data.decode("latin-1")):
         for kind in kinds:
             try:
-                start, end = VALIDATORS[kind](data, last + 1 - size)
+                start, end = VALIDATORS[kind](data, last + 1 - size, known)
             except (struct.error, IndexError):  # it breaks off before its structure ends
                 continue
             if end > start:

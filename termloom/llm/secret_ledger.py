@@ -222,11 +222,14 @@ class BlobLedger:
         texts.repartition(parts, "blob").mapInArrow(_scan, FINDINGS).write.parquet(target)
         return target
 
-    def findings_by_path(self, versions: DataFrame) -> DataFrame:
-        """doc_id, blob and the sorted findings of each version's blob. The findings are stored
-        first, so that the join may split a blob that very many paths hold."""
+    def findings_by_path(self, versions: DataFrame, rules: list[str] | None = None) -> DataFrame:
+        """doc_id, blob and the sorted findings of each version's blob by the rule versions asked
+        for (all current ones): what superseded ones found stays in the ledger and out of the
+        result. The findings are stored first, so that the join may split a blob that very many
+        paths hold."""
         order = F.struct("start", "kind", "end")
-        found = stored(self.rows().where(F.col("kind") >= 0).groupBy("blob").agg(F.array_sort(F.collect_set(order)).alias("found")), "findings")
+        wanted = F.col("rules").isin(*(rules or list(RULES)))
+        found = stored(self.rows().where((F.col("kind") >= 0) & wanted).groupBy("blob").agg(F.array_sort(F.collect_set(order)).alias("found")), "findings")
         paths = versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("blob"))
         empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
         return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
