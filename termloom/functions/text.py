@@ -12,9 +12,12 @@ def _unmarked(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) <= 0x36F)
 
 
-#: Letters with accents, from Unicode's own decompositions: source and folded.
-_FOLDED = {chr(c): d for c in range(0xC0, 0x3000) if len(d := _unmarked(chr(c))) == 1 and d != chr(c)}
+#: Letters with accents, from Unicode's own decompositions: source and folded. What decomposes into
+#: several letters (Hangul) or keeps a mark of its own (kana) stays whole.
+_FOLDED = {chr(c): d for c in range(0xC0, 0x10000) if len(d := _unmarked(chr(c))) == 1 and d != chr(c)}
 ACCENTED, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
+_FOLDING = str.maketrans(_FOLDED)
+_SEPARATORS = re.compile(r"[\W_]+")
 
 
 def fold_accents(text: Column) -> Column:
@@ -28,9 +31,9 @@ def normalize(text: Column) -> Column:
 
 
 def normalize_text(text: str) -> str:
-    """normalize() for query strings."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
-    return re.sub(r"[\W_]+", " ", folded.lower()).strip()
+    """normalize() for query strings, by the same table."""
+    folded = re.sub("[\u0300-\u036f]", "", text.translate(_FOLDING))
+    return _SEPARATORS.sub(" ", folded.lower()).strip(" ")
 
 
 def tokens(normalized: Column) -> Column:

@@ -1,7 +1,8 @@
 """Reading of notes: sections, sentences, cues, segments, candidate phrases.
 
 Each of these needs the order of characters within one note, so they run per note in one pass
-over Arrow batches, without a shuffle: a note is read whole and gives rows. Offsets are code
+over Arrow batches, without a shuffle unless the scan has fewer partitions than there are cores: a
+note is read whole and gives rows. Offsets are code
 points of the text with its line ends as plain line feeds.
 
 Word lists and patterns are fixed values that results depend on.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, normalize_text, tokens
+from ..sources.storage import spread
 
 # Patterns of each family of cues, English and Spanish, in order of preference.
 CUES = {
@@ -209,7 +211,7 @@ def per_note(notes: DataFrame, key: str, text: str, read: Callable[[str], list[t
             places = [c for c in ("start", "end") if c in names]
             yield made.astype({c: "Int64" for c in places})
 
-    return notes.select(key, text).mapInPandas(run, f"{key} {kind}, {schema}")
+    return spread(notes.select(key, text)).mapInPandas(run, f"{key} {kind}, {schema}")
 
 
 def sections(notes: DataFrame, key: str, text: str) -> DataFrame:

@@ -404,21 +404,24 @@ def adjudicated(t: Tables) -> DataFrame:
 
 
 _GRAPH = dict(
-    **_PHRASES,
-    mm="SELECT * FROM men WHERE k < 80",
-    edges_applied="SELECT m.note_id, 'applies' AS edge, 'cue-' || m.a || '-' || kind || '-' || value AS source, m.note_id || '-' || m.k AS target, 1.0::DOUBLE AS weight FROM mm m JOIN said s ON s.note_id = m.note_id AND s.a = m.a",
-    pairs="SELECT s.note_id, s.value, s.start, s.stop, m.a, list({'x': m.x, 'y': m.y, 'id': m.note_id || '-' || m.k} ORDER BY m.x, m.y) AS l FROM mm m JOIN said s ON s.note_id = m.note_id AND s.a = m.a WHERE kind = 'relation' GROUP BY ALL",
-    sides="SELECT note_id, value, l, list_filter(l, lambda z: z.y <= start)[-1].id AS lft, list_filter(l, lambda z: z.x >= stop)[1].id AS rgt FROM pairs WHERE len(l) > 1",
+    **{k: f"MATERIALIZED {v}" if k in ("men", "said") else v for k, v in _PHRASES.items()},
+    mm="MATERIALIZED SELECT *, note_id || '-' || k AS id FROM men WHERE k < 80",
+    met="SELECT s.note_id, s.a, s.value, s.start, s.stop, m.id, m.x, m.y, row_number() OVER (PARTITION BY s.note_id, s.a, s.value, s.start ORDER BY m.x, m.y, m.id) AS o FROM said s JOIN mm m ON s.note_id = m.note_id AND s.a = m.a WHERE kind = 'relation'",
+    sides="SELECT note_id, value, count(*) AS n, arg_max(id, o) FILTER (WHERE y <= start) AS lft, arg_min(id, o) FILTER (WHERE x >= stop) AS rgt, arg_min(id, o) AS one, arg_min(id, o) FILTER (WHERE o > 1) AS two FROM met GROUP BY note_id, a, value, start",
+    linked="SELECT note_id, value, coalesce(lft, one) AS source, coalesce(rgt, CASE WHEN coalesce(lft, one) = one THEN two ELSE one END) AS target, CASE WHEN lft IS NOT NULL AND rgt IS NOT NULL THEN 0.88 ELSE 0.72 END::DOUBLE AS weight FROM sides WHERE n > 1",
 )
 
 
-@query("evidence_edges", "SELECT * FROM edges_applied UNION ALL SELECT note_id, value, coalesce(lft, l[1].id), coalesce(rgt, list_filter(l, lambda z: z.id <> coalesce(lft, l[1].id))[1].id), CASE WHEN lft IS NOT NULL AND rgt IS NOT NULL THEN 0.88 ELSE 0.72 END FROM sides WHERE coalesce(lft, l[1].id) <> coalesce(rgt, list_filter(l, lambda z: z.id <> coalesce(lft, l[1].id))[1].id)", **_GRAPH)
+@query("evidence_edges", "SELECT m.note_id, 'applies' AS edge, 'cue-' || m.a || '-' || kind || '-' || value AS source, m.id AS target, 1.0::DOUBLE AS weight FROM mm m JOIN said s ON s.note_id = m.note_id AND s.a = m.a UNION ALL SELECT note_id, value, source, target, weight FROM linked WHERE source <> target", **_GRAPH)
 def evidence_edges(t: Tables) -> DataFrame:
     mentions = note_phrases(t).withColumn("mention_id", F.concat_ws("-", "note_id", "k"))
     return G.evidence_edges(mentions, N.signals(note_texts(t), "note_id", "text"))
 
 
-@query("evidence_nodes", "SELECT node, count(*) AS n FROM (SELECT DISTINCT 'section' AS node, note_id, section AS id FROM mm UNION ALL SELECT DISTINCT 'sentence', note_id, a::VARCHAR FROM mm UNION ALL SELECT 'span', note_id, k::VARCHAR FROM mm UNION ALL SELECT 'cue', note_id, kind || value FROM said WHERE (note_id, a) IN (SELECT (note_id, a) FROM mm)) GROUP BY node", **_GRAPH)
+@query("evidence_nodes", """SELECT DISTINCT note_id, 'section' AS node, 'sec-' || replace(lower(section), ' ', '-') AS id, NULL::INT AS start, NULL::INT AS "end", section AS text FROM mm
+  UNION ALL SELECT DISTINCT m.note_id, 'sentence', 'sent-' || m.a, m.a::INT, (m.a + length(n.sentence))::INT, n.sentence FROM mm m JOIN sen n ON n.note_id = m.note_id AND n.a = m.a
+  UNION ALL SELECT note_id, 'span', 'sp-' || id, x::INT, y::INT, phrase FROM mm
+  UNION ALL SELECT note_id, 'cue', 'cue-' || a || '-' || kind || '-' || value, start::INT, stop::INT, cue FROM said WHERE (note_id, a) IN (SELECT (note_id, a) FROM mm)""", **_GRAPH)
 def evidence_nodes(t: Tables) -> DataFrame:
     mentions = note_phrases(t).withColumns({"mention_id": F.concat_ws("-", "note_id", "k"), "concept_id": F.lit(None).cast("string")})
-    return G.evidence_nodes(mentions, N.signals(note_texts(t), "note_id", "text")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return G.evidence_nodes(mentions, N.signals(note_texts(t), "note_id", "text"))

@@ -94,7 +94,8 @@ VIEWS = {
 
 
 def with_views(query: str, *names: str, **more: str) -> str:
-    """query after the named views, those they need, and any given as keywords."""
+    """query after the named views, those they need, and any given as keywords; one that begins with
+    MATERIALIZED is worked out once."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -105,5 +106,5 @@ def with_views(query: str, *names: str, **more: str) -> str:
 
     for name in names:
         need(name)
-    ctes = [f"{x} AS ({VIEWS[x][1]})" for x in order] + [f"{k} AS ({v})" for k, v in more.items()]
+    ctes = [f"{x} AS ({VIEWS[x][1]})" for x in order] + [f"{k} AS MATERIALIZED ({v.removeprefix('MATERIALIZED ')})" if v.startswith("MATERIALIZED ") else f"{k} AS ({v})" for k, v in more.items()]
     return f"WITH RECURSIVE {', '.join(ctes)} {query}" if ctes else query

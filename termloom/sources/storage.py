@@ -34,3 +34,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def clustered(df: DataFrame, name: str, *keys: str, partitions: int) -> DataFrame:
     """stored, in ranges of the keys and sorted by them: a filter on them skips files and row groups."""
     return stored(df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys), name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, if its scan gives fewer: a file of one row
+    group is one task, whatever is then done with its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
