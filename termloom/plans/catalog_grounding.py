@@ -334,7 +334,7 @@ _BROAD = dict(
     **_ASKED,
     ix="SELECT DISTINCT description_id, concept_id, normalized, fsn, synonyms, is_preferred, term_rank, unnest(string_split(normalized || ' ' || display || ' ' || fsn || ' ' || array_to_string(synonyms, ' '), ' ')) AS token FROM terms WHERE concept_active",
     fr="SELECT token, count(*) AS n FROM ix GROUP BY token",
-    ra="SELECT phrase, min((n, token)) AS r FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS token FROM w) JOIN fr USING (token) WHERE length(token) > 1 GROUP BY phrase HAVING min((n, token))[1] <= 500",
+    ra="SELECT phrase, min((n, token)) AS r FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS token FROM w) JOIN fr USING (token) WHERE length(token) > 1 GROUP BY phrase",
     hit="SELECT phrase, description_id, concept_id, normalized, fsn, synonyms, is_preferred, term_rank FROM ra JOIN ix ON token = r[2] UNION SELECT phrase, description_id, concept_id, normalized, fsn, synonyms, is_preferred, term_rank FROM w JOIN terms ON normalized = phrase WHERE concept_active",
     ti="""SELECT *, CASE WHEN normalized = phrase THEN 1 WHEN starts_with(normalized, phrase || ' ') AND len(string_split(normalized, ' ')) - len(string_split(phrase, ' ')) <= 1 THEN 2 WHEN list_contains(synonyms, phrase) THEN 3 WHEN fsn = phrase THEN 4 WHEN starts_with(normalized, phrase) THEN 6
   WHEN contains(' ' || normalized || ' ', ' ' || phrase || ' ') THEN 8 WHEN contains(' ' || fsn || ' ', ' ' || phrase || ' ') THEN 9 ELSE 11 END AS tier FROM hit""",
@@ -342,10 +342,10 @@ _BROAD = dict(
 )
 
 
-@query("note_candidates_broad", "SELECT phrase, concept_id, row_number() OVER (PARTITION BY phrase ORDER BY tier, is_preferred DESC, term_rank DESC, concept_id)::INT AS place, CASE WHEN tier = 1 THEN 'exact' ELSE 'broad' END AS strategy FROM fi QUALIFY place <= 12", "terms", **_BROAD)
+@query("note_candidates_broad", "SELECT phrase, concept_id, row_number() OVER (PARTITION BY phrase ORDER BY tier, is_preferred DESC, term_rank DESC, concept_id)::INT AS place, CASE WHEN tier = 1 THEN 'exact' ELSE 'broad' END AS strategy FROM fi QUALIFY place <= 20", "terms", **_BROAD)
 def note_candidates_broad(t: Tables) -> DataFrame:
-    """Candidates by each phrase's rarest word as well, where no more than 500 rows have it."""
-    return V.candidates(_asked(t, "broad"), t.search, limit=12, common=500).select("phrase", "concept_id", F.col("pos").alias("place"), "strategy")
+    """Candidates by each phrase's rarest word as well, however many rows have it."""
+    return V.candidates(_asked(t, "broad"), t.search).select("phrase", "concept_id", F.col("pos").alias("place"), "strategy")
 
 
 @query("note_grounding", None)

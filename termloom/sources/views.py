@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import closure_fixpoint
-from ..operators.search import EXCLUDED_TAGS, SearchTables, token_rows
+from ..operators.search import EXCLUDED_TAGS, SearchTables, searchable, token_rows
 from ..operators.terms import projection, root_areas
+from ..operators.textindex import BeginningIndex, TextIndex, beginning_index, text_index
+from ..operators.vectors import VectorIndex, vector_index
 from .storage import clustered, stored
 
 ROOT, SUPPLIES, IS_A = "900000", "700001", "116680003"
@@ -142,6 +144,27 @@ class Tables:
         terms = clustered(rows, "terms", "normalized", "description_id", partitions=self.spread)
         return SearchTables(terms, clustered(token_rows(terms), "tokens", "token", "description_id", partitions=self.spread))
 
+    @cached_property
+    def text_index(self) -> TextIndex:
+        """Postings with positions of the searchable rows of the projection."""
+        return text_index(searchable(self.search.terms), "description_id", partitions=self.spread)
+
+    @cached_property
+    def beginnings(self) -> BeginningIndex:
+        return beginning_index(searchable(self.search.terms), "description_id", "display", self.spread)
+
+    @cached_property
+    def vectors(self) -> VectorIndex:
+        return vector_index(self.table("embeddings"), "vec_id", "embedding")
+
+    @cached_property
+    def term_vectors(self) -> VectorIndex:
+        """Preferred rows of parts, types and brands with a vector of their letters."""
+        from ..plans.catalog_text import letter_counts
+
+        rows = searchable(self.search.terms).where("is_preferred AND tag IN ('part', 'type', 'brand')")
+        return vector_index(rows.select("description_id", "concept_id", letter_counts(F.col("normalized")).alias("vector")), "description_id", "vector")
+
     @cached_property
     def codings(self) -> DataFrame:
         """One row per order line: note_id and the coding's fields."""
