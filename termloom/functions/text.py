@@ -21,8 +21,9 @@ _SEPARATORS = re.compile(r"[\W_]+")
 
 
 def fold_accents(text: Column) -> Column:
-    """Letters without accents; loose combining marks go as well."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[\\u0300-\\u036F]", "")
+    """Letters without accents; loose combining marks go as well. Plain ASCII has neither."""
+    folded = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[\\u0300-\\u036F]", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def normalize(text: Column) -> Column:

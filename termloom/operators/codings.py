@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import attributes, equality_key, first_of_each, let
+from ..functions.records import attributes, first_of_each, let
 from ..functions.text import english_tag
 
 CLINICAL_FINDING = "404684003"
@@ -63,13 +63,18 @@ def _conflicts(entries: Column) -> Column:
     return let(entries, of_one)
 
 
+def _key(*parts: Column) -> Column:
+    """One string for several strings, each with its length, so that different parts never look alike."""
+    return F.concat(*(F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts))
+
+
 def merge(codings: DataFrame) -> DataFrame:
     """One row per fact of a note: attributes of the first that has them, conflicts, all evidence
     in order, accepted if any is, principal if any is. One shuffle by note and fact."""
     kept = codings.withColumn("attributes", attributes(F.col("attributes")))
     of = lambda name: F.col("attributes")[name]
     relation = F.when(F.col("subject") == "family", of("relationship"))
-    keyed = kept.withColumn("fact", equality_key(*(F.col(c) for c in FACT), *(of(a) for a in TELLING), relation))
+    keyed = kept.withColumn("fact", _key(*(F.col(c) for c in FACT), *(of(a) for a in TELLING), relation))
     rest = [c for c in kept.columns if c not in ("note_id", "pos", *FACT, "role", "attributes", "evidence", "accepted")]
     row = F.struct("pos", F.map_entries("attributes").alias("entries"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "role", *rest)
     grouped = keyed.groupBy("note_id", "fact", *FACT).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.bool_or("accepted").alias("accepted"))
@@ -91,7 +96,7 @@ def drop_covered(merged: DataFrame) -> DataFrame:
     such fact, of equals the first, takes over its evidence, and its attributes as far as it lacks them. Facts meet by
     note, concept and sense, so nothing is compared that can't match.
     """
-    rows = merged.withColumn("_sense", equality_key(*(F.col(c) for c in SENSE), *(F.col("attributes")[a] for a in SHARED)))
+    rows = merged.withColumn("_sense", _key(*(F.col(c) for c in SENSE), *(F.col("attributes")[a] for a in SHARED)))
     coverable = (F.coalesce("role", F.lit("")) != "principal") & (F.col("assertion") == "present") & (F.col("temporality") == "current") & (F.col("subject") == "patient") & F.coalesce(F.col("kind") == "condition", F.lit(True))
     upper = rows.where(coverable).select("note_id", "concept_id", "_sense", F.col("fact").alias("_upper"), "pos", "attributes", "evidence")
     lower = rows.select("note_id", "_sense", F.col("fact").alias("_lower"), F.col("pos").alias("_pos"), F.col("concept_id").alias("_own"), F.size("ancestor_ids").alias("_depth"), F.explode("ancestor_ids").alias("concept_id")).where("_own <> concept_id")

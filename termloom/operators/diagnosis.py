@@ -58,15 +58,23 @@ def _label(section: Column) -> Column:
 
 def section_weight(section: Column) -> Column:
     """First pattern that the section's label matches; other labels 2."""
+    return _label_weight(_label(section))
+
+
+def _label_weight(label: Column) -> Column:
     out = F.when(F.lit(False), 0)
     for pattern, weight in SECTION_WEIGHT:
-        out = out.when(_label(section).rlike(pattern), weight)
+        out = out.when(label.rlike(pattern), weight)
     return out.otherwise(2)
 
 
 def mention_score(confidence: Column, section: Column, assertion: Column, evidence: Column, decision: Column, tag: Column, target: str = "condition.code") -> Column:
     """0.3 of the confidence in percent, then section, assertion, evidence and tag; unknown values weigh 0."""
-    parts = section_weight(section) + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + tag_weight(tag, target)
+    return _points(confidence, section_weight(section), assertion, evidence, decision, tag, target)
+
+
+def _points(confidence: Column, by_section: Column, assertion: Column, evidence: Column, decision: Column, tag: Column, target: str) -> Column:
+    parts = by_section + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + tag_weight(tag, target)
     return F.coalesce(confidence, F.lit(0)) * CONFIDENCE_WEIGHT + parts
 
 
@@ -82,14 +90,16 @@ def with_priority(entries: DataFrame) -> DataFrame:
     unresolved: that priority, if the mention is present but no mention of its phrase has a mapping.
     """
     none = F.lit("")
-    rows = entries.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
+    # all windows and groups begin with the note, so its rows meet once; a section is classified once
+    rows = entries.repartition("note_id").withColumn("_label", _label(F.col("section"))).withColumn("_weight", _label_weight(F.col("_label")))
+    rows = rows.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
     present = (F.col("assertion") == "present") & (F.col("subject") == "patient")
-    assessment = section_weight(F.col("section")) == 22
-    source = Window.partitionBy("note_id", _label(F.col("section")), F.coalesce(F.col("section_start").cast("string"), none))
+    assessment = F.col("_weight") == 22
+    source = Window.partitionBy("note_id", "_label", F.coalesce(F.col("section_start").cast("string"), none))
     first = F.min(F.when(present & (F.col("kind") == "condition") & (F.col("temporality") != "unknown") & assessment, F.col("start"))).over(source)
     leads = F.coalesce(F.col("start") == first, F.lit(False)) | F.coalesce(F.col("sentence").rlike("^\\s*1[.)]\\s"), F.lit(False))
     condition = (F.col("kind") == "condition") | ((F.col("kind") == "") & (english_tag(F.coalesce("tag", none)) == "disorder"))
-    reason = _label(F.col("section")).rlike("chief complaint|reason for|motivo")
+    reason = F.col("_label").rlike("chief complaint|reason for|motivo")
     own = F.when(condition & reason, 5).when(condition & assessment & leads, 4).when(reason, 3).when(condition & assessment, 2).otherwise(0)
     rows = rows.withColumn("_own", own)
     same = Window.partitionBy(*SAME_MENTION)
@@ -97,7 +107,7 @@ def with_priority(entries: DataFrame) -> DataFrame:
     mapped = supports(F.col("decision"), F.col("reviewed"))
     resolved = (F.col("_phrase") != "") & F.max(mapped & F.col("concept_id").isNotNull()).over(same)
     rows = rows.withColumn("priority", F.greatest("_own", hint))
-    return rows.withColumn("unresolved", F.when(present & (F.col("temporality") != "unknown") & ~mapped & ~resolved, F.col("priority")).otherwise(0)).drop("_own")
+    return rows.withColumn("unresolved", F.when(present & (F.col("temporality") != "unknown") & ~mapped & ~resolved, F.col("priority")).otherwise(0)).drop("_own", "_label")
 
 
 def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
@@ -107,7 +117,7 @@ def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
     temporality, clinical_status, subject, section, section_start, start, sentence, evidence,
     decision, reviewed, confidence.
     """
-    rows = with_priority(entries).withColumn("score", mention_score(F.col("confidence"), F.col("section"), F.col("assertion"), F.col("evidence"), F.col("decision"), F.col("tag"), target))
+    rows = with_priority(entries).withColumn("score", _points(F.col("confidence"), F.col("_weight"), F.col("assertion"), F.col("evidence"), F.col("decision"), F.col("tag"), target)).drop("_weight")
     tag = english_tag(F.coalesce("tag", F.lit("")))
     under = F.coalesce((F.col("concept_id") == CLINICAL_FINDING) | F.array_contains("ancestor_ids", CLINICAL_FINDING), F.lit(False))
     finding = F.when(tag != "", tag.isin("disorder", "finding")).otherwise(under)

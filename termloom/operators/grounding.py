@@ -70,7 +70,11 @@ FLAGS = ("workflow", "relation", "laterality", "population", "status", "specific
 def candidate_flags(phrase: Column, n_tokens: Column, ctx: Column, relation_cue: Column, term: Column) -> Column:
     """What speaks against a candidate term for a phrase, as a struct of FLAGS and n_extra, the
     words it has beyond the phrase. ctx is the mention's assertion."""
-    wanted, name = (normalize(F.coalesce(x, F.lit(""))) for x in (phrase, term))
+    return _flags(*(normalize(F.coalesce(x, F.lit(""))) for x in (phrase, term)), n_tokens, ctx, relation_cue)
+
+
+def _flags(wanted: Column, name: Column, n_tokens: Column, ctx: Column, relation_cue: Column) -> Column:
+    """candidate_flags() of normal forms."""
     asked = tokens(wanted)
     extras = F.filter(tokens(name), lambda w: ~F.array_contains(asked, w) & ~w.isin(*STOPWORDS, *NEUTRAL) & (F.length(w) > 3))
     has = lambda pattern: name.rlike(f"(?<![A-Za-z0-9_])({pattern})(?![A-Za-z0-9_])")
@@ -92,8 +96,15 @@ def candidate_score(phrase: Column, n_tokens: Column, ctx: Column, relation_cue:
     A null or empty matched text is the term's; a null tier is 99; a null rank or score is 0.
     """
     wanted, name, tagged = (normalize(F.coalesce(x, F.lit(""))) for x in (phrase, term, tag))
-    other = normalize(F.when(F.coalesce(matched, F.lit("")) == "", F.coalesce(term, F.lit(""))).otherwise(matched))
-    flags = candidate_flags(phrase, n_tokens, ctx, relation_cue, term)
+    return _score(wanted, name, _matched(matched, term), tagged, candidate_flags(phrase, n_tokens, ctx, relation_cue, term), n_tokens, ctx, tier, preferred, rank, score)
+
+
+def _matched(matched: Column, term: Column) -> Column:
+    return normalize(F.when(F.coalesce(matched, F.lit("")) == "", F.coalesce(term, F.lit(""))).otherwise(matched))
+
+
+def _score(wanted: Column, name: Column, other: Column, tagged: Column, flags: Column, n_tokens: Column, ctx: Column, tier: Column, preferred: Column, rank: Column, score: Column) -> Column:
+    """candidate_score() of normal forms and flags."""
     one, negated = (F.coalesce(x, F.lit(False)) for x in (n_tokens == 1, ctx == "absent"))
     exact, partial, condition = name == wanted, other == wanted, tagged.isin("disorder", "finding")
     less = lambda case, points: F.when(case, -points).otherwise(0)
@@ -171,25 +182,26 @@ def grounded(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     rerank_score, active. Of a mention's candidates each concept counts once, at its best place,
     and only if its tag suits the mention's kind. A mention without candidates abstains.
     """
-    both = mentions.join(candidates, "mention_id")
+    col = lambda *names: [F.col(c) for c in names]
+    form = lambda c: normalize(F.coalesce(F.col(c), F.lit("")))
+    # normal forms once; what is made of them reads columns
+    both = mentions.join(candidates, "mention_id").withColumns({"_wanted": form("phrase"), "_name": form("term"), "_other": _matched(F.col("matched"), F.col("term")), "_tagged": form("tag")})
+    both = both.withColumn("flags", _flags(*col("_wanted", "_name", "n_tokens", "assertion", "relation_cue")))
     scored = both.withColumns({
-        "flags": candidate_flags(F.col("phrase"), F.col("n_tokens"), F.col("assertion"), F.col("relation_cue"), F.col("term")),
-        "score": candidate_score(*(F.col(c) for c in ("phrase", "n_tokens", "assertion", "relation_cue", "term", "matched", "tier", "preferred", "rank", "search_score", "tag"))),
-        "full": any_description(F.col("phrase"), F.col("descriptions")),
+        "score": _score(*col("_wanted", "_name", "_other", "_tagged", "flags", "n_tokens", "assertion", "tier", "preferred", "rank", "search_score")),
+        "full": (F.col("_wanted") != "") & F.coalesce(F.exists("descriptions", lambda d: normalize(d) == F.col("_wanted")), F.lit(False)),
     })
     own = Window.partitionBy("mention_id", "concept_id").orderBy(*grounding_order())
     single = scored.withColumn("_k", F.row_number().over(own)).where("_k = 1").where(kind_compatible(F.col("kind"), F.col("tag"))).drop("_k")
     placed = with_margin(single, order=grounding_order())
     all_of = Window.partitionBy("mention_id")
     counted = placed.withColumns({"n_full": F.count_if("full").over(all_of), "n_candidates": F.count(F.lit(1)).over(all_of)}).where("place = 1")
-    wanted, name = normalize(F.col("phrase")), normalize(F.col("term"))
-    matched = normalize(F.when(F.coalesce("matched", F.lit("")) == "", F.col("term")).otherwise(F.col("matched")))
+    wanted, name, matched = col("_wanted", "_name", "_other")
     facts = counted.withColumns({
         "exact": name == wanted, "synonym": matched == wanted,
         "contains": (name == wanted) | (matched == wanted) | F.contains(matched, wanted) | F.contains(wanted, matched) | F.contains(name, wanted) | F.contains(wanted, name),
         "tier": F.coalesce("tier", F.lit(99)),
     })
-    col = lambda *names: [F.col(c) for c in names]
     judged = facts.withColumn("confidence", confidence(F.coalesce("search_score", F.lit(0.0)), *col("margin", "exact", "synonym", "contains", "tier", "n_tokens", "active", "flags")))
     judged = judged.withColumn("status", review_status(*col("confidence", "margin", "exact", "synonym", "tier", "n_tokens", "active", "flags", "full", "n_full")))
     judged = judged.withColumn("reasons", decision_reasons(*col("status", "margin", "exact", "synonym", "contains", "tier", "n_tokens", "active", "flags", "full", "n_full", "n_candidates")))

@@ -12,11 +12,11 @@ def needs_context(rule: Column) -> Column:
 
 
 def forward(mappings: DataFrame, target_system: str, version: str | None = None) -> DataFrame:
-    """Active targets of every concept, with equivalence, in order of group and priority."""
+    """Active targets of every concept, with equivalence; who limits them orders them, by group and priority."""
     kept = mappings.where("active").where(F.col("target_system") == target_system)
     if version:
         kept = kept.where(F.col("target_version") == version)
-    return kept.withColumn("equivalence", F.when(needs_context(F.col("map_rule")), "relatedto").otherwise("equivalent")).orderBy("map_group", "map_priority", "concept_id", "map_target")
+    return kept.withColumn("equivalence", F.when(needs_context(F.col("map_rule")), "relatedto").otherwise("equivalent"))
 
 
 def reverse(mappings: DataFrame, target_system: str, target: str, labels: DataFrame) -> DataFrame:

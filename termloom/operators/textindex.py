@@ -80,7 +80,9 @@ def bm25_top(index: TextIndex, query: str, limit: int, boosts: dict[str, float]
     weights = {(t, f): idf * boosts[f] for t, f, idf, _ in known if f in boosts}
     reach = {t: sum(b * boosts[f] for u, f, _, b in known if u == t and f in boosts) for t in words}
     order = sorted((t for t in words if reach[t] > 0), key=lambda t: (-reach[t], t))
-    mine = index.postings.where(F.col("token").isin(*order) & F.col("field").isin(*boosts)).select("doc", "token", "field", "share") if order else index.postings.limit(0).select("doc", "token", "field", "share")
+    if not order:
+        return index.postings.limit(0).select("doc", F.lit(0.0).alias("score"))
+    mine = index.postings.where(F.col("token").isin(*order) & F.col("field").isin(*boosts)).select("doc", "token", "field", "share")
     if allowed is not None:
         mine = mine.join(allowed.select(F.col("doc")).distinct(), "doc", "left_semi")
     ranked = lambda df: df.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "doc").limit(limit)

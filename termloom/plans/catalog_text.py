@@ -189,3 +189,17 @@ def note_candidates_hybrid(t: Tables) -> DataFrame:
     asked = phrases.withColumns({"plan": F.lit("broad"), "vector": letter_counts(F.col("phrase"))})
     found = V.hybrid_candidates(asked, t.search, t.term_vectors, exact=True)
     return found.select("phrase", "concept_id", F.col("pos").alias("place"), "strategy", "lexical_rank", "semantic_rank", "fused")
+
+
+# ---- the extractor
+
+
+@query("extracted_mentions", "SELECT o_orderkey AS note_id, 'ok' AS status, 3::BIGINT AS n, 'Order' || o_orderkey AS first_phrase FROM orders")
+def extracted_mentions(t: Tables) -> DataFrame:
+    """A text for every order through the local stand-in of the service, in windows of forty characters."""
+    from ..operators.extraction import Answers, capitalized_words, extract
+
+    text = F.concat(F.lit("Order"), F.col("o_orderkey").cast("string"), F.lit(" was seen by the patient today. Then a Plan was made and nothing else at all."))
+    notes = t.table("orders").select(F.col("o_orderkey").alias("note_id"), text.alias("text"))
+    found = extract(notes, "note_id", "text", capitalized_words, "stand-in", Answers(t.spark), size=40)
+    return found.select("note_id", "status", F.size("mentions").cast("long").alias("n"), F.get_json_object(F.col("mentions")[0], "$.phrase").alias("first_phrase"))

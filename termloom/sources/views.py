@@ -18,7 +18,7 @@ from ..operators.search import EXCLUDED_TAGS, SearchTables, searchable, token_ro
 from ..operators.terms import projection, root_areas
 from ..operators.textindex import BeginningIndex, TextIndex, beginning_index, text_index
 from ..operators.vectors import VectorIndex, vector_index
-from .storage import clustered, stored
+from .storage import clustered, spread, stored
 
 ROOT, SUPPLIES, IS_A = "900000", "700001", "116680003"
 TENANT, RELEASE_OLD, RELEASE_NEW = "demo", "20240101", "20240701"
@@ -167,9 +167,9 @@ class Tables:
 
     @cached_property
     def codings(self) -> DataFrame:
-        """One row per order line: note_id and the coding's fields."""
-        lines = self.table("lineitem").join(self.parts.select("p_partkey", "concept_id", "brand_id", "type_id"), F.col("l_partkey") == F.col("p_partkey"))
-        return lines.select(
+        """One row per order line: note_id and the coding's fields; many queries read it, so it is stored, in as many files as there are cores at least."""
+        lines = spread(self.table("lineitem")).join(self.parts.select("p_partkey", "concept_id", "brand_id", "type_id"), F.col("l_partkey") == F.col("p_partkey"))
+        rows = lines.select(
             F.col("l_orderkey").alias("note_id"),
             "concept_id",
             F.array("concept_id", "brand_id", "type_id", F.lit(ROOT)).alias("ancestor_ids"),
@@ -182,6 +182,7 @@ class Tables:
             "l_quantity",
             "l_shipdate",
         )
+        return stored(rows, "codings")
 
     @cached_property
     def notes(self) -> DataFrame:
