@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, variants
 from ..sources.storage import stored
 from . import notes as N
 from .grounding import grounded, lookup_plan
@@ -44,9 +44,27 @@ def _placed() -> list[Column]:
     return [F.col("is_preferred").desc(), F.col("term_rank").desc(), F.col("concept_id").asc()]
 
 
+def _lookup_score(forms: Column, row) -> Column:
+    """search.phrase_lookup_score() of a batch: forms are a phrase's variants."""
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    total = F.lit(0)
+    for k in range(4):
+        form, base = F.get(forms, F.lit(k)), 14 if k == 0 else 10
+        has = lambda text, form=form: F.contains(pad(text), pad(form))
+        begins = F.contains(pad(row("display")), F.concat(F.lit(" "), form))
+        for holds, boost in ((begins, base + 4), (has(row("display")), base), (F.exists(row("synonyms"), _holding(form)), base - 1), (has(row("fsn")), base - 2)):
+            total = total + F.when(holds, boost).otherwise(0)
+    return total.cast("double")
+
+
+def _holding(form: Column):
+    return lambda text: F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), form, F.lit(" ")))
+
+
 def candidates(phrases: DataFrame, tables: SearchTables, limit: int = PER_PHRASE) -> DataFrame:
-    """phrase, pos, strategy and COLUMNS of the best concepts of each phrase: exact descriptions
-    first, then what has its rarest word, by tier. phrases: phrase (normalized, distinct), plan."""
+    """phrase, pos, strategy, search_score and COLUMNS of the best concepts of each phrase: exact
+    descriptions first, then what has its rarest word, by tier. phrases: phrase (normalized,
+    distinct), plan."""
     wanted = phrases.where("plan <> 'skip'").select("phrase", "plan")
     rows = searchable(tables.terms).select(*COLUMNS)
     whole = wanted.join(rows, F.col("phrase") == F.col("normalized")).withColumn("strategy", F.lit("exact"))
@@ -67,8 +85,10 @@ def candidates(phrases: DataFrame, tables: SearchTables, limit: int = PER_PHRASE
     found = found.withColumn("strategy", F.when(F.col("tier") == 1, "exact").otherwise(F.col("strategy")))
     order = ("tier", F.col("is_preferred").desc(), F.col("term_rank").desc())
     first = found.withColumn("_k", F.row_number().over(Window.partitionBy("phrase", "concept_id").orderBy(*order, "description_id"))).where("_k = 1").drop("_k")
-    placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("phrase").orderBy(*order, "concept_id")))
-    return placed.where(F.col("pos") <= limit)
+    placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("phrase").orderBy(*order, "concept_id"))).where(F.col("pos") <= limit)
+    forms = wanted.select(F.col("phrase").alias("_phrase"), variants(F.col("phrase")).alias("_forms"))
+    met = placed.join(forms, F.col("phrase") == F.col("_phrase"))
+    return met.withColumn("search_score", _lookup_score(F.col("_forms"), F.col)).drop("_phrase", "_forms")
 
 
 def hybrid_candidates(phrases: DataFrame, tables: SearchTables, index: VectorIndex, limit: int = PER_PHRASE, tuning: Tuning = Tuning(), exact: bool = False) -> DataFrame:
@@ -112,7 +132,7 @@ def ground_notes(notes: DataFrame, key: str, text: str, tables: SearchTables, mo
     met = kinds.where("plan <> 'skip'").select("mention_id", F.col("normalized").alias("normalized_phrase"), F.col("plan").alias("own_plan")).join(found, "normalized_phrase").where("own_plan = 'broad' OR strategy = 'exact'")
     rows = met.select(
         "mention_id", "pos", "concept_id", F.col("display_term").alias("term"), F.col("term").alias("matched"), F.concat(F.array("term", "display", "fsn"), "synonyms").alias("descriptions"), "tag", "tier", F.col("is_preferred").alias("preferred"),
-        F.col("term_rank").alias("rank"), F.lit(1.0).alias("search_score"), F.lit(None).cast("double").alias("rerank_score"), F.lit(True).alias("active"),
+        F.col("term_rank").alias("rank"), "search_score", F.lit(None).cast("double").alias("rerank_score"), F.lit(True).alias("active"),
     )
     decided = stored(grounded(kinds, rows).select(*SIGNATURE, *DECISION), "decisions")
     return mentions.join(decided, SIGNATURE).drop("plan")

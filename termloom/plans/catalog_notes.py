@@ -275,11 +275,6 @@ def diagnosis_explanation(t: Tables) -> DataFrame:
     return D.explanation(D.scored(entries(t))).groupBy("part", "said").agg(F.count(F.lit(1)).alias("n"), F.sum("place").cast("long").alias("places"))
 
 
-@query("diagnosis_rules", "SELECT part, value, weight::DOUBLE AS weight FROM (VALUES ('assertion', 'present', 20), ('assertion', 'suspected', 8), ('assertion', 'historical', -10), ('assertion', 'planned', -18), ('assertion', 'absent', -30), ('assertion', 'family-history', -36), ('evidence', 'direct', 3), ('evidence', 'inferred', 2), ('evidence', 'context', -10), ('evidence', 'system', -14)) v(part, value, weight)")
-def diagnosis_rules(t: Tables) -> DataFrame:
-    return D.rules(t.spark).where("part IN ('assertion', 'evidence')")
-
-
 @query("model_recommendation", "SELECT model FROM (SELECT p_brand AS model, round(avg(p_size) / 50, 6) AS composite, count(*) AS tokens, min(p_partkey) AS latency FROM part GROUP BY p_brand) WHERE composite >= (SELECT max(c) FROM (SELECT round(avg(p_size) / 50, 6) AS c FROM part GROUP BY p_brand)) - 0.02 ORDER BY tokens, latency, model LIMIT 1")
 def model_recommendation(t: Tables) -> DataFrame:
     models = t.table("part").groupBy(F.col("p_brand").alias("model")).agg(F.round(F.avg("p_size") / 50, 6).alias("composite"), F.count(F.lit(1)).alias("tokens"), F.min("p_partkey").alias("latency"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import normalize, normalize_text
 from termloom.operators import retrieval, textindex, vectors
-from termloom.operators.search import SearchTables, token_rows
+from termloom.operators.search import SearchTables, phrase_lookup_score, token_rows
 from termloom.sources.views import tables
 
 
@@ -151,6 +151,9 @@ def test_candidates_of_common_words_are_whole(spark):
         rows.append((f"c{k // 2}", f"d{k:03}", name, name, name, name, f"{name} disorder", [f"beta alpha {k}"] if k % 5 == 0 else [], "disorder", k % 2 == 0, r.choice([10, 20, 30]), True))
     terms = spark.createDataFrame(rows, COLUMNS).cache()
     found = retrieval.candidates(spark.createDataFrame([("alpha", "broad"), ("alpha beta", "broad"), ("beta alpha", "broad"), ("alpha omega", "broad"), ("alpha 14", "exact"), ("gamma", "skip")], "phrase string, plan string"), SearchTables(terms, token_rows(terms)), limit=25)
+    for phrase in ("alpha", "alpha beta"):
+        score = phrase_lookup_score(phrase, F.col("display"), F.col("fsn"), F.col("synonyms")).cast("double")
+        assert found.where(F.col("phrase") == phrase).where(F.col("search_score") != F.coalesce(score, F.lit(0.0))).count() == 0
     by_phrase = {}
     for x in found.collect():
         by_phrase.setdefault(x.phrase, []).append((x.pos, x.concept_id, x.tier))
