@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,49 +23,6 @@ def read_map_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("referencedComponentId").alias("concept_id"), F.col("refsetId").alias("refset_id"), (F.col("active") == "1").alias("active"), F.col("mapTarget").alias("map_target"), number("mapGroup").alias("map_group"), number("mapPriority").alias("map_priority"), text("mapRule").alias("map_rule"), text("effectiveTime").alias("effective_time"))
 
 
-def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One top-level JSON array per file. Large ones are better split to lines first, by split_json_array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def split_json_array(path: str, out: str, rows_per_file: int = 100_000, chunk: int = 1 << 20) -> int:
-    """Writes a file that is one top-level JSON array as files of one object a line, which Spark
-    reads in parallel; returns their number of rows. Reads a chunk at a time, whatever the size."""
-    from pathlib import Path
-
-    Path(out).mkdir(parents=True)
-    decoder, text, at, n, target = json.JSONDecoder(), "", 0, 0, None
-    with open(path, encoding="utf-8-sig") as source:
-        done = False
-        while not done:
-            piece = source.read(chunk)
-            done = not piece
-            text, at = text[at:] + piece, 0
-            while True:
-                m = _BETWEEN.match(text, at)
-                at = m.end()
-                if at >= len(text) or text[at] == "]":
-                    break
-                try:
-                    row, end = decoder.raw_decode(text, at)
-                except json.JSONDecodeError:
-                    if done:
-                        raise
-                    break  # the object goes on in the next chunk
-                if n % rows_per_file == 0:
-                    if target:
-                        target.close()
-                    target = open(f"{out}/part-{n // rows_per_file:06d}.json", "w", encoding="utf-8")
-                target.write(json.dumps(row, ensure_ascii=False) + "\n")
-                n, at = n + 1, end
-    if target:
-        target.close()
-    return n
-
-
-_BETWEEN = re.compile(r"[\s,\ufeff]*\[?[\s,]*")
-
-
 def read_captured_runs(spark: SparkSession, folder: str, schema, pattern: str = "*-hybrid.json") -> DataFrame:
     """Evaluation runs that were saved as one JSON file each, with the file's name."""
     rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)

@@ -127,20 +127,6 @@ def test_releases_are_replaced_one_by_one(spark, tmp_path):
     assert read() == [(5, "n", "r2"), (9, "z", "r2")]
 
 
-def test_json_arrays_are_split(spark, tmp_path):
-    import json
-
-    rows = [{"id": k, "text": "é]},{" * (k % 5), "list": [1, {"a": [k]}]} for k in range(257)]
-    (tmp_path / "a.json").write_text(json.dumps(rows, ensure_ascii=False, indent=1), encoding="utf-8-sig")
-    assert readers.split_json_array(str(tmp_path / "a.json"), str(tmp_path / "out"), rows_per_file=100, chunk=61) == 257
-    held = [json.loads(line) for f in sorted((tmp_path / "out").iterdir()) for line in f.read_text(encoding="utf-8").splitlines()]
-    assert held == rows and len(list((tmp_path / "out").iterdir())) == 3
-    schema = "id long, text string"
-    assert spark.read.schema(schema).json(str(tmp_path / "out")).count() == 257 == readers.read_json_array(spark, str(tmp_path / "a.json"), schema).count()
-    (tmp_path / "b.json").write_text(" [ ] ")
-    assert readers.split_json_array(str(tmp_path / "b.json"), str(tmp_path / "none")) == 0
-
-
 def test_captured_runs(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"n{k}-hybrid.json").write_text('{"note": "%d",\n "mentions": [{"id": "m"}]}' % k)
