@@ -194,3 +194,10 @@ def request_fingerprint(*parts: Column) -> Column:
 
 def query_hash(text: Column) -> Column:
     return F.substring(F.sha1(F.lower(F.trim(text)).cast("binary")), 1, 16)
+
+
+def locale_order(term: Column, language: Column, own: tuple[str, ...] = ("es",)) -> list[Column]:
+    """Sort keys of a term: by the collation of its language where that has one of its own, else by
+    the root collation. Letters first, then accents, then case. Compares terms of one language."""
+    keys = [F.collate(F.when(language == x, term), x) for x in own]
+    return [*keys, F.collate(F.when(~F.coalesce(language.isin(*own), F.lit(False)), term), "UNICODE")]

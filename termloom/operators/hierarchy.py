@@ -70,9 +70,9 @@ def ancestor_walk(edges: DataFrame, concepts: DataFrame, concept_id: str, max_de
 
 
 def preferred_parent(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """child, parent: for each child the parent with fewest parents, then by name, then id."""
+    """child, parent: for each child the parent with fewest parents, then by name in locale order, then id."""
     n_parents = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("child", "of")
-    named = edges.join(concepts.select(F.col("concept_id").alias("parent"), F.lower("name").alias("parent_name")), "parent").join(n_parents, F.col("parent") == F.col("of"), "left")
+    named = edges.join(concepts.select(F.col("concept_id").alias("parent"), F.collate(F.lower("name"), "UNICODE").alias("parent_name")), "parent").join(n_parents, F.col("parent") == F.col("of"), "left")
     rank = F.row_number().over(Window.partitionBy("child").orderBy(F.coalesce("n", F.lit(0)), "parent_name", "parent"))
     return named.withColumn("k", rank).where("k = 1").select("child", "parent")
 

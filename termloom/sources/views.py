@@ -7,6 +7,7 @@ hierarchy is a DAG. Notes are orders, their codings are order lines.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,7 +19,8 @@ from ..operators.search import EXCLUDED_TAGS, SearchTables, searchable, token_ro
 from ..operators.terms import projection, root_areas
 from ..operators.textindex import BeginningIndex, TextIndex, beginning_index, text_index
 from ..operators.vectors import VectorIndex, vector_index
-from .storage import clustered, spread, stored
+from .lookups import keyed
+from .storage import clustered, shared_folder, spread, stored
 
 ROOT, SUPPLIES, IS_A = "900000", "700001", "116680003"
 TENANT, RELEASE_OLD, RELEASE_NEW = "demo", "20240101", "20240701"
@@ -153,6 +155,12 @@ class Tables:
     def beginnings(self) -> BeginningIndex:
         return beginning_index(searchable(self.search.terms), "description_id", "display", self.spread)
 
+    @cached_property
+    def keyed_releases(self) -> DataFrame:
+        """Both releases, a folder each, in order of concept_id and with Bloom filters on it."""
+        path = f"{shared_folder(self.spark)}/releases-{uuid.uuid4().hex}"
+        return keyed(self.release_old.unionByName(self.release_new), path, "concept_id", "concept_id", partitions=self.spread)
+
     @cached_property
     def vectors(self) -> VectorIndex:
         return vector_index(self.table("embeddings"), "vec_id", "embedding")
