@@ -1,6 +1,6 @@
 """Token ids as ORC: integer run-length encoding, row indexes, Bloom filters on doc_id.
 
-Documents are range-partitioned and sorted by id, encoded in Arrow batches and written by
+Documents are range-partitioned and sorted by id (and, where rows share one, by a hash of their text), encoded in Arrow batches and written by
 Spark's ORC writer: the id lists become run-length-encoded integer streams, each stripe
 carries row indexes and a Bloom filter on doc_id. Files are in ascending order of doc_id,
 so a reader prunes files, stripes and row groups by their statistics and stripes are read
@@ -14,7 +14,8 @@ manifest and the row groups that its metadata can't rule out, and nothing else.
 
 Defined cases: null or empty text is the end id alone; a very long text is encoded whole and
 is one row, its ids one list; rows that repeat a doc_id stand next to each other, ordered by
-text, a null doc_id comes first; an empty table gives no rows; extra columns are ignored.
+a hash of their text, in as many files as their number needs (equal rows in one), a null
+doc_id comes first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits rows that share an id or lack one; an id that is one row's alone isn't touched by it
+    ordered = rows.repartitionByRange(partitions(spark), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), "text")
     encoded = ordered.mapInArrow(encode_partition(vocabulary), SCHEMA).withColumn("part", F.spark_partition_id())
     encoded.write.options(**ORC).orc(path)
     files = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("n_tokens"))

@@ -11,8 +11,8 @@ What a page is gets settled on ids and digests alone. Pages then meet their verd
 own id, not by their payload's digest, so a payload that very many pages share never gathers
 in one task, and revisits drop their payload before they are written.
 
-Archives go to the shared folder under a name of their task attempt. The stored index has a
-row for each record of the attempts that Spark committed (page, archive, offset, length), so
+Archives go to the shared folder under a name of their task attempt. The index beside them has
+a row for each record of the attempts that Spark committed (page, archive, offset, length), so
 that a lost executor's half-written files are never read, one page is read alone, and large
 archives are read in ranges of bounded size.
 
@@ -224,7 +224,7 @@ def sample_records(pages: DataFrame) -> list[bytes]:
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives; returns the stored index: INDEX, a row for each record."""
+    """Writes the archives and their index into the folder; returns the index: INDEX, a row for each record."""
     spark = pages.sparkSession
     ship(spark)
     dictionary = train_dictionary(sample_records(pages))
@@ -232,7 +232,21 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     hashed = narrow.withColumn("sha1", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
     typed = hashed.join(again, (F.col("sha1") == F.col("r_sha1")) & F.col("page_id").eqNullSafe(F.col("r_page")) & F.col("url").eqNullSafe(F.col("r_url")), "left")
-    return stored(typed.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(_write(folder, dictionary), INDEX), "warc-index")
+    # stored before it is dealt out: finding the ranges would write the archives twice
+    made = stored(typed.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(_write(folder, dictionary), INDEX), "warc-index")
+    order = ("page_id", "name", "offset")
+    made.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).write.parquet(index_path(folder))
+    return open_index(spark, folder)
+
+
+def index_path(folder: str) -> str:
+    return f"{folder.rstrip('/')}/index"
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a folder of archives, for any session: in ranges of page_id, so that a look for a
+    page reads the files that may hold it."""
+    return spark.read.schema(INDEX).parquet(index_path(folder))
 
 
 def _read(folder: str):
@@ -256,16 +270,18 @@ def _records(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
-def read_warc(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """RECORDS of all archives that the index lists, in ranges of about RANGE_BYTES."""
+def read_warc(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
+    """RECORDS of all archives that the index lists (the folder's own, if none is given), in ranges of about RANGE_BYTES."""
     ship(spark)
+    index = open_index(spark, folder) if index is None else index
     cut = index.groupBy("name", F.floor(F.col("offset") / RANGE_BYTES).alias("k")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"))
     return cut.select("name", "begin", "end").repartition(partitions(spark)).mapInArrow(_read(folder), RECORDS)
 
 
-def read_pages(spark: SparkSession, folder: str, index: DataFrame, page_ids: list[int]) -> DataFrame:
-    """RECORDS of some pages, each read alone from its place."""
+def read_pages(spark: SparkSession, folder: str, index: DataFrame | None, page_ids: list[int]) -> DataFrame:
+    """RECORDS of some pages, each read alone from its place, by the index given or the folder's own."""
     ship(spark)
+    index = open_index(spark, folder) if index is None else index
     wanted = index.where(F.col("page_id").isin(*page_ids))
     return wanted.select("name", F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end")).mapInArrow(_read(folder), RECORDS)
 

@@ -2,6 +2,7 @@ import hashlib
 import io
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import brute
 import pyarrow as pa
@@ -674,3 +675,30 @@ def test_a_page_is_read_alone_and_a_hot_payload_is_held_once(spark, monkeypatch)
     assert again.count() == sum(1 for k, *_ in pages if k % 3) - 1
     monkeypatch.setattr(warc, "RANGE_BYTES", 700)
     assert warc.read_warc(spark, folder, index).count() == 399
+
+
+def test_archives_are_found_again_by_their_folder(spark):
+    """A long page and pages without an id, read by the index that lies beside the archives."""
+    long = "<p>é</p>" * 1_000_000
+    pages = [(k, None, f"<p>{k}</p>") for k in range(500)] + [(500, "u", long), (501, "u", long)] + [(None, None, f"<i>{k}</i>") for k in range(200)]
+    folder = warc.scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), folder)
+    assert warc.read_warc(spark, folder).count() == 702 == warc.open_index(spark, folder).count()
+    found = {r.page_id: r for r in warc.read_pages(spark, folder, None, [7, 500, 501]).collect()}
+    size = len(long.encode())
+    assert (found[500].payload_bytes, found[500].payload_digest) == (size, warc.base32_sha1(long.encode())) and (found[501].record_type, found[501].refers_to, found[501].payload_bytes) == ("revisit", 500, size)
+    index = warc.open_index(spark, folder)
+    assert index.select(F.input_file_name()).distinct().count() > 1
+    assert "PushedFilters: [IsNotNull(page_id), EqualTo(page_id,7)]" in index.where("page_id = 7")._jdf.queryExecution().toString()
+
+
+def test_rows_without_an_id_are_dealt_to_several_files(spark):
+    rows = [(None, f"text {k} without an id") for k in range(2000)] + [(k, f"text {k}") for k in range(200)] + [(77, f"more {k}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = token_orc.scratch(spark, "tokens")
+    token_orc.write_tokens(docs, path)
+    got = token_orc.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == list(accumulate([len(r.ids) for r in got], initial=0))[:-1] and len(got) == 3100
+    assert [r.doc_id for r in got] == [None] * 2000 + sorted([*range(200), *([77] * 900)])
+    files = spark.read.schema(token_orc.SCHEMA).orc(path).where("doc_id IS NULL").select("part").distinct().count()
+    assert files > 1
