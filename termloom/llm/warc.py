@@ -217,9 +217,14 @@ def _write(folder: str, dictionary: bytes):
 
 
 def sample_records(pages: DataFrame) -> list[bytes]:
-    """At most SAMPLE_RECORDS records, those of the least hashes of id and url over all pages."""
-    cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-    rows = cut.orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").limit(SAMPLE_RECORDS).collect()
+    """At most SAMPLE_RECORDS records, those of the least hashes of id and url over all pages. The
+    hashes are chosen first, so that no task sends the html of pages that others outdo."""
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("hash", F.xxhash64("page_id", "url"))
+    least = named.select("hash").orderBy("hash").limit(SAMPLE_RECORDS).agg(F.max("hash")).first()[0]
+    if least is None:
+        return []
+    cut = named.where(F.col("hash") <= least).withColumn("html", F.substring("html", 1, SAMPLE_BYTES))
+    rows = cut.orderBy("hash", "page_id", "url", "html").limit(SAMPLE_RECORDS).collect()
     return [warc_record(r.page_id, r.url, (r.html or "").encode(), "A" * 32, None) for r in rows]
 
 
