@@ -37,11 +37,13 @@ _FACTS = dict(
 )
 
 
-def facts(t: Tables) -> DataFrame:
+def facts(t: Tables, together: bool = False) -> DataFrame:
+    """together: a note's facts in one partition, shuffled as plain order lines, before they double and carry maps."""
     q = F.col("l_quantity").cast("int")
     names = t.parts.select(F.col("concept_id").alias("_c"), F.col("name"))
     types = t.types.select(F.col("concept_id").alias("type_id"), "p_type")
     base = t.codings.withColumn("type_id", F.element_at("ancestor_ids", 3)).join(names, F.col("concept_id") == F.col("_c")).join(types, "type_id").withColumn("q", q).drop("kind")
+    base = base.repartition("note_id") if together else base
     pick = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
     tag = pick(F.col("type_id").cast("int") % 6, *_TAGS)
     base = base.withColumns({
@@ -55,8 +57,8 @@ def facts(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     part = F.struct((2 * F.col("line")).alias("pos"), F.col("concept_id").alias("id"), F.col("name").alias("term"), F.when(q % 17 == 0, "principal").otherwise("secondary").alias("role"), given(("Sitio", site), ("lateralidad", side), ("Resultado", result), ("color", F.concat(F.lit("c"), (q % 2).cast("string")))).alias("attributes"), F.col("ancestor_ids").alias("up"), F.array(line).alias("evidence"))
     kind = F.struct((2 * F.col("line") + 1).alias("pos"), F.col("type_id").alias("id"), F.col("p_type").alias("term"), F.when(q % 19 == 0, "principal").otherwise("secondary").alias("role"), given(("site", site), ("Laterality", side), ("result", result), ("color", F.concat(F.lit("type "), (q % 3).cast("string"))), ("Momento", F.when(q % 8 == 0, F.lit("early")).otherwise(none))).alias("attributes"), F.array("type_id", F.lit("900000")).alias("up"), F.array(F.lit("type"), line).alias("evidence"))
-    rows = base.select("note_id", "assertion", "subject", "temporality", "workflow", "kind", "clinical_status", "accepted", "tag", F.explode(F.array(part, kind)).alias("d"))
-    return rows.select("note_id", "assertion", "subject", "temporality", "workflow", "kind", "clinical_status", "accepted", "tag", "d.pos", F.col("d.id").alias("concept_id"), "d.term", F.col("d.term").alias("phrase"), "d.role", "d.attributes", F.col("d.up").alias("ancestor_ids"), "d.evidence")
+    rows = base.select("note_id", "assertion", "subject", "temporality", "workflow", "kind", "clinical_status", "accepted", "tag", "row", F.explode(F.array(part, kind)).alias("d"))
+    return rows.select("note_id", "assertion", "subject", "temporality", "workflow", "kind", "clinical_status", "accepted", "tag", "d.pos", F.col("d.id").alias("concept_id"), "d.term", F.col("d.term").alias("phrase"), "d.role", "d.attributes", F.col("d.up").alias("ancestor_ids"), "d.evidence", "row")
 
 
 _KEY = "note_id, concept_id, assertion, subject, temporality, workflow, kind, clinical_status, site, laterality, result, relative_time"
@@ -73,7 +75,7 @@ _SAME = " AND ".join(f"m.{k} IS NOT DISTINCT FROM s.{k}" for k in _KEY.split(",
 def coding_merge(t: Tables) -> DataFrame:
     of = lambda name: F.col("attributes")[name].alias(name)
     clash = F.get(F.col("conflicts")["color"], F.lit(1)).alias("other_color")
-    return C.merge(facts(t)).select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", "role", of("site"), of("result"), of("relativeTime").alias("relative_time"), of("color"), clash, "accepted", F.array_join("evidence", ",").alias("evidence"))
+    return C.merge(facts(t, together=True), "row").select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", "role", of("site"), of("result"), of("relativeTime").alias("relative_time"), of("color"), clash, "accepted", F.array_join("evidence", ",").alias("evidence"))
 
 
 _SENSE = " AND ".join(f"u.{k} IS NOT DISTINCT FROM o.{k}" for k in "assertion subject temporality kind workflow clinical_status site laterality result relative_time".split())
@@ -82,13 +84,9 @@ _COVERS = f"SELECT u.rowid AS upper, o.rowid AS lower, len(o.up) AS deep, o.pos
 
 @query("coding_covered", "SELECT note_id, concept_id, assertion, subject, temporality, workflow, kind, pos::INT AS pos, (SELECT count(*) FROM p WHERE p.lower = n.rowid) AS taken FROM n WHERE rowid NOT IN (SELECT upper FROM c)", "codings", "parts", "types", **_MERGED, n="SELECT *, row_number() OVER () AS rowid FROM m", c=_COVERS, p="SELECT upper, arg_min(lower, (-deep, pos, own)) AS lower FROM c GROUP BY upper")
 def coding_covered(t: Tables) -> DataFrame:
-    """Merged facts without covered ones, and how many each has taken over, told by their evidence."""
-    merged = C.merge(facts(t))
-    kept = C.drop_covered(merged)
-    before = merged.select("note_id", "fact", F.size("evidence").alias("_n"))
-    after = kept.join(before, ["note_id", "fact"])
-    grown = F.when(F.size("evidence") > F.col("_n"), 1).otherwise(0)
-    return after.select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", grown.cast("long").alias("taken"))
+    """Merged facts without covered ones, and how many each has taken over."""
+    kept = C.drop_covered(C.merge(facts(t, together=True), "row"))
+    return kept.select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", "taken")
 
 
 _ROLE = "CASE WHEN kind IN ('observation', 'test') THEN kind WHEN tag IN ('disorder', 'hallazgo') THEN 'diagnosis' WHEN tag IN ('procedimiento', 'régimen/tratamiento') THEN 'procedure' WHEN tag = 'product' THEN 'medication' ELSE 'other' END"

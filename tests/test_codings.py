@@ -99,3 +99,9 @@ def test_linked_mentions_need_both_sides_and_two_words(spark):
     rows = [(1, f"m{k}", "condition", "present", "current", "patient", sentence, phrase) for k, phrase in enumerate(("acute kidney injury", "chronic kidney injury", "cough"))]
     found = G.linked_mentions(spark.createDataFrame(rows, "note_id int, mention_id string, kind string, assertion string, temporality string, experiencer string, sentence string, phrase string"))
     assert sorted((r.mention_id, r.partner_id) for r in found.collect()) == [("m0", "m1"), ("m1", "m0")]
+
+
+def test_a_fact_may_take_over_several(spark):
+    rows = [coding(0, "top"), coding(1, "parent", ancestor_ids=["parent", "top"]), coding(2, "child", ancestor_ids=["child", "parent", "top"]), coding(3, "other")]
+    out = C.drop_covered(C.merge(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((r.concept_id, r.taken) for r in out) == [("child", 2), ("other", 0)]
