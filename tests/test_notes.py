@@ -158,3 +158,12 @@ def test_diagnosis_proposal(spark):
         "reason": ["candidate", "principal"], "other": ["candidate", "comorbidity"], "parent": ["candidate"], "cough": ["symptom"], "old": ["history"], "maybe": ["suspected"],
         "easy": ["comorbidity"], "acute": ["candidate", "principal"], "chronic": ["candidate", "related"],
     }
+
+
+def test_equal_short_texts_are_read_once_a_task(spark):
+    read = []
+    once = lambda text: (read.append(text), [(len(read) - 1,)])[1]
+    notes = spark.range(400).selectExpr("id", "'has asthma' AS text")
+    assert {r.k for r in N.per_note(notes, "id", "text", once, "k int").collect()} == {0}
+    long = notes.selectExpr("id", f"repeat('x', {N.LONGEST_KEPT + 1}) AS text")
+    assert max(r.k for r in N.per_note(long, "id", "text", once, "k int").collect()) > 10
