@@ -169,3 +169,16 @@ def test_stream_of_events(spark, data, tmp_path):
     last = events.agg(F.max("at")).first()[0]
     closed = events.where(F.window("at", "1 day").end <= F.lit(last) - F.expr("INTERVAL 1 HOUR")).count()
     assert out.agg(F.sum("n")).first()[0] == closed > 0
+
+
+def test_closure_joins_no_level_of_what_is_no_parent(spark, monkeypatch):
+    """Leaves take over their parents' ancestors; a cycle's concepts are above themselves."""
+    from termloom.operators import hierarchy
+
+    seen, levels = [], hierarchy._levels
+    monkeypatch.setattr(hierarchy, "_levels", lambda edges, limit: (seen.append({r.child for r in edges.collect()}), levels(edges, limit))[1])
+    pairs = [("a", "r"), ("b", "a"), ("r", "b"), *((f"leaf{k}", p) for k in range(20) for p in ("a", "b"))]
+    found = {tuple(r) for r in hierarchy.closure_fixpoint(spark.createDataFrame(pairs, "child string, parent string")).collect()}
+    assert seen == [{"a", "b", "r"}]
+    ring = {("a", "r", 1), ("a", "b", 2), ("a", "a", 3), ("b", "a", 1), ("b", "r", 2), ("b", "b", 3), ("r", "b", 1), ("r", "a", 2), ("r", "r", 3)}
+    assert found == ring | {(f"leaf{k}", *x) for k in range(20) for x in (("a", 1), ("b", 1), ("r", 2))}

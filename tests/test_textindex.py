@@ -186,3 +186,11 @@ def test_normal_forms_agree_over_all_letters(spark):
     different = [(hex(ord(x.c)), x.n) for x in rows.collect() if x.n != normalize_text(f"A{x.c}b")]
     assert rows.count() > 50_000 and not different, (len(different), different[:60])
     assert normalize_text("ガス 한국") == "ガス 한국"
+
+
+def test_an_index_stores_only_what_is_read(spark):
+    rows = spark.createDataFrame([("1", "red stone"), ("2", "rad stone")], "doc string, display string")
+    index = textindex.beginning_index(rows, "doc", "display", 2)
+    words = index.words.select(F.col("token").alias("query"))
+    assert {tuple(r) for r in textindex.within_one_edit(words, index.near).collect()} == {("red", "red"), ("rad", "rad"), ("stone", "stone")}
+    assert "grams" not in vars(index) and "holders" not in vars(index)
