@@ -69,3 +69,8 @@ def test_names_are_shuffled_before_they_are_listed(spark, data):
 
     plan = concept_rows(tables(spark, data).names, ())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(concept_id" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_words_of_rows_that_share_an_id_count_together(spark, folders):
+    path, con = folders["far"]
+    assert_same(catalog.QUERIES["search_bm25_words"](spark, path), con, catalog.SQL["search_bm25_words"])
