@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_tag, fold_accents, normalize, tokens
+from ..sources.storage import stored
 
 ASSERTION_WEIGHT = {"present": 20, "suspected": 8, "historical": -10, "planned": -18, "absent": -30, "family-history": -36}
 SECTION_WEIGHT = [
@@ -43,7 +44,11 @@ def evidence_weight(evidence: Column, decision: Column) -> Column:
 
 
 def tag_weight(tag: Column, target: str = "condition.code") -> Column:
-    english, out = english_tag(F.coalesce(tag, F.lit(""))), F.when(F.lit(False), 0)
+    return _english_weight(english_tag(F.coalesce(tag, F.lit(""))), target)
+
+
+def _english_weight(english: Column, target: str) -> Column:
+    out = F.when(F.lit(False), 0)
     for context, weights in TAG_WEIGHT.items():
         for part, weight in weights if context in target.lower() else ():
             out = out.when(english.contains(part), weight)
@@ -70,11 +75,11 @@ def _label_weight(label: Column) -> Column:
 
 def mention_score(confidence: Column, section: Column, assertion: Column, evidence: Column, decision: Column, tag: Column, target: str = "condition.code") -> Column:
     """0.3 of the confidence in percent, then section, assertion, evidence and tag; unknown values weigh 0."""
-    return _points(confidence, section_weight(section), assertion, evidence, decision, tag, target)
+    return _points(confidence, section_weight(section), assertion, evidence, decision, tag_weight(tag, target))
 
 
-def _points(confidence: Column, by_section: Column, assertion: Column, evidence: Column, decision: Column, tag: Column, target: str) -> Column:
-    parts = by_section + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + tag_weight(tag, target)
+def _points(confidence: Column, by_section: Column, assertion: Column, evidence: Column, decision: Column, by_tag: Column) -> Column:
+    parts = by_section + _weights(ASSERTION_WEIGHT, assertion) + evidence_weight(evidence, decision) + by_tag
     return F.coalesce(confidence, F.lit(0)) * CONFIDENCE_WEIGHT + parts
 
 
@@ -89,16 +94,27 @@ def with_priority(entries: DataFrame) -> DataFrame:
     no less than that of a current, present condition of the patient with the same phrase.
     unresolved: that priority, if the mention is present but no mention of its phrase has a mapping.
     """
+    return _prioritized(_read(entries)).drop("_english")
+
+
+def _read(entries: DataFrame) -> DataFrame:
+    """entries, a note's together, with what patterns say of each: as columns, so that they are matched
+    once for each mention and not again wherever a condition needs them."""
     none = F.lit("")
     # all windows and groups begin with the note, so its rows meet once; a section is classified once
     rows = entries.repartition("note_id").withColumn("_label", _label(F.col("section"))).withColumn("_weight", _label_weight(F.col("_label")))
-    rows = rows.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
+    rows = rows.withColumns({"_numbered": F.coalesce(F.col("sentence").rlike("^\\s*1[.)]\\s"), F.lit(False)), "_english": english_tag(F.coalesce("tag", none))})
+    return rows.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
+
+
+def _prioritized(rows: DataFrame) -> DataFrame:
+    none = F.lit("")
     present = (F.col("assertion") == "present") & (F.col("subject") == "patient")
     assessment = F.col("_weight") == 22
     source = Window.partitionBy("note_id", "_label", F.coalesce(F.col("section_start").cast("string"), none))
     first = F.min(F.when(present & (F.col("kind") == "condition") & (F.col("temporality") != "unknown") & assessment, F.col("start"))).over(source)
-    leads = F.coalesce(F.col("start") == first, F.lit(False)) | F.coalesce(F.col("sentence").rlike("^\\s*1[.)]\\s"), F.lit(False))
-    condition = (F.col("kind") == "condition") | ((F.col("kind") == "") & (english_tag(F.coalesce("tag", none)) == "disorder"))
+    leads = F.coalesce(F.col("start") == first, F.lit(False)) | F.col("_numbered")
+    condition = (F.col("kind") == "condition") | ((F.col("kind") == "") & (F.col("_english") == "disorder"))
     reason = F.col("_label").rlike("chief complaint|reason for|motivo")
     own = F.when(condition & reason, 5).when(condition & assessment & leads, 4).when(reason, 3).when(condition & assessment, 2).otherwise(0)
     rows = rows.withColumn("_own", own)
@@ -107,7 +123,7 @@ def with_priority(entries: DataFrame) -> DataFrame:
     mapped = supports(F.col("decision"), F.col("reviewed"))
     resolved = (F.col("_phrase") != "") & F.max(mapped & F.col("concept_id").isNotNull()).over(same)
     rows = rows.withColumn("priority", F.greatest("_own", hint))
-    return rows.withColumn("unresolved", F.when(present & (F.col("temporality") != "unknown") & ~mapped & ~resolved, F.col("priority")).otherwise(0)).drop("_own", "_label")
+    return rows.withColumn("unresolved", F.when(present & (F.col("temporality") != "unknown") & ~mapped & ~resolved, F.col("priority")).otherwise(0)).drop("_own", "_label", "_numbered")
 
 
 def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
@@ -117,8 +133,9 @@ def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
     temporality, clinical_status, subject, section, section_start, start, sentence, evidence,
     decision, reviewed, confidence.
     """
-    rows = with_priority(entries).withColumn("score", _points(F.col("confidence"), F.col("_weight"), F.col("assertion"), F.col("evidence"), F.col("decision"), F.col("tag"), target)).drop("_weight")
-    tag = english_tag(F.coalesce("tag", F.lit("")))
+    tag = F.col("_english")
+    rows = _read(entries)
+    rows = rows.withColumn("score", _points(F.col("confidence"), F.col("_weight"), F.col("assertion"), F.col("evidence"), F.col("decision"), _english_weight(tag, target)))
     under = F.coalesce((F.col("concept_id") == CLINICAL_FINDING) | F.array_contains("ancestor_ids", CLINICAL_FINDING), F.lit(False))
     finding = F.when(tag != "", tag.isin("disorder", "finding")).otherwise(under)
     reason = (
@@ -130,14 +147,16 @@ def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
         .when(F.lower(F.trim("subject")) != "patient", "not-patient")
         .when(F.col("score") <= 0, "non-positive-score")
     )
-    return rows.withColumn("reason", reason)
+    # neither needs the windows, and a condition on them must not be put together again after those
+    return _prioritized(rows.withColumn("reason", reason)).drop("_weight", "_english")
 
 
-def concepts(found: DataFrame) -> DataFrame:
-    """BUCKET of the mentions that count: score, support, confidence, priority, eligible, place."""
+def concepts(found: DataFrame, *carried: str) -> DataFrame:
+    """BUCKET of the mentions that count: score, support, confidence, priority, eligible, place, and
+    the greatest of each of the columns carried."""
     count = found.where("reason is null").withColumns({"assertion": F.when(F.col("assertion") == "", "present").otherwise(F.col("assertion")), "clinical_status": F.coalesce("clinical_status", F.lit("unknown"))})
     named = F.min(F.coalesce("term", "concept_id"))
-    grouped = count.groupBy(*BUCKET).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("support"), F.max(F.coalesce("confidence", F.lit(0))).alias("confidence"), F.max("priority").alias("priority"), named.alias("term"), F.min(english_tag(F.coalesce("tag", F.lit("")))).alias("tag"), F.max("ancestor_ids").alias("ancestor_ids"))
+    grouped = count.groupBy(*BUCKET).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("support"), F.max(F.coalesce("confidence", F.lit(0))).alias("confidence"), F.max("priority").alias("priority"), named.alias("term"), F.min(english_tag(F.coalesce("tag", F.lit("")))).alias("tag"), F.max("ancestor_ids").alias("ancestor_ids"), *(F.max(c).alias(c) for c in carried))
     scores = grouped.withColumns({"score": F.round(F.col("best") + F.least(4 * (F.col("support") - 1), F.lit(12)), 2), "eligible": (F.col("temporality") != "unknown") & (F.lower("assertion") == "present")})
     order = Window.partitionBy("note_id").orderBy(*(F.col(x).desc() for x in ("eligible", "priority", "score", "support", "confidence")), "term", *BUCKET[1:])
     return scores.withColumn("place", F.row_number().over(order))
@@ -160,11 +179,13 @@ def proposal(found: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     """concepts() of scored mentions with roles, sorted: principal, candidate, comorbidity,
     related, symptom, history, suspected. A mention of higher priority that has no usable code
     keeps lower ones from being candidates; a concept above another one of its kind has no role.
+    Three steps read the ranks, so they are worked out once and stored.
     """
-    ranks = concepts(found).join(found.groupBy("note_id").agg(F.max("unresolved").alias("_waiting")), "note_id")
+    waiting = F.max("unresolved").over(Window.partitionBy("note_id"))
+    ranks = concepts(found.withColumn("_waiting", waiting), "_waiting")
     able = F.col("eligible") & (F.col("priority") >= F.col("_waiting"))
     # able ones follow each other, as eligible and priority lead the order
-    ranks = ranks.withColumns({"_candidate": able & (F.col("place") <= most), "_principal": able & (F.col("place") == 1)})
+    ranks = stored(ranks.withColumns({"_candidate": able & (F.col("place") <= most), "_principal": able & (F.col("place") == 1)}), "ranks")
     key = ["note_id", "temporality", "kind", "assertion"]
     above = ranks.where("eligible").select(*key, F.col("concept_id").alias("_own"), F.explode("ancestor_ids").alias("concept_id")).where("_own <> concept_id").select(*key, "concept_id").distinct().withColumn("_above", F.lit(True))
     linked = _linked(found, ranks.where("_principal").select("note_id", "concept_id")).withColumn("_linked", F.lit(True))
