@@ -10,3 +10,12 @@ def optimized(df) -> str:
 def test_a_tag_is_matched_once_and_ranks_are_stored(spark, data):
     assert optimized(catalog.QUERIES["diagnosis_rank"](spark, data)).count("^hallazgo$") == 1
     assert "Window" not in optimized(catalog.QUERIES["diagnosis_split"](spark, data))
+
+
+def test_notes_list_plain_lines_and_equal_the_codings(spark, data):
+    from termloom.sources.views import Tables
+
+    t = Tables(spark, data)
+    nested = t.notes.selectExpr("note_id", "inline(codings)")
+    assert "codings" not in vars(t)  # so none are stored for it, nor shuffled with their names
+    assert nested.exceptAll(t.codings.select(nested.columns)).isEmpty() and t.codings.select(nested.columns).exceptAll(nested).isEmpty()
