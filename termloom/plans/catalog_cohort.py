@@ -72,9 +72,9 @@ def cohort_stats(t: Tables) -> DataFrame:
 def cohort_false_positive_negative(t: Tables) -> DataFrame:
     """What including descendants adds to, or takes from, an exact match."""
     ids = {"c1": [BRAND]}
-    wide = t.notes.where(cohort(Plan(leaf(1)), ids, NOW)).select("note_id")
-    exact = t.notes.where(cohort(Plan(leaf(1)), ids, NOW, descendants=False)).select("note_id")
-    return wide.exceptAll(exact).select(F.lit("positive").alias("kind"), "note_id").union(exact.exceptAll(wide).select(F.lit("negative").alias("kind"), "note_id"))
+    # both conditions are asked of each note in one pass
+    asked = t.notes.select("note_id", cohort(Plan(leaf(1)), ids, NOW).alias("wide"), cohort(Plan(leaf(1)), ids, NOW, descendants=False).alias("exact"))
+    return asked.where("wide <> exact").select(F.when(F.col("wide"), "positive").otherwise("negative").alias("kind"), "note_id")
 
 
 @query("match_explanation", "SELECT note_id, clause, string_agg(DISTINCT concept_id, ',' ORDER BY concept_id) AS concepts FROM (" + " UNION ALL ".join(f"SELECT note_id, '{k}' AS clause, concept_id FROM codings WHERE '{c}' IN (brand_id, type_id) AND assertion = 'present' AND subject = 'patient' AND status = 'accepted'" for k, c in (("c1", BRAND), ("c2", TYPE))) + ") GROUP BY note_id, clause", "codings")

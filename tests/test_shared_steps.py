@@ -19,3 +19,8 @@ def test_notes_list_plain_lines_and_equal_the_codings(spark, data):
     nested = t.notes.selectExpr("note_id", "inline(codings)")
     assert "codings" not in vars(t)  # so none are stored for it, nor shuffled with their names
     assert nested.exceptAll(t.codings.select(nested.columns)).isEmpty() and t.codings.select(nested.columns).exceptAll(nested).isEmpty()
+
+
+def test_both_sides_of_a_difference_are_asked_in_one_pass(spark, data):
+    plan = optimized(catalog.QUERIES["cohort_false_positive_negative"](spark, data))
+    assert plan.count("Relation [") == 1 and "Aggregate" not in plan
