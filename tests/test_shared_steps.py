@@ -24,3 +24,11 @@ def test_notes_list_plain_lines_and_equal_the_codings(spark, data):
 def test_both_sides_of_a_difference_are_asked_in_one_pass(spark, data):
     plan = optimized(catalog.QUERIES["cohort_false_positive_negative"](spark, data))
     assert plan.count("Relation [") == 1 and "Aggregate" not in plan
+
+
+def test_exact_nearest_rows_need_no_index(spark, data):
+    from termloom.plans.catalog_text import vector_nearest_join
+    from termloom.sources.views import Tables
+
+    t = Tables(spark, data)
+    assert vector_nearest_join(t).count() > 0 and "vectors" not in vars(t)
