@@ -32,3 +32,17 @@ def test_exact_nearest_rows_need_no_index(spark, data):
 
     t = Tables(spark, data)
     assert vector_nearest_join(t).count() > 0 and "vectors" not in vars(t)
+
+
+def test_mentions_of_a_sentence_meet_without_a_join(spark, data):
+    assert optimized(catalog.QUERIES["linked_mentions"](spark, data)).count("Join") == 2  # parts with their types, lines with their parts
+
+
+def test_rows_of_a_text_read_before_are_taken_from_columns(spark, data):
+    from termloom.operators import notes as N
+
+    found = N.phrases(spark.createDataFrame([(1, "Red bolt. Hot rod."), (2, None), (3, "Red bolt. Hot rod."), (4, "x" * 700 + " big gear")], "id long, text string").coalesce(1), "id", "text")
+    assert "MapInArrow" in optimized(found)
+    rows = [tuple(r) for r in found.collect()]
+    assert [r[1:] for r in rows if r[0] == 1] == [r[1:] for r in rows if r[0] == 3] == N.phrases_of("Red bolt. Hot rod.")
+    assert [r[1:] for r in rows if r[0] == 4] == N.phrases_of("x" * 700 + " big gear") and {r[0] for r in rows} == {1, 3, 4}
