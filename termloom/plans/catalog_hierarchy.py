@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None, *views: str, **ctes: str):
 
 
 def space(t: Tables) -> EclSpace:
-    return EclSpace(t.concepts, t.closure, t.attributes)
+    return EclSpace(t.concepts, t.lineage, t.supplied)
 
 
 def _below(x: str, own: bool) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import descendants
+from ..sources.storage import stored
 
 
 class EclError(ValueError):
@@ -141,14 +142,15 @@ def validate(text: str) -> tuple[object | None, str | None]:
 
 @dataclass
 class EclSpace:
-    """What expressions are evaluated on: concepts, closure, attribute edges."""
+    """What expressions are evaluated on: concepts, closure, attribute edges. Pairs and edges may come
+    more than once; without being stored, they are read only where an expression asks."""
 
     concepts: DataFrame
     closure: DataFrame
     attributes: DataFrame
 
     def compile(self, tree) -> DataFrame:
-        """One lazy plan of distinct concept_id."""
+        """One plan of distinct concept_id, lazy but for the values of attributes."""
         if isinstance(tree, str):
             tree = parse(tree)
         if isinstance(tree, Concept):
@@ -165,6 +167,8 @@ class EclSpace:
         if isinstance(tree, SetOp):
             return _combine(tree.name, self.refine(tree.left), self.refine(tree.right))
         values = self.compile(tree.value).withColumnRenamed("concept_id", "destination_id")
+        if not isinstance(tree.value, Concept) or tree.value.below:
+            values = stored(values, "values")  # so that Spark knows their size: few are broadcast, and no edge is shuffled for them
         found = self.attributes.where(F.col("type_id") == tree.type_id).join(values, "destination_id", "left_semi")
         active = self.concepts.where("active").select("concept_id")
         return found.select(F.col("source_id").alias("concept_id")).distinct().join(active, "concept_id", "left_semi")

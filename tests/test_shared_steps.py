@@ -46,3 +46,26 @@ def test_rows_of_a_text_read_before_are_taken_from_columns(spark, data):
     rows = [tuple(r) for r in found.collect()]
     assert [r[1:] for r in rows if r[0] == 1] == [r[1:] for r in rows if r[0] == 3] == N.phrases_of("Red bolt. Hot rod.")
     assert [r[1:] for r in rows if r[0] == 4] == N.phrases_of("x" * 700 + " big gear") and {r[0] for r in rows} == {1, 3, 4}
+
+
+def test_an_expression_needs_neither_the_closure_nor_all_attributes(spark, data):
+    from termloom.plans.catalog_hierarchy import EXPRESSIONS, space
+    from termloom.sources.views import Tables
+
+    t = Tables(spark, data)
+    found = space(t).compile(EXPRESSIONS["ecl_refinement"][0])
+    assert found.count() > 0 and not {"closure", "attributes"} & set(vars(t))
+    # values of an attribute are stored before edges meet them; edges are read as they lie in the table
+    assert {"values", "lineitem.parquet"} <= {part.split("-")[0] for f in found.inputFiles() for part in f.split("/")[-2:]}
+
+
+def test_lineage_has_the_pairs_of_the_closure(spark):
+    from termloom.operators import hierarchy
+
+    pairs = [("a", "r"), ("b", "a"), ("r", "b"), ("a", "r"), ("x", "y"), ("z", None), *((f"leaf{k}", p) for k in range(5) for p in ("a", "b", "x"))]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    inner = hierarchy.closure_of_parents(edges)
+    found = {tuple(r) for r in hierarchy.lineage(edges, inner).collect()}
+    assert {r.concept_id for r in inner.collect()} == {"a", "b", "r", "x"} and ("leaf0", "y") in found and ("a", "a") in found
+    assert found == {(r.concept_id, r.ancestor_id) for r in hierarchy.closure_fixpoint(edges).collect()}
+    assert sorted(map(str, hierarchy.taken_over(edges, inner).collect())) == sorted(map(str, hierarchy.closure_fixpoint(edges).collect()))
