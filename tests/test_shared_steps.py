@@ -69,3 +69,12 @@ def test_lineage_has_the_pairs_of_the_closure(spark):
     assert {r.concept_id for r in inner.collect()} == {"a", "b", "r", "x"} and ("leaf0", "y") in found and ("a", "a") in found
     assert found == {(r.concept_id, r.ancestor_id) for r in hierarchy.closure_fixpoint(edges).collect()}
     assert sorted(map(str, hierarchy.taken_over(edges, inner).collect())) == sorted(map(str, hierarchy.closure_fixpoint(edges).collect()))
+
+
+def test_pairs_of_the_closure_are_grouped_where_their_edges_lie(spark, data):
+    from termloom.operators.hierarchy import taken_over
+    from termloom.sources.views import Tables
+
+    t = Tables(spark, data)
+    plan = taken_over(t.edges, t.closure_of_parents)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and not any("ancestor_id" in line and "Exchange hashpartitioning" in line for line in plan.splitlines())
