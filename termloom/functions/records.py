@@ -17,10 +17,10 @@ ATTRIBUTE_NAMES = {
 
 
 def attribute_name(name: Column) -> Column:
-    """The kept name of an attribute; others stay as they are."""
+    """The kept name of an attribute; others stay as they are. Names of ASCII letters and digits need no pattern."""
     folded = F.lower(F.regexp_replace(fold_accents(name), "[^A-Za-z0-9]", ""))
     known = F.create_map(*(F.lit(x) for pair in ATTRIBUTE_NAMES.items() for x in pair))
-    return F.coalesce(known[folded], name)
+    return F.coalesce(known[F.lower(name)], F.when(name.rlike("[^A-Za-z0-9]"), known[folded]), name)
 
 
 def let(value: Column, body) -> Column:

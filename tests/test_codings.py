@@ -2,9 +2,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from termloom.functions.records import attributes
 from termloom.operators import codings as C
 from termloom.operators import grounding as G
 from termloom.operators import mapping as M
+from termloom.plans import catalog
 
 SCHEMA = "note_id int, pos int, concept_id string, term string, phrase string, assertion string, subject string, temporality string, workflow string, kind string, clinical_status string, role string, attributes map<string,string>, ancestor_ids array<string>, evidence array<string>, accepted boolean, code_role string"
 
@@ -105,3 +107,15 @@ def test_a_fact_may_take_over_several(spark):
     rows = [coding(0, "top"), coding(1, "parent", ancestor_ids=["parent", "top"]), coding(2, "child", ancestor_ids=["child", "parent", "top"]), coding(3, "other")]
     out = C.drop_covered(C.merge(spark.createDataFrame(rows, SCHEMA))).collect()
     assert sorted((r.concept_id, r.taken) for r in out) == [("child", 2), ("other", 0)]
+
+
+def test_resources_are_made_in_parallel_and_read_once(spark, data):
+    plan = catalog.QUERIES["coding_resources"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Generate explode([true,false])" in plan
+    assert plan.count("from_json") + plan.count("JsonToStructs") > 0 and plan.count("get_json_object") < 10
+
+
+def test_attribute_names_with_and_without_signs(spark):
+    raw = spark.sql("SELECT map('Sitio', 'a', 'sitio anatómico', 'b', 'color', null, 'relative_time', 'x', 'RelativeTime', 'y', 'SITE', 'c') AS m UNION ALL SELECT null UNION ALL SELECT map('Vía', 'y', 'no-name', 'z')")
+    kept = [r[0] for r in raw.select(attributes(F.col("m"))).collect()]
+    assert kept == [{"site": "b", "color": None, "relativeTime": "y", "SITE": "c"}, {}, {"route": "y", "no-name": "z"}]
