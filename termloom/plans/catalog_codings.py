@@ -81,7 +81,8 @@ _SAME = " AND ".join(f"m.{k} IS NOT DISTINCT FROM s.{k}" for k in _KEY.split(",
 def coding_merge(t: Tables) -> DataFrame:
     of = lambda name: F.col("attributes")[name].alias(name)
     clash = F.get(F.col("conflicts")["color"], F.lit(1)).alias("other_color")
-    return C.merge(facts(t, together=True, named=False), "row").select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", "role", of("site"), of("result"), of("relativeTime").alias("relative_time"), of("color"), clash, "accepted", F.array_join("evidence", ",").alias("evidence"))
+    merged = C.merge(facts(t, together=True, named=False).drop("tag", "ancestor_ids"), "row")
+    return merged.select("note_id", "concept_id", "assertion", "subject", "temporality", "workflow", "kind", "pos", "role", of("site"), of("result"), of("relativeTime").alias("relative_time"), of("color"), clash, "accepted", F.array_join("evidence", ",").alias("evidence"))
 
 
 _SENSE = " AND ".join(f"u.{k} IS NOT DISTINCT FROM o.{k}" for k in "assertion subject temporality kind workflow clinical_status site laterality result relative_time".split())

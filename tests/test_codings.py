@@ -119,3 +119,15 @@ def test_attribute_names_with_and_without_signs(spark):
     raw = spark.sql("SELECT map('Sitio', 'a', 'sitio anatómico', 'b', 'color', null, 'relative_time', 'x', 'RelativeTime', 'y', 'SITE', 'c') AS m UNION ALL SELECT null UNION ALL SELECT map('Vía', 'y', 'no-name', 'z')")
     kept = [r[0] for r in raw.select(attributes(F.col("m"))).collect()]
     assert kept == [{"site": "b", "color": None, "relativeTime": "y", "SITE": "c"}, {}, {"route": "y", "no-name": "z"}]
+
+
+def test_merging_sorts_facts_once_and_carries_no_names(spark, data):
+    plan = catalog.QUERIES["coding_merge"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "term#" not in plan and plan.count("Window [") == 1
+
+
+def test_merging_keeps_the_order_of_equal_places(spark):
+    rows = [coding(1, "a", attributes={"color": c}, evidence=[c, None], role=None) for c in ("red", "blue", "green")] + [coding(0, "a", attributes={}, evidence=None, role="other")]
+    (merged,) = C.merge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert (merged.pos, merged.role, merged.attributes, merged.conflicts) == (0, "other", {"color": "blue"}, {"color": ["blue", "red"]})
+    assert merged.evidence == ["blue", None, "green", "red"]
