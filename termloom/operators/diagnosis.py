@@ -97,12 +97,12 @@ def with_priority(entries: DataFrame) -> DataFrame:
     return _prioritized(_read(entries)).drop("_english")
 
 
-def _read(entries: DataFrame) -> DataFrame:
+def _read(entries: DataFrame, together: bool = False) -> DataFrame:
     """entries, a note's together, with what patterns say of each: as columns, so that they are matched
-    once for each mention and not again wherever a condition needs them."""
+    once for each mention and not again wherever a condition needs them. together: they lie so already."""
     none = F.lit("")
     # all windows and groups begin with the note, so its rows meet once; a section is classified once
-    rows = entries.repartition("note_id").withColumn("_label", _label(F.col("section"))).withColumn("_weight", _label_weight(F.col("_label")))
+    rows = (entries if together else entries.repartition("note_id")).withColumn("_label", _label(F.col("section"))).withColumn("_weight", _label_weight(F.col("_label")))
     rows = rows.withColumns({"_numbered": F.coalesce(F.col("sentence").rlike("^\\s*1[.)]\\s"), F.lit(False)), "_english": english_tag(F.coalesce("tag", none))})
     return rows.withColumns({"_phrase": normalize(F.coalesce("phrase", none)), "subject": F.coalesce("subject", F.lit("patient")), "kind": F.coalesce("kind", none), "assertion": F.coalesce("assertion", none), "temporality": F.coalesce("temporality", none)})
 
@@ -126,15 +126,16 @@ def _prioritized(rows: DataFrame) -> DataFrame:
     return rows.withColumn("unresolved", F.when(present & (F.col("temporality") != "unknown") & ~mapped & ~resolved, F.col("priority")).otherwise(0)).drop("_own", "_label", "_numbered")
 
 
-def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
+def scored(entries: DataFrame, target: str = "condition.code", together: bool = False) -> DataFrame:
     """entries with priority, unresolved, score, and reason: why a mention can't count, null if it can.
+    together: a note's entries lie in one partition already, and aren't shuffled again.
 
     entries: note_id, concept_id, term, tag, ancestor_ids, active, phrase, kind, assertion,
     temporality, clinical_status, subject, section, section_start, start, sentence, evidence,
     decision, reviewed, confidence.
     """
     tag = F.col("_english")
-    rows = _read(entries)
+    rows = _read(entries, together)
     rows = rows.withColumn("score", _points(F.col("confidence"), F.col("_weight"), F.col("assertion"), F.col("evidence"), F.col("decision"), _english_weight(tag, target)))
     under = F.coalesce((F.col("concept_id") == CLINICAL_FINDING) | F.array_contains("ancestor_ids", CLINICAL_FINDING), F.lit(False))
     finding = F.when(tag != "", tag.isin("disorder", "finding")).otherwise(under)
@@ -154,11 +155,17 @@ def scored(entries: DataFrame, target: str = "condition.code") -> DataFrame:
 def concepts(found: DataFrame, *carried: str) -> DataFrame:
     """BUCKET of the mentions that count: score, support, confidence, priority, eligible, place, and
     the greatest of each of the columns carried."""
-    count = found.where("reason is null").withColumns({"assertion": F.when(F.col("assertion") == "", "present").otherwise(F.col("assertion")), "clinical_status": F.coalesce("clinical_status", F.lit("unknown"))})
+    return _ranked(found.where("reason is null"), [], *carried)
+
+
+def _ranked(count: DataFrame, apart: list[str], *carried: str) -> DataFrame:
+    """concepts() of the mentions that are given. apart: more columns that keep groups apart, by which they are
+    placed first, nulls before others."""
+    count = count.withColumns({"assertion": F.when(F.col("assertion") == "", "present").otherwise(F.col("assertion")), "clinical_status": F.coalesce("clinical_status", F.lit("unknown"))})
     named = F.min(F.coalesce("term", "concept_id"))
-    grouped = count.groupBy(*BUCKET).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("support"), F.max(F.coalesce("confidence", F.lit(0))).alias("confidence"), F.max("priority").alias("priority"), named.alias("term"), F.min(english_tag(F.coalesce("tag", F.lit("")))).alias("tag"), F.max("ancestor_ids").alias("ancestor_ids"), *(F.max(c).alias(c) for c in carried))
+    grouped = count.groupBy(*BUCKET, *apart).agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("support"), F.max(F.coalesce("confidence", F.lit(0))).alias("confidence"), F.max("priority").alias("priority"), named.alias("term"), F.min(english_tag(F.coalesce("tag", F.lit("")))).alias("tag"), F.max("ancestor_ids").alias("ancestor_ids"), *(F.max(c).alias(c) for c in carried))
     scores = grouped.withColumns({"score": F.round(F.col("best") + F.least(4 * (F.col("support") - 1), F.lit(12)), 2), "eligible": (F.col("temporality") != "unknown") & (F.lower("assertion") == "present")})
-    order = Window.partitionBy("note_id").orderBy(*(F.col(x).desc() for x in ("eligible", "priority", "score", "support", "confidence")), "term", *BUCKET[1:])
+    order = Window.partitionBy("note_id").orderBy(*(F.col(x).asc_nulls_first() for x in apart), *(F.col(x).desc() for x in ("eligible", "priority", "score", "support", "confidence")), "term", *BUCKET[1:])
     return scores.withColumn("place", F.row_number().over(order))
 
 
@@ -199,16 +206,17 @@ def proposal(found: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
 
 def explanation(found: DataFrame) -> DataFrame:
     """How a note's proposal came about: each ranked concept with its place and bucket, then each
-    excluded mention with its reason. found: scored() mentions."""
-    ranks = concepts(found)
+    excluded mention with its reason. found: scored() mentions, read once: an excluded one is a group
+    of its own, after the ranked."""
+    excluded = F.col("reason").isNotNull()
+    rows = found.withColumns({"_waiting": F.max("unresolved").over(Window.partitionBy("note_id")), "_alone": F.when(excluded, F.monotonically_increasing_id()), "_term": F.col("term")})
+    ranks = _ranked(rows, ["_alone"], "_waiting", "_term", "reason")
     finding = F.coalesce(F.col("tag").isin("disorder", "finding"), F.lit(False))
     low = F.lower("assertion")
     able = F.col("eligible") & (F.col("priority") >= F.col("_waiting")) & (F.col("place") == 1)
     bucket = F.when(able, "principal").when(~finding, "not-a-diagnosis").when(F.col("eligible"), F.when(F.col("tag") == "finding", "symptom").otherwise("comorbidity")).when(low == "historical", "history").when(low == "suspected", "suspected").otherwise("unclassified")
-    waiting = found.groupBy("note_id").agg(F.max("unresolved").alias("_waiting"))
-    ranked = ranks.join(waiting, "note_id").select("note_id", F.lit("ranking").alias("part"), "place", "concept_id", "term", bucket.alias("said"), F.col("score").cast("double").alias("score"))
-    excluded = found.where("reason IS NOT NULL").select("note_id", F.lit("excluded").alias("part"), F.lit(None).cast("int").alias("place"), "concept_id", "term", F.col("reason").alias("said"), F.col("score").cast("double").alias("score"))
-    return ranked.unionByName(excluded)
+    either = lambda counts, doesnt: F.when(excluded, doesnt).otherwise(counts)
+    return ranks.select("note_id", either(F.lit("ranking"), F.lit("excluded")).alias("part"), either(F.col("place"), F.lit(None).cast("int")).alias("place"), "concept_id", either(F.col("term"), F.col("_term")).alias("term"), either(bucket, F.col("reason")).alias("said"), either(F.col("score"), F.col("best")).cast("double").alias("score"))
 
 
 def rules(spark) -> DataFrame:

@@ -47,11 +47,16 @@ _PROPOSAL = dict(
 )
 
 
-def entries(t: Tables) -> DataFrame:
+def entries(t: Tables, together: bool = False) -> DataFrame:
+    """together: a note's entries in one partition, shuffled as they come from the order lines, before texts are made of them."""
     names = t.parts.select(F.col("concept_id").alias("_c"), F.col("name").alias("phrase"), "p_size")
     pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k + 1).cast("int"))
     line, size = F.col("line"), F.col("p_size")
-    return t.codings.join(names, F.col("concept_id") == F.col("_c")).select(
+    rows = t.codings.join(names, F.col("concept_id") == F.col("_c"))
+    if together:
+        brief = rows.select("note_id", "concept_id", F.element_at("ancestor_ids", 2).alias("brand_id"), F.element_at("ancestor_ids", 3).alias("type_id"), "phrase", "p_size", "line", "assertion", "temporality", "subject", "status", F.col("l_quantity").cast("int").alias("l_quantity"))
+        rows = brief.repartition("note_id").withColumn("ancestor_ids", F.array("concept_id", "brand_id", "type_id", F.lit("900000")))
+    return rows.select(
         "note_id", "concept_id", F.col("phrase").alias("term"), pick(_TAGS, size % 4).alias("tag"), "ancestor_ids", F.lit(True).alias("active"), "phrase", pick(_KINDS, F.floor(line % 5 / 2)).alias("kind"), "assertion", "temporality", F.lit(None).cast("string").alias("clinical_status"), "subject",
         pick(_SECTIONS, line % 4).alias("section"), F.lit(None).cast("int").alias("section_start"), line.alias("start"), F.concat(F.when(line % 5 == 0, "1. ").otherwise(""), "phrase").alias("sentence"), pick(_EVIDENCE, size % 3).alias("evidence"), F.col("status").alias("decision"), (F.col("l_quantity").cast("int") % 7 == 0).alias("reviewed"), (size * 2).alias("confidence"),
     )
@@ -272,7 +277,7 @@ def contract_checks(t: Tables) -> DataFrame:
 
 @query("diagnosis_explanation", "SELECT part, said, count(*) AS n, sum(place)::BIGINT AS places FROM (SELECT 'ranking' AS part, place, CASE WHEN principal THEN 'principal' WHEN eligible THEN CASE WHEN tag = 'finding' THEN 'symptom' ELSE 'comorbidity' END WHEN assertion = 'suspected' THEN 'suspected' ELSE 'unclassified' END AS said FROM s UNION ALL SELECT 'excluded', NULL, reason FROM y WHERE reason IS NOT NULL) GROUP BY ALL", "codings", "parts", **_PROPOSAL)
 def diagnosis_explanation(t: Tables) -> DataFrame:
-    return D.explanation(D.scored(entries(t))).groupBy("part", "said").agg(F.count(F.lit(1)).alias("n"), F.sum("place").cast("long").alias("places"))
+    return D.explanation(D.scored(entries(t, together=True), together=True)).groupBy("part", "said").agg(F.count(F.lit(1)).alias("n"), F.sum("place").cast("long").alias("places"))
 
 
 @query("model_recommendation", "SELECT model FROM (SELECT p_brand AS model, round(avg(p_size) / 50, 6) AS composite, count(*) AS tokens, min(p_partkey) AS latency FROM part GROUP BY p_brand) WHERE composite >= (SELECT max(c) FROM (SELECT round(avg(p_size) / 50, 6) AS c FROM part GROUP BY p_brand)) - 0.02 ORDER BY tokens, latency, model LIMIT 1")

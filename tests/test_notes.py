@@ -167,3 +167,11 @@ def test_equal_short_texts_are_read_once_a_task(spark):
     assert {r.k for r in N.per_note(notes, "id", "text", once, "k int").collect()} == {0}
     long = notes.selectExpr("id", f"repeat('x', {N.LONGEST_KEPT + 1}) AS text")
     assert max(r.k for r in N.per_note(long, "id", "text", once, "k int").collect()) > 10
+
+
+def test_explanation_reads_its_mentions_once_as_brief_lines(spark, data):
+    from termloom.plans import catalog
+
+    plan = catalog.QUERIES["diagnosis_explanation"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(note_id" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_COL" in shuffles[0]
