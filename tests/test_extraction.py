@@ -55,3 +55,18 @@ def test_answers_of_another_kind_are_failures(spark, notes):
     out = extract(notes.where("note_id = 1"), "note_id", "text", lambda w, n: "text", "v2", Answers(spark), tries=1).first()
     assert out.status == "failed" and out.error == "ValueError: not a list of mentions"
     assert extract(notes.limit(0), "note_id", "text", capitalized_words, "v3", Answers(spark)).count() == 0
+
+
+def test_texts_are_shuffled_once_and_blank_notes_stay(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def service(window, note):
+        asked.add(1)
+        return capitalized_words(window, note)
+
+    notes = spark.createDataFrame([(1, "Aaaa bb. Aaaa bb. Cccc d."), (2, "Aaaa bb. Aaaa bb. Cccc d."), (3, "  "), (4, None), (None, "Dddd e.")], "id int, text string")
+    found = extract(notes, "id", "text", service, "p", Answers(spark), size=9)
+    rows = {r.id: (r.status, r.mentions and len(r.mentions)) for r in found.collect()}
+    assert rows == {1: ("ok", 3), 2: ("ok", 3), 3: ("empty", None), 4: ("empty", None), None: ("ok", 1)} and asked.value == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "note" in line for line in plan.splitlines())
